@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, pieces
+from quern.llm import decontaminate, fertility, languages, pieces, quality, webtext
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -14,16 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES, spans=False, texts=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.judge(table(spark, sf_dir, "documents"), PIECES)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertility_group", "chars_per_token", "byte_share", "entropy", "reasons")
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
+    "op1_webtext": op1_webtext,
     "op2_pieces": op2_pieces,
+    "op6_quality": op6_quality,
+    "op7_fertility": op7_fertility,
+    "op9_languages": op9_languages,
     "op10_decontaminate": op10_decontaminate,
 }
 
