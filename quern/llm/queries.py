@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, fertility, languages, pieces, quality, webtext
+from quern.llm import decontaminate, fertility, languages, pieces, quality, toxicity, webtext
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -31,6 +31,10 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertility_group", "chars_per_token", "byte_share", "entropy", "reasons")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_pieces": op2_pieces,
     "op6_quality": op6_quality,
     "op7_fertility": op7_fertility,
+    "op8_toxicity": op8_toxicity,
     "op9_languages": op9_languages,
     "op10_decontaminate": op10_decontaminate,
 }
