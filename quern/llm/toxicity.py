@@ -218,7 +218,7 @@ def learn(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, least:
     hits = np.minimum(rows.contexts, rows.toxic)
     ratio = hits / n_toxic / ((rows.clean + 0.5) / n_clean)
     surprise = (hits - (rows.clean + 0.5) / n_clean * n_toxic) / np.sqrt((rows.clean + 0.5) / n_clean * n_toxic + 0.5)
-    rows["kind"] = np.where((ratio >= excess[0]) & (hits >= enough), INSULT, np.where((ratio >= excess[1]) & (surprise >= 5), SLUR, OTHER))
+    rows["kind"] = np.where((ratio >= excess[0]) & (surprise >= 7), INSULT, np.where((ratio >= excess[1]) & (surprise >= 6), SLUR, OTHER))
     out = {}
     for n, x in rows[rows.kind != OTHER].groupby("n"):
         h, at = np.unique(x.begin.to_numpy(np.int64).view(np.uint64), return_index=True)
