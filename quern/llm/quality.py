@@ -20,12 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import folds
+from quern.llm import blobs, folds
 from quern.llm import textpack as tp
 from quern.llm.store import materialise
 
@@ -95,20 +94,11 @@ def _cooccur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([x.tobytes() for x in padded.reshape(blocks, -1)], pa.binary())], ["block", "sums"])
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "salt": [0], "sums": [total.tobytes()]})
-
-
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A unit vector for each place (a table of fixed size, about 2 MB), from all documents."""
-    schema = "block bigint, salt int, sums binary"
-    parts = docs.select("text").mapInArrow(_cooccur, "block bigint, sums binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    partial = parts.groupBy("block", "salt").applyInPandas(_add, schema)
-    rows = partial.groupBy("block").applyInPandas(_add, schema).collect()
     out = np.zeros((-(-PLACES // BLOCK), BLOCK * DIM))
-    for r in rows:
-        out[r.block] = np.frombuffer(r.sums)
+    for block, sums in blobs.add(docs.select("text").mapInArrow(_cooccur, blobs.SCHEMA), "float64").items():
+        out[block] = sums
     vectors = out.reshape(-1, DIM)[:PLACES]
     vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))  # frequent neighbours count less
     vectors -= vectors.mean(axis=0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, fertility, languages, pieces, quality, toxicity, webtext
+from quern.llm import decontaminate, fertility, languages, pieces, quality, repeats, toxicity, webtext
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,6 +22,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES, spans=False, texts=False)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_webtext": op1_webtext,
     "op2_pieces": op2_pieces,
+    "op5_repeats": op5_repeats,
     "op6_quality": op6_quality,
     "op7_fertility": op7_fertility,
     "op8_toxicity": op8_toxicity,
@@ -56,6 +61,19 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op5_repeats": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM doc),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc)),
+least_doc AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN least_doc USING (s) WHERE m < doc_id),
+kept AS (
+  SELECT doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN x END, ' ' ORDER BY i) AS t
+  FROM word LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+""",
     "op10_decontaminate": rf"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
