@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import blobs
+from quern.llm import exchange as ex
 from quern.llm import textpack as tp
 from quern.llm.store import materialise
 
@@ -40,11 +41,10 @@ from quern.llm.store import materialise
 LENGTHS = (1, 2, 4, 8)
 COUNTERS = 4096
 #: Suffixes that a group holds, on the average of light prefixes.
-GROUP = 1 << 20
+GROUP = 1 << 19
 _LABEL = np.uint64((1 << 56) - 1)
-SLICE = 8 << 20
-#: Bits of the bitmap of documents that lose words.
-BITMAP = 1 << 26
+#: Bytes of text whose suffixes are sorted together before they are sent.
+SLICE = 3 << 20
 
 
 def paths(w: tp.Words, width: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -98,17 +98,6 @@ def groups(path: dict[int, np.ndarray], how: dict) -> tuple[np.ndarray, np.ndarr
     return gid, label & _LABEL
 
 
-def _planes(x: np.ndarray, n: int) -> bytes:
-    """The lowest ``n`` bytes of 64-bit integers, all first bytes first, which compresses well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
-
-
-def _unplanes(b: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(b) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(b, np.uint8).reshape(n, -1).T
-    return out.view("<u8")[:, 0]
-
-
 def _send(how: dict, n_buckets: int):
     """Rows (group, docs, labels) for the trees; and, with group -1 - bucket, what a slice already knows to be repeated."""
 
@@ -130,13 +119,13 @@ def _send(how: dict, n_buckets: int):
                 rows: tuple[list, list, list] = ([], [], [])
                 first = np.flatnonzero(node)
                 g, d, x = gid[first], doc[first], label[first]
-                cuts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+                cuts = ex.cuts(g)
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     # In the order of documents, so that their numbers compress.
                     o = a + np.argsort(d[a:b], kind="stable")
                     rows[0].append(int(g[a]))
-                    rows[1].append(_planes(np.diff(d[o], prepend=0), 8))
-                    rows[2].append(_planes(x[o], 7))
+                    rows[1].append(ex.pack_docs(d[o]))
+                    rows[2].append(ex.planes(x[o], 7))
                 for bucket, docs, labels in _losses(doc[known], label[known], n_buckets):
                     rows[0].append(-1 - bucket)
                     rows[1].append(docs)
@@ -146,35 +135,27 @@ def _send(how: dict, n_buckets: int):
     return run
 
 
-def _bucket(doc: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (tp.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-
-
 def _losses(doc: np.ndarray, label: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """What documents lose, by buckets of documents."""
     if not len(doc):
         return
-    bucket = _bucket(doc, n_buckets)
+    bucket = ex.place(doc, n_buckets)
     order = np.lexsort((label, doc, bucket))
     bucket, doc, label = bucket[order], doc[order], label[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
     bucket, doc, label = bucket[new], doc[new], label[new]
-    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    cuts = ex.cuts(bucket)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(bucket[a]), _planes(np.diff(doc[a:b], prepend=0), 8), _planes(label[a:b], 6)
-
-
-def _docs(b: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(b, 8).view(np.int64))
+        yield int(bucket[a]), ex.pack_docs(doc[a:b]), ex.planes(label[a:b], 6)
 
 
 def _tree(n_buckets: int):
     """Leaves of a group sorted below their internal nodes; all but the smallest document of a node lose."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([_docs(b) for b in rows["docs"]])
-        label = np.concatenate([_unplanes(b, 7) for b in rows["labels"]])
+        doc = np.concatenate([ex.unpack_docs(b) for b in rows["docs"]])
+        label = np.concatenate([ex.unplanes(b, 7) for b in rows["labels"]])
         order = np.lexsort((doc, label))
         doc, label = doc[order], label[order]
         node = np.ones(len(doc), bool)
@@ -186,18 +167,18 @@ def _tree(n_buckets: int):
 
 
 def _by_doc(rows: pd.DataFrame) -> pd.DataFrame:
-    doc = np.concatenate([_docs(b) for b in rows["docs"]])
-    label = np.concatenate([_unplanes(b, 6) for b in rows["labels"]])
+    doc = np.concatenate([ex.unpack_docs(b) for b in rows["docs"]])
+    label = np.concatenate([ex.unplanes(b, 6) for b in rows["labels"]])
     order = np.lexsort((label, doc))
     doc, label = doc[order], label[order]
-    cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "lost": [_planes(np.unique(label[a:b]), 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    cuts = ex.cuts(doc)
+    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "lost": [ex.planes(np.unique(label[a:b]), 6) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
 def losses(docs: DataFrame, width: int = 13, group: int = GROUP) -> DataFrame:
     """(doc_id, lost): labels of the windows whose words go, for every document that loses some."""
     how = plan(docs, width, group)
-    n_buckets = max(16, how["total"] // (4 << 20))
+    n_buckets = max(16, how["total"] // (1 << 20))
     sent = docs.mapInArrow(_send(how, n_buckets), "gid bigint, docs binary, labels binary")
     found = sent.where("gid >= 0").groupBy("gid").applyInPandas(_tree(n_buckets), "bucket bigint, docs binary, labels binary")
     known = sent.where("gid < 0").select((-1 - F.col("gid")).alias("bucket"), "docs", "labels")
@@ -213,7 +194,7 @@ def cut(part: pa.RecordBatch, lost: list[bytes | None], width: int) -> tuple[tp.
     hit = np.zeros(len(at), bool)
     for d, b in enumerate(lost):
         if b:
-            hit[first[d] : first[d + 1]] = np.isin(label[first[d] : first[d + 1]], _unplanes(b, 6))
+            hit[first[d] : first[d + 1]] = np.isin(label[first[d] : first[d + 1]], ex.unplanes(b, 6))
     begin = at[hit]
     return w, tp.covered(len(w.start), begin, np.full(len(begin), width))
 
@@ -243,42 +224,13 @@ def _results(width: int, texts: bool):
     return run
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITMAP, bool)
-    for batch in batches:
-        bits[_bucket(batch["doc_id"].to_numpy(), BITMAP)] = True
-    some = np.flatnonzero(np.packbits(bits).reshape(64, -1).any(axis=1))
-    packed = np.packbits(bits).reshape(64, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
-
-
-def _any(rows: pd.DataFrame) -> pd.DataFrame:
-    out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]], axis=0)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [out.tobytes()]})
-
-
-def _having(marked, wanted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            valid = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-            place = _bucket(batch["doc_id"].fill_null(0).to_numpy(), BITMAP)
-            hit = (marked.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool) & valid
-            yield batch.filter(pa.array(hit == wanted))
-
-    return run
-
-
 def remove(docs: DataFrame, width: int = 13, texts: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the digest of what is kept; with ``texts`` kept_text and removed_spans (begin and end of each run of words, flattened)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed_spans array<int>" * texts
     lost = materialise(losses(docs, width, group))
-    packed = np.zeros((64, BITMAP // 8 // 64), np.uint8)
-    marks = lost.select("doc_id").mapInArrow(_mark, "block bigint, bits binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    for r in marks.groupBy("block", "salt").applyInPandas(_any, "block bigint, bits binary").groupBy("block").applyInPandas(_any, "block bigint, bits binary").collect():
-        packed[r.block] = np.frombuffer(r.bits, np.uint8)
-    marked = docs.sparkSession.sparkContext.broadcast(packed.ravel())  # 8 MB at any size
+    marked = ex.bitmap(lost)
     columns = "doc_id bigint, text string"
-    whole = docs.mapInArrow(_having(marked, False), columns).withColumn("lost", F.lit(None).cast("binary"))
-    losing = docs.mapInArrow(_having(marked, True), columns).join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    whole = docs.mapInArrow(ex.keep_marked(marked, False), columns).withColumn("lost", F.lit(None).cast("binary"))
+    losing = docs.mapInArrow(ex.keep_marked(marked), columns).join(lost, "doc_id", "left").select("doc_id", "text", "lost")
     return whole.unionByName(losing).mapInArrow(_results(width, texts), schema)
