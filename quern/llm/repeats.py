@@ -154,6 +154,8 @@ def _tree(n_buckets: int):
     """Leaves of a group sorted below their internal nodes; all but the smallest document of a node lose."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["gid"].iloc[0] < 0:  # what slices knew already
+            return pd.DataFrame({"bucket": -1 - rows["gid"], "docs": rows["docs"], "labels": rows["labels"]})
         doc = np.concatenate([ex.unpack_docs(b) for b in rows["docs"]])
         label = np.concatenate([ex.unplanes(b, 7) for b in rows["labels"]])
         order = np.lexsort((doc, label))
@@ -180,9 +182,8 @@ def losses(docs: DataFrame, width: int = 13, group: int = GROUP) -> DataFrame:
     how = plan(docs, width, group)
     n_buckets = max(16, how["total"] // (1 << 20))
     sent = docs.mapInArrow(_send(how, n_buckets), "gid bigint, docs binary, labels binary")
-    found = sent.where("gid >= 0").groupBy("gid").applyInPandas(_tree(n_buckets), "bucket bigint, docs binary, labels binary")
-    known = sent.where("gid < 0").select((-1 - F.col("gid")).alias("bucket"), "docs", "labels")
-    return found.unionByName(known).groupBy("bucket").applyInPandas(_by_doc, "doc_id bigint, lost binary")
+    found = sent.groupBy("gid").applyInPandas(_tree(n_buckets), "bucket bigint, docs binary, labels binary")
+    return found.groupBy("bucket").applyInPandas(_by_doc, "doc_id bigint, lost binary")
 
 
 def cut(part: pa.RecordBatch, lost: list[bytes | None], width: int) -> tuple[tp.Words, np.ndarray]:
