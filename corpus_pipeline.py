@@ -1,10 +1,80 @@
-"""A corpus pipeline of five stages, each written and read again before the next."""
+"""A corpus pipeline of five stages, each written and read again before the next.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
+the columns of documents; the last returns what the tokeniser made of each text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, exchange, jaccard, pieces, privacy, queries, toxicity
+from quern.llm.store import materialise, shared_folder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go. Texts are scored where they lie, and not shuffled."""
+    scored = toxicity.score(docs, queries.table(spark, sf_dir, "labels"), carry=tuple(COLUMNS))
+    return scored.where("predicted = 0").select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest doc_id stays; of repeated rows, one.
+
+    Only texts of documents that may go are shuffled; a bitmap of fixed size says which.
+    """
+    components = materialise(jaccard.join(docs))
+    doubtful = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("copy")).where("rows > 1 or copy")
+    bits = exchange.bitmap(doubtful.select("doc_id"))
+    certain = docs.mapInArrow(exchange.keep_marked(bits, False), docs.schema)
+    kept = components.where("component_id = doc_id").select("doc_id").distinct()
+    others = docs.mapInArrow(exchange.keep_marked(bits), docs.schema).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go; a bitmap of fixed size keeps the texts of the others where they lie."""
+    found = materialise(decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id", (F.size("item_ids") > 0).alias("hit")))
+    hit = found.where("hit and doc_id is not null").select("doc_id").distinct()
+    bits = exchange.bitmap(hit)
+    certain = docs.mapInArrow(exchange.keep_marked(bits, False), docs.schema)
+    others = docs.mapInArrow(exchange.keep_marked(bits), docs.schema).join(hit, "doc_id", "left_anti")
+    return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by surrogates."""
+    changed = privacy.pseudonymise(docs, queries.secret_key(spark))
+    return changed.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each text with their byte spans."""
+    return pieces.encode(docs, queries.PIECES, texts=False)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("ngram_jaccard", near_copies),
+    ("decontamination", contaminated),
+    ("pii", private),
+    ("sentencepiece", encoded),
+]
+
+#: Scores, surrogates and pieces have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

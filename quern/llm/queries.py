@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, fertility, jaccard, languages, pieces, quality, repeats, toxicity, webtext
+from quern.llm import decontaminate, fertility, jaccard, languages, pieces, privacy, quality, repeats, toxicity, webtext
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -22,6 +22,15 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES, spans=False, texts=False)
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of surrogates is the user's to set; the value here is for tests."""
+    return spark.conf.get("spark.quern.surrogateKey", "not a secret")
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymise(table(spark, sf_dir, "documents"), secret_key(spark)).select("doc_id", "text", "pii_types")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_webtext": op1_webtext,
     "op2_pieces": op2_pieces,
+    "op3_surrogates": op3_surrogates,
     "op4_jaccard": op4_jaccard,
     "op5_repeats": op5_repeats,
     "op6_quality": op6_quality,

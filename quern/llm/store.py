@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder of ``spark.checkpoint.dir`` and reads them from there.
-
-    A folder of this machine is used only where the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; one of this machine only where it names none, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

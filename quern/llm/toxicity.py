@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import folds
 from quern.llm import textpack as tp
@@ -243,9 +244,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 40, penalty: float =
     return float(w[0]), w[1:]
 
 
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 3, held_out: int = 1, per_label: int = 6000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted and the count of clauses for each pattern."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 3, held_out: int = 1, per_label: int = 6000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted and the count of clauses for each pattern; and the columns to ``carry`` along."""
+    carried = [F.col(c).alias(f"carried_{c}") for c in carry]
+    rows_in = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    docs = rows_in.select("doc_id", "text")
     fold = folds.remainder("doc_id", held_out_mod) == held_out
     spark = docs.sparkSession
     labelled = labels.select(F.col("doc_id").cast("bigint"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & ~fold).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -261,7 +264,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
 
         return docs.mapInArrow(chosen, "doc_id bigint, text string"), len(ids.value)
 
-    def counted(rows_in: DataFrame, half: int | None) -> DataFrame:
+    def counted(rows: DataFrame, half: int | None) -> DataFrame:
         (toxic, n_toxic), (clean, n_clean) = part_of(1, half), part_of(0, half)
         words = spark.sparkContext.broadcast(lexicon(learn(toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else {}))
 
@@ -269,9 +272,12 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
             for batch in batches:
                 for part in tp.slices(batch, "text"):
                     found = patterns(part, words.value)
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(found[:, k].astype(np.int64)) for k in range(len(PATTERNS)))], ["doc_id", *PATTERNS])
+                    also = [c for c in part.schema.names if c.startswith("carried_")]
+                    cols = [part["doc_id"], *(pa.array(found[:, k].astype(np.int64)) for k in range(len(PATTERNS))), *(part[c] for c in also)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", *PATTERNS, *also])
 
-        return rows_in.mapInArrow(count, "doc_id bigint, " + ", ".join(f"{p} bigint" for p in PATTERNS))
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(p, T.LongType()) for p in PATTERNS), *(f for f in rows.schema.fields if f.name.startswith("carried_"))])
+        return rows.mapInArrow(count, schema)
 
     y_of = {r.doc_id: r.y for r in rows}
     learned = counted(part_of(None, 1)[0], 0).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
@@ -279,5 +285,5 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
     total = F.lit(base)
     for p, w in zip(PATTERNS, weights.tolist(), strict=True):
         total = total + F.lit(w) * F.log2(1.0 + F.col(p))
-    out = counted(docs, None).withColumn("score", 1 / (1 + F.exp(-total)))
-    return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *PATTERNS)
+    out = counted(rows_in, None).withColumn("score", 1 / (1 + F.exp(-total)))
+    return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *PATTERNS, *(F.col(f"carried_{c}").alias(c) for c in carry if c not in ("doc_id", *PATTERNS)))
