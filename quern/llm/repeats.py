@@ -44,7 +44,7 @@ COUNTERS = 4096
 GROUP = 1 << 19
 _LABEL = np.uint64((1 << 56) - 1)
 #: Bytes of text whose suffixes are sorted together before they are sent.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def paths(w: tp.Words, width: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -65,15 +65,18 @@ def _count(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(LENGTHS), COUNTERS), np.int64)
         for batch in batches:
-            for part in tp.slices(batch, "text"):
-                _, path = paths(tp.split(part["text"]), width)
-                for i, k in enumerate(LENGTHS):
-                    counts[i] += np.bincount((path[k] >> np.uint64(52)).astype(np.int64), minlength=COUNTERS)
+            for part in tp.slices(batch, "text", SLICE):
+                counts += _counted(part, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(LENGTHS)), pa.int64()), pa.array([c.tobytes() for c in counts], pa.binary())], ["block", "sums"])
 
     return run
 
 
+def _counted(part: pa.RecordBatch, width: int) -> np.ndarray:
+    _, path = paths(tp.split(part["text"]), width)
+    return np.array([np.bincount((path[k] >> np.uint64(52)).astype(np.int64), minlength=COUNTERS) for k in LENGTHS])
+
+
 def plan(docs: DataFrame, width: int, group: int = GROUP) -> dict:
     """Which prefixes are light enough to be a group, and how many bits split the rest of the way."""
     counts = blobs.add(docs.select("text").mapInArrow(_count(width), blobs.SCHEMA), "int64")
@@ -104,37 +107,44 @@ def _send(how: dict, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tp.slices(batch.filter(batch["doc_id"].is_valid()), "text", SLICE):
-                w = tp.split(part["text"])
-                at, path = paths(w, how["width"])
-                if not len(at):
-                    continue
-                gid, label = groups(path, how)
-                doc = part["doc_id"].to_numpy()[w.doc[at]]
-                order = np.lexsort((doc, label, gid))
-                gid, label, doc = gid[order], label[order], doc[order]
-                node = np.ones(len(gid), bool)
-                node[1:] = (gid[1:] != gid[:-1]) | (label[1:] != label[:-1])
-                least = doc[np.flatnonzero(node)][np.cumsum(node) - 1]
-                known = doc > least
-                rows: tuple[list, list, list] = ([], [], [])
-                first = np.flatnonzero(node)
-                g, d, x = gid[first], doc[first], label[first]
-                cuts = ex.cuts(g)
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    # In the order of documents, so that their numbers compress.
-                    o = a + np.argsort(d[a:b], kind="stable")
-                    rows[0].append(int(g[a]))
-                    rows[1].append(ex.pack_docs(d[o]))
-                    rows[2].append(ex.planes(x[o], 7))
-                for bucket, docs, labels in _losses(doc[known], label[known], n_buckets):
-                    rows[0].append(-1 - bucket)
-                    rows[1].append(docs)
-                    rows[2].append(labels)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["gid", "docs", "labels"])
+                yield _packed(part, how, n_buckets)
 
     return run
 
 
+def _packed(part: pa.RecordBatch, how: dict, n_buckets: int) -> pa.RecordBatch:
+    rows: tuple[list, list, list] = ([], [], [])
+    gid, label, doc = _suffixes(part, how)
+    if len(gid):
+        node = np.ones(len(gid), bool)
+        node[1:] = (gid[1:] != gid[:-1]) | (label[1:] != label[:-1])
+        first = np.flatnonzero(node)
+        known = doc > doc[first][np.cumsum(node) - 1]
+        for bucket, docs, labels in _losses(doc[known], label[known], n_buckets):
+            rows[0].append(-1 - bucket)
+            rows[1].append(docs)
+            rows[2].append(labels)
+        # In the order of documents, so that their numbers compress.
+        order = first[np.lexsort((doc[first], gid[first]))]
+        gid, label, doc = gid[order], label[order], doc[order]
+        at = ex.cuts(gid)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            rows[0].append(int(gid[a]))
+            rows[1].append(ex.pack_docs(doc[a:b]))
+            rows[2].append(ex.planes(label[a:b], 7))
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["gid", "docs", "labels"])
+
+
+def _suffixes(part: pa.RecordBatch, how: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, label and document of every suffix of a slice, sorted by all three."""
+    w = tp.split(part["text"])
+    at, path = paths(w, how["width"])
+    gid, label = groups(path, how)
+    doc = part["doc_id"].to_numpy()[w.doc[at]]
+    order = np.lexsort((doc, label, gid))
+    return gid[order], label[order], doc[order]
+
+
 def _losses(doc: np.ndarray, label: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """What documents lose, by buckets of documents."""
     if not len(doc):
@@ -203,28 +213,30 @@ def cut(part: pa.RecordBatch, lost: list[bytes | None], width: int) -> tuple[tp.
 def _results(width: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tp.slices(batch, "text"):
-                w, gone = cut(part, part["lost"].to_pylist(), width)
-                removed = tp.doc_sums(gone, w.first)
-                raw, kept, spans = w.buf.tobytes(), [], []
-                for d in range(part.num_rows):
-                    a, b = int(w.first[d]), int(w.first[d + 1])
-                    own = raw[int(w.off[d]) : int(w.off[d + 1])].split(None)
-                    keep = [x for x, g in zip(own, gone[a:b].tolist(), strict=True) if not g] if removed[d] else own
-                    kept.append(b" ".join(keep))
-                    if texts:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8)))
-                        spans.append(edge.tolist())
-                cols = [part["doc_id"], pa.array(w.counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if texts:
-                    cols += [pa.array([x.decode() for x in kept], pa.string()), pa.array(spans, pa.list_(pa.int32()))]
-                    names += ["kept_text", "removed_spans"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for part in tp.slices(batch, "text", SLICE):
+                yield _kept(part, width, texts)
 
     return run
 
 
+def _kept(part: pa.RecordBatch, width: int, texts: bool) -> pa.RecordBatch:
+    w, gone = cut(part, part["lost"].to_pylist(), width)
+    removed = tp.doc_sums(gone, w.first)
+    raw, kept, spans = w.buf.tobytes(), [], []
+    for d in range(part.num_rows):
+        a, b = int(w.first[d]), int(w.first[d + 1])
+        own = raw[int(w.off[d]) : int(w.off[d + 1])].split(None)
+        keep = [x for x, g in zip(own, gone[a:b].tolist(), strict=True) if not g] if removed[d] else own
+        kept.append(b" ".join(keep))
+        spans.append(np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).tolist() if texts else [])
+    cols = [part["doc_id"], pa.array(w.counts), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    if texts:
+        cols += [pa.array([x.decode() for x in kept], pa.string()), pa.array(spans, pa.list_(pa.int32()))]
+        names += ["kept_text", "removed_spans"]
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
 def remove(docs: DataFrame, width: int = 13, texts: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed and the digest of what is kept; with ``texts`` kept_text and removed_spans (begin and end of each run of words, flattened)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
