@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quern.plans import search, telemetry, usage  # noqa: F401
+from quern.plans import search, telemetry, trajectories, usage  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from quern.plans.search import bm25_search as flagship  # noqa: F401
