@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exchange, jaccard, pieces, privacy, queries, toxicity
+from quern.llm import textpack as tp
 from quern.llm.store import materialise, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +32,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     components = materialise(jaccard.join(docs))
     doubtful = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("copy")).where("rows > 1 or copy")
     bits = exchange.bitmap(doubtful.select("doc_id"))
-    certain = docs.mapInArrow(exchange.keep_marked(bits, False), docs.schema)
+    certain = docs.mapInArrow(tp.task(exchange.keep_marked(bits, False)), docs.schema)
     kept = components.where("component_id = doc_id").select("doc_id").distinct()
-    others = docs.mapInArrow(exchange.keep_marked(bits), docs.schema).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    others = docs.mapInArrow(tp.task(exchange.keep_marked(bits)), docs.schema).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
 
 
@@ -42,8 +43,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = materialise(decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id", (F.size("item_ids") > 0).alias("hit")))
     hit = found.where("hit and doc_id is not null").select("doc_id").distinct()
     bits = exchange.bitmap(hit)
-    certain = docs.mapInArrow(exchange.keep_marked(bits, False), docs.schema)
-    others = docs.mapInArrow(exchange.keep_marked(bits), docs.schema).join(hit, "doc_id", "left_anti")
+    certain = docs.mapInArrow(tp.task(exchange.keep_marked(bits, False)), docs.schema)
+    others = docs.mapInArrow(tp.task(exchange.keep_marked(bits)), docs.schema).join(hit, "doc_id", "left_anti")
     return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
 
 

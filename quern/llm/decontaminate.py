@@ -142,12 +142,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_wind
     """Per document: doc_id, n_words, hit_spans (begin and end word of each hit run, flattened) and item_ids (sorted strings)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = items.select(F.col("item_id").cast("string"), F.col("text")).where("item_id is not null and text is not null")
-    windows = items.mapInArrow(_item_windows(width), "item_id string, words array<bigint>").distinct()
+    windows = items.mapInArrow(tp.task(_item_windows(width)), "item_id string, words array<bigint>").distinct()
     n_blocks = max(1, -(-windows.count() // block_windows))
     found = []
     for block in range(n_blocks):
         rows = windows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == block).collect()  # at most about block_windows rows
-        found.append(docs.mapInArrow(_scan(_index(docs, rows, width)), COLUMNS))
+        found.append(docs.mapInArrow(tp.task(_scan(_index(docs, rows, width))), COLUMNS))
     if n_blocks == 1:
         return found[0].select("doc_id", "n_words", "hit_spans", F.array_sort("item_ids").alias("item_ids"))
     merged = found[0]
@@ -182,7 +182,7 @@ def _index(docs: DataFrame, rows: list, width: int) -> dict:
     index: dict = {"words": words, "size": size, "names": names or [""], "item": np.array([place[r.item_id] for r in rows], np.int64), "prefix": {}}
     if not rows:
         return index
-    counted = docs.select("text").mapInArrow(_frequencies(tokens), "token bigint, n_docs bigint").groupBy("token").agg(F.sum("n_docs").alias("n_docs")).collect()
+    counted = docs.select("text").mapInArrow(tp.task(_frequencies(tokens)), "token bigint, n_docs bigint").groupBy("token").agg(F.sum("n_docs").alias("n_docs")).collect()
     often = {r.token: r.n_docs for r in counted}
     chosen: dict[int, list[tuple[int, int, int]]] = {}
     for i, (n, h) in enumerate(own):

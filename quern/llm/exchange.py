@@ -68,7 +68,7 @@ def _any(rows: pd.DataFrame) -> pd.DataFrame:
 def bitmap(ids: DataFrame) -> Broadcast:
     """Eight megabytes, at any size, that tell of most documents whether their ``doc_id`` is among ``ids``, and never miss one."""
     schema = "block bigint, bits binary"
-    marks = ids.select("doc_id").where("doc_id is not null").mapInArrow(_mark, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    marks = ids.select("doc_id").where("doc_id is not null").mapInArrow(tp.task(_mark), schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
     packed = np.zeros((64, BITMAP // 8 // 64), np.uint8)
     for r in marks.groupBy("block", "salt").applyInPandas(_any, schema).groupBy("block").applyInPandas(_any, schema).collect():
         packed[r.block] = np.frombuffer(r.bits, np.uint8)

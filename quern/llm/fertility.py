@@ -105,7 +105,7 @@ def judge(docs: DataFrame, model_path: str, reach: dict[str, tuple[float, float,
     """Per row: the base counts, the measures with the group they are held against, base_failed, reasons and kept."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # One scan makes the narrow table of measures that curves, bands and verdicts are read from.
-    measured = materialise(rows.mapInArrow(_measures(pieces.load(docs, model_path)), COLUMNS))
+    measured = materialise(rows.mapInArrow(tp.task(_measures(pieces.load(docs, model_path))), COLUMNS))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     langs = [r["lang"] for r in measured.where("lang is not null").groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(max_langs).collect()]

@@ -260,13 +260,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(members: DataFrame) -> DataFrame:
     """Edges (a, b) found in groups of (cluster, block) among rows with sid and tokens."""
-    return members.select("cluster", "block", "sid", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_search, "a bigint, b bigint")
+    return members.select("cluster", "block", "sid", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(tp.task(_search), "a bigint, b bigint")
 
 
 def join(docs: DataFrame, width: int = 5, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, for links of Jaccard similarity 0.8 or more."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(width), "doc_id bigint, n bigint, n_half bigint, key binary"))
+    signed = materialise(docs.mapInArrow(tp.task(_sign(width)), "doc_id bigint, n bigint, n_half bigint, key binary"))
     classes = materialise(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("n_half").alias("n_half")))
     linked = link(docs, classes, width, block_sets, block_tokens, group)
     final = classes.join(linked, "key", "left").select("key", F.coalesce("least_doc", "rep").alias("component_id"))
@@ -279,20 +279,20 @@ def link(docs: DataFrame, classes: DataFrame, width: int, block_sets: int, block
     total = classes.agg(F.sum("n_half")).first()[0] or 0
     n_groups = max(8, total // group)
     everyone = ex.bitmap(classes.select(F.col("rep").alias("doc_id")))
-    sent = docs.mapInArrow(_send_half(width, everyone, n_groups), "gid bigint, docs binary, tokens binary")
+    sent = docs.mapInArrow(tp.task(_send_half(width, everyone, n_groups)), "gid bigint, docs binary, tokens binary")
     shared = sent.groupBy("gid").applyInPandas(_count_shared(n_groups), "bucket bigint, docs binary, counts binary").groupBy("bucket").applyInPandas(_add_shared, "rep bigint, shared bigint")
     may = classes.join(shared, "rep", "left").where("coalesce(shared, 0) >= n_half - (n - (4 * n + 4) div 5)").select("key", "rep", "n")
     may = materialise(may)
     wanted = ex.bitmap(may.select(F.col("rep").alias("doc_id")))
     # One set for each class; other documents that the bitmap lets through are dropped by key.
-    found = docs.mapInArrow(_sets(width, wanted), "key binary, tokens array<bigint>")
+    found = docs.mapInArrow(tp.task(_sets(width, wanted)), "key binary, tokens array<bigint>")
     sets = found.join(may, "key").groupBy("key").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()))
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_groups = max(8, total // group)
-    ranked = sets.select("sid", "tokens").mapInArrow(_send_all(n_groups), "gid bigint, docs binary, tokens binary").groupBy("gid").applyInPandas(_rank(n_groups), "bucket bigint, docs binary, tokens binary, often binary")
-    sizes = sets.select("sid", "n").mapInArrow(_with_bucket(n_groups), "bucket bigint, sid bigint, n bigint")
+    ranked = sets.select("sid", "tokens").mapInArrow(tp.task(_send_all(n_groups)), "gid bigint, docs binary, tokens binary").groupBy("gid").applyInPandas(_rank(n_groups), "bucket bigint, docs binary, tokens binary, often binary")
+    sizes = sets.select("sid", "n").mapInArrow(tp.task(_with_bucket(n_groups)), "bucket bigint, sid bigint, n bigint")
     prefixes = ranked.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInPandas(_prefixes(n_groups), "gid bigint, docs binary, tokens binary")
     clusters = components(prefixes.groupBy("gid").applyInPandas(_stars, "a bigint, b bigint")).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
 

@@ -97,7 +97,7 @@ def train(docs: DataFrame, learnable: Column, per_lang: int = 1500, rarest: floa
     if not langs:
         return model
     taken = folds.sample(rows.where(F.col("lang").isin(langs)), "lang", per_lang)
-    counts = taken.select("lang", "text").mapInArrow(_count(langs), "lang_no bigint, n bigint, gram bigint, times bigint").groupBy("lang_no", "n", "gram").agg(F.sum("times").alias("times"))
+    counts = taken.select("lang", "text").mapInArrow(tp.task(_count(langs)), "lang_no bigint, n bigint, gram bigint, times bigint").groupBy("lang_no", "n", "gram").agg(F.sum("times").alias("times"))
     total = counts.groupBy("lang_no", "n").agg(F.sum("times").alias("total"))
     grams = counts.join(F.broadcast(total), ["lang_no", "n"]).where(F.col("times") >= F.greatest(F.lit(2.0), F.col("total") * rarest)).select("lang_no", "gram").toPandas()  # at most 64 languages, 1 / rarest n-grams of each length
     for i in range(len(langs)):
@@ -146,4 +146,4 @@ def identify(docs: DataFrame, held_out_mod: int = 3, held_out: int = 1, per_lang
                 lang, score = predict(part, model.value)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", fold.alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", fold.alias("held_out"), "text").mapInArrow(tp.task(run), "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -174,7 +174,7 @@ def encode(docs: DataFrame, model_path: str, spans: bool = True, texts: bool = T
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, begins array<int>, ends array<int>" * spans + ", decoded string" * texts
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(load(docs, model_path), spans, texts), schema)
+    return rows.mapInArrow(tp.task(_encode(load(docs, model_path), spans, texts)), schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -187,4 +187,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = sp.decode([x or [] for x in batch["ids"].to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tp.task(run), "doc_id bigint, decoded string")

@@ -97,7 +97,7 @@ def _cooccur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """A unit vector for each place (a table of fixed size, about 2 MB), from all documents."""
     out = np.zeros((-(-PLACES // BLOCK), BLOCK * DIM))
-    for block, sums in blobs.add(docs.select("text").mapInArrow(_cooccur, blobs.SCHEMA), "float64").items():
+    for block, sums in blobs.add(docs.select("text").mapInArrow(tp.task(_cooccur), blobs.SCHEMA), "float64").items():
         out[block] = sums
     vectors = out.reshape(-1, DIM)[:PLACES]
     vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))  # frequent neighbours count less
@@ -180,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([v.tobytes() for v in pool(part, vectors.value)], pa.binary())], ["doc_id", "vector"])
 
     # A narrow table (a quarter of a kilobyte a document) that both training and scoring read.
-    table = materialise(docs.mapInArrow(pooled, "doc_id bigint, vector binary"))
+    table = materialise(docs.mapInArrow(tp.task(pooled), "doc_id bigint, vector binary"))
     ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(list(y_of), np.int64)))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
             own = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(np.isin(own, ids.value) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)))
 
-    rows = table.mapInArrow(chosen, "doc_id bigint, vector binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = table.mapInArrow(tp.task(chosen), "doc_id bigint, vector binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     x = np.array([np.frombuffer(v, np.float32) for v in rows.vector], np.float64).reshape(-1, DIM + 1)
     net = fit(x, np.array([y_of[i] for i in rows.doc_id], np.float64))
 
@@ -197,5 +197,5 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
             got = np.array([np.frombuffer(v, np.float32) for v in batch["vector"].to_pylist()], np.float64).reshape(-1, DIM + 1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(apply(got, net))], ["doc_id", "score"])
 
-    out = table.mapInArrow(scored, "doc_id bigint, score double")
+    out = table.mapInArrow(tp.task(scored), "doc_id bigint, score double")
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

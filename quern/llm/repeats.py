@@ -79,7 +79,7 @@ def _counted(part: pa.RecordBatch, width: int) -> np.ndarray:
 
 def plan(docs: DataFrame, width: int, group: int = GROUP) -> dict:
     """Which prefixes are light enough to be a group, and how many bits split the rest of the way."""
-    counts = blobs.add(docs.select("text").mapInArrow(_count(width), blobs.SCHEMA), "int64")
+    counts = blobs.add(docs.select("text").mapInArrow(tp.task(_count(width)), blobs.SCHEMA), "int64")
     table = np.array([counts.get(i, np.zeros(COUNTERS, np.int64)) for i in range(len(LENGTHS))])
     total = int(table[0].sum())
     buckets = int(min(COUNTERS, max(16, 1 << int(np.ceil(np.log2(max(1, total / group)))))))
@@ -191,7 +191,7 @@ def losses(docs: DataFrame, width: int = 13, group: int = GROUP) -> DataFrame:
     """(doc_id, lost): labels of the windows whose words go, for every document that loses some."""
     how = plan(docs, width, group)
     n_buckets = max(16, how["total"] // (1 << 20))
-    sent = docs.mapInArrow(_send(how, n_buckets), "gid bigint, docs binary, labels binary")
+    sent = docs.mapInArrow(tp.task(_send(how, n_buckets)), "gid bigint, docs binary, labels binary")
     found = sent.groupBy("gid").applyInPandas(_tree(n_buckets), "bucket bigint, docs binary, labels binary")
     return found.groupBy("bucket").applyInPandas(_by_doc, "doc_id bigint, lost binary")
 
@@ -243,7 +243,6 @@ def remove(docs: DataFrame, width: int = 13, texts: bool = True, group: int = GR
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed_spans array<int>" * texts
     lost = materialise(losses(docs, width, group))
     marked = ex.bitmap(lost)
-    columns = "doc_id bigint, text string"
-    whole = docs.mapInArrow(ex.keep_marked(marked, False), columns).withColumn("lost", F.lit(None).cast("binary"))
-    losing = docs.mapInArrow(ex.keep_marked(marked), columns).join(lost, "doc_id", "left").select("doc_id", "text", "lost")
-    return whole.unionByName(losing).mapInArrow(_results(width, texts), schema)
+    whole = docs.withColumn("lost", F.lit(None).cast("binary")).mapInArrow(tp.task(ex.keep_marked(marked, False), _results(width, texts)), schema)
+    losing = docs.mapInArrow(tp.task(ex.keep_marked(marked)), "doc_id bigint, text string").join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    return whole.unionByName(losing.mapInArrow(tp.task(_results(width, texts)), schema))

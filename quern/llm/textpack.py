@@ -10,7 +10,8 @@ every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,28 @@ ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[48:58] = ALNUM_WORDS[97:123] = ALNUM_WORDS[128:] = True
 
 
+def task(*steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Steps over the batches of a task, one after the other in the same Python worker.
+
+    Workers outlive their tasks; what a task used is given back at its end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for step in steps:
+                batches = step(batches)
+            yield from batches
+        finally:
+            batches = iter(())
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> U(31))

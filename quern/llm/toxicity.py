@@ -200,21 +200,21 @@ def _occurs(tried: dict[int, np.ndarray]):
     return run
 
 
-def learn(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, least: int = 4, share: float = 0.003, excess: tuple[float, float] = (25.0, 6.0)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def learn(docs: DataFrame, toxic, clean, n_toxic: int, n_clean: int, least: int = 4, share: float = 0.003, excess: tuple[float, float] = (25.0, 6.0)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Hashes and classes of beginnings by their length.
 
-    A beginning needs enough different words before it in toxic texts, so that copies of one
+    ``toxic`` and ``clean`` pick the rows of ``docs`` that are learned from. A beginning needs enough different words before it in toxic texts, so that copies of one
     text teach nothing. It is an insult if it is ``excess[0]`` times as frequent there as in
     clean texts, and a slur if ``excess[1]`` times.
     """
     enough = max(least, share * n_toxic)
-    pairs = toxic.select("text").mapInArrow(_contexts, "n bigint, begin bigint, pair bigint").distinct()
+    pairs = docs.mapInArrow(tp.task(toxic, _contexts), "n bigint, begin bigint, pair bigint").distinct()
     rows = pairs.groupBy("n", "begin").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= enough).toPandas()  # bounded by the sample of toxic texts
     tried = {int(n): np.sort(x.begin.to_numpy(np.int64).view(np.uint64)) for n, x in rows.groupby("n")}
     if not tried:
         return {}
-    for name, docs in (("toxic", toxic), ("clean", clean)):
-        seen = docs.select("text").mapInArrow(_occurs(tried), "n bigint, begin bigint, docs bigint").groupBy("n", "begin").agg(F.sum("docs").alias(name)).toPandas()
+    for name, chosen in (("toxic", toxic), ("clean", clean)):
+        seen = docs.mapInArrow(tp.task(chosen, _occurs(tried)), "n bigint, begin bigint, docs bigint").groupBy("n", "begin").agg(F.sum("docs").alias(name)).toPandas()
         rows = rows.merge(seen, on=["n", "begin"], how="left").fillna({name: 0})
     hits = np.minimum(rows.contexts, rows.toxic)
     ratio = hits / n_toxic / ((rows.clean + 0.5) / n_clean)
@@ -254,7 +254,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
     labelled = labels.select(F.col("doc_id").cast("bigint"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & ~fold).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = folds.sample(labelled, "y", per_label).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).collect()  # bounded by per_label
 
-    def part_of(y: int | None, half: int | None) -> tuple[DataFrame, int]:
+    def part_of(y: int | None, half: int | None):
+        """A step that keeps some of the sampled rows, and how many these are."""
         ids = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in rows if (y is None or r.y == y) and (half is None or r.half == half)], np.int64)))
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +263,11 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
                 own = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(np.isin(own, ids.value) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)))
 
-        return docs.mapInArrow(chosen, "doc_id bigint, text string"), len(ids.value)
+        return chosen, len(ids.value)
 
-    def counted(rows: DataFrame, half: int | None) -> DataFrame:
+    def counted(rows: DataFrame, half: int | None, *before) -> DataFrame:
         (toxic, n_toxic), (clean, n_clean) = part_of(1, half), part_of(0, half)
-        words = spark.sparkContext.broadcast(lexicon(learn(toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else {}))
+        words = spark.sparkContext.broadcast(lexicon(learn(docs, toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else {}))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -277,10 +278,10 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", *PATTERNS, *also])
 
         schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(p, T.LongType()) for p in PATTERNS), *(f for f in rows.schema.fields if f.name.startswith("carried_"))])
-        return rows.mapInArrow(count, schema)
+        return rows.mapInArrow(tp.task(*before, count), schema)
 
     y_of = {r.doc_id: r.y for r in rows}
-    learned = counted(part_of(None, 1)[0], 0).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    learned = counted(docs, 0, part_of(None, 1)[0]).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     base, weights = fit_weights(learned[list(PATTERNS)].to_numpy(float), np.array([y_of[i] for i in learned.doc_id], float))
     total = F.lit(base)
     for p, w in zip(PATTERNS, weights.tolist(), strict=True):

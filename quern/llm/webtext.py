@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import textpack as tp
+
 #: Template hashes that are sent to every executor at most (eight bytes each, and a host).
 MAX_BROADCAST = 400_000
 
@@ -209,7 +211,7 @@ def _texts(by_host):
 
 def templates(pages: DataFrame, share: float = 0.2, least: int = 4) -> DataFrame:
     """(host, subtree) of what recurs in at least ``share`` of a host's distinct pages, and in ``least`` of them."""
-    subtrees = pages.select("url", "html").mapInArrow(_subtrees, "host string, content bigint, subtrees array<bigint>").groupBy("host", "content").agg(F.min("subtrees").alias("subtrees"))
+    subtrees = pages.select("url", "html").mapInArrow(tp.task(_subtrees), "host string, content bigint, subtrees array<bigint>").groupBy("host", "content").agg(F.min("subtrees").alias("subtrees"))
     each = subtrees.select("host", F.explode(F.concat("subtrees", F.array(F.lit(None).cast("bigint")))).alias("subtree"))
     counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= least) | F.col("subtree").isNull())
     # The null subtree stands for the page itself, so its count is the number of pages.
@@ -227,8 +229,8 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 4, max_broadcast:
         by_host: dict[str, set[int]] = {}
         for r in rows:
             by_host.setdefault(r.host, set()).add(r.subtree)
-        return pages.mapInArrow(_texts(pages.sparkSession.sparkContext.broadcast(by_host)), schema)
+        return pages.mapInArrow(tp.task(_texts(pages.sparkSession.sparkContext.broadcast(by_host))), schema)
     # Too many to send: each host's few hashes are joined to its pages.
     lists = found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    return pages.withColumn("host", host).join(lists, "host", "left").mapInArrow(_texts(None), schema)
+    return pages.withColumn("host", host).join(lists, "host", "left").mapInArrow(tp.task(_texts(None)), schema)
