@@ -157,15 +157,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_wind
     merged = merged.groupBy("doc_id", "text_hash", "n_words").agg(
         F.flatten(F.collect_list("hit_spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), (F.count("*") / n_blocks).cast("int").alias("times")
     )
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("flat") / 2 - 1), lambda i: F.struct(F.get("flat", i.cast("int") * 2).alias("a"), F.get("flat", i.cast("int") * 2 + 1).alias("b"))))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    runs = F.aggregate(
-        F.when(F.size("flat") > 0, pairs).otherwise(empty),
-        empty,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    merged = merged.withColumn("hit_spans", F.flatten(F.transform(runs, lambda x: F.array(x["a"], x["b"]))))
-    return merged.select("doc_id", "n_words", "hit_spans", "item_ids", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_")).drop("_")
+    return merged.select("doc_id", "n_words", "flat", "item_ids", "times").mapInArrow(tp.task(_joined), "doc_id bigint, n_words bigint, hit_spans array<int>, item_ids array<string>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of all blocks as one list, in order and without overlaps; a row as often as the document's row was there."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            spans: list[int] = []
+            for a, b in sorted(zip(r["flat"][::2], r["flat"][1::2], strict=True)):
+                if spans and a <= spans[-1]:
+                    spans[-1] = max(spans[-1], b)
+                else:
+                    spans += [a, b]
+            rows += [(r["doc_id"], r["n_words"], spans, r["item_ids"])] * r["times"]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_words", "hit_spans", "item_ids"])
 
 
 def _index(docs: DataFrame, rows: list, width: int) -> dict:

@@ -11,6 +11,12 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def labelled(labels: DataFrame, label_col: str, fold: Column) -> DataFrame:
+    """(doc_id, y) for the labels 0 and 1 of documents outside the held-out fold; of several labels of a document, the largest."""
+    rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    return rows.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def sample(rows: DataFrame, group: str, per_group: int, id_col: str = "doc_id") -> DataFrame:
     """About ``per_group`` rows of each group, chosen by a hash of their ids; all rows of a smaller group."""
     counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}

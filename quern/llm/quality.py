@@ -170,9 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     fold: Column = folds.remainder("doc_id", held_out_mod) == held_out
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
-    wanted = folds.sample(labels.select(F.col("doc_id").cast("bigint"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & ~fold).groupBy("doc_id").agg(F.max("y").alias("y")), "y", per_label).collect()  # bounded by per_label
+    wanted = folds.sample(folds.labelled(labels, label_col, fold), "y", per_label).collect()  # bounded by per_label
     y_of = {r.doc_id: r.y for r in wanted}
-    names = [f"v{i}" for i in range(DIM + 1)]
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -251,8 +251,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
     docs = rows_in.select("doc_id", "text")
     fold = folds.remainder("doc_id", held_out_mod) == held_out
     spark = docs.sparkSession
-    labelled = labels.select(F.col("doc_id").cast("bigint"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & ~fold).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = folds.sample(labelled, "y", per_label).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).collect()  # bounded by per_label
+    rows = folds.sample(folds.labelled(labels, label_col, fold), "y", per_label).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).collect()  # bounded by per_label
 
     def part_of(y: int | None, half: int | None):
         """A step that keeps some of the sampled rows, and how many these are."""
