@@ -13,12 +13,16 @@ from quern.operators import intervals, series
 from quern.plans.registry import query
 from quern.sources.tables import table
 
-RUN = Window.partitionBy("user_id").orderBy("ts", "event_id")
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 _MS = "(epoch_us(ts) // 1000)"
 LAYERS = ["view", "error", "click", "signup"]
 
 
+def in_run():
+    """The window over a run in the order of its events."""
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
 
@@ -87,7 +91,7 @@ def parallel_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j13_as_of", f"WITH c AS (SELECT user_id, ts, event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER {_W} AS checkpoint FROM events) SELECT event_id, checkpoint FROM c WHERE event_type = 'error'")
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each error the last checkpoint before it, in one pass over the sorted run."""
-    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(RUN)
+    last = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(in_run())
     return runs(spark, sf_dir).withColumn("checkpoint", last).where("event_type = 'error'").select("event_id", "checkpoint")
 
 
@@ -95,7 +99,7 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dispatch with the result that follows it."""
     p = runs(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
-    p = p.select("event_type", F.col("event_id").alias("dispatch"), F.lead("event_id").over(RUN).alias("result"), F.lead("event_type").over(RUN).alias("nt"), (F.lead("ms").over(RUN) - F.col("ms")).alias("ms"))
+    p = p.select("event_type", F.col("event_id").alias("dispatch"), F.lead("event_id").over(in_run()).alias("result"), F.lead("event_type").over(in_run()).alias("nt"), (F.lead("ms").over(in_run()) - F.col("ms")).alias("ms"))
     return p.where("event_type = 'view' and nt = 'click'").select("dispatch", "result", "ms")
 
 
@@ -103,7 +107,7 @@ def pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pass, and failures after one."""
     c = runs(spark, sf_dir).where(F.col("event_type").isin("purchase", "error")).withColumn("pass", F.col("event_type") == "purchase")
-    c = c.withColumn("before", F.max("pass").over(RUN.rowsBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn("before", F.max("pass").over(in_run().rowsBetween(Window.unboundedPreceding, -1)))
     return c.groupBy("user_id").agg(F.count_if(~F.col("pass") & F.col("before")).alias("regressed"), F.min(F.when(F.col("pass"), F.col("event_id"))).alias("first_pass"))
 
 
@@ -111,13 +115,13 @@ def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def harmful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps from a pass to a failure."""
     c = runs(spark, sf_dir).where(F.col("event_type").isin("purchase", "error"))
-    return c.withColumn("prev", F.lag("event_type").over(RUN)).where("event_type = 'error' and prev = 'purchase'").select("event_id")
+    return c.withColumn("prev", F.lag("event_type").over(in_run())).where("event_type = 'error' and prev = 'purchase'").select("event_id")
 
 
 @query("w05_streaks", f"WITH r AS (SELECT user_id, event_type, row_number() OVER {_W} - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), s AS (SELECT user_id, event_type, k, count(*) AS n FROM r GROUP BY ALL) SELECT user_id, max(n) AS longest FROM s WHERE event_type = 'view' GROUP BY user_id")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of one kind of event."""
-    e = series.islands(runs(spark, sf_dir).withColumn("prev", F.lag("event_type").over(RUN)), ["user_id"], ["ts", "event_id"], F.coalesce(F.col("prev") != F.col("event_type"), F.lit(True)))
+    e = series.islands(runs(spark, sf_dir).withColumn("prev", F.lag("event_type").over(in_run())), ["user_id"], ["ts", "event_id"], F.coalesce(F.col("prev") != F.col("event_type"), F.lit(True)))
     n = e.where("event_type = 'view'").groupBy("user_id", "island").agg(F.count("*").alias("n"))
     return n.groupBy("user_id").agg(F.max("n").alias("longest"))
 
@@ -132,7 +136,7 @@ def step():
 @query("w06_running_best", f"WITH r AS (SELECT *, CAST(sum({_STEP}) OVER {_W} AS BIGINT) AS score FROM events), b AS (SELECT *, max(score) OVER {_W} AS best FROM r) SELECT user_id, max(best) AS best, arg_min(event_id, struct_pack(a := -score, b := ts, c := event_id)) AS best_at, CAST(max(best) - arg_max(score, struct_pack(a := ts, b := event_id)) AS BIGINT) AS regret FROM b GROUP BY user_id")
 def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running score, its best value and when it was first reached, and what was lost since."""
-    r = runs(spark, sf_dir).withColumn("score", F.sum(step()).over(RUN))
+    r = runs(spark, sf_dir).withColumn("score", F.sum(step()).over(in_run()))
     g = r.groupBy("user_id").agg(F.max("score").alias("best"), F.min_by("event_id", F.struct((-F.col("score")).alias("a"), "ts", "event_id")).alias("best_at"), F.max_by("score", F.struct("ts", "event_id")).alias("last"))
     return g.select("user_id", "best", "best_at", (F.col("best") - F.col("last")).alias("regret"))
 
@@ -140,7 +144,7 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w07_look_ahead", f"WITH r AS (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS redeemed FROM events) SELECT event_id, redeemed FROM r WHERE event_type = 'error'")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an objective is met within the next three steps."""
-    soon = F.max((F.col("event_type") == "purchase").cast("int")).over(RUN.rowsBetween(0, 3))
+    soon = F.max((F.col("event_type") == "purchase").cast("int")).over(in_run().rowsBetween(0, 3))
     return runs(spark, sf_dir).withColumn("redeemed", soon).where("event_type = 'error'").select("event_id", "redeemed")
 
 
@@ -161,7 +165,7 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w10_gaps", f"WITH r AS (SELECT event_id, event_type, {_MS} - lag({_MS}) OVER {_W} AS gap FROM events) SELECT event_id, gap FROM r WHERE event_type = 'view' AND gap IS NOT NULL")
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time between a dispatch and what was before it."""
-    return runs(spark, sf_dir).withColumn("gap", F.col("ms") - F.lag("ms").over(RUN)).where("event_type = 'view' and gap is not null").select("event_id", "gap")
+    return runs(spark, sf_dir).withColumn("gap", F.col("ms") - F.lag("ms").over(in_run())).where("event_type = 'view' and gap is not null").select("event_id", "gap")
 
 
 @query("w11_cutoff", "WITH c AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN ts END) AS cut FROM events GROUP BY user_id) SELECT user_id, count(*) FILTER (WHERE cut IS NULL OR ts <= cut) AS before_n, count(*) FILTER (WHERE ts > cut) AS after_n FROM events JOIN c USING (user_id) GROUP BY user_id")
@@ -205,7 +209,7 @@ def display_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e04_rounds", f"WITH r AS (SELECT user_id, event_type, CASE WHEN event_type = 'view' AND coalesce(lag(event_type) OVER {_W}, '') <> 'view' THEN 1 ELSE 0 END AS st, ts, event_id FROM events WHERE event_type IN ('view', 'click')), b AS (SELECT *, sum(st) OVER {_W} AS round FROM r) SELECT user_id, CAST(round AS BIGINT) AS round, count(*) FILTER (WHERE event_type = 'view') AS dispatched, count(*) FILTER (WHERE event_type = 'click') AS results FROM b WHERE round > 0 GROUP BY user_id, round")
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round begins with the first dispatch after a result."""
-    r = runs(spark, sf_dir).where(F.col("event_type").isin("view", "click")).withColumn("prev", F.lag("event_type").over(RUN))
+    r = runs(spark, sf_dir).where(F.col("event_type").isin("view", "click")).withColumn("prev", F.lag("event_type").over(in_run()))
     b = series.islands(r, ["user_id"], ["ts", "event_id"], (F.col("event_type") == "view") & (F.coalesce("prev", F.lit("")) != "view"), "round")
     return b.where("round > 0").groupBy("user_id", "round").agg(F.count_if(F.col("event_type") == "view").alias("dispatched"), F.count_if(F.col("event_type") == "click").alias("results"))
 
@@ -321,7 +325,7 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e01_coalesce", f"WITH r AS (SELECT user_id, event_type, {_MS} AS ms, ts, event_id, CASE WHEN lag(event_type) OVER {_W} = event_type AND {_MS} - lag({_MS}) OVER {_W} <= 3600000 THEN 0 ELSE 1 END AS st FROM events), b AS (SELECT *, sum(st) OVER {_W} AS k FROM r) SELECT user_id, CAST(k AS BIGINT) AS k, min(event_type) AS kind, count(*) AS n, min(ms) AS first_ms FROM b GROUP BY user_id, k")
 def coalesce_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring events of one kind as one, if they are close in time."""
-    r = runs(spark, sf_dir).withColumn("prev", F.lag("event_type").over(RUN)).withColumn("gap", F.col("ms") - F.lag("ms").over(RUN))
+    r = runs(spark, sf_dir).withColumn("prev", F.lag("event_type").over(in_run())).withColumn("gap", F.col("ms") - F.lag("ms").over(in_run()))
     b = series.islands(r, ["user_id"], ["ts", "event_id"], ~F.coalesce((F.col("prev") == F.col("event_type")) & (F.col("gap") <= 3600000), F.lit(False)), "k")
     return b.groupBy("user_id", "k").agg(F.min("event_type").alias("kind"), F.count("*").alias("n"), F.min("ms").alias("first_ms"))
 

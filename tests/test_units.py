@@ -137,3 +137,51 @@ def test_scrub(spark):
     text = "mail a.b@c.org, token=abc123, Bearer xyz.1, /home/joe/x, " + "f" * 40
     got = one(spark, hygiene.scrub(F.lit(text)))
     assert got == "mail <email>, token=<secret>, Bearer <token>, <home>/x, <hex>"
+
+
+def test_jsonl_days(spark, tmp_path):
+    from quern.sources import jsonl
+
+    rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 3)], "d string, n long").select(F.to_timestamp("d").alias("ts"), "n")
+    path = str(tmp_path / "log")
+    jsonl.append_days(rows, path)
+    jsonl.append_days(rows, path)
+    with open(f"{path}/day=2024-01-02/torn.json", "w") as f:
+        f.write('{"ts":"2024-01-02T00:00:00.000Z","n":5}\n{"n": ')
+    assert sorted(r.n for r in jsonl.read_days(spark, path, "ts timestamp, n long", "2024-01-02", "2024-01-03").collect()) == [2, 2, 3, 3, 5]
+    log = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 2}'), (3, "{oops"), (4, '{"a": 4}')], "seq long, raw string")
+    assert [r.seq for r in jsonl.until_damage(log, "seq", "raw", "a long").orderBy("seq").collect()] == [1, 2]
+
+
+def test_vector_store(spark, tmp_path):
+    from quern.sources import vector_store as store
+
+    path, made_by = str(tmp_path / "store"), store.recipe(3, "m", 2)
+    first = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 1.0]), ("b", [1.0])], "path string, vec array<float>")
+    store.write(first, path, made_by)
+    store.write(spark.createDataFrame([("a", [2.0, 2.0])], "path string, vec array<float>"), path, made_by)
+    assert store.stats(store.read(spark, path, made_by, 2)).first().asDict() == {"paths": 2, "chunks": 2}
+    assert store.read(spark, path, store.recipe(4, "m", 2), 2).count() == 0
+
+
+def test_embedding_batches():
+    from quern.functions import models
+
+    assert [len(b) for b in models.batches(["x" * 40] * 25, count=10)] == [10, 10, 5]
+    assert [len(b) for b in models.batches(["x" * 400] * 3, tokens=250)] == [2, 1]
+    near, far = models.HashEmbedder(64).embed(["a b c d", "a b c e"]), models.HashEmbedder(64).embed(["q r s t"])
+    assert float(near[0] @ near[1]) > float(near[0] @ far[0])
+
+
+def test_streams_carry_state(spark, tmp_path):
+    from quern.streaming import runs
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    parts = [[(1, 1, "view"), (2, 1, "signup"), (3, 2, "signup")], [(4, 1, "view"), (5, 1, "signup"), (6, 2, "view")]]
+    folder = tmp_path / "events"
+    for part in parts:
+        rows = [(i, None, u, k, 1.0, "{}") for i, u, k in part]
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("event_id"))).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = runs.latest_update(runs.updates(runs.turn_counters(stream)), ["user_id", "turn"], "n")
+    assert sorted(map(tuple, got.select("user_id", "turn", "n").collect())) == [(1, 0, 1), (1, 1, 2), (1, 2, 1), (2, 1, 2)]
