@@ -62,13 +62,13 @@ def stale_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.struct(part(1), part(2), part(3)) < F.struct(F.lit(2), F.lit(5), F.lit(0)))
 
 
-_COMPOSED = "composed AS (SELECT doc_id, source || ' ' || lang || ' ' || left(text, 4000) AS text FROM documents)"
+_COMPOSED = "composed AS (SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents)"
 
 
 @query("v02_composed_search", f"WITH {_COMPOSED}, {bm25_sql('composed', 'doc_id', 'text')} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY round(score, 6) DESC, doc_id LIMIT 15")
 def composed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search over records whose fields are put together as one text; the last field is cut at 4000 characters there."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang", F.left("text", F.lit(4000))).alias("text"))
+    """V2: search over records whose fields are put together as one text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
     scored = ranking.floor(ranking.bm25(docs, TERMS, "doc_id", F.col("text")), 0.15).withColumn("score", F.round("score", 6))
     return scored.orderBy(F.desc("score"), "doc_id").limit(15).select("doc_id", "score")
 
