@@ -200,7 +200,7 @@ def _occurs(tried: dict[int, np.ndarray]):
     return run
 
 
-def learn(docs: DataFrame, toxic, clean, n_toxic: int, n_clean: int, least: int = 4, share: float = 0.003, excess: tuple[float, float] = (25.0, 6.0)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def learn(docs: DataFrame, toxic, clean, n_toxic: int, n_clean: int, least: int = 4, share: float = 0.003, excess: tuple[float, float] = (100.0, 6.0)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Hashes and classes of beginnings by their length.
 
     ``toxic`` and ``clean`` pick the rows of ``docs`` that are learned from. A beginning needs enough different words before it in toxic texts, so that copies of one
