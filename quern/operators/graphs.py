@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Rows in the shared folder that the session names, so that rounds don't pile up."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint()
+from quern.operators.lineage import cut
 
 
 def _doubled(links: DataFrame, most: int = 64) -> DataFrame:
     """(node, top, steps) of a forest (node, up; null at a root): each round doubles how far a link reaches."""
-    at = _cut(links.select("node", F.coalesce("up", "node").alias("top"), F.col("up").isNotNull().cast("bigint").alias("steps")))
+    at = cut(links.select("node", F.coalesce("up", "node").alias("top"), F.col("up").isNotNull().cast("bigint").alias("steps")))
     for _ in range(most):
         up = at.select(F.col("node").alias("top"), F.col("top").alias("far"), F.col("steps").alias("more"))
-        at = _cut(at.join(up, "top").select("node", F.col("far").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
+        at = cut(at.join(up, "top").select("node", F.col("far").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("node", "top", "steps")
         at = at.drop("moved")
@@ -38,9 +30,9 @@ def roots(links: DataFrame) -> DataFrame:
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes (a -> b, one edge for each a) that lie on a cycle: those that are left when nodes nobody points to are taken away."""
-    left = _cut(edges)
+    left = cut(edges)
     while True:
-        kept = _cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        kept = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
         if kept.count() == left.count():
             return kept.select(F.col("a").alias("node"))
         left = kept

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.operators.lineage import cut
 
 K1, B = 1.2, 0.75
 
@@ -24,8 +25,9 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column) -> DataFr
     Only occurrences of query terms leave the scan, counted inside each document; the
     corpus statistics are one row, which is broadcast.
     """
-    toks = tokens(text)
-    counted = docs.select(F.col(id_col), F.size(toks).alias("len"), F.filter(toks, lambda t: t.isin(terms)).alias("hits"))
+    # Texts are read and cut into tokens once; the narrow table of lengths and hits is read for the statistics and the scores.
+    own = docs.select(F.col(id_col), tokens(text).alias("toks"))
+    counted = cut(own.select(id_col, F.size("toks").alias("len"), F.filter("toks", lambda t: t.isin(terms)).alias("hits")))
     stats = counted.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1e-9)).alias("avg_len"))
     hit = counted.where(F.size("hits") > 0).select(id_col, "len", F.explode(F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))).alias("h")).select(id_col, "len", "h.term", "h.tf")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))  # at most one row for each query term
