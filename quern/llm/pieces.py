@@ -64,8 +64,13 @@ class Normalizer:
 
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised text with space marks, and for each of its bytes (and its end) the place in ``text``."""
-        out, align, at = bytearray(), [], 0
         mark = MARK.encode()
+        if self.identity:
+            # No byte is replaced but spaces, each by the three bytes of a mark.
+            align = np.repeat(np.arange(len(text)), np.where(np.frombuffer(text, np.uint8) == 32, 3, 1))
+            head = [0] * 3 if self.dummy and text else []
+            return mark * bool(head) + text.replace(b" ", mark), np.concatenate([head, align, [len(text)]]).astype(np.int64)
+        out, align, at = bytearray(), [], 0
 
         def put(piece: bytes, start: int, length: int) -> None:
             same = len(piece) == length
@@ -106,7 +111,6 @@ class Coder:
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
         raw = [b"?" if p.type == 6 else p.piece.encode() for p in proto.pieces]
         self.norm_bytes = np.array([len(x) for x in raw], np.int64)
-        self.orig_bytes = np.array([len(x.replace(MARK.encode(), b" ")) for x in raw], np.int64)
         self.vocabulary = len(raw)
         self.numerals = [str(i) for i in range(len(raw))]
 
@@ -117,9 +121,6 @@ class Coder:
         """Begin and end of every piece in the bytes of the original text."""
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.normalize.identity and self.normalize.dummy and MARK not in text:
-            end = np.cumsum(self.orig_bytes[ids]) - 1  # the first mark has no source
-            return np.concatenate([[0], end[:-1]]), end
         _, align = self.normalize(text.encode())
         end = np.cumsum(self.norm_bytes[ids])
         return align[np.concatenate([[0], end[:-1]])], align[end]

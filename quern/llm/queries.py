@@ -19,7 +19,7 @@ def op1_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), PIECES, spans=False, texts=False)
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES, texts=False)
 
 
 def secret_key(spark: SparkSession) -> str:

@@ -214,6 +214,23 @@ def test_pieces(spark):
     assert {r.doc_id: r.decoded for r in pieces.decode(encoded, queries.PIECES).collect()} == {r.doc_id: r.decoded for r in encoded.collect()}
 
 
+def test_pieces_query_gives_spans(spark, small):
+    rows = queries.op2_pieces(spark, small)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    for r in rows.select("doc_id", "n_tokens", "ids", "begins", "ends").collect():
+        assert len(r.ids) == len(r.begins) == len(r.ends) == r.n_tokens
+        assert b"".join(texts[r.doc_id][a:b] for a, b in zip(r.begins, r.ends, strict=True)) == texts[r.doc_id]
+    with open(queries.PIECES, "rb") as f:
+        normalize = pieces.Coder(f.read()).normalize
+    assert normalize.identity
+    for text in (" a  é▁😀 ", "", " ", "x"):
+        fast = normalize(text.encode())
+        normalize.identity = False  # byte by byte, as with a character map
+        slow = normalize(text.encode())
+        normalize.identity = True
+        assert fast[0] == slow[0] and fast[1].tolist() == slow[1].tolist()
+
+
 def charsmap(rules: dict[bytes, bytes]) -> bytes:
     """A compiled character map in the layout that the models use."""
     strings, value = b"", {}
