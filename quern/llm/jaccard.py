@@ -16,6 +16,10 @@ with the pivots' main component are searched against every block. So no pair of
 could connect two components is left out, and a large group of near copies, which the
 pivots connect at once, costs as much as its size.
 
+That finds components, not every link: pairs inside a component are passed over. Where links are to be
+counted, every block of a cluster meets itself and every other block and all pairs are compared that the trees
+cannot rule out; only numbers of links come back, not the pairs.
+
 Hashes have 64 bits (for a class 128), exact as far as they do not collide. Texts without words, and
 null texts, have empty sets, link with nothing and are their own component (null doc_ids give a null
 component). Repeated rows are exact copies. Rows that share a doc_id are documents of
@@ -227,8 +231,8 @@ def _stars(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature trees over runs of rows of the same group; a set with the smallest of its component."""
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str], solve) -> Iterator[pa.RecordBatch]:
+    """``solve`` of each run of rows of the same group: its table, sets by number, and for each the row that it was taken from."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
@@ -239,9 +243,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, first = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         sid, at = np.unique(sid, return_index=True)  # a pivot may stand twice
         sets = [token[first[i] : first[i + 1]] for i in at.tolist()]
-        root = sid[SignatureTree(sets).traverse()] if len(sets) > 1 else sid
-        linked = np.flatnonzero(root != sid)
-        return pa.RecordBatch.from_arrays([pa.array(sid[linked]), pa.array(root[linked])], ["a", "b"])
+        return solve(table, sid, at, sets)
 
     now = None
     for batch in batches:
@@ -253,29 +255,64 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and (gid[a] != now).any():
                 yield flush()
             now = gid[a]
-            held.append(batch.slice(a, b - a).select(["sid", "tokens"]))
+            held.append(batch.slice(a, b - a).select(columns))
     if held:
         yield flush()
 
 
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature trees over groups; a set with the smallest of its component."""
+
+    def solve(table: pa.Table, sid: np.ndarray, at: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        root = sid[SignatureTree(sets).traverse()] if len(sets) > 1 else sid
+        linked = np.flatnonzero(root != sid)
+        return pa.RecordBatch.from_arrays([pa.array(sid[linked]), pa.array(root[linked])], ["a", "b"])
+
+    yield from _grouped(batches, ["sid", "tokens"], solve)
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All similar pairs of groups, or of those with sets from two homes all across: a set with the smallest of its component and the copies of its partners."""
+
+    def solve(table: pa.Table, sid: np.ndarray, at: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        links, least = SignatureTree(sets).partners(table["copies"].to_numpy()[at], table["home"].to_numpy()[at])
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(sid[least]), pa.array(links)], ["a", "b", "links"])
+
+    yield from _grouped(batches, ["sid", "home", "copies", "tokens"], solve)
+
+
+def count_links(members: DataFrame) -> DataFrame:
+    """(a, b, links) for members with home and copies: every block of a cluster meets itself and every other block of it."""
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A block by itself knows its pairs; with another one, those across are left.
+    met = met.withColumn("block", F.least("home", "other").cast("bigint") * F.col("blocks") + F.greatest("home", "other"))
+    met = met.select("cluster", "block", "sid", "home", "copies", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    return met.mapInArrow(tp.task(_count_links), "a bigint, b bigint, links bigint")
+
+
 def search(members: DataFrame) -> DataFrame:
     """Edges (a, b) found in groups of (cluster, block) among rows with sid and tokens."""
     return members.select("cluster", "block", "sid", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(tp.task(_search), "a bigint, b bigint")
 
 
-def join(docs: DataFrame, width: int = 5, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, for links of Jaccard similarity 0.8 or more."""
+def join(docs: DataFrame, width: int = 5, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, for links of Jaccard similarity 0.8 or more.
+
+    With ``links`` all pairs of similar classes are found, and n_links is the number of other rows that a row is linked with (null without a doc_id).
+    """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(docs.mapInArrow(tp.task(_sign(width)), "doc_id bigint, n bigint, n_half bigint, key binary"))
-    classes = materialise(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("n_half").alias("n_half")))
-    linked = link(docs, classes, width, block_sets, block_tokens, group)
-    final = classes.join(linked, "key", "left").select("key", F.coalesce("least_doc", "rep").alias("component_id"))
+    classes = materialise(signed.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("n_half").alias("n_half"), F.count("*").alias("copies")))
+    linked = link(docs, classes, width, block_sets, block_tokens, group, links)
+    count = [(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []
+    final = classes.join(linked, "key", "left").select("key", F.coalesce("least_doc", "rep").alias("component_id"), *count)
+    each = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return signed.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return signed.join(final, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *each)
 
 
-def link(docs: DataFrame, classes: DataFrame, width: int, block_sets: int, block_tokens: int, group: int) -> DataFrame:
-    """(key, least_doc) for every class that is linked with another."""
+def link(docs: DataFrame, classes: DataFrame, width: int, block_sets: int, block_tokens: int, group: int, links: bool = False) -> DataFrame:
+    """(key, least_doc), with ``links`` also the rows of other classes that it is linked with, for every class that is linked with another."""
     total = classes.agg(F.sum("n_half")).first()[0] or 0
     n_groups = max(8, total // group)
     everyone = ex.bitmap(classes.select(F.col("rep").alias("doc_id")))
@@ -301,6 +338,11 @@ def link(docs: DataFrame, classes: DataFrame, width: int, block_sets: int, block
     members = materialise(members.join(sized, "cluster").join(sets.select("sid", "tokens"), "sid").select("sid", "cluster", "size", "blocks", "tokens"))
     draw = F.pmod(F.xxhash64("sid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     home = F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks"))
+    if links:
+        copies = sets.select("key", "sid").join(classes.select("key", "copies"), "key").select("sid", "copies")
+        pairs = materialise(count_links(members.join(copies, "sid").withColumn("home", home.cast("int"))))
+        counts = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        return _named(components(pairs), sets).join(counts, "node").select("key", "least_doc", "links")
     pivot = (F.col("blocks") > 1) & (draw < F.lit(float(PIVOTS)) / F.col("size"))
     at = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home.cast("int"))))
     edges = materialise(search(members.withColumn("block", at)))
@@ -318,8 +360,12 @@ def link(docs: DataFrame, classes: DataFrame, width: int, block_sets: int, block
         both = mine.select("cluster", "r", "b", "sid", "tokens").unionByName(theirs.select("cluster", "r", "b", "sid", "tokens"))
         labels = components(edges.unionByName(search(both.withColumn("block", F.col("r").cast("bigint") * F.lit(1 << 20) + F.col("b")))))
 
+    return _named(labels, sets).select("key", "least_doc")
+
+
+def _named(labels: DataFrame, sets: DataFrame) -> DataFrame:
     named = labels.join(sets.select(F.col("sid").alias("node"), "key", "rep"), "node")
-    return named.join(named.groupBy("label").agg(F.min("rep").alias("least_doc")), "label").select("key", "least_doc")
+    return named.join(named.groupBy("label").agg(F.min("rep").alias("least_doc")), "label")
 
 
 def _with_bucket(n_buckets: int):

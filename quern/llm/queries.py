@@ -35,6 +35,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_jaccard, with the number of documents that each one is linked with."""
+    return jaccard.join(table(spark, sf_dir, "documents"), links=True)
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents"), texts=False)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_pieces": op2_pieces,
     "op3_surrogates": op3_surrogates,
     "op4_jaccard": op4_jaccard,
+    "op4_links": op4_links,
     "op5_repeats": op5_repeats,
     "op6_quality": op6_quality,
     "op7_fertility": op7_fertility,

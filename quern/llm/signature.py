@@ -100,6 +100,18 @@ class SignatureTree:
         both = int(np.count_nonzero(b[at] == a))
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
+    def below(self, level: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes below two nodes that may hold a pair of sets that is similar enough."""
+        n = len(self.levels[level - 1][0])
+        a = np.arange(i * FANOUT, min((i + 1) * FANOUT, n))
+        b = np.arange(j * FANOUT, min((j + 1) * FANOUT, n))
+        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+        if i == j:
+            ok = x <= y if level > 1 else x < y
+            x, y = x[ok], y[ok]
+        ok = self.possible(level - 1, x, y)
+        return x[ok], y[ok]
+
     def traverse(self) -> np.ndarray:
         """Connects all similar sets; the number of the smallest set in each set's component."""
         todo = [(len(self.levels) - 1, 0, 0)]
@@ -111,18 +123,55 @@ class SignatureTree:
                 if self.similar(i, j):
                     self.forest.join(i, j)
                 continue
-            n = len(self.levels[level - 1][0])
-            a = np.arange(i * FANOUT, min((i + 1) * FANOUT, n))
-            b = np.arange(j * FANOUT, min((j + 1) * FANOUT, n))
-            x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-            if i == j:
-                ok = x <= y if level > 1 else x < y
-                x, y = x[ok], y[ok]
-            ok = self.possible(level - 1, x, y)
+            x, y = self.below(level, i, j)
             # Last in, first out: nodes against themselves come first, so that the rest is mostly known by then.
-            pairs = sorted(zip(x[ok].tolist(), y[ok].tolist(), strict=True), key=lambda p: p[0] != p[1], reverse=True)
+            pairs = sorted(zip(x.tolist(), y.tolist(), strict=True), key=lambda p: p[0] != p[1], reverse=True)
             todo.extend((level - 1, p, q) for p, q in pairs)
         root = np.array([self.forest.root(i) for i in range(len(self.sets))])
         out = np.empty(len(root), np.int64)
         out[self.order] = self.order[root]
         return out
+
+    def partners(self, weight: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each set the ``weight`` of all sets similar to it, and the smallest set of its component; no pair is passed over.
+
+        If there are two values of ``side``, only pairs across are looked at.
+        """
+        across = side.min() != side.max()
+        todo, found = [(len(self.levels) - 1, 0, 0)] if len(self.sets) > 1 else [], []
+        while todo:
+            level, i, j = todo.pop()
+            x, y = self.below(level, i, j)
+            if level > 1:
+                todo.extend((level - 1, p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+            else:
+                own = side[self.order[x]] != side[self.order[y]] if across else slice(None)
+                found.append(np.stack([x[own], y[own]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+        size = self.levels[0][1]
+        first = np.cumsum(size) - size
+        names, flat = np.unique(np.concatenate([self.sets[k] for k in self.order]), return_inverse=True)
+        held = np.zeros(len(names), np.int32)
+        links, weight = np.zeros(len(self.sets), np.int64), weight[self.order]
+        at = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+        for a, b in zip(at.tolist(), np.append(at[1:], pairs.shape[1])[: len(at)].tolist(), strict=True):
+            x, y = int(pairs[0, a]), pairs[1, a:b]
+            own = flat[first[x] : first[x] + size[x]]
+            held[own] = 1
+            if 3 * len(y) > len(size):
+                both = np.add.reduceat(held[flat], first)[y]
+            else:
+                start = np.cumsum(size[y]) - size[y]
+                both = np.add.reduceat(held[flat[np.arange(size[y].sum()) + np.repeat(first[y] - start, size[y])]], start)
+            held[own] = 0
+            y = y[self.den * both >= self.num * (size[x] + size[y] - both)]
+            links[x] += weight[y].sum()
+            links[y] += weight[x]
+            for k in y.tolist():
+                self.forest.join(x, k)
+        self.checked += pairs.shape[1]
+        root = np.array([self.forest.root(i) for i in range(len(self.sets))])
+        total, least = np.empty(len(root), np.int64), np.empty(len(root), np.int64)
+        total[self.order], least[self.order] = links, self.order[root]
+        return total, least

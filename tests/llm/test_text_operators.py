@@ -121,6 +121,21 @@ def test_jaccard(spark, block):
     assert got == links(texts)
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_jaccard_counts_every_link(spark, block):
+    texts = corpus(3, 150)
+    base = " ".join(f"w{i}" for i in range(60))
+    texts += [base.replace(f"w{i} ", f"v{i} ") for i in range(1, 30)] + [base] * 3
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    want = [sum(i != j and bool(a) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard.join(frame(spark, texts), block_sets=block, links=True)
+    assert [r.n_links for r in got.orderBy("doc_id").collect()] == want and max(want) > 20
+    assert sorted(map(tuple, got.drop("n_links").collect())) == links(texts)
+
+
 def test_jaccard_odd_rows(spark):
     assert jaccard.join(frame(spark, [])).count() == 0
     rows = jaccard.join(frame(spark, ["a b c d e f g", "a b c d e f g"]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
