@@ -2,15 +2,15 @@
 
 Each language has a Bloom filter of the n-grams that make up at least ``rarest`` of its
 training text, so a filter never holds more than ``1 / rarest`` n-grams for each length.
-The filters are sliced: place ``p`` of all of them is one integer, bit ``i`` of which
-belongs to language ``i``. Two places are looked up for an n-gram and their integers are
+The filters are sliced: place ``p`` of 64 of them is one integer, bit ``i`` of which
+belongs to language ``i``; each further 64 languages have an integer more. Two places are looked up for an n-gram and their integers are
 anded, which gives at once every language whose filter has it. For each language the
 bits of a text are counted, and the share of false positives that its filter's fill lets
 expect is taken out; the largest share decides, the first name among equals.
 
 Training reads a bounded sample: about ``per_lang`` documents of each language outside the
-held-out fold, and at most 64 languages, the most frequent ones. Prediction reads whole
-texts. Null texts, and texts without a letter, are ``und`` with score 0, as is every text
+held-out fold, and all languages. Prediction reads whole
+texts. Null texts, and texts without a letter (as Unicode has it), are ``und`` with score 0, as is every text
 if nothing could be learned. Repeated rows are judged alike; extra columns are ignored.
 """
 
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from quern.llm import folds
 from quern.llm import textpack as tp
+from quern.llm.store import materialise
 
 LENGTHS = (3, 5)
 #: Bits of a filter; two places are set for each n-gram.
 BITS = 1 << 21
-MAX_LANGS = 64
+SLICE = 64
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -39,8 +40,8 @@ _LETTER[128:] = np.arange(128, 256)
 _LETTER[0xC2] = 0
 
 
-def ngrams(part: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each length: the text and the hash of every n-gram of letters with at most one gap; and the letters per text.
+def ngrams(part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the text and the hash of every n-gram of letters with at most one gap.
 
     Letters are lower-cased in ASCII and Latin-1; all else between words is one gap byte.
     """
@@ -54,7 +55,6 @@ def ngrams(part: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 0) | (low[:-1] != 0) | (doc[1:] != doc[:-1])
     low, doc = low[keep].astype(np.uint64), doc[keep]
-    letters = np.bincount(doc[low != 0], minlength=part.num_rows)
     out = []
     for n in LENGTHS:
         m = len(low) - n + 1
@@ -66,7 +66,7 @@ def ngrams(part: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
             x = x | (low[k : k + m] << np.uint64(8 * k))
         own = doc[:m] == doc[n - 1 :]
         out.append((doc[:m][own], tp.mix(x[own])))
-    return out, letters
+    return out
 
 
 def _count(langs: list[str]):
@@ -79,7 +79,7 @@ def _count(langs: list[str]):
             for part in tp.slices(batch, "text"):
                 own = lang[at : at + part.num_rows]
                 at += part.num_rows
-                for n, (doc, h) in zip(LENGTHS, ngrams(part)[0], strict=True):
+                for n, (doc, h) in zip(LENGTHS, ngrams(part), strict=True):
                     for i in np.unique(own):
                         grams, times = np.unique(h[own[doc] == i], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i)), pa.array(np.full(len(grams), n)), pa.array(grams.view(np.int64)), pa.array(times)], ["lang_no", "n", "gram", "times"])
@@ -90,20 +90,25 @@ def _count(langs: list[str]):
 def train(docs: DataFrame, learnable: Column, per_lang: int = 1500, rarest: float = 1 / 40_000) -> dict:
     """Filters of all languages; ``docs`` has doc_id, text and lang."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in often)
-    filters = np.zeros(BITS, np.uint8 if len(langs) <= 8 else np.uint64)
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    # One row of integers for each slice of languages.
+    filters = np.zeros((-(-len(langs) // SLICE), BITS), np.uint8 if len(langs) <= 8 else np.uint64)
     model = {"langs": langs, "filters": filters, "false": np.zeros(len(langs))}
     if not langs:
         return model
-    taken = folds.sample(rows.where(F.col("lang").isin(langs)), "lang", per_lang)
+    taken = folds.sample(rows, "lang", per_lang)
     counts = taken.select("lang", "text").mapInArrow(tp.task(_count(langs)), "lang_no bigint, n bigint, gram bigint, times bigint").groupBy("lang_no", "n", "gram").agg(F.sum("times").alias("times"))
     total = counts.groupBy("lang_no", "n").agg(F.sum("times").alias("total"))
-    grams = counts.join(F.broadcast(total), ["lang_no", "n"]).where(F.col("times") >= F.greatest(F.lit(2.0), F.col("total") * rarest)).select("lang_no", "gram").toPandas()  # at most 64 languages, 1 / rarest n-grams of each length
-    for i in range(len(langs)):
-        for p in _places(grams.gram[grams.lang_no == i].to_numpy(np.int64).view(np.uint64)):
-            filters[np.unique(p)] |= filters.dtype.type(1 << i)
-    model["false"] = np.array([np.mean(filters >> filters.dtype.type(i) & filters.dtype.type(1)) ** 2 for i in range(len(langs))])
+    grams = counts.join(F.broadcast(total), ["lang_no", "n"]).where(F.col("times") >= F.greatest(F.lit(2.0), F.col("total") * rarest)).select("lang_no", "gram")
+    if len(filters) > 1:
+        grams = materialise(grams)
+    for k, own in enumerate(filters):
+        rows = grams.where((F.col("lang_no") >= k * SLICE) & (F.col("lang_no") < (k + 1) * SLICE)).toPandas()  # 64 languages, 1 / rarest n-grams of each length
+        for i in range(k * SLICE, min((k + 1) * SLICE, len(langs))):
+            bit = own.dtype.type(i % SLICE)
+            for p in _places(rows.gram[rows.lang_no == i].to_numpy(np.int64).view(np.uint64)):
+                own[np.unique(p)] |= own.dtype.type(1) << bit
+            model["false"][i] = np.mean(own >> bit & own.dtype.type(1)) ** 2
     return model
 
 
@@ -113,15 +118,16 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(part: pa.RecordBatch, model: dict) -> tuple[list[str], np.ndarray]:
     langs, filters, n = model["langs"], model["filters"], part.num_rows
-    grams, letters = ngrams(part)
+    grams = ngrams(part)
     hits, seen = np.zeros((n, max(1, len(langs)))), np.zeros(n)
     for doc, h in grams:
         a, b = _places(h)
-        mask = filters[a] & filters[b]
         first = np.searchsorted(doc, np.arange(n + 1))
         seen += np.diff(first)
-        for i in range(len(langs)):
-            hits[:, i] += tp.doc_sums((mask >> mask.dtype.type(i) & mask.dtype.type(1)).astype(np.int64), first)
+        for k, own in enumerate(filters):
+            mask = own[a] & own[b]
+            for i in range(k * SLICE, min((k + 1) * SLICE, len(langs))):
+                hits[:, i] += tp.doc_sums((mask >> mask.dtype.type(i % SLICE) & mask.dtype.type(1)).astype(np.int64), first)
     share = hits / np.maximum(seen, 1)[:, None]
     if langs:
         share = np.clip((share - model["false"]) / (1 - model["false"]), 0, 1)
@@ -129,7 +135,7 @@ def predict(part: pa.RecordBatch, model: dict) -> tuple[list[str], np.ndarray]:
     top = share[np.arange(n), best]
     rest = share.copy()
     rest[np.arange(n), best] = 0
-    known = (letters > 0) & bool(langs)
+    known = part["letter"].to_numpy(zero_copy_only=False) & bool(langs)
     score = np.where(known, np.where(top > 0, top / np.maximum(top + rest.max(axis=1), 1e-9), 0), 0)
     return [langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)], score
 
@@ -146,4 +152,4 @@ def identify(docs: DataFrame, held_out_mod: int = 3, held_out: int = 1, per_lang
                 lang, score = predict(part, model.value)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", fold.alias("held_out"), "text").mapInArrow(tp.task(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", fold.alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(tp.task(run), "doc_id bigint, held_out boolean, lang_pred string, score double")

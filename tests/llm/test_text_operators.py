@@ -339,6 +339,22 @@ def test_languages_held_out(spark, larger):
     assert sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_languages_beyond_one_slice_and_signs(spark):
+    """More languages than bits of an integer are all learned; signs are no letters."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        # The last languages are the rarest.
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(30)), f"l{k:02}") for i in range(12 if k < 64 else 9)]
+    signs = ["— – “” …", "€ ° £", "😀👍", "。、「」", "42 17", ""]
+    rows += [(10_000 + i, t, None) for i, t in enumerate(signs)] + [(10_100, "日本語", None)]
+    got = {r.doc_id: r for r in languages.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [(i, lang) for i, _, lang in rows if lang and got[i].lang_pred != lang] == []
+    assert all(got[10_000 + i].lang_pred == "und" and got[10_000 + i].score == 0 for i in range(len(signs)))
+    assert got[10_100].lang_pred != "und"
+
+
 @pytest.mark.parametrize("op", ["quality", "toxicity", "languages"])
 def test_learners_on_odd_rows(spark, op):
     docs, empty = frame(spark, ODD + ["42 17"]), frame(spark, [])
