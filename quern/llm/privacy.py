@@ -38,13 +38,13 @@ FORMS = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d[ .-])?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "person": rf"\b{_HONORIFICS}\b\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
 #: What every entity has; a cheap test that most texts fail.
-HINT = rf"[0-9@]|(?:password|passwd|pwd|secret|token|key|PASSWORD|TOKEN|SECRET|KEY|Password|Token|Secret|Key) ?[=:]|{_HONORIFICS}\.? \p{{Lu}}|sk-|eyJ|gh[pousr]_"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key) ?[=:]|{_HONORIFICS}\.? \p{{Lu}}|sk-|eyJ|gh[pousr]_"
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Mme|Señora|Señorita|Sra|Госпожа|Κυρία)\b"
 _MALE = r"^(?:Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος)\b"
 _SYLLABLES = {

@@ -112,3 +112,10 @@ def test_pipeline(spark, small):
     last = stage(spark, docs, small)
     assert last.count() == total and "ids" in last.columns
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_secrets_of_any_case_and_short_groups(spark):
+    texts = ["Passwd: abcdefgh", "PWD=abcdefgh", "sEcReT = abcdefgh", "Api_Key: abcdefgh", "call +33 1 23 45 67 89 now"]
+    rows = privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.pii_types for r in rows] == [["secret"]] * 4 + [["phone"]]
+    assert all("abcdefgh" not in r.text for r in rows) and rows[4].text.startswith("call +33 ") and "1 23 45 67 89" not in rows[4].text
