@@ -1,35 +1,34 @@
-"""Connected components of an undirected graph of integers."""
+"""Connected components of an undirected graph of integers, by star contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.store import materialise
+from quern.llm.store import measured
 
 
-def _compress(parent: DataFrame) -> DataFrame:
-    """Follows (node, parent) to the roots by doubling; every parent is smaller than its node."""
-    while True:
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parent = materialise(parent.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
-        if parent.where("moved").isEmpty():
-            return parent.select("node", "parent")
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written down, and what tells them from other sets of edges."""
+    rows, seen = measured(edges, n=F.count(F.lit(1)), mark=F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))))
+    return rows, (seen["n"], seen["mark"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b): the smallest node that it is connected with.
+    """(node, label) for every node of ``edges`` (a, b) but those with edges to themselves only: the smallest node that it is connected with.
 
-    Each node hooks to its smallest smaller neighbour, trees are flattened, and edges are
-    carried over to the roots, until none is left between two trees.
+    A round hangs every larger neighbour of a node on the node's smallest one, then every smaller
+    neighbour; the graph is a forest of stars when a round changes nothing. A round writes its edges once.
     """
-    rest = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while not rest.isEmpty():
-        tree = _compress(rest.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"))
-        labels = materialise(labels.join(tree.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("parent", "label").alias("label")))
-        a = rest.join(tree.select(F.col("node").alias("a"), F.col("parent").alias("ra")), "a", "left")
-        both = a.join(tree.select(F.col("node").alias("b"), F.col("parent").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        rest = materialise(both.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return labels
+    now, mark = _kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while mark != before and mark[0]:
+        before = mark
+        both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(now.select("b", "a"))
+        least = both.groupBy("node").agg(F.min("other").alias("other")).select(F.col("node").alias("b"), F.least("node", "other").alias("least"))
+        # Both uses of the large stars read one exchange.
+        large = now.join(least, "b").select("a", F.col("least").alias("b")).repartition("a")
+        lower = large.join(large.groupBy("a").agg(F.min("b").alias("least")), "a")
+        ends = F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        now, mark = _kept(lower.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a != b").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(now.select("b", "b").distinct())

@@ -242,7 +242,7 @@ def remove(docs: DataFrame, width: int = 13, texts: bool = True, group: int = GR
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed_spans array<int>" * texts
     lost = materialise(losses(docs, width, group))
-    marked = ex.bitmap(lost)
-    whole = docs.withColumn("lost", F.lit(None).cast("binary")).mapInArrow(tp.task(ex.keep_marked(marked, False), _results(width, texts)), schema)
-    losing = docs.mapInArrow(tp.task(ex.keep_marked(marked)), "doc_id bigint, text string").join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    rows = ex.parted(docs.withColumn("lost", F.lit(None).cast("binary")), lost)
+    whole = rows(False, _results(width, texts), schema=schema)
+    losing = rows(True).drop("lost").join(lost, "doc_id", "left").select("doc_id", "text", "lost")
     return whole.unionByName(losing.mapInArrow(tp.task(_results(width, texts)), schema))

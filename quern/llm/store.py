@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, Observation
 
-from pyspark.sql import DataFrame, SparkSession
+from quern.operators.lineage import cut as materialise
+from quern.operators.lineage import shared_folder
 
+__all__ = ["materialise", "measured", "shared_folder"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; one of this machine only where it names none, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-"))
-    return context._jsc.sc().getCheckpointDir().get()
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialise`; with aggregates of the rows that are taken as they are written, without another job."""
+    seen = Observation()
+    rows = materialise(df.observe(seen, *(c.alias(name) for name, c in metrics.items())))
+    return rows, seen.get
