@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exchange, jaccard, pieces, privacy, queries, toxicity
-from quern.llm import textpack as tp
 from quern.llm.store import materialise, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,25 +26,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays; of repeated rows, one.
 
-    Only texts of documents that may go are shuffled; a bitmap of fixed size says which.
+    Only texts of documents that may go are shuffled. Of rows without a doc_id none goes.
     """
-    components = materialise(jaccard.join(docs))
+    components = materialise(jaccard.join(docs, links=False))
     doubtful = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("copy")).where("rows > 1 or copy")
-    bits = exchange.bitmap(doubtful.select("doc_id"))
-    certain = docs.mapInArrow(tp.task(exchange.keep_marked(bits, False)), docs.schema)
+    rows = exchange.parted(docs, doubtful.select("doc_id"))
     kept = components.where("component_id = doc_id").select("doc_id").distinct()
-    others = docs.mapInArrow(tp.task(exchange.keep_marked(bits)), docs.schema).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
+    others = rows(True).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows(False).select(COLUMNS).unionByName(others.select(COLUMNS))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; a bitmap of fixed size keeps the texts of the others where they lie."""
+    """Documents that hold a window of a benchmark item go; the texts of the others stay where they lie."""
     found = materialise(decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id", (F.size("item_ids") > 0).alias("hit")))
     hit = found.where("hit and doc_id is not null").select("doc_id").distinct()
-    bits = exchange.bitmap(hit)
-    certain = docs.mapInArrow(tp.task(exchange.keep_marked(bits, False)), docs.schema)
-    others = docs.mapInArrow(tp.task(exchange.keep_marked(bits)), docs.schema).join(hit, "doc_id", "left_anti")
-    return certain.select(COLUMNS).unionByName(others.select(COLUMNS))
+    rows = exchange.parted(docs, hit)
+    return rows(False).select(COLUMNS).unionByName(rows(True).join(hit, "doc_id", "left_anti").select(COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
