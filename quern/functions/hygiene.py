@@ -7,35 +7,74 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns in the order in which they are applied; later ones see what earlier ones left.
+# Patterns in the order in which they are applied, with their marks; later ones see what earlier ones left.
 SCRUBS = [
-    (r"[A-Za-z]:\\Users\\[^\\\s]+", "<home>"),
-    (r"/(?:home|Users)/[^/\s]+", "<home>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
-    (r"Bearer [A-Za-z0-9._~+/=-]+", "Bearer <token>"),
-    (r"(password|token|secret|api_key) ?[=:] ?[^\s,;]+", "$1=<secret>"),
-    (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "<jwt>"),
-    (r"\b[sr]k-[A-Za-z0-9_-]{8,}", "<key>"),
-    (r"\b[0-9a-fA-F]{32,}\b", "<hex>"),
-    (r"\b[A-Za-z0-9+/]{40,}={0,2}", "<base64>"),
-    (r"\b[A-Za-z0-9_-]{48,}\b", "<opaque>"),
+    (r"(?i)([A-Z]:\\Users\\)[^/\\:\s\"']+", "$1_"),
+    (r"(/(?:home|Users)/)[^/\\:\s\"']+", "$1_"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[redacted-email]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}", "Bearer [redacted]"),
+    (r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|id[_-]?token|authorization|secret|password|passwd|pwd|token)\b\s*[:=]\s*(?:Bearer\s+)?[\"']?[^\"'\s,;]+[\"']?", "$1=[redacted]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[redacted-jwt]"),
+    (r"\b(?:sk|rk)-(?:proj-)?[A-Za-z0-9_-]{16,}\b", "[redacted-key]"),
+    (r"\b[0-9a-fA-F]{32,}\b", "[redacted-hex]"),
+    (r"[A-Za-z0-9+/]{40,}={0,2}", "[redacted-token]"),
+    (r"\b[A-Za-z0-9_-]{48,}\b", "[redacted-token]"),
 ]
+#: What a text must hold, by a cheaper test, for a pattern to be tried.
+_HELD = [r"(?i)[A-Z]:\\Users", r"/(?:home|Users)/", "@", r"(?i)bearer", r"(?i)key|token|authorization|secret|passw|pwd", "eyJ", r"[sr]k-", *["[A-Za-z0-9+/_-]{32}"] * 3]
+
+
+def _ascii_edges(pattern: str) -> str:
+    """The pattern with word edges between ASCII letters, digits and ``_`` and all else, and white space of ASCII."""
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    return pattern.replace(r"\b", edge)
 
 
 def scrub(text: Column) -> Column:
-    """Personal data and secrets as marks of their kind."""
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), SCRUBS, text)
+    """Personal data and secrets as marks of their kind. A text that no pattern can match is looked at once for each cheap test."""
+
+    def one(t: Column, k: int) -> Column:
+        held = F.contains(t, F.lit(_HELD[k])) if _HELD[k].isalnum() or _HELD[k] == "@" else t.rlike(_HELD[k])
+        return F.when(held, F.regexp_replace(t, _ascii_edges(SCRUBS[k][0]), SCRUBS[k][1])).otherwise(t)
+
+    return reduce(one, range(len(SCRUBS)), text)
 
 
 def scrub_sql(text: str) -> str:
     for pattern, new in SCRUBS:
-        text = f"regexp_replace({text}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new.replace('$1', chr(92) + '1')}', 'g')"
     return text
 
 
+# Forms of secrets that are masked where they stand.
+SECRETS = [r"(?:sk|rk)-(?:proj-)?[A-Za-z0-9_-]{12,}", r"gh[pousr]_[A-Za-z0-9_]{20,}", r"github_pat_[A-Za-z0-9_]{20,}", r"xox[baprs]-[A-Za-z0-9-]{16,}", r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"]
+SECRET = rf"\b({'|'.join(SECRETS)})\b"
+HIDDEN = "****"
+
+
+def secrets(text: Column) -> Column:
+    """Secrets of a known form in a text."""
+    return F.regexp_extract_all(text, F.lit(_ascii_edges(SECRET)), F.lit(1))
+
+
 def mask(secret: Column) -> Column:
-    """The first and last four characters of a long secret; a short one is hidden whole."""
-    return F.when(F.length(secret) <= 12, F.repeat(F.lit("*"), F.length(secret))).otherwise(F.concat(F.left(secret, F.lit(4)), F.lit("***"), F.right(secret, F.lit(4))))
+    """Stars for all but the first four (of ``sk-`` and ``rk-`` keys six) and the last four characters; of a short one nothing is shown."""
+    head = F.when(secret.startswith("sk-") | secret.startswith("rk-"), 6).otherwise(4)
+    return F.when(F.length(secret) <= 12, F.lit(HIDDEN)).otherwise(F.concat(F.left(secret, head), F.repeat(F.lit("*"), F.length(secret) - head - 4), F.right(secret, F.lit(4))))
+
+
+def mask_sql(secret: str) -> str:
+    head = f"(CASE WHEN {secret}[1:3] IN ('sk-', 'rk-') THEN 6 ELSE 4 END)"
+    return f"CASE WHEN length({secret}) <= 12 THEN '{HIDDEN}' ELSE left({secret}, {head}) || repeat('*', length({secret}) - {head} - 4) || right({secret}, 4) END"
+
+
+def scrub_credentials(text: Column) -> Column:
+    """The stronger form for what leaves the house: secrets named in prose, half masked ones, and opaque runs with a digit or both cases."""
+    t = F.regexp_replace(text, _ascii_edges(r"(?i)\b(api[ _-]?key|access[ _-]?key|secret|token|authorization|bearer|credential)s?\b([\"']?\s*[:=]?\s*[\"']?)[A-Za-z0-9._~+/-]{12,}"), f"$1$2{HIDDEN.replace('*', '*')}")
+    t = F.regexp_replace(t, r"[A-Za-z0-9._-]*\*{2,}[A-Za-z0-9._-]*", HIDDEN)
+    run = "[A-Za-z0-9_-]"
+    mixed = f"(?={run}*[0-9])|(?=(?:{run}*[a-z]){run}*[A-Z])|(?=(?:{run}*[A-Z]){run}*[a-z])"
+    return F.regexp_replace(t, f"(?<!{run})(?={run}{{16}})(?:{mixed}){run}+", HIDDEN)
 
 
 # What varies between reports of one fault.
@@ -92,3 +131,18 @@ def remote(url: Column) -> Column:
     u = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z+]+://([^@/]*@)?", "")
     u = F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"/+$", "")
     return F.regexp_replace(u, r"\.git$", "")
+
+
+def is_development(channel: Column, version: Column) -> Column:
+    return (F.lower(F.trim(channel)) == "dev") | F.lower(F.trim(version)).startswith("dev")
+
+
+def is_no_crash(message: Column) -> Column:
+    """Notices that browsers and shells raise as errors."""
+    observer = F.trim(message).rlike(r"^ResizeObserver loop (?:limit exceeded|completed with undelivered notifications\.?)$")
+    return observer | message.rlike(r"Minified React error #520\b") | F.contains(message, F.lit("additional File object is not a file on the disk"))
+
+
+def is_opaque(kind: Column, message: Column, top_frame: Column) -> Column:
+    """Crashes of scripts from elsewhere, of which nothing is told."""
+    return (kind == "crash") & (F.trim(message) == "Script error.") & (F.trim(top_frame) == "")

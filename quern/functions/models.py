@@ -6,12 +6,14 @@ Models are services of others and are not part of this library. A model is wrapp
 
 from __future__ import annotations
 
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Embedder(ABC):
@@ -68,3 +70,31 @@ def embed_with(rows: DataFrame, embedder: Embedder, id_col: str, text_col: str)
             yield pd.DataFrame({"id": p["id"], "embedding": found})
 
     return rows.selectExpr(f"cast({id_col} as bigint) as id", f"{text_col} as text").mapInPandas(run, "id bigint, embedding array<float>")
+
+
+class OverlapReranker(Reranker):
+    """The share of the query's words that a text holds; a stand-in for a model."""
+
+    def rerank(self, query: str, texts: list[str]) -> list[float]:
+        asked = set(query.lower().split())
+        return [len(asked & set(t.lower().split())) / max(1, len(asked)) for t in texts]
+
+
+def rerank_with(rows: DataFrame, reranker: Reranker, query_col: str, text_col: str) -> DataFrame:
+    """The rows without their texts and with ``second``, the model's score; null where the model fails, so that a first order can stand."""
+    kept = [f for f in rows.schema.fields if f.name not in (query_col, text_col)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            second = pd.Series(np.nan, index=p.index, dtype=float)
+            for asked, own in p.groupby(query_col):
+                for b in batches(own[text_col].fillna("").tolist()):
+                    at = own.index[: len(b)]
+                    own = own.iloc[len(b) :]
+                    try:
+                        second[at] = reranker.rerank(asked, b)
+                    except Exception as e:  # noqa: BLE001
+                        warnings.warn(f"no second order: {e}", stacklevel=1)
+            yield p[[f.name for f in kept]].assign(second=second)
+
+    return rows.mapInPandas(run, T.StructType([*kept, T.StructField("second", T.DoubleType())]))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and ``_``; each CJK character is a token of its own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{_CJK}]|[\p{{L}}\p{{Nd}}_&&[^{_CJK}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
 
 
 def compact(text: Column) -> Column:
@@ -44,3 +44,36 @@ def slug(text: Column, size: int = 60) -> Column:
 def provider(model: Column) -> Column:
     """What stands before the slash of a model's name, else ``default``."""
     return F.when(F.instr(model, "/") > 1, F.substring_index(model, "/", 1)).otherwise("default")
+
+
+def clip(text: Column, width: int) -> Column:
+    """Up to ``width`` graphemes; a longer text loses its end to an ellipsis."""
+    return F.when(text.rlike(rf"^(?s:\X){{{width + 1}}}"), F.concat(F.regexp_extract(text, rf"^((?s:\X){{{width - 1}}})", 1), F.lit("…"))).otherwise(text)
+
+
+def tick_step(top: Column, target: int) -> Column:
+    """A step of 1, 2 or 5 times a power of ten, so that about ``target`` of them reach ``top``."""
+    raw = F.greatest(top, F.lit(1.0)) / target
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    part = raw / power
+    return F.when(top <= target, F.lit(1.0)).otherwise(F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10) * power)
+
+
+def tick_label(n: Column) -> Column:
+    """Thousands and millions with at most one place."""
+    short = lambda x, unit: F.concat(F.regexp_replace(F.round(x, 1).cast("string"), r"\.0$", ""), F.lit(unit))
+    return F.when(n >= 1_000_000, short(n / 1_000_000, "m")).when(n >= 1_000, short(n / 1_000, "k")).otherwise(F.round(n).cast("bigint").cast("string"))
+
+
+def _count(text: Column, characters: str) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{characters}]", ""))
+
+
+def query_language(text: Column) -> Column:
+    return F.when(text.rlike(f"[{CJK}]"), "zh-CN").otherwise("en")
+
+
+def document_language(text: Column) -> Column:
+    """Chinese from a hundred CJK characters on, if they are more than a fifth of the letters."""
+    cjk = F.when(text.rlike(f"[{CJK}]"), _count(text, CJK)).otherwise(0)
+    return F.when((cjk > 100) & (cjk * 4 > _count(text, r"\p{IsLatin}")), "zh-CN").otherwise("en")

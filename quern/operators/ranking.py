@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import tokens
+from quern.functions.text import CJK, tokens
 from quern.operators.lineage import cut
 
 K1, B = 1.2, 0.75
@@ -19,8 +19,8 @@ def query_terms(query: str, spark) -> list[str]:
     return terms
 
 
-def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column) -> DataFrame:
-    """(id, score, matched) of documents that hold a term.
+def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column, terms_too: bool = False) -> DataFrame:
+    """(id, score, matched) of documents that hold a term, with ``terms_too`` also which.
 
     Only occurrences of query terms leave the scan, counted inside each document; the
     corpus statistics are one row, which is broadcast.
@@ -36,7 +36,32 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column) -> DataFr
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     # Added up in the order of terms, so that the sum is the same in every run.
     parts = F.transform(F.array_sort(F.collect_list(F.struct("term", (idf * tf).alias("s")))), lambda p: p["s"])
-    return scored.groupBy(id_col).agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"), F.count("*").alias("matched"))
+    return scored.groupBy(id_col).agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"), F.count("*").alias("matched"), *([F.array_sort(F.collect_set("term")).alias("terms")] if terms_too else []))
+
+
+# Answers that ask for nothing.
+GENERIC = ["continue", "please continue", "go on", "next", "ok", "okay", "yes", "no", "继续", "好的", "好", "是", "否", "下一步"]
+
+
+def is_generic(query: str) -> bool:
+    """Whether a query only tells to go on."""
+    return " ".join(query.split()).lower() in GENERIC
+
+
+def distinctive(query: str, term: str) -> bool:
+    """Whether a term stands in the query in a form that hardly occurs by chance: with a digit, an underscore or a capital inside, after ``#``, or before a full stop."""
+    for word in query.split():
+        bare = word.strip("#()[]{}<>,;:'\"`!?=+*/\\|")
+        if bare.lower() == term and (any(c.isdigit() for c in bare) or "_" in bare or any(c.isupper() for c in bare[1:])):
+            return True
+    return f"#{term}" in query or f"{term}." in query
+
+
+def strong_match(query: str, terms: list[str], matched: Column) -> Column:
+    """Whether the matched terms are enough to recall something: two of them (three, if all are single CJK characters), or one that is long in a short query, or distinctive."""
+    alone = [t for t in terms if (len(terms) <= 2 and len(t) >= 6) or distinctive(query, t)]
+    several = (F.size(matched) >= 2) & (F.exists(matched, lambda t: ~t.rlike(rf"^[{CJK}]$")) | (F.size(matched) >= 3))
+    return several | ((F.size(matched) == 1) & matched[0].isin(alone))
 
 
 def floor(scored: DataFrame, ratio: float, score: str = "score") -> DataFrame:
@@ -48,3 +73,10 @@ def floor(scored: DataFrame, ratio: float, score: str = "score") -> DataFrame:
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
+
+
+def boosted(score: Column, terms: list[str], heading: Column, phrase: Column, same_language: Column, same_release: Column) -> Column:
+    """BM25 of a section with what speaks for it besides: each query term in its headings, the phrase in its text, its language, and the release that was asked for by number."""
+    hits = F.size(F.array_intersect(F.array(*map(F.lit, terms)), heading))
+    total = score + F.when(same_release, 100.0).otherwise(0.0) + 0.35 * hits + F.when(phrase, 1.5).otherwise(0.0)
+    return total * F.when(same_language, 1.15).otherwise(1.0)

@@ -65,3 +65,21 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Column,
     """Numbers runs of rows: a run begins where ``starts`` holds."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(name, F.sum(starts.cast("int")).over(w))
+
+
+def _cumulated(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Counts by value, how many rows have that value or a smaller one, and how many there are. What is sorted is a row for each value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumn("__upto", F.sum("__c").over(w.orderBy(value))).withColumn("rows", F.sum("__c").over(w))
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median, rows): the upper of the two middle values of each group."""
+    return _cumulated(rows, keys, value).groupBy(*keys).agg(F.min(F.when(F.col("__upto") > F.floor(F.col("rows") / 2), F.col(value))).alias("median"), F.max("rows").alias("rows"))
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, int]) -> DataFrame:
+    """Nearest-rank percentiles of each group, exact, under the given names."""
+    at = lambda p: F.min(F.when(F.col("__upto") * 100 >= F.col("rows") * p, F.col(value)))
+    return _cumulated(rows, keys, value).groupBy(*keys).agg(*(at(p).alias(name) for name, p in wanted.items()))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import markdown as md
 from quern.functions import text as X
-from quern.operators import ranking, vectors
+from quern.operators import ann, ranking, vectors
+from quern.operators.lineage import cut, shared_folder
 from quern.plans.registry import query
 from quern.sources.tables import table
 
 QUERY = "the thing with that nation of order"
 TERMS = ["the", "thing", "with", "that", "nation", "of", "order"]
 _TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+#: Centres of the inverted file, and how many of their lists a query looks into.
+CENTRES, PROBES = 32, 12
 TOKENS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}_]+')"
 
 
@@ -36,19 +43,22 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score", "matched")
 
 
-@query("v03_conversation_search", f"WITH turns AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role IN ('user', 'assistant')), {bm25_sql('turns', 'id', 'text')} SELECT id // 1000 AS conv_id, id % 1000 AS turn, round(score, 6) AS score FROM scored WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY round(score, 6) DESC, id LIMIT 8")
+@query("v03_conversation_search", f"WITH turns AS (SELECT conv_id, turn, text FROM conversations WHERE role IN ('user', 'assistant')), {bm25_sql('turns', 'conv_id, turn', 'text')} SELECT conv_id, turn, round(score, 6) AS score FROM scored WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY round(score, 6) DESC, conv_id, turn LIMIT 8")
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3, P5: the best messages of two roles."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select(F.struct("conv_id", "turn").alias("id"), "text")
     scored = ranking.floor(ranking.bm25(turns, TERMS, "id", F.col("text")), 0.15).withColumn("score", F.round("score", 6))
-    return scored.orderBy(F.desc("score"), "id").limit(8).select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), "score")
+    return scored.orderBy(F.desc("score"), "id").limit(8).select("id.conv_id", "id.turn", "score")
 
 
 @query("a35_term_statistics", f"WITH tok AS (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and term frequency of every term; counted in two steps, so that a common term is never gathered."""
-    tok = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    return tok.groupBy("term", "doc_id").agg(F.count("*").alias("c")).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("tf")).where("df >= 3")
+    """Document and term frequency of every term. A document is one row, so its own counts are made inside the row and one shuffle by term is left."""
+    own = table(spark, sf_dir, "documents").select(F.array_sort(X.tokens(F.col("text"))).alias("t"))
+    # In the sorted tokens a term's first place begins its run; the run ends where the next one begins.
+    starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda x: x.isNotNull())
+    runs = own.select("t", starts.alias("at")).select(F.explode(F.transform("at", lambda a, i: F.struct(F.get("t", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("t")) - a).alias("c")))).alias("x"))
+    return runs.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.c").alias("tf")).where("df >= 3")
 
 
 @query("f01_tokens", f"SELECT conv_id, turn, len({TOKENS_SQL.format('text')}) AS n_tokens, len(list_distinct({TOKENS_SQL.format('text')})) AS n_terms FROM conversations")
@@ -81,18 +91,42 @@ s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBL
 
 @query("t01_vector_topk", f"WITH {_VEC_SQL} SELECT vec_id, label, score FROM s ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact nearest vectors of one query vector."""
+    """Exact nearest vectors of one query vector."""
     return vectors.topk(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), 10)
 
 
-@query("v01_rerank", f"WITH {_VEC_SQL}, c AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 60) SELECT vec_id, label, score, CASE WHEN label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1) THEN 1 ELSE 0 END AS boost FROM c ORDER BY boost DESC, score DESC, vec_id LIMIT 10")
-def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, T4: six candidates for each result, then a second order of the candidates; here by equal label."""
+@query("j11_vector_join", "WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s) SELECT query, id, score, place FROM n WHERE place <= 10")
+def vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every fiftieth one, exact; blocks of queries meet blocks of rows."""
+    e = table(spark, sf_dir, "embeddings")
+    return ann.exact(e, e.where("vec_id % 50 = 0"), 10)
+
+
+@query("v06_inverted_file")
+def inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: the same by an index that holds every row under its nearest centre; a query looks into the lists of some centres. Tests measure recall against the exact search."""
     e = table(spark, sf_dir, "embeddings")
-    want = e.orderBy("vec_id").limit(1).select(F.col("label").alias("want"))
-    found = vectors.topk(e, _first_vector(spark, sf_dir), vectors.candidates(10)).join(F.broadcast(want))
-    boosted = found.withColumn("boost", (F.col("label") == F.col("want")).cast("int")).drop("want")
-    return boosted.orderBy(F.desc("boost"), F.desc("score"), "vec_id").limit(10)
+    c = ann.centres(e, CENTRES)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    ann.build(e, path, c)
+    return ann.search(spark.read.parquet(path), e.where("vec_id % 50 = 0"), c, 10, PROBES)
+
+
+_Q8_SQL = "list_transform({0}, lambda x: CAST(greatest(-128, least(127, floor(CAST(x AS DOUBLE) * 127))) AS BIGINT))"
+
+
+@query("v01_rerank", f"WITH {_VEC_SQL}, c AS (SELECT s.*, e.embedding, q.qe FROM s JOIN embeddings e USING (vec_id), q ORDER BY score DESC, vec_id LIMIT 60), f AS (SELECT vec_id, label, score, CAST(list_sum(list_transform(list_zip({_Q8_SQL.format('embedding')}, {_Q8_SQL.format('qe')}), lambda p: p[1] * p[2])) AS BIGINT) AS second FROM c WHERE label < 5) SELECT vec_id, label, score, second FROM f ORDER BY second DESC, score DESC, vec_id LIMIT 10")
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, T4: six candidates for each result, those of some places only, then a second order of what is left, and its first ten.
+
+    The second score is here that of the vectors in bytes; ``x01_embedded_search`` does the same with models.
+    """
+    e, asked = table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)
+    found = vectors.topk(e, asked, vectors.candidates(10)).where("label < 5")
+    q = F.array(*(F.lit(max(-128, min(127, math.floor(x * 127)))) for x in asked))
+    # Sixty rows at most are joined back to their vectors.
+    second = e.join(F.broadcast(found.select("vec_id", "score")), "vec_id").withColumn("second", vectors.dot_int(vectors.quantise(F.col("embedding")), q))
+    return second.select("vec_id", "label", "score", "second").orderBy(F.desc("second"), F.desc("score"), "vec_id").limit(10)
 
 
 @query("p04_filter_after_topk", f"WITH {_VEC_SQL}, c AS (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 60) SELECT vec_id, label, score FROM c WHERE label % 2 = 0")
@@ -121,51 +155,71 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("near", near).where("near = 1").select("conv_id", "turn", "role").distinct()
 
 
-@query(
-    "r06_sections",
-    r"""WITH line AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-head AS (SELECT *, CASE WHEN length(s) BETWEEN 1 AND 40 THEN s END AS h FROM line),
-sec AS (SELECT *, count(h) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM head)
-SELECT doc_id, sec, max(h) AS title, count(*) - count(h) AS n_lines, CAST(sum(CASE WHEN h IS NULL THEN length(s) ELSE 0 END) AS BIGINT) AS n_chars FROM sec GROUP BY doc_id, sec""",
-)
+# Documents as Markdown: some lines become headings of four levels (and a fifth, which is none), and some stand between fences.
+_MARK_SQL = "CASE WHEN i % 23 IN (7, 11) THEN '```' WHEN i % 5 = 0 AND s <> '' THEN repeat('#', 1 + (i + doc_id) % 5) || ' ' || left(s, 30) || CASE WHEN i % 10 = 0 THEN ' ##' ELSE '' END ELSE s END"
+_MD_SQL = rf"""line AS (SELECT doc_id, i, {_MARK_SQL} AS s FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+f AS (SELECT *, regexp_matches(s, '^ {{0,3}}(```|~~~)') AS fence FROM line), o AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS open FROM f),
+h AS (SELECT *, CASE WHEN NOT open AND NOT fence AND trim(regexp_extract(s, '^ {{0,3}}(#{{1,4}})[ \t]+(.*?)([ \t]+#+)?[ \t]*$', 2)) <> '' THEN trim(regexp_extract(s, '^ {{0,3}}(#{{1,4}})[ \t]+(.*?)([ \t]+#+)?[ \t]*$', 2)) END AS heading FROM o),
+g AS (SELECT *, CASE WHEN heading IS NOT NULL THEN length(regexp_extract(s, '^ {{0,3}}(#{{1,4}})', 1)) END AS level, count(heading) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h),
+k AS (SELECT *, """ + ", ".join(f"max(CASE WHEN level = {n} THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS a{n}" for n in range(1, 5)) + r""" FROM g),
+t AS (SELECT k.*, """ + ", ".join(f"(SELECT heading FROM g WHERE g.doc_id = k.doc_id AND g.i = a{n}) AS t{n}" for n in range(1, 5)) + r""", (SELECT arg_min(heading, i) FROM g WHERE g.doc_id = k.doc_id AND level = 1) AS title FROM k),
+sec AS (SELECT doc_id, section, coalesce(max(level), 0) AS level, min(i) + 1 AS start_line, max(i) + 1 AS end_line, coalesce(any_value(title), '') AS title, trim(string_agg(s, chr(10) ORDER BY i)) AS content,
+  arg_min(array_to_string(list_filter([t1, CASE WHEN a2 > coalesce(a1, -1) THEN t2 END, CASE WHEN a3 > greatest(coalesce(a1, -1), coalesce(a2, -1)) THEN t3 END, CASE WHEN a4 > greatest(coalesce(a1, -1), coalesce(a2, -1), coalesce(a3, -1)) THEN t4 END], lambda x: x IS NOT NULL), ' > '), i) AS trail FROM t GROUP BY doc_id, section),
+sections AS (SELECT doc_id, section, level, CASE WHEN level = 0 THEN title ELSE trail END AS trail, title, start_line, end_line, content FROM sec WHERE regexp_matches(content, '\S'))"""
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda x, i: F.when((i % 23).isin(7, 11), "```").when((i % 5 == 0) & (x != ""), F.concat(F.substring(F.lit("#####"), F.lit(1), (1 + (i + F.col("doc_id")) % 5).cast("int")), F.lit(" "), F.left(x, F.lit(30)), F.when(i % 10 == 0, " ##").otherwise(""))).otherwise(x)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+
+
+@query("r06_sections", f"WITH {_MD_SQL} SELECT doc_id, section, level, trail, title, start_line, end_line, sha256(content) AS digest FROM sections")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines under the heading above them; a short line is a heading here."""
-    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
-    head = line.withColumn("h", F.when(F.length("s").between(1, 40), F.col("s")))
-    sec = head.withColumn("sec", F.count("h").over(Window.partitionBy("doc_id").orderBy("i")))
-    body = F.when(F.col("h").isNull(), F.length("s")).otherwise(0)
-    return sec.groupBy("doc_id", "sec").agg(F.max("h").alias("title"), (F.count("*") - F.count("h")).alias("n_lines"), F.sum(body).cast("bigint").alias("n_chars"))
+    """Sections of Markdown by headings of four levels, each with the trail of headings above it."""
+    s = md.sections(markdown(spark, sf_dir), "doc_id", "text")
+    return s.select("doc_id", "section", "level", "trail", "title", "start_line", "end_line", F.sha2("content", 256).alias("digest"))
+
+
+_HEAD_TOKENS_SQL = TOKENS_SQL.format("title || ' ' || trail")
+_PHRASE = "of the"
 
 
 @query(
     "v05_section_search",
-    f"""WITH line AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-sections AS (SELECT doc_id * 10000 + i AS id, s FROM line), {bm25_sql("sections", "id", "s")}
-SELECT id // 10000 AS doc_id, id % 10000 AS i, round(score + CASE WHEN matched >= 3 THEN 1.5 ELSE 0 END, 6) AS score FROM scored
-WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY score DESC, id LIMIT 10""",
+    f"""WITH {_MD_SQL}, texts AS (SELECT doc_id, section, title, trail, title || chr(10) || trail || chr(10) || content AS t FROM sections), {bm25_sql("texts", "doc_id, section", "t")},
+b AS (SELECT doc_id, section, (coalesce(score, 0) + CASE WHEN doc_id % 40 = 7 THEN 100 ELSE 0 END + 0.35 * len(list_intersect({_TERMS_SQL}, {_HEAD_TOKENS_SQL})) + CASE WHEN contains(lower(t), '{_PHRASE}') THEN 1.5 ELSE 0 END) * CASE WHEN lang = 'de' THEN 1.15 ELSE 1 END AS score
+  FROM texts LEFT JOIN scored USING (doc_id, section) JOIN documents USING (doc_id) WHERE score > 0 OR doc_id % 40 = 7)
+SELECT doc_id, section, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, doc_id, section LIMIT 20""",
 )
 def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs by BM25 with a bonus for several matched terms."""
-    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s")).withColumn("id", F.col("doc_id") * 10000 + F.col("i"))
-    scored = ranking.floor(ranking.bm25(line, TERMS, "id", F.col("s")), 0.15)
-    boosted = scored.withColumn("score", F.round(F.col("score") + F.when(F.col("matched") >= 3, 1.5).otherwise(0.0), 6))
-    return boosted.orderBy(F.desc("score"), "id").limit(10).select(F.floor(F.col("id") / 10000).alias("doc_id"), (F.col("id") % 10000).alias("i"), "score")
+    """Sections by BM25 over title, trail and text, with bonuses: for query terms in the headings, for the phrase, for the language, and for the very release asked for."""
+    docs = markdown(spark, sf_dir)
+    s = cut(md.sections(docs, "doc_id", "text").withColumn("t", F.concat_ws("\n", "title", "trail", "content")).select(F.struct("doc_id", "section").alias("id"), "doc_id", "t", F.concat_ws(" ", "title", "trail").alias("head")))
+    scored = ranking.bm25(s, TERMS, "id", F.col("t"))
+    release = F.col("doc_id") % 40 == 7  # documents of the release that is asked for
+    all_of = s.join(docs.select("doc_id", "lang"), "doc_id").join(scored, "id", "left").where((F.coalesce("score", F.lit(0.0)) > 0) | release)
+    own = ranking.boosted(F.coalesce("score", F.lit(0.0)), TERMS, X.tokens(F.col("head")), F.contains(F.lower("t"), F.lit(_PHRASE)), F.col("lang") == "de", release)
+    return all_of.select("id", F.round(own, 6).alias("score")).orderBy(F.desc("score"), "id").limit(20).select("id.doc_id", "id.section", "score")
 
 
 @query(
     "v04_recall",
     f"""WITH {bm25_sql("documents", "doc_id", "text")},
-aged AS (SELECT doc_id, matched, score * CASE WHEN source IN ('src0', 'src1') THEN 1.08 ELSE 1 END * CASE WHEN doc_id % 5 = 0 THEN 0.92 ELSE 1 END AS score, n_chars FROM scored JOIN documents USING (doc_id) WHERE matched >= 2),
+aged AS (SELECT doc_id, matched, score * CASE WHEN source IN ('src0', 'src1') THEN 1.08 ELSE 1 END * CASE WHEN doc_id % 5 = 0 THEN 0.92 ELSE 1 END AS score, n_chars FROM scored JOIN documents USING (doc_id)
+  WHERE matched >= 2 OR (matched = 1 AND doc_id IN (SELECT doc_id FROM hit WHERE term IN ('nation')))),
 top AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rn FROM aged WHERE score >= 0.24 * (SELECT max(score) FROM aged) QUALIFY rn <= 4)
 SELECT doc_id, round(score, 6) AS score, least(n_chars, 2400) AS shown FROM top WHERE rn = 1 OR (SELECT coalesce(sum(least(n_chars, 2400)), 0) FROM top p WHERE p.rn < top.rn) < 2400""",
 )
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At least two matched terms, weights by scope and age, a floor, four results, and a budget of characters."""
+    """Strong matches only, weights by scope and age, a floor, four results, and a budget of characters; a query that only says to go on recalls nothing."""
     docs = table(spark, sf_dir, "documents")
-    scored = ranking.bm25(docs, TERMS, "doc_id", F.col("text")).where("matched >= 2").join(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    asked = "the thing with that #nation of order"
+    if ranking.is_generic(asked):
+        return docs.limit(0).select("doc_id", F.lit(0.0).alias("score"), F.col("n_chars").alias("shown"))
+    scored = ranking.bm25(docs, TERMS, "doc_id", F.col("text"), terms_too=True).where(ranking.strong_match(asked, TERMS, F.col("terms"))).join(docs.select("doc_id", "source", "n_chars"), "doc_id")
     weight = F.when(F.col("source").isin("src0", "src1"), 1.08).otherwise(1.0) * F.when(F.col("doc_id") % 5 == 0, 0.92).otherwise(1.0)
     best = ranking.floor(scored.withColumn("score", F.col("score") * weight), 0.24).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(4)
     order = Window.orderBy(F.desc("score"), "doc_id")  # over four rows
     shown = F.least("n_chars", F.lit(2400))
     spent = F.coalesce(F.sum(shown).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return best.withColumn("spent", spent).where("spent = 0 or spent < 2400").select("doc_id", "score", shown.alias("shown"))
+    return best.withColumn("spent", spent).where("spent = 0 or spent < 2400").select("doc_id", "score", shown.alias("shown"))
\ No newline at end of file

@@ -26,17 +26,19 @@ def turn_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("st03_upsert_counters", "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
 def upsert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters that each batch of a stream adds to."""
-    return runs.merge_counters(spark, runs.event_stream(spark, sf_dir), ["event_type", "user_id"])
+    return runs.merge_counters(runs.event_stream(spark, sf_dir), ["event_type", "user_id"])
 
 
 @query("st04_distinct_stream", "SELECT DISTINCT user_id, event_type, props FROM events")
 def distinct_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is announced again is passed over."""
-    stream = runs.event_stream(spark, sf_dir).select("user_id", "event_type", "props").dropDuplicates(["user_id", "event_type", "props"])
-    return runs.updates(stream, "append").drop("batch")
+    return runs.updates(runs.first_seen(runs.event_stream(spark, sf_dir), ["user_id", "event_type", "props"]), "append").drop("batch")
 
 
-@query("e02_quiet_sessions", "WITH r AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM r) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM s GROUP BY user_id, k")
+_QUIET_SQL = "r AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM r)"
+
+
+@query("e02_quiet_sessions", f"WITH {_QUIET_SQL} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM s GROUP BY user_id, k")
 def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of events that end when nothing comes for twelve hours."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -44,6 +46,13 @@ def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
 
 
+@query("st06_debounced", f"WITH {_QUIET_SQL} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
+def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream, which acts once on a burst, when the watermark tells that it has been quiet long enough; bursts that may go on are held back."""
+    s = runs.updates(runs.debounced(runs.event_stream(spark, sf_dir), "12 hours", "1 minute"), "append")
+    return s.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+
+
 @query("st05_sliding_counts", "WITH w AS (SELECT ts, event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS h FROM events) SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM w GROUP BY ALL")
 def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding windows of two hours, one an hour."""
@@ -52,9 +61,13 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
-@query("e06_log_compaction", "WITH s AS (SELECT conv_id, CAST(sum(strlen(text)) AS BIGINT) AS log_bytes, CAST(sum(CASE WHEN role = 'user' THEN strlen(text) ELSE 0 END) AS BIGINT) AS live_bytes FROM conversations GROUP BY conv_id) SELECT conv_id, log_bytes, live_bytes, log_bytes > 4 * live_bytes AND log_bytes > 1024 AS compact FROM s")
+_LOG_SQL = "b AS (SELECT *, coalesce(max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id), 0) AS base FROM conversations), m AS (SELECT *, turn >= base AS live, sum(strlen(text)) OVER (PARTITION BY conv_id) AS log_bytes, sum(CASE WHEN turn >= base AND role <> 'assistant' THEN strlen(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS live_bytes FROM b)"
+
+
+@query(
+    "e06_log_compaction",
+    f"WITH {_LOG_SQL}, c AS (SELECT conv_id, turn, role, strlen(text) AS n, log_bytes > 4 * live_bytes AND log_bytes > 1024 AS compact, live AND role <> 'assistant' AS kept FROM m) SELECT conv_id, CASE WHEN compact THEN 'snapshot' ELSE 'log' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, turn, n FROM c WHERE kept OR NOT compact",
+)
 def log_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs that are much larger than what is live in them."""
-    size = F.octet_length("text")
-    s = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(size).cast("bigint").alias("log_bytes"), F.sum(F.when(F.col("role") == "user", size).otherwise(0)).cast("bigint").alias("live_bytes"))
-    return s.withColumn("compact", (F.col("log_bytes") > 4 * F.col("live_bytes")) & (F.col("log_bytes") > 1024))
+    """Logs that are more than four times as large as what is live in them, and large at all, are written anew as a snapshot of that; others stay as they are."""
+    return runs.compacted(table(spark, sf_dir, "conversations"), 4, 1024).select("conv_id", "kind", "idx", "turn", F.octet_length("text").alias("n"))
\ No newline at end of file

@@ -272,61 +272,7 @@ def visible_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "facet"))).where("rn <= 5 or facet = 13")  # one row a facet
 
 
-# Writes, as the rows that they leave
-
-
-@query("d01_upsert_increment", "WITH old AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL), new AS (SELECT event_type, user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL) SELECT event_type, user_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL")
-def upsert_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters that a batch adds to."""
-    e = table(spark, sf_dir, "events")
-    old = e.where("ts < timestamp_ntz '2024-01-20'").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    new = e.where("ts >= timestamp_ntz '2024-01-20'").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return series.merge_counts(old, new, ["event_type", "user_id"])
-
-
-@query("d02_upsert_replace", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
-def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last write for each key, by an aggregate."""
-    return series.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
-
-
-@query(
-    "d03_crash_groups",
-    f"""WITH e AS (SELECT user_id % 20 AS fp, event_id, ts, 'v1.' || (event_id % 5) AS version, value, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS resolved, event_type FROM events WHERE event_type IN ('error', 'purchase') WINDOW w AS (PARTITION BY user_id % 20 ORDER BY ts, event_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY fp, resolved ORDER BY ts, event_id) AS k FROM e WHERE event_type = 'error')
-SELECT fp, count(*) AS n, arg_min(version, struct_pack(a := ts, b := event_id)) AS first_version, arg_max(version, struct_pack(a := ts, b := event_id)) AS last_version, max(value) > 60 AS critical,
-  count(*) FILTER (WHERE k = 1 AND resolved > 0 AND resolved > 0) AS regressions FROM r GROUP BY fp""",
-)
-def crash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: groups of reports in the order of arrival: count, versions, a sticky severity, and how often a resolved group opened again."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase")).withColumn("fp", F.col("user_id") % 20).withColumn("version", F.concat(F.lit("v1."), F.col("event_id") % 5))
-    w = Window.partitionBy("fp").orderBy("ts", "event_id")
-    prev = F.lag("event_type").over(w)
-    before = F.count(F.lit(1)).over(w)
-    e = e.withColumn("reopened", ((F.col("event_type") == "error") & (prev == "purchase") & (before > 1)).cast("int"))
-    order = F.struct("ts", "event_id")
-    g = e.where("event_type = 'error'").groupBy("fp")
-    return g.agg(F.count("*").alias("n"), F.min_by("version", order).alias("first_version"), F.max_by("version", order).alias("last_version"), (F.max("value") > 60).alias("critical"), F.sum("reopened").alias("regressions"))
-
-
-@query("d04_immutable_insert", "SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_custkey % 3 = 0)")
-def immutable_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only rows whose key is new are added."""
-    have = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(have, "s_suppkey", "left_anti")
-
-
-@query("d05_counter_floor", "SELECT user_id, greatest(0, sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END)) AS stars FROM events GROUP BY user_id")
-def counter_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A counter that does not go below 0."""
-    step = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.sum(step)).alias("stars"))
-
-
-@query("d08_retention_purge", f"WITH {PINGS_SQL}, {AS_OF_SQL} SELECT date, install_id, opens FROM pings, as_of WHERE date >= d - 10", dates=("date",))
-def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a purge leaves."""
-    return with_as_of(pings(spark, sf_dir), spark, sf_dir).where(F.col("date") >= F.date_sub("as_of", 10)).select("date", "install_id", "opens")
+# Ingest and filters
 
 
 @query("d09_ingest_sentinel", f"WITH {AS_OF_SQL}, t AS (SELECT event_type, count(*) AS total, count(*) FILTER (WHERE CAST(ts AS DATE) < d) AS checkpoint FROM events, as_of GROUP BY event_type) SELECT event_type, total, checkpoint, total <= checkpoint AS stalled FROM t")
@@ -337,22 +283,6 @@ def ingest_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("stalled", F.col("total") <= F.col("checkpoint"))
 
 
-@query("d10_additive_schema", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, '' AS brand FROM customer UNION ALL SELECT s_suppkey, s_name, '', '' FROM supplier")
-def additive_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An older table read with the columns that came later."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return c.unionByName(s, allowMissingColumns=True).withColumn("brand", F.lit("")).fillna("", ["segment"])
-
-
-@query("d11_partition_replace", "WITH new AS (SELECT o_custkey, o_orderkey, o_totalprice * 2 AS price FROM orders WHERE o_custkey % 10 = 0) SELECT o_custkey, o_orderkey, o_totalprice AS price FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM new) UNION ALL SELECT * FROM new")
-def partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of the keys that a batch holds are replaced by it."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
-    new = o.where("o_custkey % 10 = 0").withColumn("price", F.col("price") * 2)
-    return o.join(new.select("o_custkey").distinct(), "o_custkey", "left_anti").unionByName(new)
-
-
 @query("p02_optional_filters", f"WITH b AS (SELECT event_id, event_type, {BUCKET_SQL} AS bucket, 'os' || (user_id % 3) || ' ' || 'arch' || (user_id % 2) AS platform FROM events) SELECT event_id, event_type, bucket, platform FROM b WHERE event_type = 'error' AND platform = 'os1 arch1'")
 def optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters that are only there if asked for; empty and ``all`` mean any."""

@@ -6,6 +6,8 @@ retry, ``signup`` the start of a turn, ``purchase`` a passed check.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -214,13 +216,49 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where("round > 0").groupBy("user_id", "round").agg(F.count_if(F.col("event_type") == "view").alias("dispatched"), F.count_if(F.col("event_type") == "click").alias("results"))
 
 
-@query("f30_round_classes", f"WITH b AS (SELECT user_id, event_id // 50 AS batch, bool_or(event_type = 'error') AS err, bool_or(event_type = 'purchase') AS buy, bool_or(event_type = 'signup') AS sig FROM events GROUP BY ALL) SELECT CASE WHEN err THEN 'recovery' WHEN buy THEN 'verification' WHEN sig THEN 'planning' ELSE 'evidence' END AS class, count(*) AS n FROM b GROUP BY 1")
+# Rounds of fifty events; a call is a view, click or purchase, and what it is called follows from its argument.
+_CALL_SQL = "c AS (SELECT user_id, event_id // 50 AS batch, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type IN ('view', 'click', 'purchase') AS call, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS dup FROM events)"
+_FLAGS_SQL = """g AS (SELECT user_id, batch, bool_or(event_type = 'error' AND value > 80) AS tainted, bool_or(event_type = 'signup' AND k < 10) AS compaction, bool_or(event_type = 'signup') AS planner, bool_or(event_type = 'error' AND k < 20) AS handoff,
+  bool_or(call) AS batch_there, bool_or(call AND k = 7) AS delegation, bool_or(event_type = 'purchase') AS verification, bool_or(event_type = 'click' AND k % 5 <> 0 AND value < 60) AS mutation, bool_and(NOT call OR (event_type = 'click' AND k % 5 = 0)) AS bookkeeping, bool_and(NOT call OR dup) AS dups,
+  CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS ms FROM c GROUP BY user_id, batch)"""
+_CLASS_SQL = "cl AS (SELECT *, CASE WHEN tainted THEN 'recovery' WHEN compaction THEN 'compaction' WHEN planner THEN 'planning' WHEN handoff THEN 'handoff_retry' WHEN NOT batch_there THEN 'finalization' WHEN delegation THEN 'delegation' WHEN verification THEN 'verification' WHEN mutation THEN 'mutation' WHEN bookkeeping THEN 'bookkeeping' WHEN dups THEN 'duplicate_work' ELSE 'evidence_gain' END AS class FROM g)"
+#: Rounds that move a task forward.
+PRODUCTIVE = ["evidence_gain", "mutation", "verification", "finalization", "delegation"]
+
+
+def classified_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, class, ms) of each round: what happened in the gap before it outranks what its calls did, and a round without calls is a final answer."""
+    call, k = F.col("event_type").isin("view", "click", "purchase"), F.col("k")
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    e = e.withColumn("dup", F.row_number().over(Window.partitionBy("user_id", "event_type", "props").orderBy("ts", "event_id")) > 1)
+    of, some, every = (lambda t: F.col("event_type") == t), F.bool_or, F.bool_and
+    g = e.groupBy("user_id", F.floor(F.col("event_id") / 50).alias("batch")).agg(
+        some(of("error") & (F.col("value") > 80)).alias("tainted"), some(of("signup") & (k < 10)).alias("compaction"), some(of("signup")).alias("planner"), some(of("error") & (k < 20)).alias("handoff"), some(call).alias("there"),
+        some(call & (k == 7)).alias("delegation"), some(of("purchase")).alias("verification"), some(of("click") & (k % 5 != 0) & (F.col("value") < 60)).alias("mutation"),
+        every(~call | (of("click") & (k % 5 == 0))).alias("bookkeeping"), every(~call | F.col("dup")).alias("dups"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("ms"),
+    )
+    ladder = [("tainted", "recovery"), ("compaction", "compaction"), ("planner", "planning"), ("handoff", "handoff_retry"), (~F.col("there"), "finalization"), ("delegation", "delegation"), ("verification", "verification"), ("mutation", "mutation"), ("bookkeeping", "bookkeeping"), ("dups", "duplicate_work")]
+    kind = reduce(lambda rest, x: F.when(F.col(x[0]) if isinstance(x[0], str) else x[0], x[1]).otherwise(rest), reversed(ladder), F.lit("evidence_gain"))
+    return g.select("user_id", "batch", kind.alias("class"), "ms")
+
+
+@query("f30_round_classes", f"WITH {_CALL_SQL}, {_FLAGS_SQL}, {_CLASS_SQL} SELECT class, count(*) AS n FROM cl GROUP BY 1")
 def round_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a batch is for, by the first kind of work that it holds."""
-    b = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 50).alias("batch"))
-    b = b.agg(*(F.bool_or(F.col("event_type") == k).alias(a) for k, a in (("error", "err"), ("purchase", "buy"), ("signup", "sig"))))
-    kind = F.when(F.col("err"), "recovery").when(F.col("buy"), "verification").when(F.col("sig"), "planning").otherwise("evidence")
-    return b.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    """how many rounds bought what, in eleven classes."""
+    return classified_rounds(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a29_round_efficiency",
+    f"WITH {_CALL_SQL}, {_FLAGS_SQL}, {_CLASS_SQL}, s AS (SELECT count(DISTINCT user_id) AS solved FROM events WHERE event_type = 'purchase' AND value > 50) SELECT class, count(*) AS rounds, CAST(sum(ms) AS BIGINT) AS ms, list_contains({PRODUCTIVE!r}, class) AS useful, CAST(sum(ms) AS BIGINT) // any_value(solved) AS ms_per_solved, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM cl, s GROUP BY class",
+)
+def round_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds and time by class, which classes were useful, and what a solved run pays for each; the totals are one row."""
+    by = classified_rounds(spark, sf_dir).groupBy("class").agg(F.count("*").alias("rounds"), F.sum("ms").alias("ms"))
+    total = by.agg(F.sum("rounds").alias("all_rounds"))
+    solved = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 50").agg(F.countDistinct("user_id").alias("solved"))
+    out = by.join(F.broadcast(total)).join(F.broadcast(solved))
+    return out.select("class", "rounds", "ms", F.col("class").isin(PRODUCTIVE).alias("useful"), F.expr("ms div solved").alias("ms_per_solved"), F.round(F.lit(100.0) * F.col("rounds") / F.col("all_rounds"), 6).alias("pct"))
 
 
 # Arms: results by order priority, classes by market segment.
@@ -258,26 +296,29 @@ def arm_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms(results(spark, sf_dir), "arm", "class")
 
 
-@query("j17_matrix", f"WITH {_RESULTS_SQL}, a AS (SELECT class, count(*) FILTER (WHERE arm = '1-URGENT' AND passed) AS urgent, count(*) FILTER (WHERE arm = '2-HIGH' AND passed) AS high, count(*) FILTER (WHERE arm = '5-LOW' AND passed) AS low FROM results GROUP BY class) SELECT * FROM a")
+_CELL_SQL = "CASE WHEN count(*) FILTER (WHERE arm = '{0}') = 0 THEN '—' ELSE count(*) FILTER (WHERE arm = '{0}' AND passed) || '/' || count(*) FILTER (WHERE arm = '{0}') END AS {1}"
+ARMS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query("j17_matrix", f"WITH {_RESULTS_SQL} SELECT class, " + ", ".join(_CELL_SQL.format(a, b) for a, b in ARMS.items()) + " FROM results WHERE arm <> '3-MEDIUM' OR class <> 'BUILDING' GROUP BY class")
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms as columns, classes as rows."""
-    p = results(spark, sf_dir).where("passed").groupBy("class").pivot("arm", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.count("task"))
-    return p.select("class", *(F.coalesce(F.col(f"`{a}`"), F.lit(0)).alias(b) for a, b in (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("5-LOW", "low"))))
+    """All arms as columns, classes as rows, with solved and run tasks; a dash where an arm has not run a class (here one is left out)."""
+    r = results(spark, sf_dir).where("arm <> '3-MEDIUM' or class <> 'BUILDING'")
+    p = r.groupBy("class").pivot("arm", list(ARMS)).agg(F.count_if("passed").alias("solved"), F.count(F.lit(1)).alias("ran"))
+    cell = lambda a: F.when(F.coalesce(F.col(f"`{a}_ran`"), F.lit(0)) == 0, "—").otherwise(F.concat_ws("/", F.col(f"`{a}_solved`").cast("string"), F.col(f"`{a}_ran`").cast("string")))
+    return p.select("class", *(cell(a).alias(b) for a, b in ARMS.items()))
 
 
 @query("a20_upper_median", f"WITH {_RESULTS_SQL} SELECT arm, class, list_sort(list(wall_ms))[count(*) // 2 + 1] AS median_ms FROM results WHERE passed GROUP BY arm, class")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper of the two middle values; by rank, so that no list of a group is held."""
-    w = Window.partitionBy("arm", "class")
-    r = results(spark, sf_dir).where("passed").withColumn("rn", F.row_number().over(w.orderBy("wall_ms", "task"))).withColumn("n", F.count("*").over(w))
-    return r.where("rn = floor(n / 2) + 1").select("arm", "class", F.col("wall_ms").alias("median_ms"))
+    """The upper of the two middle values, from counts by value."""
+    return series.upper_median(results(spark, sf_dir).where("passed"), ["arm", "class"], "wall_ms").select("arm", "class", F.col("median").alias("median_ms"))
 
 
 @query("a21_percentiles", f"WITH {_RESULTS_SQL} SELECT arm, quantile_disc(wall_ms, 0.5) AS p50, quantile_disc(wall_ms, 0.9) AS p90, quantile_disc(wall_ms, 0.95) AS p95 FROM results GROUP BY arm")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles, exact."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY wall_ms)").cast("bigint")
-    return results(spark, sf_dir).groupBy("arm").agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
+    """Nearest-rank percentiles, exact, from counts by value."""
+    return series.percentiles(results(spark, sf_dir), ["arm"], "wall_ms", {"p50": 50, "p90": 90, "p95": 95}).select("arm", "p50", "p90", "p95")
 
 
 @query("a23_rates", f"WITH {_RESULTS_SQL} SELECT arm, round(count(*) FILTER (WHERE passed) * 3600000.0 / sum(wall_ms), 6) AS solved_per_hour, round(100.0 * count(*) FILTER (WHERE passed) / count(*), 6) AS solved_pct FROM results GROUP BY arm")
@@ -293,20 +334,49 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).groupBy(why.alias("failure")).agg(F.count("*").alias("n"))
 
 
-@query("a26_mechanisms", "WITH u AS (SELECT user_id, event_type FROM events GROUP BY ALL), s AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS solved FROM events GROUP BY user_id), m AS (SELECT unnest(['error', 'signup', 'click']) AS mechanism) SELECT mechanism, count(*) FILTER (WHERE u.user_id IS NOT NULL) AS fired, CAST(coalesce(sum(CASE WHEN u.user_id IS NOT NULL THEN solved END), 0) AS BIGINT) AS solved_fired, CAST(coalesce(sum(CASE WHEN u.user_id IS NULL THEN solved END), 0) AS BIGINT) AS solved_quiet FROM s CROSS JOIN m LEFT JOIN u ON u.user_id = s.user_id AND u.event_type = mechanism GROUP BY mechanism")
+MECHANISMS = ["error", "signup", "click", "view"]
+
+
+@query(
+    "a26_mechanisms",
+    f"WITH u AS (SELECT user_id, event_type, count(*) AS fires, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS ms FROM events GROUP BY ALL), s AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' AND value > 20 THEN 1 ELSE 0 END) AS solved FROM events WHERE event_id % 3 = 0 OR event_type <> 'purchase' GROUP BY user_id), m AS (SELECT unnest({MECHANISMS!r}) AS mechanism) SELECT mechanism, CAST(coalesce(sum(fires), 0) AS BIGINT) AS fires, count(*) FILTER (WHERE fires > 0) AS runs_fired, CASE WHEN mechanism <> 'view' THEN CAST(coalesce(sum(ms), 0) AS BIGINT) END AS ms, CAST(coalesce(sum(CASE WHEN fires > 0 THEN solved END), 0) AS BIGINT) AS solved_fired, CAST(coalesce(sum(CASE WHEN fires IS NULL THEN solved END), 0) AS BIGINT) AS solved_quiet FROM s CROSS JOIN m LEFT JOIN u ON u.user_id = s.user_id AND u.event_type = mechanism GROUP BY mechanism",
+)
 def mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs solved where a mechanism fired and where it did not; flags in one row a run, then turned."""
-    names = ["error", "signup", "click"]
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max((F.col("event_type") == "purchase").cast("int")).alias("solved"), *(F.max((F.col("event_type") == n).cast("int")).alias(n) for n in names))
-    long = g.unpivot(["user_id", "solved"], names, "mechanism", "on")
-    return long.groupBy("mechanism").agg(F.sum("on").alias("fired"), F.sum(F.col("on") * F.col("solved")).alias("solved_fired"), F.sum((1 - F.col("on")) * F.col("solved")).alias("solved_quiet"))
+    """How often each mechanism fired, in how many runs, the time that it took where that is known, and runs solved where it fired and where not.
+
+    Counts stand in one row a run and are then turned; a run is solved here by some of its purchases.
+    """
+    solved = F.max(((F.col("event_type") == "purchase") & (F.col("value") > 20) & (F.col("event_id") % 3 == 0)).cast("int"))
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    counted = [F.struct(F.count_if(F.col("event_type") == n).alias("fires"), F.sum(F.when(F.col("event_type") == n, cents).otherwise(0)).alias("ms")).alias(n) for n in MECHANISMS]
+    any_row = F.count_if((F.col("event_id") % 3 == 0) | (F.col("event_type") != "purchase"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(solved.alias("solved"), any_row.alias("recorded"), *counted).where("recorded > 0")
+    long = g.unpivot(["user_id", "solved"], MECHANISMS, "mechanism", "x").select("mechanism", "solved", "x.fires", "x.ms")
+    on = (F.col("fires") > 0).cast("int")
+    return long.groupBy("mechanism").agg(F.sum("fires").alias("fires"), F.sum(on).alias("runs_fired"), F.when(F.col("mechanism") != "view", F.sum("ms")).alias("ms"), F.sum(on * F.col("solved")).alias("solved_fired"), F.sum((1 - on) * F.col("solved")).alias("solved_quiet"))
+
 
+_TREE_SQL = "t AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE never) AS never, count(*) FILTER (WHERE NOT never) AS with_correct, count(*) FILTER (WHERE NOT never AND attempt = 0 AND NOT passed) AS damaged, coalesce(sum(CASE WHEN NOT never THEN wall_ms // 5 * attempt END), 0) AS waste, coalesce(sum(CASE WHEN NOT never THEN wall_ms // 6 END), 0) AS ttfum, sum(wall_ms) AS wall FROM (SELECT *, NOT passed AND attempt > {least} AS never FROM results WHERE NOT unaccounted) GROUP BY arm)"
 
-@query("a42_decision_tree", f"WITH {_RESULTS_SQL}, t AS (SELECT arm, count(*) AS n, count(*) FILTER (WHERE NOT passed) AS never, count(*) FILTER (WHERE attempt > 1) AS damaged FROM results GROUP BY arm) SELECT arm, CASE WHEN never * 100 >= n * 80 THEN 'never' WHEN damaged * 100 >= n * 10 THEN 'damaged' ELSE 'exploration' END AS verdict FROM t")
+
+def diagnosis(never, checkpointed, damaged, with_correct, waste, ttfum):
+    """What to work on first: runs that are never right, then runs that were spoilt, then the larger of what is wasted after a solution and before a first use; in whole numbers."""
+    return F.when(never * 100 >= checkpointed * 30, "never_correct").when((with_correct > 0) & (damaged * 100 >= with_correct * 10), "damaged").when(waste >= ttfum, "post_solve_waste").otherwise("exploration")
+
+
+@query(
+    "a42_decision_tree",
+    f"WITH {_RESULTS_SQL}, {_TREE_SQL.format(least=1)} SELECT arm, CASE WHEN never * 100 >= n * 30 THEN 'never_correct' WHEN with_correct > 0 AND damaged * 100 >= with_correct * 10 THEN 'damaged' WHEN waste >= ttfum THEN 'post_solve_waste' ELSE 'exploration' END AS verdict FROM t WHERE wall > 0",
+)
 def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first threshold that the totals pass, in whole numbers."""
-    t = results(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("never"), F.count_if(F.col("attempt") > 1).alias("damaged"))
-    return t.select("arm", F.when(F.col("never") * 100 >= F.col("n") * 80, "never").when(F.col("damaged") * 100 >= F.col("n") * 10, "damaged").otherwise("exploration").alias("verdict"))
+    """The first threshold that the totals of an arm pass; runs that were not accounted are left out."""
+    never = ~F.col("passed") & (F.col("attempt") > 1)
+    r = results(spark, sf_dir).where(~F.col("unaccounted"))
+    t = r.groupBy("arm").agg(
+        F.count("*").alias("n"), F.count_if(never).alias("never"), F.count_if(~never).alias("with_correct"), F.count_if(~never & (F.col("attempt") == 0) & ~F.col("passed")).alias("damaged"),
+        F.coalesce(F.sum(F.when(~never, F.floor(F.col("wall_ms") / 5) * F.col("attempt"))), F.lit(0)).alias("waste"), F.coalesce(F.sum(F.when(~never, F.floor(F.col("wall_ms") / 6))), F.lit(0)).alias("ttfum"), F.sum("wall_ms").alias("wall"),
+    )
+    return t.where("wall > 0").select("arm", diagnosis(*(F.col(c) for c in ("never", "n", "damaged", "with_correct", "waste", "ttfum"))).alias("verdict"))
 
 
 @query("j18_pareto", f"WITH {_RESULTS_SQL}, a AS (SELECT class || '/' || arm AS label, count(*) FILTER (WHERE passed) AS solved, count(*) FILTER (WHERE attempt = 0) AS cheap FROM results GROUP BY ALL), d AS (SELECT x.label, min(y.label) AS dominated_by FROM a x JOIN a y ON x.label <> y.label AND y.solved >= x.solved AND y.cheap >= x.cheap AND (y.solved > x.solved OR y.cheap > x.cheap) GROUP BY x.label) SELECT a.label, solved, cheap, dominated_by FROM a LEFT JOIN d USING (label)")

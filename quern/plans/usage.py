@@ -93,10 +93,11 @@ def cost(prompt: str, hit: str, miss: str, write: str, completion: str, p_hit: i
     return h * p_hit + (ms - wc + F.when(wc > 0, wc * write_factor).otherwise(0)) * p_in + F.col(completion) * p_out
 
 
-@query("a31_store_stats", "SELECT source, count(DISTINCT lang) AS langs, count(*) AS chunks, max(lang) AS last_lang FROM documents GROUP BY source ORDER BY 2, 1")
+@query("a31_store_stats", "SELECT source AS workspace, count(DISTINCT doc_id) AS paths, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks, max(lang) AS model FROM documents GROUP BY source ORDER BY 2, 1")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths and chunks of each workspace."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.count("*").alias("chunks"), F.max("lang").alias("last_lang"))
+    """Paths and chunks of each workspace, the smallest first; a line is a chunk here."""
+    chunk = table(spark, sf_dir, "documents").select(F.col("source").alias("workspace"), F.col("doc_id").alias("path"), "lang", F.size(F.split("text", "\n", -1)).alias("n"))
+    return chunk.groupBy("workspace").agg(F.countDistinct("path").alias("paths"), F.sum("n").cast("bigint").alias("chunks"), F.max("lang").alias("model")).orderBy("paths", "workspace")
 
 
 @query("a36_attempt_usage", f"WITH {USAGE_SQL} SELECT event_id // 10 AS call_id, CAST(sum(total) AS BIGINT) AS billed, arg_max(total, event_id) AS context FROM usage GROUP BY 1")
@@ -155,39 +156,12 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(torn, "k bigint").alias("j")).where("j.k is not null").select("event_id", F.col("j.k").alias("k"))
 
 
-@query("s07_sessions", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user') > 0")
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that have a turn."""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"), F.max("turn").alias("last_turn")).where("turns > 0")
-
-
-@query("s08_source_union", "WITH u AS (SELECT conv_id AS id, 1 AS scope FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 2 FROM conversations WHERE conv_id % 3 = 0) SELECT id, min(scope) AS scope FROM u GROUP BY id")
-def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several sources as one, each item once, under its first scope."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"))
-    u = c.where("id % 2 = 0").withColumn("scope", F.lit(1)).unionByName(c.where("id % 3 = 0").withColumn("scope", F.lit(2)))
-    return u.groupBy("id").agg(F.min("scope").alias("scope"))
-
-
-@query("s14_line_window", "SELECT doc_id, i, s FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE i >= 2 AND i < 5")
-def line_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window of the lines of each text."""
-    line = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
-    return line.where("size(l) > 2").select("doc_id", F.posexplode(F.slice("l", 3, 3)).alias("i", "s")).select("doc_id", (F.col("i") + 2).alias("i"), "s")
-
-
 @query("s19_after_sequence", "SELECT event_id, user_id FROM events WHERE user_id = 7 AND event_id > 500")
 def after_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a log holds after a given sequence number."""
     return table(spark, sf_dir, "events").where("user_id = 7 and event_id > 500").select("event_id", "user_id")
 
 
-@query("s20_slowest", "SELECT event_id, value FROM events WHERE event_type = 'view' ORDER BY value DESC, event_id LIMIT 15")
-def slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slowest runs."""
-    return table(spark, sf_dir, "events").where("event_type = 'view'").orderBy(F.desc("value"), "event_id").limit(15).select("event_id", "value")
-
-
 @query("s24_tail", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3")
 def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three lines of each log."""
@@ -212,21 +186,20 @@ def glob_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(matches(F.col("url"), ["http*://*/en/**", "http*://*/de/**"], ["http*://blog*/**"])).select("page_id")
 
 
-@query("s05_indexable", "SELECT doc_id, length(text) BETWEEN 1 AND 20000 AND list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) <= 2000 AS indexable FROM documents")
-def indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text is worth indexing: its size and its longest line."""
-    longest = F.array_max(F.transform(F.split("text", "\n", -1), lambda x: F.length(x)))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length("text").between(1, 20000) & (longest <= 2000)).alias("indexable"))
-
-
 @query("e01_daily_usage_days", f"WITH {USAGE_SQL} SELECT source, count(DISTINCT date) AS days, min(date) AS first_day, max(date) AS last_day FROM usage GROUP BY source", dates=("first_day", "last_day"))
 def usage_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active days of each source."""
     return usage(spark, sf_dir).groupBy("source").agg(F.countDistinct("date").alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
-@query("a37_readiness", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS evidence, count(*) FILTER (WHERE event_type = 'purchase') >= 3 AS ready FROM events GROUP BY user_id")
+@query(
+    "a37_readiness",
+    "WITH accepted AS (SELECT l_orderkey AS criterion, count(*) AS evidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey), c AS (SELECT o_custkey AS task, count(*) AS required, count(*) FILTER (WHERE evidence IS NULL) AS missing, CAST(coalesce(sum(evidence), 0) AS BIGINT) AS evidence FROM orders LEFT JOIN accepted ON criterion = o_orderkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_custkey) SELECT c_custkey AS task, CASE WHEN c_acctbal < 0 THEN 'task is blocked' ELSE '' END AS blocked, coalesce(required, 0) AS required, coalesce(missing, 0) AS missing, coalesce(evidence, 0) AS evidence, c_acctbal >= 0 AND coalesce(missing, 0) = 0 AS ready FROM customer LEFT JOIN c ON task = c_custkey",
+)
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether there is enough evidence."""
-    e = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("evidence"))
-    return e.withColumn("ready", F.col("evidence") >= 3)
+    """Whether every required criterion of a task has accepted evidence; a blocked task is not ready, whatever it has."""
+    accepted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("found"))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_custkey").join(accepted, "o_orderkey", "left")
+    c = o.groupBy(F.col("o_custkey").alias("task")).agg(F.count("*").alias("required"), F.count_if(F.col("found").isNull()).alias("missing"), F.coalesce(F.sum("found"), F.lit(0)).alias("evidence"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"), (F.col("c_acctbal") < 0).alias("stuck")).join(c, "task", "left").fillna(0, ["required", "missing", "evidence"])
+    return t.select("task", F.when(F.col("stuck"), "task is blocked").otherwise("").alias("blocked"), "required", "missing", "evidence", (~F.col("stuck") & (F.col("missing") == 0)).alias("ready"))
\ No newline at end of file

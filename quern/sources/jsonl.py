@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +24,9 @@ def until_damage(rows: DataFrame, order: str, raw: str, schema: str) -> DataFram
     decoded = rows.withColumn("record", F.from_json(raw, schema)).withColumn("bad", F.col("record").isNull() | F.forall(F.array(*(F.col(f"record.{f.split()[0]}").isNull() for f in schema.split(","))), lambda x: x))
     damage = decoded.where("bad").agg(F.min(order).alias("damage"))
     return decoded.join(F.broadcast(damage)).where(F.col("damage").isNull() | (F.col(order) < F.col("damage"))).drop("bad", "damage")
+
+
+def read_arms(spark: SparkSession, arms: dict[str, str], schema: str) -> DataFrame:
+    """Result sets of several arms, one path each, as one table with the arm's name; records may go over several lines."""
+    read = lambda name, path: spark.read.schema(schema).json(path).withColumn("arm", F.lit(name))
+    return reduce(DataFrame.unionByName, (read(name, path) for name, path in arms.items()))

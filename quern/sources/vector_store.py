@@ -22,3 +22,11 @@ def read(spark: SparkSession, path: str, made_by: str, dims: int) -> DataFrame:
 
 def stats(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.countDistinct("path").alias("paths"), F.count("*").alias("chunks"))
+
+
+def delete(spark: SparkSession, path: str, *names) -> None:
+    """Takes the vectors of some paths away; their folders are dropped and no file is read."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/path={name}")
+        folder.getFileSystem(hadoop).delete(folder, True)
