@@ -439,14 +439,14 @@ def join(docs: DataFrame, width: int = 5, block_sets: int = BLOCK_SETS, block_to
     signed = materialise(docs.mapInArrow(tp.task(_sign(width)), "doc_id bigint, n bigint, n_half bigint, hi bigint, lo bigint"))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("n_half").alias("n_half"), F.count("*").alias("copies"))
     classes, seen = measured(classes, half=F.sum("n_half"), rows=F.sum("copies"))
-    linked = materialise(link(docs, classes, int(seen["half"] or 0), width, block_sets, block_tokens, group, links))
+    linked = link(docs, classes, int(seen["half"] or 0), width, block_sets, block_tokens, group, links)
 
-    count = [F.col("copies") - 1 + F.coalesce("links", F.lit(0))] if links else []
-    final = lambda some: some.join(linked, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("least_doc", "rep").alias("component_id"), *(c.alias("n_links") for c in count))
+    count = [(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []
+    final = materialise(classes.join(linked, ["hi", "lo"], "left").select("hi", "lo", "copies", F.coalesce("least_doc", "rep").alias("component_id"), *count))
     each = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *each]
     hot = F.col("copies") >= F.lit(max(2.0, HOT * (seen["rows"] or 0)))
-    few = F.broadcast(final(classes.where(hot)))
-    cold = signed.join(few.select("hi", "lo"), ["hi", "lo"], "left_anti").join(final(classes.where(~hot)), ["hi", "lo"], "left")
+    few = F.broadcast(final.where(hot))
+    cold = signed.join(few.select("hi", "lo"), ["hi", "lo"], "left_anti").join(final.where(~hot), ["hi", "lo"], "left")
     return signed.join(few, ["hi", "lo"]).select(*columns).unionAll(cold.select(*columns))
