@@ -2,20 +2,26 @@
 
 Entities are found by one pattern with ordered alternatives. What identifies someone is a
 unit: an address, a number, a key, a given name, a family name. A unit has a canonical form
-(digits only, lower case), so that different spellings of it are the same one. Its surrogate
+(digits with the country code, lower case, no spaces), so that different spellings of it are the same one. Its surrogate
 follows from a secret key, its type and its canonical form: the same unit has the same surrogate
 in all documents. The surrogate keeps the type and the format of each spelling (length,
-separators, letter case, country code, the valid check digit of a card), the honorific
+separators, letter case, country code, a valid check number of a card or an IBAN), the honorific
 and the gender and script of a name.
 
+Names are found after an honorific. Wherever else the same document writes such a name, whole or one
+of its parts, it is replaced as well. A given name without a gender (``Dr.``) has that of the
+document's first mention of it that has one.
+
 Two units of a type may not get the same surrogate, nor one the surrogate that is another
-unit of the corpus. All units of the corpus are checked for that, and those that lose try again
+unit of the corpus; what is compared is what will be written. All units of the corpus are checked for that, and those that lose try again
 under the next number until none does; only the few that had to are remembered. They are
 written into the expression while they are at most ``max_inline``, else joined to the rows
-that hold them. Hot units are counted before they are shuffled.
+that hold them; both give the same texts. Units that are left after ``rounds``, because their format has too few
+values, get a mark with their type and sixteen hexadecimal digits. Hot units are counted before they are shuffled.
 
-Null texts stay null and have no entities. Texts without entities are unchanged. Repeated rows
-change alike. All other columns are kept, whatever their names.
+Null texts stay null and have no entities. Empty texts, and texts without entities, are unchanged. Repeated rows
+change alike; very long texts are read whole; an empty table stays empty. Of forms that could begin at
+one place the first in ``FORMS`` is taken. All other columns are kept, whatever their names: the column of types is ``pii_types``, with underscores behind if there is one.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ _NAME = r"\p{Lu}\p{Ll}[\p{L}'’]*(?:-\p{Lu}\p{Ll}[\p{L}'’]*)?"
 FORMS = {
     "key": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b) ?[=:] ?[\"']?[^\s\"',;]{6,}",
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,24}+|[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
@@ -42,9 +48,12 @@ FORMS = {
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "person": rf"\b{_HONORIFICS}\b\.? {_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in FORMS.values())
+#: Inside a word nothing begins but an address after a letter that addresses don't have, and groups of digits.
+ANY = rf"(?<!\p{{L}})(?:{'|'.join(f'(?:{p})' for p in FORMS.values())})|(?<=[^\x00-\x7F])(?:{FORMS['email']})|(?<=\p{{L}})(?:{FORMS['ssn']}|{FORMS['ip']})"
 #: What every entity has; a cheap test that most texts fail.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|key) ?[=:]|{_HONORIFICS}\.? \p{{Lu}}|sk-|eyJ|gh[pousr]_"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?:(?i:password|passwd|pwd|secret|token|[a-z]+[_-]?key|key)\b ?[=:]|{_HONORIFICS}\.? \p{{Lu}}|sk-|eyJ|gh[pousr]_)"
+#: The country code at the head of a phone number.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Mme|Señora|Señorita|Sra|Госпожа|Κυρία)\b"
 _MALE = r"^(?:Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος)\b"
 _SYLLABLES = {
@@ -84,25 +93,55 @@ def _unit(kind: Column, canon: Column, part: Column) -> Column:
     return F.struct(kind.alias("kind"), canon.alias("canon"), part.alias("part"))
 
 
-def _units(e: Column, kind: Column, head: Column) -> Column:
+def _phone(e: Column) -> Column:
+    """A number with its country code; one without is taken for one of the North American plan, whose form it has."""
+    return F.when(e.startswith("+"), F.concat(F.lit("+"), _digits(e))).otherwise(F.concat(F.lit("+1"), _digits(e)))
+
+
+def _units(e: Column, kind: Column, head: Column, gender: Column) -> Column:
     part = F.substring(e, F.length(head) + 1, F.length(e))
     words = F.split(part, " ")
     family = F.element_at(words, -1)
     last = F.array(_unit(F.concat(F.lit("last:"), _script(family)), F.lower(family), family))
     given = F.element_at(words, 1)
-    both = F.concat(F.array(_unit(F.concat_ws(":", F.lit("given"), _gender(e), _script(given)), F.lower(given), given)), last)
-    canon = F.when(kind == "email", F.lower(part)).when(kind.isin("ssn", "card"), _digits(part)).when(kind == "phone", F.right(_digits(part), F.lit(10))).when(kind == "iban", F.regexp_replace(part, " ", "")).otherwise(part)
-    return F.when(kind != "person", F.array(_unit(kind, canon, part))).when(F.size(words) > 1, both).otherwise(last)
+    both = F.concat(F.array(_unit(F.concat_ws(":", F.lit("given"), gender, _script(given)), F.lower(given), given)), last)
+    canon = F.when(kind == "email", F.lower(part)).when(kind.isin("ssn", "card"), _digits(part)).when(kind == "phone", _phone(part)).when(kind == "iban", F.regexp_replace(part, " ", "")).otherwise(part)
+    return F.when(kind == "none", F.array().cast(f"array<{_UNIT}>")).when(kind != "person", F.array(_unit(kind, canon, part))).when(F.size(words) > 1, both).otherwise(last)
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in its order: spelling, type, what stays before its units (an honorific, the name of a secret), and units."""
-    spelled = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    typed = F.transform(spelled, lambda e: F.struct(e.alias("e"), _type(e).alias("kind")))
+def entities(spelled: Column) -> Column:
+    """Entities of a text, given in its order: type, what stays before its units (an honorific, the name of a secret), and units."""
     before = {"person": rf"^({_HONORIFICS}\.? )", "secret": r"^([^=:]*[=:] ?[\"']?)"}
-    head = lambda x: F.when(x["kind"] == "person", F.regexp_extract(x["e"], before["person"], 1)).when(x["kind"] == "secret", F.regexp_extract(x["e"], before["secret"], 1)).otherwise(F.lit(""))
-    cut = F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), head(x).alias("head")))
-    return F.transform(cut, lambda x: F.struct(x["kind"].alias("kind"), x["head"].alias("head"), _units(x["e"], x["kind"], x["head"]).alias("units")))
+    # A number of a card's form whose check digit does not fit is no card, and stays.
+    kind = lambda e: let(_type(e), lambda k: F.when((k == "card") & (_luhn(_digits(e)) != 0), "none").otherwise(k))
+    typed = F.transform(spelled, lambda e: F.struct(e.alias("e"), kind(e).alias("kind")))
+    head = lambda x: F.when(x["kind"] == "person", F.regexp_extract(x["e"], before["person"], 1)).when(x["kind"] == "secret", F.regexp_extract(x["e"], before["secret"], 1)).when(x["kind"] == "none", x["e"]).otherwise(F.lit(""))
+    name = lambda x: F.lower(F.substring_index(F.substring(x["e"], F.length(head(x)) + 1, F.length(x["e"])), " ", 1))
+    cut = F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), head(x).alias("head"), F.when(x["kind"] == "person", name(x)).alias("name"), F.when(x["kind"] == "person", _gender(x["e"])).alias("gender")))
+
+    def solved(all_of: Column) -> Column:
+        told = F.filter(all_of, lambda y: y["gender"].isin("f", "m"))
+        gender = lambda x: F.when(x["gender"] != "n", x["gender"]).otherwise(F.coalesce(F.get(F.filter(told, lambda y: y["name"] == x["name"]), F.lit(0))["gender"], F.lit("n")))
+        return F.transform(all_of, lambda x: F.struct(x["kind"].alias("kind"), x["head"].alias("head"), _units(x["e"], x["kind"], x["head"], gender(x)).alias("units")))
+
+    return let(cut, solved)
+
+
+#: Stands around entities while a text is taken apart; three characters for private use.
+_FENCE = "\ue000\ue013\ue007"
+
+
+def taken_apart(text: Column) -> Column:
+    """Gaps and entities of a text in turn, a gap first and last; a text without entities is one gap. The pattern goes over the text once."""
+    whole = F.array(text)
+    once = F.split(F.regexp_replace(text, ANY, f"{_FENCE}$0{_FENCE}"), _FENCE, -1)
+    gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    twice = F.filter(F.flatten(F.zip_with(gaps, found, lambda a, b: F.array(a, b))), lambda x: x.isNotNull())
+    return F.when(~text.rlike(HINT), whole).when(F.contains(text, F.lit(_FENCE)), twice).otherwise(once)
+
+
+def _every_other(parts: Column, first: int) -> Column:
+    return F.filter(parts, lambda x, i: i % 2 == first)
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -158,6 +197,20 @@ def _luhn(d: Column) -> Column:
     return F.pmod(F.aggregate(values, F.lit(0), lambda t, v: t + F.when(v > 9, v - 9).otherwise(v)), F.lit(10))
 
 
+def _iban(s: Column, canon: Column, stream: Column) -> Column:
+    """The country stays, letters and digits are drawn for their like, the check number fits, and spaces stand where they stood."""
+    body = _like(F.substring(canon, F.lit(5), F.length(canon)), stream)
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+
+    def checked(made: Column) -> Column:
+        turned = F.filter(F.split(F.concat(F.upper(made), F.substring(canon, 1, 2), F.lit("00")), ""), lambda c: c != "")
+        rest = F.aggregate(turned, F.lit(0), lambda t, c: F.pmod(t * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)))
+        return F.concat(F.substring(canon, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), made)
+
+    spaced = lambda made: _chars(s, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, F.length(F.regexp_replace(F.substring(s, F.lit(1), i), " ", "")), F.lit(1))))
+    return let(let(body, checked), spaced)
+
+
 def _card(s: Column, stream: Column) -> Column:
     """Digits after the first; the last one keeps a valid number valid."""
 
@@ -202,16 +255,17 @@ def unit_surrogate(kind: Column, spelling: Column, canon: Column, attempt: Colum
     """Surrogate of one unit in the format of a spelling of it."""
 
     def made(stream: Column) -> Column:
-        country = F.length(F.regexp_extract(spelling, r"^(\+\d{1,3}(?=[ .(-]))?", 1))
+        country = F.when(spelling.startswith("+"), F.length(F.regexp_extract(spelling, _COUNTRY, 1)) + 1).otherwise(0)
         lead = F.regexp_extract(spelling, r"^(AKIA|gh[pousr]_|sk-|eyJ)?", 1)
         name = _name(kind, stream, attempt)
         return (
-            F.when(kind == "email", _email(spelling, stream, key))
+            F.when(attempt < 0, F.concat(F.lit("["), F.substring_index(kind, ":", 1), F.lit("-"), F.left(stream, F.lit(16)), F.lit("]")))
+            .when(kind == "email", _email(spelling, stream, key))
             .when(kind == "ip", _ip(stream))
             .when(kind == "phone", _numbers(spelling, stream, country))
             .when(kind == "ssn", _numbers(spelling, stream, F.lit(0)))
             .when(kind == "card", _card(spelling, stream))
-            .when(kind == "iban", F.concat(F.substring(spelling, 1, 2), _like(F.substring(spelling, F.lit(3), F.length(spelling)), stream)))
+            .when(kind == "iban", _iban(spelling, canon, stream))
             .when(kind == "key", F.concat(lead, _like(F.substring(spelling, F.length(lead) + 1, F.length(spelling)), stream)))
             .when(kind == "secret", _like(spelling, stream, spelling.rlike("^[0-9a-f]+$")))
             .when((F.length(spelling) > 1) & (spelling == F.upper(spelling)), F.upper(name))
@@ -242,15 +296,16 @@ def attempts(found: DataFrame, key: str, rounds: int = 50) -> DataFrame:
             return table.where("attempt > 0").select("kind", "canon", "attempt")
         again = checked.where("loses").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).withColumn("new", made)
         table = materialise(checked.where("not loses").drop("loses").unionByName(again))
-    raise ValueError("surrogates still collide; the formats of some type have too few values for its units")
+    # The formats of some type have too few values for its units: what still loses gets marks.
+    left = checked.select("kind", "canon", F.when(F.col("loses"), F.lit(-1)).otherwise(F.col("attempt")).alias("attempt"))
+    return left.where("attempt <> 0")
 
 
-def pseudonymise(docs: DataFrame, key: str, max_inline: int = 1000, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, max_inline: int = 1000, rounds: int = 50, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in ``text_col``, and pii_types: the type of each entity in the order of the text."""
     text = F.col(text_col)
-    spelled = docs.where(text.rlike(HINT)).select(F.explode(entities(text)).alias("e")).select(F.explode("e.units").alias("u"))
-    found = spelled.select("u.kind", "u.canon").distinct()
-    again = materialise(attempts(found, key))
+    found = docs.where(text.rlike(HINT)).select(entities(_every_other(taken_apart(text), 1)).alias("all")).select(F.explode("all").alias("e")).select(F.explode("e.units").alias("u"))
+    again = materialise(attempts(found.select("u.kind", "u.canon").distinct(), key, rounds))
     rows = again.limit(max_inline + 1).collect()
     join = lambda kind, canon: F.concat_ws("\x1f", kind, canon)
     if not rows:
@@ -259,18 +314,41 @@ def pseudonymise(docs: DataFrame, key: str, max_inline: int = 1000, text_col: st
         known = F.create_map(*(x for r in rows for x in (F.lit(f"{r.kind}\x1f{r.canon}"), F.lit(r.attempt))))
         return _rewrite(docs, text_col, lambda kind, canon: F.coalesce(F.element_at(known, join(kind, canon)), F.lit(0)), key)
     # Too many to write down: rows that hold one bring it along. Equal texts share their list.
-    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias(_MARK), F.explode(entities(text)).alias("e")).select(_MARK, F.explode("e.units").alias("u")).select(_MARK, "u.kind", "u.canon").distinct()
-    lists = held.join(again, ["kind", "canon"]).groupBy(_MARK).agg(F.map_from_entries(F.collect_list(F.struct(join(F.col("kind"), F.col("canon")), "attempt"))).alias(_OWN))
-    joined = docs.withColumn(_MARK, F.xxhash64(text)).join(lists, _MARK, "left")
-    return _rewrite(joined, text_col, lambda kind, canon: F.coalesce(F.element_at(F.col(_OWN), join(kind, canon)), F.lit(0)), key).drop(_MARK, _OWN)
+    mark, own = _free(docs, "pii_text"), _free(docs, "pii_attempts")
+    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias(mark), F.explode(entities(_every_other(taken_apart(text), 1))).alias("e")).select(mark, F.explode("e.units").alias("u")).select(mark, "u.kind", "u.canon").distinct()
+    lists = held.join(again, ["kind", "canon"]).groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct(join(F.col("kind"), F.col("canon")), "attempt"))).alias(own))
+    joined = docs.withColumn(mark, F.xxhash64(text)).join(lists, mark, "left")
+    return _rewrite(joined, text_col, lambda kind, canon: F.coalesce(F.element_at(F.col(own), join(kind, canon)), F.lit(0)), key).drop(mark, own)
+
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-_MARK, _OWN, _FOUND, _NEW = "__pii_text", "__pii_attempts", "__pii_found", "__pii_new"
+
+def _bare(gap: Column, names: Column) -> Column:
+    """A gap with the names that the document has elsewhere replaced, where they stand as words of their own."""
+    edge = r"(?<![\p{L}\p{N}'’-])\Q", r"\E(?![\p{L}\p{N}'’])"
+    return F.aggregate(names, gap, lambda t, n: F.when(F.contains(t, n["part"]), F.regexp_replace(t, F.concat(F.lit(edge[0]), n["part"], F.lit(edge[1])), n["new"])).otherwise(t))
 
 
 def _rewrite(docs: DataFrame, text_col: str, attempt_of, key: str) -> DataFrame:
-    text = F.col(text_col)
-    docs = docs.withColumn(_FOUND, entities(text)).withColumn(_NEW, F.transform(F.col(_FOUND), lambda e: surrogate(e, attempt_of, key)))
-    parts = F.zip_with(F.split(text, ANY, -1), F.col(_NEW), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    new = F.when(F.size(_FOUND) > 0, F.array_join(parts, "")).otherwise(text)
-    return docs.withColumns({text_col: new, "pii_types": F.col(_FOUND)["kind"]}).drop(_FOUND, _NEW)
+    text, types = F.col(text_col), _free(docs, "pii_types")
+    parts, found = _free(docs, "pii_parts"), _free(docs, "pii_found")
+    columns = docs.columns
+    docs = docs.withColumn(parts, taken_apart(text))
+    docs = docs.withColumn(found, F.when(F.size(parts) > 1, entities(_every_other(F.col(parts), 1))).otherwise(F.array().cast(f"array<struct<kind:string,head:string,units:array<{_UNIT}>>>")))
+    # Names and their surrogates, each spelling once; longer ones first.
+    persons = F.flatten(F.transform(F.filter(F.col(found), lambda e: e["kind"] == "person"), lambda e: e["units"]))
+    renamed = F.transform(persons, lambda u: F.struct((-F.length(u["part"])).alias("n"), u["part"].alias("part"), let(attempt_of(u["kind"], u["canon"]), lambda n: unit_surrogate(u["kind"], u["part"], u["canon"], n, key)).alias("new")))
+    names = F.array_sort(F.array_distinct(renamed))
+
+    def written(all_names: Column) -> Column:
+        gaps = F.transform(_every_other(F.col(parts), 0), lambda g: F.when(F.size(all_names) > 0, _bare(g, all_names)).otherwise(g))
+        return F.array_join(F.zip_with(gaps, F.transform(F.col(found), lambda e: surrogate(e, attempt_of, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    new = F.when(F.size(parts) > 1, let(names, written)).otherwise(text)
+    return docs.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns), F.filter(F.col(found)["kind"], lambda k: k != "none").alias(types))

@@ -97,8 +97,9 @@ common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh
 link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
 edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM doc UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
-SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+SELECT doc.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+  LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM edge GROUP BY x) l USING (doc_id)
 """,
     "op5_repeats": r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -137,3 +138,5 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
 }
+
+ORACLE_SQL["op4_links"] = ORACLE_SQL["op4_jaccard"]
