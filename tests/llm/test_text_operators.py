@@ -399,3 +399,131 @@ def test_templates_go_by_host(spark):
     assert texts[2] == "Text number 2 stands here alone." and texts[1] == "Other 1 Odd 1" and texts[100] == ""
     assert len(got) == len(rows) and all(g[3] == len(g[2]) for g in got)
     assert webtext.extract(pages.limit(0)).count() == 0
+
+
+def test_article_content_stays():
+    for name in ("legal-analysis", "search-history", "related-work", "social-science", "page-header", "commentary", "advertising-ethics"):
+        assert webtext.read(f'<article><div class="{name}"><p>Body text here.</p></div><p>end</p></article>')[0] == ["Body text here.", "end"], name
+    for name in ("ad", "ad-box", "cookie-notice", "related-posts", "comment-list", "shareButtons", "x newsletter", "sidebar_left"):
+        assert webtext.read(f'<article><div class="{name}"><p>Other.</p></div><p>end</p></article>')[0] == ["end"], name
+    assert webtext.read("<article><p>see <label>the label</label> and <math><mi>x</mi></math></p></article>")[0] == ["see the label and x"]
+    assert webtext.read('<div class="site-header">H</div><p>t</p>')[0] == ["t"]
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        assert webtext.read("<div>" * n + "x" + "</p></li>" * n)[0] == ["x"]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def plain_pages(rows):
+    """Texts of pages by a tree of nested lists, hashes of whole subtrees as text, and counts in dictionaries."""
+    from collections import defaultdict
+    from html.parser import HTMLParser
+
+    void = "br hr img meta link input".split()
+    block = "article aside body div footer form h1 h2 head html li nav p table td tr ul section header main".split()
+    drop = "nav footer aside form script style head title".split()
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = ["", {}, [], None]
+            self.open = [self.root]
+
+        def handle_starttag(self, tag, attrs):
+            if tag in block:
+                while any(e[0] == "p" for e in self.open):
+                    self.open.pop()
+                if tag in ("li", "td", "tr"):
+                    shuts = {"li": ["li"], "td": ["td"], "tr": ["tr", "td"]}[tag]
+                    while self.open[-1][0] in shuts or (self.open[-1][0] not in ("ul", "table", "div", "article", "body", "html", "") and any(e[0] in shuts for e in self.open)):
+                        self.open.pop()
+            e = [tag, dict(attrs), [], None]
+            self.open[-1][2].append(e)
+            if tag not in void:
+                self.open.append(e)
+
+        def handle_endtag(self, tag):
+            if any(e[0] == tag for e in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            self.open[-1][2].append(data)
+
+    def tree(page):
+        t = Tree()
+        t.feed(page or "")
+        t.close()
+        return t.root
+
+    def key(e):
+        if e[0] in ("script", "style", "title"):
+            return None
+        parts = [k for k in (x if isinstance(x, str) and x.strip() else None if isinstance(x, str) else key(x) for x in e[2]) if k]
+        e[3] = f"<{e[0]}>" + "|".join(parts) if parts else None
+        return e[3]
+
+    def walk(e, inside=False):
+        inside = inside or e[0] in ("article", "main")
+        yield e, inside
+        for x in e[2]:
+            if not isinstance(x, str):
+                yield from walk(x, inside)
+
+    def lines(e, gone, inside=False):
+        if e[0] in drop or e[1].get("class") == "ad" or e[3] in gone:
+            return
+        inside = inside or e[0] in ("article", "main")
+        if e[0] in block or e[0] in void:
+            yield None, inside
+        for x in e[2]:
+            if isinstance(x, str):
+                yield x, inside
+            else:
+                yield from lines(x, gone, inside)
+        if e[0] in block:
+            yield None, inside
+
+    def text(root, gone):
+        found, now, has = [], [], any(e[0] in ("article", "main") for e, _ in walk(root))
+        for x, inside in [*lines(root, gone), (None, False)]:
+            if x is None:
+                joined = " ".join("".join(y for y, _ in now).split())
+                if joined:
+                    found.append((joined, now[-1][1]))
+                now = []
+            else:
+                now.append((x, inside))
+        if has and any(i for _, i in found):
+            found = [f for f in found if f[1]]
+        return [t for t, _ in found]
+
+    kept = ["p", "h1", "h2", "li", "td", "tr"]
+    pages, seen = {}, defaultdict(lambda: defaultdict(set))
+    host = lambda u: re.sub(r"^[a-z]+://([^/?#:]*).*$", r"\1", u or "").lower() if "://" in (u or "") else ""
+    for i, url, page in rows:
+        root = tree(page)
+        key(root)
+        pages[i] = root
+        content = "\n".join(text(root, set()))
+        seen[host(url)][None].add(content)
+        for e, inside in walk(root):
+            if e[3] and not (inside and e[0] in kept) and e[0] not in ("", "html", "body", "article", "main", "b", "i", "a", "em", "strong", "span", "code"):
+                seen[host(url)][e[3]].add(content)
+    gone = {h: {k for k, c in by.items() if k and len(c) >= 4 and len(c) >= 0.2 * len(by[None])} for h, by in seen.items()}
+    return {i: " ".join(text(pages[i], gone[host(url)])) for i, url, _ in rows}
+
+
+def test_page_texts_against_a_plain_reading(spark, small):
+    rows = [(r.page_id, r.url, r.html) for r in queries.table(spark, small, "pages").collect()]
+    want = plain_pages(rows)
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_webtext(spark, small).collect()}
+    assert {i for i in want if got[i][0] != want[i]} == set()
+    assert all(n == len(t) for t, n in got.values()) and sum(bool(t) for t, _ in got.values()) > 0.8 * len(got)
