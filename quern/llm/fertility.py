@@ -1,24 +1,30 @@
-"""Quality rules from how a public tokeniser cuts a text.
-
-Three measures are taken of every whole text: characters per token, the share of
-tokens that are single bytes, and the entropy of the tokens. Entropy grows with length,
-so what counts is the gap to a curve in the logarithm of the length that is fitted per
-group. The corpus itself, all of it, sets curves and bands: per language, and per script
-where a language is missing or rare, the median of each measure, and on either side the
-distance to the quartile, widened. A text outside a band of its group is rejected.
-Groups of fewer than ``least`` texts have no bands. The base counts come first, and a
+"""Quality rules from how public tokenisers cut a text.
+
+Measures are taken of every whole text: with a vocabulary of pieces, characters per token, the share of
+tokens that are single bytes, and the entropy of the tokens; with a vocabulary of bytes, characters per token of
+its words. Entropy grows with length, so what counts is the gap to a curve in the logarithm of the length.
+
+The corpus itself, all of it, sets curves and bands: per language, per script, and for all texts. A text is held against the
+first of these that has at least ``least`` texts; the group of all has bands whatever its size. Distinct texts that pass the base rules count, each once, so copies have no
+weight. The middle of a band is that of the shortest interval that holds half of the values, and its reach on either
+side is a multiple of half that interval's length: texts of another kind, up to nearly half of a group, do not move it. A
+curve goes through the middles of classes of length, and a class that lies apart has little weight.
+A text outside a band of its group is rejected. The base counts come first, and a
 text that fails them is rejected whatever its measures.
 
 Null texts count as empty: all counts are 0 and the base rule fails. Repeated rows are
-judged alike, extra columns are ignored, and very long texts are measured whole.
+judged alike, extra columns are ignored, whatever their names, an empty table gives no rows, and very long texts are measured whole.
+Of two shortest intervals the lower one is taken.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm import pieces
 from quern.llm import textpack as tp
 from quern.llm.store import materialise
+from quern.llm.store import measured as store_measured
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -38,11 +45,35 @@ for _low, _high, _script in ((65, 90, 1), (97, 122, 1), (0xC3, 0xCA, 1), (0xCD,
     _SCRIPT_OF[_low : _high + 1] = _script
 
 COLUMNS = (
-    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "script string, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
+    "doc_id bigint, lang string, content bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "script string, n_tokens bigint, chars_per_token double, byte_share double, entropy double, word_chars_per_token double"
 )
-#: Quartile distances that a band reaches below and above the median, and the least such distance.
-BANDS = {"chars_per_token": (8.0, 10.0, 0.01), "byte_share": (math.inf, 12.0, 0.001), "entropy_gap": (3.75, 12.0, 0.05)}
+#: How many half lengths of the shortest half a band reaches below and above its middle, and the least such half length.
+BANDS = {"chars_per_token": (8.0, 10.0, 0.01), "byte_share": (math.inf, 12.0, 0.001), "entropy_gap": (4.5, 12.0, 0.05), "word_chars_per_token": (8.0, 10.0, 0.01)}
+#: Shares at which values are read off to find the shortest half.
+_GRID = [k / 40 for k in range(41)]
+#: Groups up to which their bands are sent to all tasks (a few hundred bytes each); with more they are joined.
+MAX_BROADCAST = 50_000
+
+
+class WordCounter:
+    """Tokens of single words under a byte-level vocabulary, whose pattern cuts between words anyway."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        table = {base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}
+        self.code = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    def per_text(self, w: tp.Words) -> np.ndarray:
+        """Tokens of the words of each text; each different word of a slice is cut once."""
+        if not len(w.start):
+            return np.zeros(len(w.first) - 1, np.int64)
+        _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        raw = w.buf.tobytes()
+        words = [" " + raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+        n = np.array([len(x) for x in self.code.encode_ordinary_batch(words, num_threads=1)], np.int64)
+        return tp.doc_sums(n[inverse], w.first)
 
 
 def _dup_lines(text: str) -> int:
@@ -56,7 +87,7 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-def measure(part: pa.RecordBatch, code: pieces.Coder) -> pa.RecordBatch:
+def measure(part: pa.RecordBatch, code: pieces.Coder, words: WordCounter) -> pa.RecordBatch:
     w = tp.split(part["text"])
     n = part.num_rows
     texts = [t or "" for t in part["text"].to_pylist()]
@@ -83,70 +114,97 @@ def measure(part: pa.RecordBatch, code: pieces.Coder) -> pa.RecordBatch:
     some = np.maximum(size, 1)
     return pa.RecordBatch.from_arrays(
         [
-            part["doc_id"], part["lang"], pa.array(w.counts), pa.array(word_chars), pa.array(np.diff(symbols[w.off])), pa.array([_dup_lines(t) for t in texts], pa.int64()), pa.array(repeat),
+            part["doc_id"], part["lang"], part["content"], pa.array(w.counts), pa.array(word_chars), pa.array(np.diff(symbols[w.off])), pa.array([_dup_lines(t) for t in texts], pa.int64()), pa.array(repeat),
             pa.array([SCRIPTS[k] for k in letters.argmax(axis=1)], pa.string()), pa.array(size),
-            pa.array(np.diff(char[w.off]) / some), pa.array(byte / some), pa.array(bits),
+            pa.array(np.diff(char[w.off]) / some), pa.array(byte / some), pa.array(bits), pa.array(word_chars / np.maximum(words.per_text(w), 1)),
         ],
         names=[c.split()[0] for c in COLUMNS.split(", ")],
     )
 
 
-def _measures(model):
+_counters: dict[int, WordCounter] = {}
+
+
+def _measures(model, ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = pieces.coder(model)
+        code, key = pieces.coder(model), hash(ranks.value)
+        if key not in _counters:  # one for each Python worker
+            _counters[key] = WordCounter(ranks.value, pattern)
         for batch in batches:
             for part in tp.slices(batch, "text", 1 << 20):
-                yield measure(part, code)
+                yield measure(part, code, _counters[key])
 
     return run
 
 
-def judge(docs: DataFrame, model_path: str, reach: dict[str, tuple[float, float, float]] = BANDS, least: int = 100, max_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, model_path: str, ranks_path: str, pattern: str, reach: dict[str, tuple[float, float, float]] = BANDS, least: int = 100, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: the base counts, the measures with the group they are held against, base_failed, reasons and kept."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("content", F.xxhash64("text"))
     # One scan makes the narrow table of measures that curves, bands and verdicts are read from.
-    measured = materialise(rows.mapInArrow(tp.task(_measures(pieces.load(docs, model_path))), COLUMNS))
+    counted = rows.mapInArrow(tp.task(_measures(pieces.load(docs, model_path), pieces.load(docs, ranks_path), pattern)), COLUMNS)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
-    langs = [r["lang"] for r in measured.where("lang is not null").groupBy("lang").count().where(F.col("count") >= least).orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    by_script = F.concat(F.lit("script:"), "script")
-    group = F.when(F.col("lang").isin(langs), F.concat(F.lit("lang:"), "lang")).otherwise(by_script) if langs else by_script
-    measured = measured.withColumn("fertility_group", group)
-    x = F.log2(F.col("n_tokens") + 1.0)
-    curves = _curves(measured.where(~F.col("base_failed")).withColumn("x", x), least)
-    expected = _by_group(curves, 0) + _by_group(curves, 1) * x + _by_group(curves, 2) * x * x
-    measured = measured.withColumn("entropy_gap", F.col("entropy") - expected)
-    bands = _bands(measured.where(~F.col("base_failed")), reach, least)
+    measured = materialise(counted.withColumn("base_failed", failed))
+    found, seen = measured_bands(measured.where("not base_failed"), reach, least)
+    send = F.broadcast if seen["n"] <= max_broadcast else lambda d: d
+    table = lambda name: send(found.select(F.col("fertility_group").alias(name), F.struct("*").alias(f"{name}_band")))
+    one = F.broadcast(found.where("fertility_group = 'all'").select(F.struct("*").alias("every_band")))  # one row
+    held = measured.withColumn("own", F.concat(F.lit("lang:"), "lang")).withColumn("script_own", F.concat(F.lit("script:"), "script"))
+    held = held.join(table("own"), "own", "left").join(table("script_own"), "script_own", "left").join(one, how="left").withColumn("band", F.coalesce("own_band", "script_own_band", "every_band"))
+    held = held.withColumn("fertility_group", F.col("band.fertility_group")).withColumn("entropy_gap", _gap("band."))
     reasons = [F.when(F.col("base_failed"), F.lit("base"))]
-    for i, m in enumerate(reach):
+    for m in reach:
         # Short texts scatter more.
-        value, middle = F.col(m), _by_group(bands, 3 * i)
-        room = F.sqrt(F.greatest(F.lit(1.0), 1000.0 / F.greatest("n_tokens", F.lit(1)))) if m != "entropy_gap" else F.lit(1.0)
-        reasons += [F.when(value < middle - room * _by_group(bands, 3 * i + 1), F.lit(f"low_{m}")), F.when(value > middle + room * _by_group(bands, 3 * i + 2), F.lit(f"high_{m}"))]
-    return measured.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("kept", F.size("reasons") == 0)
-
-
-def _curves(measured: DataFrame, least: int) -> dict[str, list[float]]:
-    """Least squares of entropy on 1, x and x * x by group, from sums over all texts; the groups are max_langs and a few scripts."""
-    sums = [F.sum(F.pow("x", F.lit(k))).alias(f"x{k}") for k in range(5)] + [F.sum(F.col("entropy") * F.pow("x", F.lit(k))).alias(f"y{k}") for k in range(3)]
-    out = {}
-    for r in measured.groupBy("fertility_group").agg(*sums).where(F.col("x0") >= least).collect():
-        a = np.array([[r[f"x{i + j}"] for j in range(3)] for i in range(3)])
-        out[r["fertility_group"]] = np.linalg.lstsq(a, np.array([r[f"y{k}"] for k in range(3)]), rcond=None)[0].tolist()
-    return out
-
-
-def _bands(measured: DataFrame, reach: dict[str, tuple[float, float, float]], least: int) -> dict[str, list[float]]:
-    """For each group and measure: the median, and how far the band goes below and above."""
-    quartiles = measured.groupBy("fertility_group").agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in reach))
-    out = {}
-    for r in quartiles.where(F.col("n") >= least).collect():
-        out[r["fertility_group"]] = [v for m, (low, high, floor) in reach.items() for a, b, c in [r[m]] for v in (b, low * max(b - a, floor), high * max(c - b, floor))]
-    return out
-
-
-def _by_group(values: dict[str, list[float]], k: int) -> Column:
-    out = F.lit(None).cast("double")
-    for g in sorted(values):
-        out = F.when(F.col("fertility_group") == g, F.lit(values[g][k])).otherwise(out)
-    return out
+        value, room = F.col(m), F.sqrt(F.greatest(F.lit(1.0), 1000.0 / F.greatest("n_tokens", F.lit(1)))) if m != "entropy_gap" else F.lit(1.0)
+        reasons += [F.when(value < F.col(f"band.{m}_mid") - room * F.col(f"band.{m}_low"), F.lit(f"low_{m}")), F.when(value > F.col(f"band.{m}_mid") + room * F.col(f"band.{m}_high"), F.lit(f"high_{m}"))]
+    out = held.withColumn("reasons", F.array_compact(F.array(*reasons))).withColumn("kept", F.size("reasons") == 0)
+    return out.drop("own", "script_own", "own_band", "script_own_band", "every_band", "band", "content")
+
+
+def _gap(of: str) -> Column:
+    x = F.log2(F.col("n_tokens") + 1.0)
+    return F.col("entropy") - (F.col(f"{of}c0") + F.col(f"{of}c1") * x + F.col(f"{of}c2") * x * x)
+
+
+def shortest_half(values: list[float]) -> tuple[float, float]:
+    """Middle and half length of the shortest interval that holds half of the values, which are given at the shares of _GRID."""
+    half = len(values) // 2
+    at = min(range(len(values) - half), key=lambda i: (values[i + half] - values[i], i))
+    return (values[at] + values[at + half]) / 2, (values[at + half] - values[at]) / 2
+
+
+def _shortest(values: Column) -> Column:
+    """The same of an array column: a struct of width, mid and half."""
+    n = len(_GRID) // 2
+    all_of = [F.struct((values[i + n] - values[i]).alias("width"), F.lit(i).alias("i"), ((values[i] + values[i + n]) / 2).alias("mid"), ((values[i + n] - values[i]) / 2).alias("half")) for i in range(len(_GRID) - n)]
+    return F.array_min(F.array(*all_of))
+
+
+def measured_bands(good: DataFrame, reach: dict[str, tuple[float, float, float]], least: int) -> tuple[DataFrame, dict]:
+    """Curve and bands of every group with at least ``least`` distinct texts, and of all texts; and how many groups there are."""
+    values = [m for m in reach if m != "entropy_gap"]
+    distinct = good.groupBy("content").agg(F.min("lang").alias("lang"), F.min("script").alias("script"), F.min("n_tokens").alias("n_tokens"), F.min("entropy").alias("entropy"), *(F.min(m).alias(m) for m in values))
+    names = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"), F.lit("all")))
+    grouped = materialise(distinct.select(F.explode(names).alias("fertility_group"), "n_tokens", "entropy", *values))
+    # Middles of classes of length, half a power of two each, and the curve through them.
+    x = F.log2(F.col("n_tokens") + 1.0)
+    middles = grouped.groupBy("fertility_group", F.round(2 * x).alias("class")).agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.percentile_approx("entropy", _GRID, 2000).alias("q"))
+    middles = middles.select("fertility_group", "n", "x", _shortest(F.col("q"))["mid"].alias("y"))
+    curves = middles.groupBy("fertility_group").applyInPandas(_curve, "fertility_group string, texts bigint, c0 double, c1 double, c2 double").where((F.col("texts") >= least) | (F.col("fertility_group") == "all"))
+    gaps = grouped.join(curves, "fertility_group").withColumn("entropy_gap", _gap(""))
+    q = gaps.groupBy("fertility_group").agg(*(F.first(c).alias(c) for c in ("texts", "c0", "c1", "c2")), *(F.percentile_approx(m, _GRID, 2000).alias(m) for m in reach))
+    q = q.withColumns({m: _shortest(F.col(m)) for m in reach})
+    bands = [c.alias(name) for m, (low, high, floor) in reach.items() for half in [F.greatest(F.col(f"{m}.half"), F.lit(floor))] for name, c in ((f"{m}_mid", F.col(f"{m}.mid")), (f"{m}_low", half * low), (f"{m}_high", half * high))]
+    return store_measured(q.select("fertility_group", "texts", "c0", "c1", "c2", *bands), n=F.count(F.lit(1)))
+
+
+def _curve(rows: pd.DataFrame) -> pd.DataFrame:
+    """Entropy as 1, x and x * x by least absolute gaps, class by class with the root of its texts as weight; a few rows a group."""
+    x, y, n = (rows[c].to_numpy(np.float64) for c in ("x", "y", "n"))
+    z = np.stack([np.ones(len(x)), x, x * x], axis=1)[:, : min(3, len(x))]
+    weight = np.sqrt(n)
+    for _ in range(30):
+        root = np.sqrt(weight)[:, None]
+        c = np.linalg.lstsq(z * root, y * root[:, 0], rcond=None)[0]
+        weight = np.sqrt(n) / np.maximum(np.abs(y - z @ c), 1e-3)
+    c = np.append(c, np.zeros(3 - len(c)))
+    return pd.DataFrame({"fertility_group": [rows["fertility_group"].iloc[0]], "texts": [int(n.sum())], "c0": c[0], "c1": c[1], "c2": c[2]})

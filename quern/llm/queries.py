@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import decontaminate, fertility, jaccard, languages, pieces, privacy, quality, repeats, toxicity, webtext
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +50,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = fertility.judge(table(spark, sf_dir, "documents"), PIECES)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertility_group", "chars_per_token", "byte_share", "entropy", "reasons")
+    judged = fertility.judge(table(spark, sf_dir, "documents"), PIECES, RANKS, public_tokenizers.PATTERN)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fertility_group", "chars_per_token", "byte_share", "entropy", "word_chars_per_token", "reasons")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

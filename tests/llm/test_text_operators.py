@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -16,6 +17,7 @@ from quern.llm import components, decontaminate, fertility, jaccard, languages,
 from quern.llm import textpack as tp
 from quern.llm.signature import SignatureTree
 
+VOCABULARIES = queries.PIECES, queries.RANKS, public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, words string"
 ODD = [None, "", " ", "\n\t", "one", "a b c", "é à ö ü", "日本語 の 文", "x" * 5000, "A\x00B c", "▁ ▁x", "a\x0bb\x0cc\xa0d", "don't STOP", "ÀÉ straße"]
 
@@ -291,7 +293,7 @@ def test_character_map_keeps_alignment():
 
 def test_fertility_base(spark):
     texts = corpus(8) + ["a b c " * 40, "# x\n# x\n\n# x\n" + " ".join(map(str, range(60)))]
-    rows = {r.doc_id: r for r in fertility.judge(frame(spark, texts), queries.PIECES).collect()}
+    rows = {r.doc_id: r for r in fertility.judge(frame(spark, texts), *VOCABULARIES).collect()}
     for d, t in enumerate(texts):
         w, r = split(t), rows[d]
         grams: dict = {}
@@ -305,7 +307,7 @@ def test_fertility_base(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(again))
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
         assert not (r.kept and r.base_failed)
-    assert fertility.judge(frame(spark, []), queries.PIECES).count() == 0
+    assert fertility.judge(frame(spark, []), *VOCABULARIES).count() == 0
 
 
 def accuracy(rows, labels, name):
@@ -527,3 +529,71 @@ def test_page_texts_against_a_plain_reading(spark, small):
     got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_webtext(spark, small).collect()}
     assert {i for i in want if got[i][0] != want[i]} == set()
     assert all(n == len(t) for t, n in got.values()) and sum(bool(t) for t, _ in got.values()) > 0.8 * len(got)
+
+
+def test_fertility_measures_and_verdicts_against_plain_python(spark, small):
+    """Measures by the libraries' own calls, bands and verdicts from them in plain Python, over all documents."""
+    import base64
+    import math
+    from collections import Counter, defaultdict
+
+    import tiktoken
+
+    with open(queries.RANKS, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    byte_code = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    docs = {r.doc_id: r for r in queries.table(spark, small, "documents").collect()}
+    rows = {r.doc_id: r for r in fertility.judge(queries.table(spark, small, "documents"), *VOCABULARIES, least=30).collect()}
+    assert set(rows) == set(docs)
+    measures, groups = {}, defaultdict(dict)
+    for i, r in rows.items():
+        t = docs[i].text or ""
+        ids = sp.encode(t)
+        p = [n / len(ids) for n in Counter(ids).values()]
+        words = split(t)
+        cut = sum(len(byte_code.encode_ordinary(" " + w)) for w in words)
+        want = (len(t) / max(1, len(ids)), sum(map(sp.is_byte, ids)) / max(1, len(ids)), -sum(x * math.log2(x) for x in p), sum(map(len, words)) / max(1, cut))
+        assert (r.chars_per_token, r.byte_share, r.entropy, r.word_chars_per_token) == pytest.approx(want)
+        measures[i] = dict(zip(("chars_per_token", "byte_share", "entropy", "word_chars_per_token"), want, strict=True))
+        if not r.base_failed:
+            for g in (f"lang:{docs[i].lang}", f"script:{r.script}", "all"):
+                groups[g][t] = i
+    sizes = {g: len(x) for g, x in groups.items()}
+    read = lambda values: [sorted(values)[max(0, math.ceil(k / 40 * len(values)) - 1)] for k in range(41)]
+    band = {}
+    for g, texts in groups.items():
+        by = defaultdict(list)
+        for i in texts.values():
+            by[round(2 * math.log2(rows[i].n_tokens + 1))].append(i)
+        frame_of = [(len(x), sum(math.log2(rows[i].n_tokens + 1) for i in x) / len(x), fertility.shortest_half(read([measures[i]["entropy"] for i in x]))[0]) for x in by.values()]
+        import pandas as pd
+
+        c = fertility._curve(pd.DataFrame({"fertility_group": g, "n": [f[0] for f in frame_of], "x": [f[1] for f in frame_of], "y": [f[2] for f in frame_of]})).iloc[0]
+        for i in texts.values():
+            measures[i][g] = None
+        gap = lambda i, c=c: measures[i]["entropy"] - (c.c0 + c.c1 * math.log2(rows[i].n_tokens + 1) + c.c2 * math.log2(rows[i].n_tokens + 1) ** 2)
+        band[g] = gap, {m: fertility.shortest_half(read([gap(i) if m == "entropy_gap" else measures[i][m] for i in texts.values()])) for m in fertility.BANDS}
+    wrong = []
+    for i, r in rows.items():
+        g = next(x for x in (f"lang:{docs[i].lang}", f"script:{r.script}", "all") if x == "all" or sizes.get(x, 0) >= 30)
+        assert r.fertility_group == g
+        bad = r.base_failed
+        for m, (low, high, floor) in fertility.BANDS.items():
+            mid, half = band[g][1][m]
+            v = band[g][0](i) if m == "entropy_gap" else measures[i][m]
+            room = 1 if m == "entropy_gap" else max(1, 1000 / max(1, r.n_tokens)) ** 0.5
+            bad |= v < mid - room * low * max(half, floor) or v > mid + room * high * max(half, floor)
+        wrong += [i] if r.kept == bad else []
+    assert wrong == [] and 0.2 < sum(r.kept for r in rows.values()) / len(rows) < 0.95
+
+
+def test_fertility_bands_withstand_junk_and_copies(spark):
+    """A third of junk, and a text that is copied more often than all others together, do not move the bands."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 300))) for _ in range(160)]
+    junk = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) + " " for _ in range(rng.randint(60, 300))) for _ in range(80)]
+    copies = [" ".join(["same", "words"] + [f"{k}" for k in range(70)])] * 400
+    rows = {r.doc_id: r for r in fertility.judge(frame(spark, good + junk + copies).withColumn("lang", F.lit("xx")), *VOCABULARIES).collect()}
+    assert sum(rows[i].kept for i in range(160)) > 150 and not any(rows[160 + i].kept for i in range(80))
