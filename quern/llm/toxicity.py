@@ -8,15 +8,16 @@ clause's end, the pattern that the clause matches. Isolated words are not scored
 are, by the weight of their pattern, and a text by the sum over its clauses.
 
 The fixed word lists below seed the classes. Insults are also learned: as beginnings of
-words that stand in many different contexts in toxic documents and hardly occur in
-others, so that inflected and compound forms are met too; those that others hold now and
-then, but far less often, are slurs. Weights of patterns are learned by logistic regression
-on one half of the labelled rows with the beginnings learned from the other half.
+words that stand in several different contexts in toxic documents, and whose rate there is above that in others by a
+factor that a lower bound on it (so many standard errors below the estimate) still keeps; a beginning that a lower factor
+bounds is a slur. More labels so admit rarer words. Which factors are asked for is chosen, and weights of patterns are
+learned by logistic regression, on one half of the labelled rows with the beginnings learned from the other half.
 
 Labels are read from a bounded sample: about ``per_label`` rows of each label, outside the
-held-out fold. Scoring reads whole texts of all documents. Null and empty texts have no
+held-out fold. Their texts are read once and kept; scoring reads whole texts of all documents, once. Null and empty texts have no
 clause and get the base score. Without labels to learn from, the fixed lists and
-``DEFAULT_WEIGHTS`` stand. Repeated rows are scored alike; extra columns are ignored.
+``DEFAULT_WEIGHTS`` stand. Repeated rows are scored alike; extra columns are ignored, whatever their names; an empty table
+gives no rows; very long texts are read whole. Of factors whose loss is within a standard error of the least, the largest are taken; of several labels of a document the largest.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.llm import folds
 from quern.llm import textpack as tp
+from quern.llm.store import materialise
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, SLUR, END = range(8)
 
@@ -46,6 +47,10 @@ PATTERNS = ("insult", "targeted_insult", "slur", "targeted_slur", "threat", "tar
 DEFAULT_WEIGHTS = {"base": -4.0, "insult": 3.0, "targeted_insult": 4.0, "slur": 1.0, "targeted_slur": 1.5, "threat": 1.0, "targeted_threat": 3.5, "negated": 0.5, "reported": 0.5}
 #: Words after a negation that it still covers.
 SCOPE = 3
+#: Lower bounds on the logarithms of the factors that make a beginning an insult, or a slur; the labelled rows choose among them.
+FACTORS = ((5.0, 2.5), (4.5, 2.0), (4.0, 2.0), (3.5, 1.5), (3.0, 1.5), (3.0, 1.0), (2.5, 1.0), (2.0, 1.0), (1.5, 0.75), (1.0, 0.5))
+#: Standard errors below the estimate where the bound lies, and different words before a beginning that are needed.
+ERRORS, CONTEXTS = 2.0, 4
 #: Lengths in bytes of the beginnings of words that are tried; 0 is the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -185,45 +190,64 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurs(tried: dict[int, np.ndarray]):
-    """In how many documents each of the tried beginnings occurs."""
+    """In how many documents of each label each of the tried beginnings occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tp.slices(batch, "text"):
                 w, begins = _words(part)
+                label = part["y"].to_numpy()
                 for n, t in tried.items():
                     i = np.minimum(np.searchsorted(t, begins[n]), len(t) - 1)
                     hit = np.flatnonzero(t[i] == begins[n])
-                    seen, times = np.unique(np.unique(w.doc[hit] * len(t) + i[hit]) % len(t), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n)), pa.array(t[seen].view(np.int64)), pa.array(times)], ["n", "begin", "docs"])
+                    pair = np.unique(w.doc[hit] * len(t) + i[hit])
+                    seen, times = np.unique(label[pair // len(t)] * len(t) + pair % len(t), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((seen // len(t)).astype(np.int32)), pa.array(np.full(len(seen), n)), pa.array(t[seen % len(t)].view(np.int64)), pa.array(times)], ["y", "n", "begin", "docs"])
 
     return run
 
 
-def learn(docs: DataFrame, toxic, clean, n_toxic: int, n_clean: int, least: int = 4, share: float = 0.003, excess: tuple[float, float] = (100.0, 6.0)) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Hashes and classes of beginnings by their length.
+def at_least(hits: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The logarithm of a factor by which the rate of hits in toxic texts is above that in clean ones at least.
 
-    ``toxic`` and ``clean`` pick the rows of ``docs`` that are learned from. A beginning needs enough different words before it in toxic texts, so that copies of one
-    text teach nothing. It is an insult if it is ``excess[0]`` times as frequent there as in
-    clean texts, and a slur if ``excess[1]`` times.
+    The one count is taken as low, the other as high, as a Poisson count may be (by the cube root that makes it nearly normal).
     """
-    enough = max(least, share * n_toxic)
-    pairs = docs.mapInArrow(tp.task(toxic, _contexts), "n bigint, begin bigint, pair bigint").distinct()
-    rows = pairs.groupBy("n", "begin").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= enough).toPandas()  # bounded by the sample of toxic texts
+    k, c = np.maximum(hits, 1), clean + 1
+    low = k * np.maximum(1 - 1 / (9 * k) - ERRORS / (3 * np.sqrt(k)), 0.01) ** 3
+    high = c * (1 - 1 / (9 * c) + ERRORS / (3 * np.sqrt(c))) ** 3
+    return np.log(low / n_toxic) - np.log(high / n_clean)
+
+
+def evidence(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Hashes of beginnings by their length, and a lower bound on the logarithm of how much more frequent each is in toxic texts.
+
+    ``sample`` has texts and y; what comes back is bounded by it.
+    """
+    if not n_toxic or not n_clean:
+        return {}
+    pairs = sample.where("y = 1").select("text").mapInArrow(tp.task(_contexts), "n bigint, begin bigint, pair bigint").distinct()
+    rows = pairs.groupBy("n", "begin").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS).toPandas()
     tried = {int(n): np.sort(x.begin.to_numpy(np.int64).view(np.uint64)) for n, x in rows.groupby("n")}
     if not tried:
         return {}
-    for name, chosen in (("toxic", toxic), ("clean", clean)):
-        seen = docs.mapInArrow(tp.task(chosen, _occurs(tried)), "n bigint, begin bigint, docs bigint").groupBy("n", "begin").agg(F.sum("docs").alias(name)).toPandas()
-        rows = rows.merge(seen, on=["n", "begin"], how="left").fillna({name: 0})
-    hits = np.minimum(rows.contexts, rows.toxic)
-    ratio = hits / n_toxic / ((rows.clean + 0.5) / n_clean)
-    surprise = (hits - (rows.clean + 0.5) / n_clean * n_toxic) / np.sqrt((rows.clean + 0.5) / n_clean * n_toxic + 0.5)
-    rows["kind"] = np.where((ratio >= excess[0]) & (surprise >= 7), INSULT, np.where((ratio >= excess[1]) & (surprise >= 6), SLUR, OTHER))
+    # Both labels in one pass.
+    seen = sample.select("y", "text").mapInArrow(tp.task(_occurs(tried)), "y int, n bigint, begin bigint, docs bigint").groupBy("n", "begin").agg(*(F.sum(F.when(F.col("y") == y, F.col("docs")).otherwise(0)).alias(name) for y, name in ((1, "toxic"), (0, "clean")))).toPandas()
+    rows = rows.merge(seen, on=["n", "begin"], how="left").fillna(0)
+    bound = at_least(np.minimum(rows.contexts, rows.toxic).to_numpy(float), rows.clean.to_numpy(float), n_toxic, n_clean)
+    out = {}
+    for n, x in rows.assign(bound=bound).groupby("n"):
+        h = x.begin.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        out[int(n)] = h[order], x.bound.to_numpy()[order]
+    return out
+
+
+def learned(found: dict[int, tuple[np.ndarray, np.ndarray]], factors: tuple[float, float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Hashes and classes of the beginnings that pass the factors."""
     out = {}
-    for n, x in rows[rows.kind != OTHER].groupby("n"):
-        h, at = np.unique(x.begin.to_numpy(np.int64).view(np.uint64), return_index=True)
-        out[int(n)] = h, x.kind.to_numpy(np.int64)[at]
+    for n, (h, bound) in found.items():
+        some = bound >= factors[1]
+        out[n] = h[some], np.where(bound[some] >= factors[0], INSULT, SLUR)
     return out
 
 
@@ -244,46 +268,81 @@ def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 40, penalty: float =
     return float(w[0]), w[1:]
 
 
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 3, held_out: int = 1, per_label: int = 6000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted and the count of clauses for each pattern; and the columns to ``carry`` along."""
-    carried = [F.col(c).alias(f"carried_{c}") for c in carry]
-    rows_in = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *carried)
-    docs = rows_in.select("doc_id", "text")
+def probability(counts: np.ndarray, base: float, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(base + np.log2(1 + counts) @ weights, -30, 30)))
+
+
+def _counted(lexicons: list[dict]):
+    """Counts of clauses under each of some lexicons, one after the other in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tp.slices(batch, "text"):
+                found = np.concatenate([patterns(part, x) for x in lexicons], axis=1)
+                first = (np.arange(part.num_rows + 1) * found.shape[1]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["y"], pa.ListArray.from_arrays(pa.array(first), pa.array(found.ravel()))], ["doc_id", "y", "counts"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str, fold, per_label: int) -> dict:
+    """Lexicon, base and weights; ``docs`` has doc_id and text."""
+    rows = folds.sample(folds.labelled(labels, label_col, fold), "y", per_label).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    # Two labels of about per_label rows each are sent to the scan, which keeps the texts of these alone.
+    sample = materialise(docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("half").alias("half")))
+    n = {(r.y, r.half): r.n for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    count = lambda y, *halves: sum(n.get((y, h), 0) for h in halves)
+    first = evidence(sample.where("half = 0"), count(1, 0), count(0, 0))
+    tried = [lexicon(learned(first, f)) for f in FACTORS]
+    got = sample.where("half = 1").select("doc_id", "y", "text").mapInArrow(tp.task(_counted(tried)), "doc_id bigint, y int, counts array<double>").orderBy("doc_id").toPandas()
+    y, k = got.y.to_numpy(float), len(PATTERNS)
+    x = np.array(got.counts.tolist(), float).reshape(len(got), len(FACTORS), k)
+    inner = np.arange(len(y)) % 2 == 0
+    best = 0
+    if len(np.unique(y[inner])) == 2 and not inner.all():
+        each = []
+        for i in range(len(FACTORS)):
+            p = np.clip(probability(x[~inner, i], *fit_weights(x[inner, i], y[inner])), 1e-6, 1 - 1e-6)
+            each.append(-(y[~inner] * np.log(p) + (1 - y[~inner]) * np.log(1 - p)))
+        loss = np.mean(each, axis=1)
+        low = int(np.argmin(loss))
+        best = int(np.flatnonzero(loss <= loss[low] + np.std(each[low]) / np.sqrt(len(each[low])))[0])
+    base, weights = fit_weights(x[:, best], y)
+    return {"lexicon": lexicon(learned(evidence(sample, count(1, 0, 1), count(0, 0, 1)), FACTORS[best])), "base": base, "weights": weights, "factors": FACTORS[best]}
+
+
+def _model(docs: DataFrame, labels: DataFrame, label_col: str, held_out_mod: int, held_out: int, per_label: int, id_col: str, text_col: str):
     fold = folds.remainder("doc_id", held_out_mod) == held_out
-    spark = docs.sparkSession
-    rows = folds.sample(folds.labelled(labels, label_col, fold), "y", per_label).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).collect()  # bounded by per_label
-
-    def part_of(y: int | None, half: int | None):
-        """A step that keeps some of the sampled rows, and how many these are."""
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in rows if (y is None or r.y == y) and (half is None or r.half == half)], np.int64)))
-
-        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(np.isin(own, ids.value) & batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)))
-
-        return chosen, len(ids.value)
-
-    def counted(rows: DataFrame, half: int | None, *before) -> DataFrame:
-        (toxic, n_toxic), (clean, n_clean) = part_of(1, half), part_of(0, half)
-        words = spark.sparkContext.broadcast(lexicon(learn(docs, toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else {}))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tp.slices(batch, "text"):
-                    found = patterns(part, words.value)
-                    also = [c for c in part.schema.names if c.startswith("carried_")]
-                    cols = [part["doc_id"], *(pa.array(found[:, k].astype(np.int64)) for k in range(len(PATTERNS))), *(part[c] for c in also)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", *PATTERNS, *also])
-
-        schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(p, T.LongType()) for p in PATTERNS), *(f for f in rows.schema.fields if f.name.startswith("carried_"))])
-        return rows.mapInArrow(tp.task(*before, count), schema)
-
-    y_of = {r.doc_id: r.y for r in rows}
-    learned = counted(docs, 0, part_of(None, 1)[0]).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    base, weights = fit_weights(learned[list(PATTERNS)].to_numpy(float), np.array([y_of[i] for i in learned.doc_id], float))
-    total = F.lit(base)
-    for p, w in zip(PATTERNS, weights.tolist(), strict=True):
-        total = total + F.lit(w) * F.log2(1.0 + F.col(p))
-    out = counted(rows_in, None).withColumn("score", 1 / (1 + F.exp(-total)))
-    return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *PATTERNS, *(F.col(f"carried_{c}").alias(c) for c in carry if c not in ("doc_id", *PATTERNS)))
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return own, fold, docs.sparkSession.sparkContext.broadcast(train(own, labels, label_col, fold, per_label))
+
+
+def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 3, held_out: int = 1, per_label: int = 6000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted and the count of clauses for each pattern."""
+    own, fold, model = _model(docs, labels, label_col, held_out_mod, held_out, per_label, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for part in tp.slices(batch, "text"):
+                found = patterns(part, m["lexicon"])
+                p = probability(found, m["base"], m["weights"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(pa.array(found[:, k].astype(np.int64)) for k in range(len(PATTERNS)))], ["doc_id", "held_out", "score", "predicted", *PATTERNS])
+
+    return own.select("doc_id", fold.alias("held_out"), "text").mapInArrow(tp.task(run), "doc_id bigint, held_out boolean, score double, predicted int, " + ", ".join(f"{p} bigint" for p in PATTERNS))
+
+
+def clean(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_mod: int = 3, held_out: int = 1, per_label: int = 6000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns; they stay where they lie."""
+    _, _, model = _model(docs, labels, label_col, held_out_mod, held_out, per_label, id_col, text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for part in tp.slices(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]), "text"):
+                keep.append(probability(patterns(part, m["lexicon"]), m["base"], m["weights"]) < threshold)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(tp.task(run), docs.schema)

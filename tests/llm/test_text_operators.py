@@ -597,3 +597,56 @@ def test_fertility_bands_withstand_junk_and_copies(spark):
     copies = [" ".join(["same", "words"] + [f"{k}" for k in range(70)])] * 400
     rows = {r.doc_id: r for r in fertility.judge(frame(spark, good + junk + copies).withColumn("lang", F.lit("xx")), *VOCABULARIES).collect()}
     assert sum(rows[i].kept for i in range(160)) > 150 and not any(rows[160 + i].kept for i in range(80))
+
+
+def test_clause_counts_against_a_plain_reading(spark, small):
+    """Counts of clauses under the fixed lists, word by word in plain Python, over all documents and some sentences."""
+    kind = {w: k for k, words in toxicity.LISTS.items() for w in words.split()}
+    low = lambda t: re.sub("[A-ZÀ-Þ]", lambda m: m[0].lower() if m[0] != "×" else m[0], t)
+
+    def counts(text):
+        out = dict.fromkeys(toxicity.PATTERNS, 0)
+        for part in re.split(r"[.!?;:\n]", low(text)):
+            left, reported, target, held = 0, False, False, None
+            rank = [None, "negated", "reported", "threat", "slur", "insult"]
+            for w in re.findall(r"[A-Za-z'\u0080-\U0010ffff]+", part):
+                k = kind.get(w, toxicity.OTHER)
+                if k == toxicity.TARGET:
+                    target = True
+                if k in (toxicity.INSULT, toxicity.THREAT):
+                    new = "reported" if reported else "negated" if left else "insult" if k == toxicity.INSULT else "threat"
+                    held = max(held, new, key=rank.index)
+                reported |= k == toxicity.REPORT
+                left = 3 if k == toxicity.NEGATION else max(0, left - 1)
+            if held:
+                out[f"targeted_{held}" if target and held in ("insult", "threat") else held] += 1
+        return [out[p] for p in toxicity.PATTERNS]
+
+    rng = random.Random(3)
+    some = [w for words in toxicity.LISTS.values() for w in words.split()] + ["word", "Über", "É"] * 20
+    texts = [" ".join(rng.choice(some) + rng.choice(["", "", "", ".", ",", "!", "\n", ";"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [r.text or "" for r in queries.table(spark, small, "documents").select("text").collect()]
+    got = toxicity.patterns(pa.RecordBatch.from_pydict({"text": texts}), toxicity.lexicon({}))
+    assert got.astype(int).tolist() == [counts(t) for t in texts]
+
+
+def test_rarer_insults_are_learned_from_more_labels(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3))
+    common = [word() for _ in range(300)]
+    rare = ["zwxqvor" + e for e in ("", "s", "ly")]
+    texts, labels = [], []
+    for i in range(3000):
+        bad = i % 3 == 0
+        w = [rng.choice(common) for _ in range(40)]
+        if bad:
+            w[rng.randrange(40)] = rng.choice(rare) if i % 30 == 0 else "gnarvik"
+        texts.append((i, " ".join(w), "x", 0.1))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, threat string, score double")
+    rows = toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r.predicted, labels[r.doc_id][1], r.doc_id) for r in rows if r.held_out]
+    assert sum(p == y for p, y, _ in held) / len(held) > 0.97
+    assert sum(p for p, _, i in held if i % 30 == 0) > 0.8 * sum(1 for _, _, i in held if i % 30 == 0)
+    kept = toxicity.clean(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
