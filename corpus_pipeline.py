@@ -19,8 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects go. Texts are scored where they lie, and not shuffled."""
-    scored = toxicity.score(docs, queries.table(spark, sf_dir, "labels"), carry=tuple(COLUMNS))
-    return scored.where("predicted = 0").select(COLUMNS)
+    return toxicity.clean(docs.select(COLUMNS), queries.table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
