@@ -7,13 +7,15 @@ many documents hold them, the rarest alone is the necessary prefix. A document
 meets a window only through that shingle; the shingle's place in the window bounds
 where the window would start and end; the words there are then compared one by one.
 
-The windows of the items are cut into blocks of at most ``block_windows``; one block
-(a proven size) is sent to the executors at a time, against all documents. Corpus
-frequencies count every document.
+Up to ``block_windows`` windows (a proven size) are sent to the executors with their prefixes, and documents are
+compared where they lie. With more, prefix shingles are shuffled: documents send the places of
+shingles that a filter of bounded size lets through, with the words around, and are joined with the windows
+by the shingle. Both ways give the same rows. Corpus frequencies count every document; of equally rare shingles the one with the least hash is taken.
 
 Null or wordless texts have no words and no hits. Items without an id or without
 words are ignored. Rows that share an item_id count as one item. Repeated document
-rows each get their own result. Extra columns are ignored.
+rows each get their own result. An empty table of documents gives no rows, one of items no hits. Very long texts are read whole. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import exchange as ex
 from quern.llm import textpack as tp
+from quern.llm.store import materialise, measured
 
 SHINGLE = 3
 COLUMNS = "doc_id bigint, text_hash bigint, n_words bigint, hit_spans array<int>, item_ids array<string>"
@@ -142,26 +146,96 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_wind
     """Per document: doc_id, n_words, hit_spans (begin and end word of each hit run, flattened) and item_ids (sorted strings)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = items.select(F.col("item_id").cast("string"), F.col("text")).where("item_id is not null and text is not null")
-    windows = items.mapInArrow(tp.task(_item_windows(width)), "item_id string, words array<bigint>").distinct()
-    n_blocks = max(1, -(-windows.count() // block_windows))
-    found = []
-    for block in range(n_blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == block).collect()  # at most about block_windows rows
-        found.append(docs.mapInArrow(tp.task(_scan(_index(docs, rows, width))), COLUMNS))
-    if n_blocks == 1:
-        return found[0].select("doc_id", "n_words", "hit_spans", F.array_sort("item_ids").alias("item_ids"))
-    merged = found[0]
-    for other in found[1:]:
-        merged = merged.unionByName(other)
-    # Equal rows give equal results; each is repeated as often as its row was.
-    merged = merged.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.flatten(F.collect_list("hit_spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), (F.count("*") / n_blocks).cast("int").alias("times")
-    )
-    return merged.select("doc_id", "n_words", "flat", "item_ids", "times").mapInArrow(tp.task(_joined), "doc_id bigint, n_words bigint, hit_spans array<int>, item_ids array<string>")
+    windows, seen = measured(items.mapInArrow(tp.task(_item_windows(width)), "item_id string, words array<bigint>").distinct(), n=F.count(F.lit(1)))
+    if seen["n"] > block_windows:
+        return _shuffled(docs, windows, width)
+    found = docs.mapInArrow(tp.task(_scan(_index(docs, windows.collect(), width))), COLUMNS)
+    return found.select("doc_id", "n_words", "hit_spans", F.array_sort("item_ids").alias("item_ids"))
+
+
+def _window_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of every window, with its place."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            n, h = _shingles(np.array(r["words"], np.int64).view(np.uint64))
+            rows += [(r["item_id"], r["words"], n, int(t), k) for k, t in enumerate(h.view(np.int64).tolist())]
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["item_id", "words", "width", "token", "place"])
+
+
+def _marked(found, sh: np.ndarray) -> np.ndarray:
+    return np.arange(len(sh)) if found is None else np.flatnonzero(found.value.marked(sh.view(np.int64)))
+
+
+def _seen(widths: list[int], found):
+    """How many documents of a slice hold each shingle that may be one of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tp.slices(batch, "text"):
+                w = tp.split(part["text"], tp.ALNUM_WORDS, lower=True)
+                for n in widths:
+                    at, h = w.windows(n)
+                    some = _marked(found, h)
+                    pair = np.unique(np.stack([h[some], w.doc[at[some]].astype(np.uint64)]), axis=1)
+                    token, times = np.unique(pair[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times)], ["token", "docs"])
+
+    return run
+
+
+def _places(widths: list[int], found, width: int):
+    """Places of shingles that may be prefixes, with the words that a window around them could hold, and where these begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tp.slices(batch, "text"):
+                w = tp.split(part["text"], tp.ALNUM_WORDS, lower=True)
+                words = w.hash.view(np.int64)
+                for n in widths:
+                    at, h = w.windows(n)
+                    some = _marked(found, h)
+                    at, token, doc = at[some], h[some].view(np.int64), w.doc[at[some]]
+                    low, high = np.maximum(at - width + n, w.first[doc]), np.minimum(at + width, w.first[doc + 1])
+                    size = high - low
+                    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    flat = words[np.arange(cut[-1]) - np.repeat(cut[:-1] - low, size)] if len(at) else words[:0]
+                    lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))
+                    take = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), part["text_hash"].take(take), pa.array(token), pa.array(at - low), pa.array(low - w.first[doc]), lists], ["doc_id", "text_hash", "token", "inside", "begins", "around"])
+
+    return run
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tp.slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], pa.array(tp.split(part["text"], tp.ALNUM_WORDS, lower=True).counts)], ["doc_id", "text_hash", "n_words"])
+
+
+def _shuffled(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """The same by a shuffle of prefix shingles."""
+    tokens = materialise(windows.mapInArrow(tp.task(_window_tokens), "item_id string, words array<bigint>, width int, token bigint, place int"))
+    widths = sorted(r["width"] for r in tokens.select("width").distinct().collect())  # SHINGLE of them at most
+    often = docs.select("text").mapInArrow(tp.task(_seen(widths, ex.marks(tokens.select("token").distinct()))), "token bigint, docs bigint").groupBy("token").agg(F.sum("docs").alias("docs"))
+    rank = F.struct(F.coalesce("docs", F.lit(0)), "token", "place")
+    prefixes = materialise(tokens.join(often, "token", "left").groupBy("item_id", "words").agg(F.min_by(F.struct("token", "place"), rank).alias("p")).select("item_id", "words", "p.token", "p.place"))
+    placed = docs.mapInArrow(tp.task(_places(widths, ex.marks(prefixes.select("token").distinct()), width)), "doc_id bigint, text_hash bigint, token bigint, inside bigint, begins bigint, around array<bigint>")
+    at = (F.col("inside") - F.col("place")).cast("int")
+    # Positional and length bounds come with the slice, which is shorter where a window would not fit.
+    hit = placed.join(prefixes, "token").where((at >= 0) & (F.slice("around", F.greatest(at, F.lit(0)) + 1, F.size("words")) == F.col("words")))
+    begin = F.col("begins") + at
+    per_doc = hit.select("doc_id", "text_hash", "item_id", F.array(begin, begin + F.size("words")).cast("array<int>").alias("span")).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("span")).alias("flat"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    every = docs.mapInArrow(tp.task(_lengths), "doc_id bigint, text_hash bigint, n_words bigint")
+    same = every["doc_id"].eqNullSafe(per_doc["doc_id"]) & (every["text_hash"] == per_doc["text_hash"])
+    empty = F.array().cast("array<int>"), F.array().cast("array<string>")
+    rows = every.join(per_doc, same, "left").select(every["doc_id"], "n_words", F.coalesce("flat", empty[0]).alias("flat"), F.coalesce("item_ids", empty[1]).alias("item_ids"))
+    return rows.mapInArrow(tp.task(_joined), "doc_id bigint, n_words bigint, hit_spans array<int>, item_ids array<string>")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of all blocks as one list, in order and without overlaps; a row as often as the document's row was there."""
+    """Spans in order and without overlaps."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
@@ -171,7 +245,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1] = max(spans[-1], b)
                 else:
                     spans += [a, b]
-            rows += [(r["doc_id"], r["n_words"], spans, r["item_ids"])] * r["times"]
+            rows.append((r["doc_id"], r["n_words"], spans, r["item_ids"]))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_words", "hit_spans", "item_ids"])
 
