@@ -54,25 +54,40 @@ BANDS = {"chars_per_token": (8.0, 10.0, 0.01), "byte_share": (math.inf, 12.0, 0.
 _GRID = [k / 40 for k in range(41)]
 #: Groups up to which their bands are sent to all tasks (a few hundred bytes each); with more they are joined.
 MAX_BROADCAST = 50_000
+#: Words whose tokens a Python worker remembers (about 30 MB); beyond, it begins anew.
+MOST_KNOWN = 300_000
 
 
 class WordCounter:
-    """Tokens of single words under a byte-level vocabulary, whose pattern cuts between words anyway."""
+    """Tokens of single words under a byte-level vocabulary, whose pattern begins a new token at every space anyway."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
         table = {base64.b64decode(x): int(n) for x, n in (line.split() for line in ranks.splitlines() if line)}
         self.code = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.known: dict[int, int] = {}
+        self.length = np.zeros(max(table.values()) + 1, np.int64)
+        for token, n in table.items():
+            self.length[n] = len(token)
 
     def per_text(self, w: tp.Words) -> np.ndarray:
-        """Tokens of the words of each text; each different word of a slice is cut once."""
+        """Tokens of the words of each text. The different words of a slice are cut in one go; the lengths of the tokens tell whose they are."""
         if not len(w.start):
             return np.zeros(len(w.first) - 1, np.int64)
-        _, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        raw = w.buf.tobytes()
-        words = [" " + raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-        n = np.array([len(x) for x in self.code.encode_ordinary_batch(words, num_threads=1)], np.int64)
+        some, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        n = np.array([self.known.get(h, 0) for h in some.tolist()], np.int64)
+        new = np.flatnonzero(n == 0)
+        if len(new):
+            raw = w.buf.tobytes()
+            words = [raw[a:b] for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)]
+            size = self.length[np.array(self.code.encode_ordinary((b" " + b" ".join(words)).decode()), np.int64)]
+            begin = np.cumsum(size) - size
+            first = np.cumsum([0, *(len(x) + 1 for x in words[:-1])])
+            n[new] = np.diff(np.append(np.searchsorted(begin, first), len(begin)))
+            self.known.update(zip(some[new].tolist(), n[new].tolist(), strict=True))
         return tp.doc_sums(n[inverse], w.first)
 
 
