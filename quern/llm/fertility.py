@@ -117,7 +117,7 @@ def measure(part: pa.RecordBatch, code: pieces.Coder, words: WordCounter) -> pa.
     for k in range(1, len(SCRIPTS)):
         c = np.concatenate([[0], np.cumsum(_SCRIPT_OF[w.buf] == k)])
         letters[:, k] = np.diff(c[w.off])
-    ids = code.encode(texts)
+    ids, _ = code.encode(texts)
     size = np.array([len(x) for x in ids], np.int64)
     flat = np.fromiter((i for x in ids for i in x), np.int64, int(size.sum()))
     doc = np.repeat(np.arange(n), size)

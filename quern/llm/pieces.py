@@ -3,12 +3,12 @@
 The text is normalised first: at each place the longest prefix that the model's
 compiled character map knows is replaced, white space is treated as the model says,
 and every byte of the result remembers the byte of the source that it came from.
-The library segments whole texts with the model; the surface of the pieces adds up to
-the normalised text, so each piece is projected back through the alignment and its span
+The library then segments what was normalised here, under the same model with its own normalising switched off;
+the surface of the pieces adds up to the normalised text, so each piece is projected back through the alignment and its span
 is exact whatever was replaced.
 
-Null texts count as empty and give no pieces. Repeated rows are encoded alike, extra
-columns are ignored, and very long texts are encoded whole.
+Null texts count as empty and give no pieces. Empty tables give no rows. Repeated rows are encoded alike, extra
+columns are ignored, whatever their names, and very long texts are encoded whole. Of prefixes of one length there is only one in a map.
 """
 
 from __future__ import annotations
@@ -101,27 +101,32 @@ class Normalizer:
 
 
 class Coder:
-    """A model: the library segments whole texts, the normaliser says where each piece came from."""
+    """A model: the normaliser says what each byte came from, the library segments what it made."""
 
     def __init__(self, model: bytes):
         proto = model_pb2.ModelProto()
         proto.ParseFromString(model)
         self.normalize = Normalizer(proto.normalizer_spec)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        spec = proto.normalizer_spec
+        spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, False
+        #: The same model for texts that are normalised already.
+        self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
         raw = [b"?" if p.type == 6 else p.piece.encode() for p in proto.pieces]
         self.norm_bytes = np.array([len(x) for x in raw], np.int64)
         self.vocabulary = len(raw)
         self.numerals = [str(i) for i in range(len(raw))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.sp.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
+        """Ids of each text, and for each byte of what it was normalised to (and its end) the place in the text."""
+        made = [self.normalize(t.encode()) for t in texts]
+        return self.plain.encode([x.decode() for x, _ in made], num_threads=1), [align for _, align in made]
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, ids: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of every piece in the bytes of the original text."""
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, align = self.normalize(text.encode())
         end = np.cumsum(self.norm_bytes[ids])
         return align[np.concatenate([[0], end[:-1]])], align[end]
 
@@ -143,7 +148,7 @@ def _encode(model: Broadcast, spans: bool, texts: bool):
         for batch in batches:
             for part in tp.slices(batch, "text", 1 << 20):
                 source = [t or "" for t in part["text"].to_pylist()]
-                ids = code.encode(source)
+                ids, aligned = code.encode(source)
                 back = code.sp.decode(ids, num_threads=1)
                 sizes = [len(x) for x in ids]
                 joined = [hashlib.sha256(",".join(map(code.numerals.__getitem__, x)).encode()).hexdigest() for x in ids]
@@ -151,7 +156,7 @@ def _encode(model: Broadcast, spans: bool, texts: bool):
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if spans:
                     flat = [np.array(x, np.int64) for x in ids]
-                    pairs = [code.spans(t, x) for t, x in zip(source, flat, strict=True)]
+                    pairs = [code.spans(x, align) for x, align in zip(flat, aligned, strict=True)]
                     cut = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                     for name, lists in (("ids", flat), ("begins", [x for x, _ in pairs]), ("ends", [y for _, y in pairs])):
                         cols.append(pa.ListArray.from_arrays(cut, pa.array(np.concatenate(lists).astype(np.int32))))

@@ -272,7 +272,7 @@ def charsmap(rules: dict[bytes, bytes]) -> bytes:
             place(base ^ c, {w[1:]: v for w, v in words.items() if w and w[0] == c})
 
     place(0, rules)
-    array = np.zeros(max(units) + 1, "<u4")
+    array = np.zeros(-(-(max(units) + 1) // 256) * 256, "<u4")  # as the library wants it
     for k, v in units.items():
         array[k] = v
     return len(array.tobytes()).to_bytes(4, "little") + array.tobytes() + strings
@@ -650,3 +650,35 @@ def test_rarer_insults_are_learned_from_more_labels(spark):
     assert sum(p for p, _, i in held if i % 30 == 0) > 0.8 * sum(1 for _, _, i in held if i % 30 == 0)
     kept = toxicity.clean(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
+
+
+def test_pieces_of_a_model_with_a_character_map(spark, tmp_path):
+    """A model with a map, squeezed white space and byte fallback gives the ids of the library, and spans of the source."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(queries.PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = charsmap({"ﬁ".encode(): b"fi", "ﬂ".encode(): b"fl", "Ａ".encode(): b"A", "　".encode(): b" ", "…".encode(): b"..."})
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["  ﬁne  ﬂow　Ａ… ", "plain text", "", "   ", "ﬁ", "日本 ﬁ 日本", None]
+    for r in pieces.encode(frame(spark, texts), str(path)).collect():
+        t = texts[r.doc_id] or ""
+        assert r.ids == sp.encode(t) and r.decoded == sp.decode(r.ids)
+        raw = t.encode()
+        assert all(0 <= a <= b <= len(raw) for a, b in zip(r.begins, r.ends, strict=True)) and r.begins == sorted(r.begins)
+        raw.decode() and [raw[a:b] for a, b in zip(r.begins, r.ends, strict=True)]
+
+
+def test_pieces_same_as_the_library_on_all_documents(spark, small):
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, small, "documents").select("doc_id", "text").collect()}
+    rows = queries.op2_pieces(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = sp.encode(texts[r.doc_id])
+        assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
