@@ -1,4 +1,4 @@
-"""Chains, depths and cycles of graphs in which every node has at most one link up."""
+"""Depths, roots, cycles and topological layers of graphs."""
 
 from __future__ import annotations
 
@@ -29,10 +29,29 @@ def roots(links: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes (a -> b, one edge for each a) that lie on a cycle: those that are left when nodes nobody points to are taken away."""
-    left = cut(edges)
-    while True:
-        kept = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
-        if kept.count() == left.count():
-            return kept.select(F.col("a").alias("node"))
-        left = kept
+    """Nodes (a -> b, one edge for each a) that lie on a cycle: where as many steps as there are nodes lead to. Each round doubles the steps."""
+    at = cut(edges.select("a", "b"))
+    steps, n = 1, at.count()
+    while steps < n:
+        at = cut(at.join(at.select(F.col("a").alias("b"), F.col("b").alias("far")), "b").select("a", F.col("far").alias("b")))
+        steps *= 2
+    return at.select(F.col("b").alias("node")).distinct()
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) of a graph with edges (a before b) of any number: 0 for nodes with nothing before them, else one more than the latest before them.
+
+    Nodes on a cycle or behind one have no layer and are left out. A round settles a layer, so rounds grow with the longest
+    chain of the graph; a round joins what the last one settled to the edges that are left.
+    """
+    left = cut(edges.select("a", "b").where("a != b").distinct())
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    free = cut(nodes.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0)))
+    done, k = free, 0
+    while not free.isEmpty():
+        k += 1
+        gone = left.join(free.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        left = cut(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
+        free = cut(gone.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(k)))
+        done = done.unionByName(free)
+    return done

@@ -465,3 +465,12 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("bigint").alias("b"))
     return on_cycles(e)
+
+
+@query("g01_layers", "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey // d AS a, p_partkey AS b FROM part, (SELECT unnest([2, 3]) AS d) WHERE p_partkey // d > 0), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), r AS (SELECT node, 0 AS layer FROM n UNION SELECT e.b, layer + 1 FROM r JOIN e ON e.a = r.node) SELECT node, max(layer) AS layer FROM r GROUP BY node")
+def topological_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: an order of a graph in which nodes have several links each way, layer by layer: every part comes after those with half and with a third of its number."""
+    from quern.operators.graphs import layers
+
+    e = table(spark, sf_dir, "part").select(F.explode(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3))).alias("a"), F.col("p_partkey").alias("b"))
+    return layers(e.where("a > 0"))

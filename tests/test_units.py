@@ -134,9 +134,235 @@ def test_markup():
 
 
 def test_scrub(spark):
-    text = "mail a.b@c.org, token=abc123, Bearer xyz.1, /home/joe/x, " + "f" * 40
-    got = one(spark, hygiene.scrub(F.lit(text)))
-    assert got == "mail <email>, token=<secret>, Bearer <token>, <home>/x, <hex>"
+    key = "sk-" + "proj-" + "a1" * 10
+    cases = {
+        "mail a.b@c.org, token=abc123, /home/joe/x, C:\\Users\\Joe Smith": "mail [redacted-email], token=[redacted], /home/_/x, C:\\Users\\_ Smith",
+        "Authorization: Bearer " + "x" * 20 + ' PASSWORD="p q" refresh_token: z': 'Authorization=[redacted] PASSWORD=[redacted] q" refresh_token=[redacted]',
+        "bearer " + "y" * 16: "Bearer [redacted]",
+        f"use {key} now": "use [redacted-key] now",
+        "f" * 40 + " " + "eyJhb-x.eyJz.s_g": "[redacted-hex] [redacted-jwt]",
+        "Zq" * 20 + "/" + " x": "[redacted-token] x",
+        "nothing here": "nothing here",
+    }
+    for text, want in cases.items():
+        assert one(spark, hygiene.scrub(F.lit(text))) == want, text
+
+
+def test_masks(spark):
+    cases = {"sk-" + "a" * 20: "sk-aaa" + "*" * 13 + "aaaa", "ghp_" + "b" * 30: "ghp_" + "*" * 26 + "bbbb", "short": "****"}
+    for secret, want in cases.items():
+        assert one(spark, hygiene.mask(F.lit(secret))) == want
+    text = "api key: abcdefghijkl, ****ae54, sk-ab****, opaque 0123456789abcdefg, lowercaseonlyidentifier, MixedCaseIdentifierX, CONSTANT_LIKE_THIS_ONE"
+    assert one(spark, hygiene.scrub_credentials(F.lit(text))) == "api key: ****, ****, ****, opaque ****, lowercaseonlyidentifier, ****, CONSTANT_LIKE_THIS_ONE"
+
+
+def test_report_flags(spark):
+    flag = lambda c: one(spark, c)
+    assert flag(hygiene.is_development(F.lit(" DEV "), F.lit("v1"))) and flag(hygiene.is_development(F.lit("x"), F.lit("dev-3"))) and not flag(hygiene.is_development(F.lit("x"), F.lit("v1")))
+    assert flag(hygiene.is_no_crash(F.lit("ResizeObserver loop limit exceeded"))) and flag(hygiene.is_no_crash(F.lit("Minified React error #520; x"))) and not flag(hygiene.is_no_crash(F.lit("Minified React error #5201")))
+    assert flag(hygiene.is_opaque(F.lit("crash"), F.lit("Script error. "), F.lit(" "))) and not flag(hygiene.is_opaque(F.lit("crash"), F.lit("Script error."), F.lit("main.js")))
+
+
+def test_counter_stops_at_zero_at_every_step(spark):
+    from pyspark.sql import Window
+
+    from quern.plans.writes import floored
+
+    rng = random.Random(2)
+    steps = [(0, i, s) for i, s in enumerate([-1, 1])] + [(k, i, rng.choice([-1, 1])) for k in range(1, 30) for i in range(rng.randint(1, 12))]
+    want = {}
+    for k, _, s in steps:
+        want[k] = max(0, want.get(k, 0) + s)
+    df = spark.createDataFrame(steps, "k int, i int, d int").withColumn("s", F.sum("d").over(Window.partitionBy("k").orderBy("i")))
+    assert {r.k: r.x for r in df.groupBy("k").agg(floored(F.sum("d"), F.min("s")).alias("x")).collect()} == want and want[0] == 1
+
+
+def test_versioned_table(spark, tmp_path):
+    from quern.operators.versioned import RollUp, VersionedTable, sync
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        t.read()
+    rows = lambda x: spark.createDataFrame(x, "k string, n long")
+    got = lambda: sorted(map(tuple, t.read().select("k", "n").collect()))
+    t.replace(rows([("a", 1), ("b", 2)]))
+    before = t.read()
+    t.upsert_add(rows([("b", 3), ("c", 4)]), ["k"], "n")
+    assert got() == [("a", 1), ("b", 5), ("c", 4)] and sorted(map(tuple, before.collect())) == [("a", 1), ("b", 2)]
+    t.insert_new(rows([("a", 9), ("d", 9)]), ["k"]).replace_keys(rows([("b", 7), ("b", 8)]), ["k"]).keep("k <> 'c'")
+    assert got() == [("a", 1), ("b", 7), ("b", 8), ("d", 9)] and len(t.versions()) == 5
+    # Files that no log row names are not seen: a write that died.
+    rows([("z", 1)]).write.parquet(str(tmp_path / "t" / "v9-dead"))
+    assert got()[-1] == ("d", 9)
+
+    roll = RollUp(spark, str(tmp_path / "r"))
+    seen = spark.createDataFrame([("s1", "x", 1), ("s1", "x", 1), ("s1", "y", 2), ("s2", "x", 3), ("s3", "x", 4)], "signal string, bucket string, install_id long")
+    assert [roll.refresh(seen, ["s1", "s2", "s3"], 2) for _ in range(3)] == [["s1", "s2"], ["s3", "s1"], ["s2", "s3"]]
+    assert sorted(map(tuple, roll.read().collect())) == [("s1", "x", 1), ("s1", "y", 1), ("s2", "x", 1), ("s3", "x", 1)]
+    roll.refresh(seen.where("signal <> 's1'"), ["s1", "s2", "s3"], 1)  # a signal that has become empty
+    assert sorted(r.signal for r in roll.read().collect()) == ["s2", "s3"]
+
+    index = VersionedTable(spark, str(tmp_path / "i"))
+    files = lambda x: spark.createDataFrame(x, "path string, h string")
+    actions = lambda x: {r.path: r.action for r in sync(index, files(x), "path", "h").collect()}
+    assert actions([("a", "1"), ("b", "1")]) == {"a": "insert", "b": "insert"}
+    assert actions([("a", "1"), ("b", "2"), ("c", "1")]) == {"a": "unchanged", "b": "update", "c": "insert"}
+    assert actions([("c", "1")]) == {"a": "delete", "b": "delete", "c": "unchanged"}
+
+
+def test_paths(spark):
+    from quern.functions import paths
+
+    rows = {"a/b.py": True, ".git/x.py": False, "a/.hidden.py": False, "node_modules/x.js": False, "a/build/x.c": False, "logs/x.py": False, "a/logs/x.py": False, "top.py": False, "a/top.py": True, "x.tmp.py": False, "docs/y/z.md": False, "docs/z.md": False, "builder/x.c": True}
+    df = spark.createDataFrame(list(rows.items()), "path string, want boolean")
+    got = {r.path: r.x for r in df.select("path", paths.walked(F.col("path"), ["logs/", "/top.py", "*.tmp.py", "docs/**/z.md"]).alias("x")).collect()}
+    assert got == rows
+    sized = {("a.py", 1): True, ("a.py", 0): False, ("a.py", 1 << 20): True, ("a.py", (1 << 20) + 1): False, ("A.PY", 5): True, ("a.min.js", 5): False, ("d/yarn.lock", 5): False, ("x.pb.go", 5): False, ("a.bin", 5): False, ("Makefile", 5): False}
+    df = spark.createDataFrame([(*k, v) for k, v in sized.items()], "path string, n long, want boolean")
+    assert {(r.path, r.n): r.x for r in df.select("path", "n", paths.indexable(F.col("path"), F.col("n")).alias("x")).collect()} == sized
+    assert one(spark, paths.written_by_hand(F.lit("x" * 400))) and not one(spark, paths.written_by_hand(F.lit("x" * 401))) and not one(spark, paths.written_by_hand(F.lit("a\n" * 100 + "x" * 5001)))
+
+
+def test_encodings():
+    from quern.functions import encodings
+
+    for text in ("plain", "größe – 検索"):
+        for codec, name in (("utf-8", "utf-8"), ("utf-8-sig", "utf-8-bom"), ("gb18030", "gb18030")):
+            want = "utf-8" if text == "plain" and codec == "gb18030" else name
+            assert encodings._read(text.encode(codec)) == (want, text)
+        assert encodings._read(b"\xff\xfe" + text.encode("utf-16-le")) == ("utf-16le", text)
+    assert encodings._read(b"a\0b") == ("binary", None) and encodings._read(None) == (None, None) and encodings._read(b"\xff\x81\x20")[0] == "lossy-utf-8"
+
+
+def test_sections(spark):
+    from quern.functions import markdown
+
+    text = "intro\n# A #\ntext\n### C\n```\n# no heading\n```\n## B\nmore\n##### five\n#\n#none\n# Z\nend"
+    rows = markdown.sections(spark.createDataFrame([("d", text), ("e", "no heads"), ("f", " \n ")], "k string, text string"), "k", "text").orderBy("k", "section").collect()
+    assert [(r.k, r.section, r.level, r.trail, r.start_line, r.end_line) for r in rows] == [("d", 0, 0, "A", 1, 1), ("d", 1, 1, "A", 2, 3), ("d", 2, 3, "A > C", 4, 7), ("d", 3, 2, "A > B", 8, 12), ("d", 4, 1, "Z", 13, 14), ("e", 0, 0, "", 1, 1)]
+    many = "\n".join(f"# h{i}" if i % 2 else "x" for i in range(10_011))
+    assert markdown.sections(spark.createDataFrame([(0, many), (1, many)], "k long, text string"), "k", "text").groupBy("k").count().select("count").distinct().first()[0] == 5006
+
+
+def test_symbols(spark):
+    from quern.functions.symbols import declaration
+
+    cases = {
+        ("class A(B):", ".py"): ("A", "class"), ("  async def f(x):", ".py"): ("f", "func"), ("def f:", ".py"): None, ("export default abstract class A {", ".ts"): ("A", "class"), ("const f = (a) => a", ".js"): ("f", "func"),
+        ("const f = 3", ".js"): None, ("public sealed interface I {", ".java"): ("I", "interface"), ("  private static int f(int a) {", ".java"): ("f", "method"), ("pub(crate) trait T {", ".rs"): ("T", "trait"), ("static int main(void) {", ".c"): ("main", "func"), ("int f(void);", ".c"): None, ("class A", ".md"): None,
+    }
+    rows = spark.createDataFrame(list(cases), "line string, ext string").select("line", "ext", declaration(F.col("line"), F.col("ext")).alias("d")).collect()
+    assert {(r.line, r.ext): tuple(r.d) if r.d else None for r in rows} == cases
+
+
+def test_line_tallies():
+    from quern.functions import linediff
+
+    def plain(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return len(b) - table[-1][-1], len(a) - table[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        assert linediff.tally("\n".join(a), "\n".join(b)) == (False, *plain(linediff.lines_of("\n".join(a)), linediff.lines_of("\n".join(b))))
+    assert linediff.tally("a\0", "b") == (True, 0, 0) and linediff.tally("", "a\n") == (False, 1, 0) and linediff.tally("x", "x") == (False, 0, 0)
+    long = [str(i) for i in range(1500)]
+    assert linediff.tally("\n".join(long), "\n".join(reversed(long))) == (False, 0, 0)  # too many changes: order is not looked at
+
+
+def test_text_helpers(spark):
+    family = "👨‍👩‍👧"
+    assert one(spark, X.clip(F.lit(family * 3 + "e\u0301x"), 5)) == family * 3 + "e\u0301x" and one(spark, X.clip(F.lit(family * 4), 3)) == family * 2 + "…" and one(spark, X.clip(F.lit("a\nb\nc"), 3)) == "a\n…"
+    label = lambda n: one(spark, X.tick_label(F.lit(float(n))))
+    assert [label(n) for n in (3, 1000, 1500, 2_000_000, 2_500_000)] == ["3", "1k", "1.5k", "2m", "2.5m"]
+    step = lambda n: one(spark, X.tick_step(F.lit(float(n)), 4))
+    assert [step(n) for n in (3, 4, 10, 45, 170)] == [1, 1, 5, 20, 50]
+    language = lambda t: one(spark, X.document_language(F.lit(t)))
+    assert [language(t) for t in ("検" * 101, "検" * 100, "検" * 101 + "a" * 405, "a")] == ["zh-CN", "en", "en", "en"]
+
+
+def test_strong_matches(spark):
+    from quern.operators import ranking
+
+    assert ranking.is_generic("  Please   continue ") and ranking.is_generic("继续") and not ranking.is_generic("continue now")
+    assert ranking.distinctive("why does myFunc fail", "myfunc") and ranking.distinctive("see #nation", "nation") and ranking.distinctive("in conf_x", "conf_x") and not ranking.distinctive("the order", "order")
+    cases = [("a b c", ["a", "b", "c"], ["a", "b"], True), ("a b c", ["a", "b", "c"], ["a"], False), ("x long-one", ["x", "longer"], ["longer"], True), ("x longer y", ["x", "longer", "y"], ["longer"], False), ("検索語", ["検", "索", "語"], ["検", "索"], False), ("検索語", ["検", "索", "語"], ["検", "索", "語"], True), ("x myFunc y", ["x", "myfunc", "y"], ["myfunc"], True)]
+    for query, terms, matched, want in cases:
+        got = one(spark, ranking.strong_match(query, terms, F.array(*map(F.lit, matched))))
+        assert bool(got) is want, query
+
+
+def test_inverted_file_recall(spark):
+    import numpy as np
+
+    from quern.operators import ann
+    from quern.plans.search import PROBES
+    from quern.sources.tables import table
+
+    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+    q = e.where("vec_id % 50 = 0")
+    exact = {(r.query, r.id) for r in ann.exact(e, q, 10).collect()}
+    c = ann.centres(e, 32)
+    index = ann.assign(e, c)
+    assert index.count() == e.count()
+    found = {(r.query, r.id) for r in ann.search(index, q, c, 10, PROBES).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    x = np.array([r.embedding for r in e.orderBy("vec_id").collect()], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, int(j)) for i in range(0, len(x), 50) for j in np.lexsort((np.arange(len(x)), -np.round(x[i] @ x.T, 6)))[:10]}
+    assert exact == want
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0]), (None, [1.0, 1.0]), (6, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query, r.id) for r in ann.exact(odd, odd, 2).collect()) == [(1, 1), (1, 6), (5, 5), (6, 1), (6, 6)]
+
+
+def test_embedded_search_against_brute_force(spark, small):
+    import numpy as np
+
+    from quern.functions import models
+    from quern.plans.outcomes import embedded_search
+    from quern.sources.tables import table
+
+    model, second = models.HashEmbedder(64), models.OverlapReranker()
+    docs = {r.doc_id: r for r in table(spark, small, "documents").collect()}
+    items = {r.item_id: r.text for r in table(spark, small, "benchmark").where("text is not null").collect()}
+    ids = sorted(docs)
+    x = model.embed([docs[i].text or "" for i in ids]).astype(float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = set()
+    for item, text in items.items():
+        q = model.embed([text])[0].astype(float)
+        score = np.round(x @ (q / np.linalg.norm(q)), 6)
+        near = np.lexsort((ids, -score))[:60]
+        rows = [(-second.rerank(text, [docs[ids[k]].text])[0], -score[k], ids[k]) for k in near if docs[ids[k]].source.startswith("src1")]
+        want |= {(item, d) for *_, d in sorted(rows)[:10]}
+    got = {(r.query, r.id) for r in embedded_search(spark, small).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)  # sums in another order may swap equal scores
+
+
+def test_layers(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (5, 4), (7, 8), (8, 7), (8, 9), (4, 4)], "a long, b long")
+    assert {r.node: r.layer for r in graphs.layers(edges).collect()} == {1: 0, 5: 0, 2: 1, 3: 2, 4: 3}
+
+
+def test_series_of_counts(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(0, 9)) for k in range(4) for _ in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "k int, v int")
+    own = {k: sorted(v for q, v in rows if q == k) for k in range(4)}
+    assert {r.k: r.median for r in series.upper_median(df, ["k"], "v").collect()} == {k: v[len(v) // 2] for k, v in own.items()}
+    assert {r.k: r.p for r in series.percentiles(df, ["k"], "v", {"p": 90}).collect()} == {k: v[-(-90 * len(v) // 100) - 1] for k, v in own.items()}
+
+
+def test_a_source_without_events(spark, tmp_path):
+    from quern.streaming import runs
+
+    spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    stream = runs.event_stream(spark, str(tmp_path))
+    assert runs.merge_counters(stream, ["event_type"]).count() == 0
 
 
 def test_jsonl_days(spark, tmp_path):
