@@ -19,7 +19,7 @@ QUERY = "the thing with that nation of order"
 TERMS = ["the", "thing", "with", "that", "nation", "of", "order"]
 _TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
 #: Centres of the inverted file, and how many of their lists a query looks into.
-CENTRES, PROBES = 32, 20
+CENTRES, PROBES = 32, 24
 TOKENS_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}_]+')"
 
 
