@@ -1,18 +1,20 @@
 """Quality scores from random-indexing word vectors and a small neural network.
 
-A text is cut into runs of letters, of digits and of one and the same sign. Each run has
-a place in a table of fixed size; runs in capitals, signs, and runs that repeat the one
-before have places of their own. Every place has a sparse random index vector, and the
+A text is cut into runs of letters, of digits and of one and the same sign. Words are counted over all documents; those
+with at least ``FLOOR`` occurrences, the ``MOST_WORDS`` most frequent of them, are the vocabulary, which so grows with the
+corpus up to that number. Every word of it has a vector of its own; rarer words share ``SHARED`` vectors by hash. Runs in capitals,
+signs, and runs that repeat the one before have places of their own. Every place has a sparse random index vector, and the
 vector of a place is the sum of the index vectors that stand up to two runs around it,
 over all documents of the corpus. A document is the mean of its runs' vectors. On labelled
 documents, a two-layer network in numpy learns from these means, and a temperature fitted
 on rows that the network did not see calibrates its probabilities.
 
 Labels are learned from a bounded sample: about ``per_label`` rows of each label, outside the
-held-out fold. Co-occurrence covers all documents. Null and empty texts have the mean
+held-out fold. Counts and co-occurrence cover all documents. Null and empty texts have the mean
 vector 0 and get a score like all others; with fewer than two labels to learn from, every
 score is the share of label 1, or one half. Repeated rows are scored alike; extra columns
-are ignored; very long texts are read whole.
+are ignored, whatever their names; an empty table gives no rows; very long texts are read whole. Of words that are equally frequent
+those with the least hashes come first; of several labels of a document the largest counts.
 """
 
 from __future__ import annotations
@@ -28,27 +30,27 @@ from quern.llm import blobs, folds
 from quern.llm import textpack as tp
 from quern.llm.store import materialise
 
-WORDS = 8192  # places of ordinary runs, by hash
-CAPITALS = 32  # of runs in capitals, by length
+CAPITALS = 32  # places of runs in capitals, by length
 SIGNS = 256  # of signs, by byte
 REPEATED = 4  # of runs that repeat the one before: letters, digits, signs, spare
-PLACES = WORDS + CAPITALS + SIGNS + REPEATED
+FIXED = CAPITALS + SIGNS + REPEATED
+SHARED = 4096  # of words outside the vocabulary, by hash
+#: Occurrences that a word of the vocabulary has at least, and words that it holds at most.
+FLOOR, MOST_WORDS = 20, 16_384
 DIM = 64
 BLOCK = 64  # places that are summed together
-
-_rng = np.random.Generator(np.random.PCG64(11))
-#: Two dimensions and signs for each place.
-INDEX = _rng.integers(0, DIM, (PLACES, 2))
-SIGN = _rng.choice([-1.0, 1.0], (PLACES, 2))
+#: Words that a task counts before it sends its counts.
+HELD = 1 << 20
 
 _CLASS = np.arange(256)
+_CLASS[:3] = 3  # 0 to 2 are white space, letters and digits
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
 _CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[48:58] = 2
 
 
-def runs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Place of every run, and where each text's runs begin."""
+def runs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every run, its place if it is of a fixed kind (else -1), and where each text's runs begin."""
     buf, off = tp.buffers(part["text"])
     kind = _CLASS[buf]
     edge = np.zeros(len(buf) + 1, bool)
@@ -60,62 +62,115 @@ def runs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     end = cuts[np.searchsorted(cuts, start, side="right")]
     low = buf + (((buf >= 65) & (buf <= 90)).astype(np.uint8) << 5)
     h = tp.hash_ranges(low, start, end)
-    place = (h % np.uint64(WORDS)).astype(np.int64)
+    place = np.full(len(h), -1)
     kind, length = kind[start], end - start
     upper = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
     capital = (kind == 1) & (length > 1) & (2 * (upper[end] - upper[start]) > length)
-    place[capital] = WORDS + np.minimum(length[capital], CAPITALS - 1)
+    place[capital] = np.minimum(length[capital], CAPITALS - 1)
     sign = kind > 2
-    place[sign] = WORDS + CAPITALS + kind[sign]
+    place[sign] = CAPITALS + kind[sign]
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    place[again] = WORDS + CAPITALS + SIGNS + np.minimum(kind[again] - 1, 2)
-    return place, first
+    place[again] = CAPITALS + SIGNS + np.minimum(kind[again] - 1, 2)
+    return h, place, first
 
 
-def _cooccur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of index vectors around each place, for one task, in blocks of places."""
-    total = np.zeros(PLACES * DIM)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, once for each task as long as they are not too many."""
+    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
     for batch in batches:
         for part in tp.slices(batch, "text"):
-            place, first = runs(part)
-            doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-            for gap in (1, 2):
-                same = np.flatnonzero(doc[gap:] == doc[:-gap])
-                a, b = place[same], place[same + gap]
-                for x, y in ((a, b), (b, a)):
-                    for k in range(2):
-                        total += np.bincount(x * DIM + INDEX[y, k], weights=SIGN[y, k], minlength=PLACES * DIM)
-    blocks = -(-PLACES // BLOCK)
-    padded = np.zeros(blocks * BLOCK * DIM)
-    padded[: len(total)] = total
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([x.tobytes() for x in padded.reshape(blocks, -1)], pa.binary())], ["block", "sums"])
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """A unit vector for each place (a table of fixed size, about 2 MB), from all documents."""
-    out = np.zeros((-(-PLACES // BLOCK), BLOCK * DIM))
-    for block, sums in blobs.add(docs.select("text").mapInArrow(tp.task(_cooccur), blobs.SCHEMA), "float64").items():
+            h, place, _ = runs(part)
+            some, times = np.unique(h[place < 0], return_counts=True)
+            merged, inverse = np.unique(np.concatenate([words, some]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, times]), minlength=len(merged)).astype(np.int64)
+            words = merged
+            if len(words) > HELD:
+                yield sent()
+                words, counts = words[:0], counts[:0]
+    yield sent()
+
+
+def vocabulary(docs: DataFrame, floor: int = FLOOR, most: int = MOST_WORDS) -> np.ndarray:
+    """Sorted hashes of the words of the vocabulary: ``most`` at most."""
+    counts = docs.select("text").mapInArrow(tp.task(_count), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+    return np.sort(np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def places(h: np.ndarray, fixed: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of every run: fixed ones, then shared ones, then the words of the vocabulary."""
+    out = np.where(fixed >= 0, fixed, FIXED + (h % np.uint64(SHARED)).astype(np.int64))
+    if len(words):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        own = (fixed < 0) & (words[at] == h)
+        out[own] = FIXED + SHARED + at[own]
+    return out
+
+
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two dimensions and signs for each place; those of a word follow from the word."""
+    keys = np.concatenate([np.arange(FIXED + SHARED, dtype=np.uint64), words])
+    drawn = np.stack([tp.mix(keys * np.uint64(2) + np.uint64(k)) for k in range(2)], axis=1)
+    return (drawn % np.uint64(DIM)).astype(np.int64), np.where(drawn >> np.uint64(63) == 1, 1.0, -1.0)
+
+
+def _cooccur(words):
+    """Sums of index vectors around each place, for one task, in blocks of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, signs = index_vectors(words.value)
+        size = len(index) * DIM
+        total = np.zeros(size)
+        for batch in batches:
+            for part in tp.slices(batch, "text"):
+                h, fixed, first = runs(part)
+                place = places(h, fixed, words.value)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+                for gap in (1, 2):
+                    same = np.flatnonzero(doc[gap:] == doc[:-gap])
+                    a, b = place[same], place[same + gap]
+                    for x, y in ((a, b), (b, a)):
+                        for k in range(2):
+                            total += np.bincount(x * DIM + index[y, k], weights=signs[y, k], minlength=size)
+        blocks = -(-len(index) // BLOCK)
+        padded = np.zeros(blocks * BLOCK * DIM, np.float32)
+        padded[:size] = total
+        rows = padded.reshape(blocks, -1)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["block", "sums"])
+
+    return run
+
+
+def word_vectors(docs: DataFrame, words) -> np.ndarray:
+    """A unit vector for each place, from all documents: of bounded size, five megabytes at most. ``words`` is the broadcast vocabulary."""
+    n = FIXED + SHARED + len(words.value)
+    out = np.zeros((-(-n // BLOCK), BLOCK * DIM))
+    for block, sums in blobs.add(docs.select("text").mapInArrow(tp.task(_cooccur(words)), blobs.SCHEMA), "float32").items():
         out[block] = sums
-    vectors = out.reshape(-1, DIM)[:PLACES]
+    vectors = out.reshape(-1, DIM)[:n]
     vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))  # frequent neighbours count less
     vectors -= vectors.mean(axis=0)
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]).astype(np.float32)
 
 
-def pool(part: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
+def pool(part: pa.RecordBatch, vectors: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Mean vector of each text, and the logarithm of its length."""
-    place, first = runs(part)
-    n = part.num_rows
+    h, fixed, first = runs(part)
+    place, n, all_of = places(h, fixed, words), part.num_rows, len(vectors)
     size = np.diff(first)
-    key, times = np.unique(np.repeat(np.arange(n), size) * PLACES + place, return_counts=True)
-    own = np.searchsorted(key, np.arange(n + 1) * PLACES)
+    key, times = np.unique(np.repeat(np.arange(n), size) * all_of + place, return_counts=True)
+    own = np.searchsorted(key, np.arange(n + 1) * all_of)
     out = np.zeros((n, DIM + 1), np.float32)
     for d in np.flatnonzero(size):
         a, b = own[d], own[d + 1]
-        out[d, :DIM] = times[a:b].astype(np.float32) @ vectors[key[a:b] % PLACES] / size[d]
+        out[d, :DIM] = times[a:b].astype(np.float32) @ vectors[key[a:b] % all_of] / size[d]
     out[:, DIM] = np.log1p(size) / 10
     return out
 
@@ -169,14 +224,16 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
     """Per row: doc_id, held_out, score and predicted."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     fold: Column = folds.remainder("doc_id", held_out_mod) == held_out
-    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
+    context = docs.sparkSession.sparkContext
+    words = context.broadcast(vocabulary(docs))
+    vectors = context.broadcast(word_vectors(docs, words))
     wanted = folds.sample(folds.labelled(labels, label_col, fold), "y", per_label).collect()  # bounded by per_label
     y_of = {r.doc_id: r.y for r in wanted}
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tp.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([v.tobytes() for v in pool(part, vectors.value)], pa.binary())], ["doc_id", "vector"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([v.tobytes() for v in pool(part, vectors.value, words.value)], pa.binary())], ["doc_id", "vector"])
 
     # A narrow table (a quarter of a kilobyte a document) that both training and scoring read.
     table = materialise(docs.mapInArrow(tp.task(pooled), "doc_id bigint, vector binary"))

@@ -682,3 +682,59 @@ def test_pieces_same_as_the_library_on_all_documents(spark, small):
         ids = sp.encode(texts[r.doc_id])
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_word_vectors_against_plain_python(spark):
+    """Vocabulary, sums of index vectors around each place, and means of documents, run by run."""
+    from collections import Counter
+
+    texts = [t for t in corpus(11, 60)] + ["Aaa!!! aaa AAA 12 12 #tag, no", "WORD WORD word"]
+    rows = frame(spark, texts).select("doc_id", "text")
+    low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
+    hash_of = lambda s: tp.hash_ranges(np.frombuffer(low(s).encode(), np.uint8), np.array([0]), np.array([len(s.encode())]))[0]
+
+    def cut(t):
+        """Runs with their fixed places."""
+        out, before = [], None
+        raw = (t or "").encode()
+        for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^A-Za-z0-9\x80-\xff \t-\r])\1*", raw):
+            s = m[0]
+            letters, digits = bool(re.match(rb"[A-Za-z\x80-\xff]", s)), s[:1].isdigit()
+            h = tp.hash_ranges(np.frombuffer(re.sub(rb"[A-Z]", lambda x: x[0].lower(), s), np.uint8), np.array([0]), np.array([len(s)]))[0]
+            at = -1
+            if letters and len(s) > 1 and 2 * len(re.findall(rb"[A-Z]", s)) > len(s):
+                at = min(len(s), quality.CAPITALS - 1)
+            if not letters and not digits:
+                at = quality.CAPITALS + max(3, s[0])
+            if h == before:
+                at = quality.CAPITALS + quality.SIGNS + (0 if letters else 1 if digits else 2)
+            before = h
+            out.append((int(h), at))
+        return out
+
+    assert int(hash_of("Abc")) == int(hash_of("abc"))
+    documents = [cut(t) for t in texts]
+    n = Counter(h for d in documents for h, at in d if at < 0)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    words = sorted(sorted((h for h in n if n[h] >= 5), key=lambda h: (-n[h], signed(h)))[:40])
+    got = quality.vocabulary(rows, floor=5, most=40)
+    assert got.tolist() == words
+    place = lambda h, at: at if at >= 0 else quality.FIXED + quality.SHARED + words.index(h) if h in words else quality.FIXED + h % quality.SHARED
+    index, signs = quality.index_vectors(got)
+    total = np.zeros((quality.FIXED + quality.SHARED + len(words), quality.DIM))
+    for d in documents:
+        p = [place(*x) for x in d]
+        for i, x in enumerate(p):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(p):
+                    for k in range(2):
+                        total[x, index[p[j], k]] += signs[p[j], k]
+    total = np.sign(total) * np.sqrt(np.abs(total))
+    total -= total.mean(axis=0)
+    total /= np.maximum(np.linalg.norm(total, axis=1), 1e-9)[:, None]
+    vectors = quality.word_vectors(rows, spark.sparkContext.broadcast(got))
+    assert np.allclose(vectors, total, atol=1e-5)
+    means = quality.pool(pa.RecordBatch.from_pydict({"text": texts}), vectors, got)
+    for d, m in zip(documents, means, strict=True):
+        want = np.mean([total[place(*x)] for x in d], axis=0) if d else np.zeros(quality.DIM)
+        assert np.allclose(m[:-1], want, atol=1e-5) and m[-1] == pytest.approx(np.log1p(len(d)) / 10)
