@@ -185,10 +185,11 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
-@pytest.mark.parametrize("group", [1 << 19, 40])
-def test_repeats(spark, group):
+@pytest.mark.parametrize(("group", "bits"), [(1 << 19, repeats.LABEL_BITS), (40, repeats.LABEL_BITS), (1 << 19, 8), (40, 1)])
+def test_repeats(spark, group, bits):
+    """Also with labels so short that they collide all the time."""
     texts = corpus(6, 150)
-    got = sorted(map(tuple, repeats.remove(frame(spark, texts), texts=False, group=group).collect()))
+    got = sorted(map(tuple, repeats.remove(frame(spark, texts), texts=False, group=group, bits=bits).collect()))
     least: dict = {}
     for d, t in enumerate(texts):
         w = split(t)
@@ -738,3 +739,13 @@ def test_word_vectors_against_plain_python(spark):
     for d, m in zip(documents, means, strict=True):
         want = np.mean([total[place(*x)] for x in d], axis=0) if d else np.zeros(quality.DIM)
         assert np.allclose(m[:-1], want, atol=1e-5) and m[-1] == pytest.approx(np.log1p(len(d)) / 10)
+
+
+def test_suffix_ranks():
+    rng = np.random.default_rng(5)
+    for n, kinds, width in ((0, 3, 13), (1, 3, 13), (200, 2, 13), (300, 3, 5), (120, 2, 1), (90, 4, 8)):
+        words = rng.integers(0, kinds, n)
+        got = repeats.suffix_ranks(words, width)
+        seen = [tuple(words[i : i + width]) for i in range(n)]
+        order = {s: k for k, s in enumerate(sorted(set(seen)))}
+        assert got.tolist() == [order[s] for s in seen]
