@@ -125,7 +125,7 @@ def measure(part: pa.RecordBatch, code: pieces.Coder, words: WordCounter) -> pa.
     key, times = np.unique(doc * code.vocabulary + flat, return_counts=True)
     own = key // code.vocabulary
     p = times / np.maximum(size[own], 1)
-    bits = -np.bincount(own, weights=p * np.log2(p), minlength=n)
+    bits = -np.bincount(own, weights=p * np.log2(p), minlength=n).astype(np.float64)  # of no tokens numpy makes integers
     some = np.maximum(size, 1)
     return pa.RecordBatch.from_arrays(
         [

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quern.llm import components, decontaminate, fertility, jaccard, languages, pieces, quality, queries, repeats, toxicity, webtext
+from quern.llm import components, decontaminate, exchange, fertility, jaccard, languages, pieces, privacy, quality, queries, repeats, toxicity, webtext
 from quern.llm import textpack as tp
 from quern.llm.signature import SignatureTree
 
@@ -749,3 +749,54 @@ def test_suffix_ranks():
         seen = [tuple(words[i : i + width]) for i in range(n)]
         order = {s: k for k, s in enumerate(sorted(set(seen)))}
         assert got.tolist() == [order[s] for s in seen]
+
+
+CLASH = "score predicted lost row hi lo tokens gid n key kept component_id pii_types letter held_out y may content fertility_group reasons hit_spans item_ids n_words insult band own shared rep copies".split()
+
+
+def operators(spark, docs):
+    """Every operator on documents, as it is used with production parameters."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("i", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id string, text string")
+    return {
+        "pieces": lambda: pieces.encode(docs, queries.PIECES), "privacy": lambda: privacy.pseudonymise(docs, "k"), "jaccard": lambda: jaccard.join(docs), "repeats": lambda: repeats.remove(docs), "quality": lambda: quality.score(docs, labels),
+        "fertility": lambda: fertility.judge(docs, *VOCABULARIES), "toxicity": lambda: toxicity.score(docs, labels), "toxicity_clean": lambda: toxicity.clean(docs, labels), "languages": lambda: languages.identify(docs), "decontaminate": lambda: decontaminate.decontaminate(docs, items),
+    }
+
+
+@pytest.mark.parametrize("name", "pieces privacy jaccard repeats quality fertility toxicity toxicity_clean languages decontaminate".split())
+def test_long_texts_clashing_names_and_empty_tables(spark, name):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(1_600_000))
+    assert len(long) > 8_000_000
+    odd = "x@" + "a." * 50_000 + " password=" + "s3" * 10_000 + " " + "/a" * 1000
+    rows = [(0, long, "en"), (1, long, "en"), (2, odd, None), (3, None, "de"), (4, "", "en"), (4, "", "en"), (None, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 no id", "en"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(F.lit(1).alias(c) for c in CLASH))
+    got = operators(spark, docs)[name]().collect()
+    assert len(got) == len(rows) and sorted(r.doc_id for r in got if r.doc_id is not None) == [0, 1, 2, 3, 4, 4, 5]
+    by = {r.doc_id: r for r in got}
+    if name == "jaccard":
+        assert by[1].component_id == 0 and by[1].n_links == by[0].n_links == 1 and by[0].n_shingles > 1_500_000 and by[None].component_id is None
+    if name == "repeats":
+        assert by[0].n_removed == 0 and by[1].n_removed == by[1].n_words == 1_600_000
+    if name == "pieces":
+        assert by[0].decoded == long and by[0].ends[-1] == len(long)
+    if name == "privacy":
+        assert by[0].text == long and "s3s3" not in by[2].text and len(by[2].text) == len(odd) and by[3].text is None
+    if name == "decontaminate":
+        assert by[5].item_ids == by[None].item_ids == ["i"]
+    if name == "fertility":
+        assert by[0].n_words == 1_600_000
+    assert operators(spark, docs.limit(0))[name]().count() == 0
+
+
+def test_parted_by_filter_and_by_join(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(500)] + [(None, "x")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(3,), (3,), (None,)], "id long")
+    want = {*range(0, 500, 7), 3}
+    for limit in (1 << 20, 0):
+        rows = exchange.parted(docs, ids, limit)
+        among, others = [r.doc_id for r in rows(True).collect()], [r.doc_id for r in rows(False).collect()]
+        assert want <= set(among) and None in others and sorted(map(str, among + others)) == sorted(str(r.doc_id) for r in docs.collect())
+        assert limit or set(among) == want
