@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each written and read again before the next.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
-the columns of documents; the last returns what the tokeniser made of each text.
+the columns of documents, and no others; the last returns what the tokeniser made of each text.
+An empty table goes through every stage and stays empty. Rows with null or empty texts, and texts of any
+length, are handled like all others; so are nulls in any other column.
 """
 
 from __future__ import annotations
@@ -18,14 +20,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go. Texts are scored where they lie, and not shuffled."""
+    """Documents that the toxicity grammar rejects go. Texts are scored where they lie, and not shuffled.
+
+    Null and empty texts match no clause and stay; repeated rows go or stay together.
+    """
     return toxicity.clean(docs.select(COLUMNS), queries.table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays; of repeated rows, one.
 
-    Only texts of documents that may go are shuffled. Of rows without a doc_id none goes.
+    Null and empty texts are similar to nothing and stay, but repeated rows of an id and text become one. Rows without a
+    doc_id all stay. Rows of one doc_id with different texts stay if that id is the smallest of its component.
+    Only texts of documents that may go are shuffled.
     """
     components = materialise(jaccard.join(docs, links=False))
     doubtful = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("copy")).where("rows > 1 or copy")
@@ -44,13 +51,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by surrogates."""
+    """Personal data and secrets are replaced by surrogates; n_chars is counted anew, null for null texts. No row goes."""
     changed = privacy.pseudonymise(docs, queries.secret_key(spark))
     return changed.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each text with their byte spans."""
+    """Tokens of each text with their byte spans; null and empty texts have none. No row goes."""
     return pieces.encode(docs, queries.PIECES, texts=False)
 
 
