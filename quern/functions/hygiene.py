@@ -70,7 +70,7 @@ def mask_sql(secret: str) -> str:
 
 def scrub_credentials(text: Column) -> Column:
     """The stronger form for what leaves the house: secrets named in prose, half masked ones, and opaque runs with a digit or both cases."""
-    t = F.regexp_replace(text, _ascii_edges(r"(?i)\b(api[ _-]?key|access[ _-]?key|secret|token|authorization|bearer|credential)s?\b([\"']?\s*[:=]?\s*[\"']?)[A-Za-z0-9._~+/-]{12,}"), f"$1$2{HIDDEN.replace('*', '*')}")
+    t = F.regexp_replace(text, _ascii_edges(r"(?i)\b(api[ _-]?key|access[ _-]?key|secret|token|authorization|bearer|credential)s?\b([\"']?\s*[:=]?\s*[\"']?)[A-Za-z0-9._~+/-]{12,}"), f"$1$2{HIDDEN}")
     t = F.regexp_replace(t, r"[A-Za-z0-9._-]*\*{2,}[A-Za-z0-9._-]*", HIDDEN)
     run = "[A-Za-z0-9_-]"
     mixed = f"(?={run}*[0-9])|(?=(?:{run}*[a-z]){run}*[A-Z])|(?=(?:{run}*[A-Z]){run}*[a-z])"

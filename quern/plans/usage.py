@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import provider
 from quern.operators import series
 from quern.plans.registry import query
-from quern.sources.tables import USAGE_SQL, events, table, usage
+from quern.sources.tables import USAGE_SQL, table, usage
 
 _PROVIDER_SQL = "CASE WHEN instr(model, '/') > 1 THEN split_part(model, '/', 1) ELSE 'default' END"
 _REQ_SQL = "CASE WHEN turn THEN 0 WHEN requests <= 0 AND total > 0 THEN 1 ELSE requests END"
