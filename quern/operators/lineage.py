@@ -26,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that a job has written for itself, in whatever store they are."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)

@@ -30,6 +30,11 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column, terms_too
     counted = cut(own.select(id_col, F.size("toks").alias("len"), F.filter("toks", lambda t: t.isin(terms)).alias("hits")))
     stats = counted.agg(F.count("*").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1e-9)).alias("avg_len"))
     hit = counted.where(F.size("hits") > 0).select(id_col, "len", F.explode(F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))).alias("h")).select(id_col, "len", "h.term", "h.tf")
+    return _scored(hit, stats, id_col, terms_too)
+
+
+def _scored(hit: DataFrame, stats: DataFrame, id_col: str, terms_too: bool) -> DataFrame:
+    """Scores from (id, len, term, tf) of the query's terms and one row of statistics."""
     df = hit.groupBy("term").agg(F.count("*").alias("df"))  # at most one row for each query term
     scored = hit.join(F.broadcast(df), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,6 +44,34 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text: Column, terms_too
     return scored.groupBy(id_col).agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"), F.count("*").alias("matched"), *([F.array_sort(F.collect_set("term")).alias("terms")] if terms_too else []))
 
 
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def build_postings(docs: DataFrame, id_col: str, text: Column, path: str) -> None:
+    """Writes an index of ``docs``: a row for each document and term, in folders by a hash of the term, and the corpus statistics.
+
+    Terms are counted inside each document, so one shuffle brings the rows to their folders.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.array_sort(tokens(text)).alias("t"))
+    lengths = own.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("t")), F.lit(1e-9)).alias("avg_len"))
+    lengths.write.mode("overwrite").parquet(f"{path}/stats")
+    starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda x: x.isNotNull())
+    runs = own.select("id", "t", starts.alias("at")).select("id", F.size("t").alias("len"), F.explode(F.transform("at", lambda a, i: F.struct(F.get("t", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("t")) - a).alias("tf")))).alias("x"))
+    rows = runs.select(_bucket(F.col("x.term")).alias("bucket"), "x.term", "id", "len", "x.tf")
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_postings(spark, path: str, terms: list[str]) -> DataFrame:
+    """(id, score, matched) as :func:`bm25`, from an index: only the folders of the terms are opened, and sorted files let row groups be passed over."""
+    wanted = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).collect()})
+    hit = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
+    return _scored(hit, spark.read.parquet(f"{path}/stats"), "id", False)
+
+
 # Answers that ask for nothing.
 GENERIC = ["continue", "please continue", "go on", "next", "ok", "okay", "yes", "no", "继续", "好的", "好", "是", "否", "下一步"]
 

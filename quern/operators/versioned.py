@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import series
-from quern.operators.lineage import shared_folder
+from quern.operators.lineage import drop, shared_folder
 
 
 class VersionedTable:
@@ -43,6 +43,11 @@ class VersionedTable:
         self.spark.createDataFrame([(number, folder)], "version bigint, folder string").coalesce(1).write.mode("append").json(f"{self.path}/log")
         return self
 
+    def expire(self, keep: int = 1) -> VersionedTable:
+        """Deletes the files of all but the newest ``keep`` versions; nobody may be reading them."""
+        drop(self.spark, *(folder for _, folder in self.versions()[:-keep]))
+        return self
+
     def change(self, f: Callable[[DataFrame], DataFrame]) -> VersionedTable:
         return self.replace(f(self.read()))
 

@@ -43,6 +43,15 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score", "matched")
 
 
+@query("v03_postings_search", f"WITH {bm25_sql('documents', 'doc_id', 'text')}, top AS (SELECT * FROM scored WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY round(score, 6) DESC, doc_id LIMIT 20) SELECT doc_id, round(score, 6) AS score, matched FROM top")
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3, F2: the same from an index that is written once; a search opens the folders of its terms only."""
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    ranking.build_postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), path)
+    scored = ranking.floor(ranking.search_postings(spark, path, ranking.query_terms(QUERY, spark)), 0.15)
+    return scored.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "matched").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 @query("v03_conversation_search", f"WITH turns AS (SELECT conv_id, turn, text FROM conversations WHERE role IN ('user', 'assistant')), {bm25_sql('turns', 'conv_id, turn', 'text')} SELECT conv_id, turn, round(score, 6) AS score FROM scored WHERE score >= 0.15 * (SELECT max(score) FROM scored) ORDER BY round(score, 6) DESC, conv_id, turn LIMIT 8")
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3, P5: the best messages of two roles."""

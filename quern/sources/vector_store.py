@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.lineage import drop
+
 
 def recipe(chunker: int, model: str, dims: int) -> str:
     return f"chunker={chunker}/model={model}/dims={dims}"
@@ -26,7 +28,4 @@ def stats(vectors: DataFrame) -> DataFrame:
 
 def delete(spark: SparkSession, path: str, *names) -> None:
     """Takes the vectors of some paths away; their folders are dropped and no file is read."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in names:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/path={name}")
-        folder.getFileSystem(hadoop).delete(folder, True)
+    drop(spark, *(f"{path}/path={name}" for name in names))

@@ -191,6 +191,7 @@ def test_versioned_table(spark, tmp_path):
     assert got() == [("a", 1), ("b", 5), ("c", 4)] and sorted(map(tuple, before.collect())) == [("a", 1), ("b", 2)]
     t.insert_new(rows([("a", 9), ("d", 9)]), ["k"]).replace_keys(rows([("b", 7), ("b", 8)]), ["k"]).keep("k <> 'c'")
     assert got() == [("a", 1), ("b", 7), ("b", 8), ("d", 9)] and len(t.versions()) == 5
+    assert t.expire().read().count() == 4
     # Files that no log row names are not seen: a write that died.
     rows([("z", 1)]).write.parquet(str(tmp_path / "t" / "v9-dead"))
     assert got()[-1] == ("d", 9)
