@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exchange, jaccard, pieces, privacy, queries, toxicity
 from quern.llm.store import materialise, shared_folder
+from quern.operators.lineage import drop
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -75,9 +76,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
+    """The stages one after the other over all documents; what the next one has read is deleted, and the last result stays."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done:
+            drop(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs
