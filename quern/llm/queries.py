@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, fertility, jaccard, languages, pieces, privacy, quality, repeats, toxicity, webtext
+from quern.llm import textpack as tp
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what an executor holds of texts on their way to Python: fewer rows in a batch than Spark's 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(tp.BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows that Spark should send to a Python worker at once; both sides hold a batch whole, and texts are long.
+BATCH_ROWS = 1000
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = U(0x9E3779B97F4A7C15)
 
