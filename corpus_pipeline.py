@@ -35,6 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id all stay. Rows of one doc_id with different texts stay if that id is the smallest of its component.
     Only texts of documents that may go are shuffled.
     """
+    queries.small_batches(spark)
     components = materialise(jaccard.join(docs, links=False))
     doubtful = components.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("copy")).where("rows > 1 or copy")
     rows = exchange.parted(docs, doubtful.select("doc_id"))
@@ -59,6 +60,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each text with their byte spans; null and empty texts have none. No row goes."""
+    queries.small_batches(spark)
     return pieces.encode(docs, queries.PIECES, texts=False)
 
 
