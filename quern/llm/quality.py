@@ -79,22 +79,27 @@ def runs(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with their counts, once for each task as long as they are not too many."""
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> None:
+        words, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        held[:] = [(words, np.bincount(inverse, weights=np.concatenate([n for _, n in held]), minlength=len(words)).astype(np.int64))]
 
     def sent() -> pa.RecordBatch:
+        words, counts = held.pop()
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
     for batch in batches:
         for part in tp.slices(batch, "text"):
             h, place, _ = runs(part)
-            some, times = np.unique(h[place < 0], return_counts=True)
-            merged, inverse = np.unique(np.concatenate([words, some]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, times]), minlength=len(merged)).astype(np.int64)
-            words = merged
-            if len(words) > HELD:
-                yield sent()
-                words, counts = words[:0], counts[:0]
-    yield sent()
+            held.append(np.unique(h[place < 0], return_counts=True))
+            if sum(len(x) for x, _ in held) > HELD:
+                merged()
+                if 2 * len(held[0][0]) > HELD:
+                    yield sent()
+    if held:
+        merged()
+        yield sent()
 
 
 def vocabulary(docs: DataFrame, floor: int = FLOOR, most: int = MOST_WORDS) -> np.ndarray:
@@ -132,12 +137,14 @@ def _cooccur(words):
                 h, fixed, first = runs(part)
                 place = places(h, fixed, words.value)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+                at, drawn = [], []
                 for gap in (1, 2):
                     same = np.flatnonzero(doc[gap:] == doc[:-gap])
                     a, b = place[same], place[same + gap]
                     for x, y in ((a, b), (b, a)):
-                        for k in range(2):
-                            total += np.bincount(x * DIM + index[y, k], weights=signs[y, k], minlength=size)
+                        at.append((x[:, None] * DIM + index[y]).ravel())
+                        drawn.append(signs[y].ravel())
+                total += np.bincount(np.concatenate(at), weights=np.concatenate(drawn), minlength=size)
         blocks = -(-len(index) // BLOCK)
         padded = np.zeros(blocks * BLOCK * DIM, np.float32)
         padded[:size] = total
