@@ -20,24 +20,34 @@ SCRUBS = [
     (r"[A-Za-z0-9+/]{40,}={0,2}", "[redacted-token]"),
     (r"\b[A-Za-z0-9_-]{48,}\b", "[redacted-token]"),
 ]
-#: What a text must hold, by a cheaper test, for a pattern to be tried.
-_HELD = [r"(?i)[A-Z]:\\Users", r"/(?:home|Users)/", "@", r"(?i)bearer", r"(?i)key|token|authorization|secret|passw|pwd", "eyJ", r"[sr]k-", *["[A-Za-z0-9+/_-]{32}"] * 3]
+#: What a text must hold for a pattern to be tried: one of these in its lower-case form, or a run that a pattern wants.
+_RUN = "[A-Za-z0-9+/_-]{32}"
+_HELD = [[":\\users\\"], ["/home/", "/users/"], ["@"], ["bearer"], ["key", "token", "authorization", "secret", "passw", "pwd"], ["eyj"], ["sk-", "rk-"], _RUN, _RUN, _RUN]
+
+
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def _ascii_edges(pattern: str) -> str:
-    """The pattern with word edges between ASCII letters, digits and ``_`` and all else, and white space of ASCII."""
-    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    return pattern.replace(r"\b", edge)
+    """The pattern with word edges between ASCII letters, digits and ``_`` and all else: the first one begins a word, the others end one."""
+    begin, *rest = pattern.split(r"\b")
+    if not rest:
+        return pattern
+    word = "[A-Za-z0-9_]"
+    return begin + f"(?<!{word})(?={word})" + f"(?<={word})(?!{word})".join(rest)
 
 
 def scrub(text: Column) -> Column:
-    """Personal data and secrets as marks of their kind. A text that no pattern can match is looked at once for each cheap test."""
+    """Personal data and secrets as marks of their kind. Of a text that no pattern can match only cheap tests are made."""
 
     def one(t: Column, k: int) -> Column:
-        held = F.contains(t, F.lit(_HELD[k])) if _HELD[k].isalnum() or _HELD[k] == "@" else t.rlike(_HELD[k])
+        held = t.rlike(_HELD[k]) if isinstance(_HELD[k], str) else let(F.lower(t), lambda low: reduce(lambda a, x: a | F.contains(low, F.lit(x)), _HELD[k], F.lit(False)))
         return F.when(held, F.regexp_replace(t, _ascii_edges(SCRUBS[k][0]), SCRUBS[k][1])).otherwise(t)
 
-    return reduce(one, range(len(SCRUBS)), text)
+    # Each step names what the one before left several times, and computes it once.
+    return reduce(lambda t, k: let(t, lambda x: one(x, k)), range(len(SCRUBS)), text)
 
 
 def scrub_sql(text: str) -> str:
