@@ -44,7 +44,7 @@ def _scored(hit: DataFrame, stats: DataFrame, id_col: str, terms_too: bool) -> D
     return scored.groupBy(id_col).agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"), F.count("*").alias("matched"), *([F.array_sort(F.collect_set("term")).alias("terms")] if terms_too else []))
 
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def _bucket(term: Column) -> Column:
