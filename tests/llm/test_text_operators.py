@@ -800,3 +800,46 @@ def test_parted_by_filter_and_by_join(spark):
         among, others = [r.doc_id for r in rows(True).collect()], [r.doc_id for r in rows(False).collect()]
         assert want <= set(among) and None in others and sorted(map(str, among + others)) == sorted(str(r.doc_id) for r in docs.collect())
         assert limit or set(among) == want
+
+
+def test_languages_against_plain_python(spark, small):
+    """Filters, shares and decisions, n-gram by n-gram in plain Python, over all documents."""
+    from collections import Counter, defaultdict
+    from zlib import crc32
+
+    docs = queries.table(spark, small, "documents").collect()
+    letter = lambda b: 97 <= b <= 122 or 65 <= b <= 90 or (b >= 128 and b != 0xC2)
+
+    def grams(text):
+        raw, out, before = (text or "").encode(), [], 0
+        for b in raw:
+            x = 0 if not letter(b) else b + 32 if 65 <= b <= 90 or (before == 0xC3 and 0x80 <= b <= 0x9E) else b
+            before = b
+            if x or not out or out[-1]:
+                out.append(x)
+        return {n: [int.from_bytes(bytes(out[i : i + n]), "little") | n << 56 for i in range(len(out) - n + 1)] for n in languages.LENGTHS}
+
+    held = lambda i: crc32(str(i).encode()) % 3 == 1
+    of = {r.doc_id: grams(r.text) for r in docs}
+    langs = sorted({r.lang for r in docs if r.lang and not held(r.doc_id)})
+    filters, false = {}, {}
+    for x in langs:
+        own = np.zeros(languages.BITS, bool)
+        for n in languages.LENGTHS:
+            c = Counter(g for r in docs if r.lang == x and r.text is not None and not held(r.doc_id) for g in of[r.doc_id][n])
+            some = np.array([g for g, k in c.items() if k >= max(2.0, sum(c.values()) / 40_000)], np.uint64)
+            for p in languages._places(tp.mix(some)):
+                own[p] = True
+        filters[x], false[x] = own, own.mean() ** 2
+    got = {r.doc_id: r for r in queries.op9_languages(spark, small).collect()}
+    for r in docs:
+        all_of = np.array([g for n in languages.LENGTHS for g in of[r.doc_id][n]], np.uint64)
+        share = defaultdict(float)
+        if len(all_of):
+            a, b = languages._places(tp.mix(all_of))
+            share.update({x: min(1, max(0, ((filters[x][a] & filters[x][b]).mean() - false[x]) / (1 - false[x]))) for x in langs})
+        top = sorted(langs, key=lambda x: -share[x])
+        want = top[0] if re.search(r"[^\W\d_]", r.text or "") else "und"
+        assert got[r.doc_id].lang_pred == want and got[r.doc_id].held_out == held(r.doc_id)
+        if want != "und" and share[top[0]] > 0:
+            assert got[r.doc_id].score == pytest.approx(share[top[0]] / (share[top[0]] + share[top[1]]))
