@@ -43,7 +43,7 @@ from quern.llm.store import materialise, measured
 LENGTHS = (1, 2, 4, 8)
 COUNTERS = 4096
 #: Suffixes that a group holds, on the average of light prefixes.
-GROUP = 1 << 19
+GROUP = 1 << 18
 #: Bits of a label; places are told by the bits of the group besides.
 LABEL_BITS = 40
 #: Words of the run that neighbouring windows have in common.
@@ -196,8 +196,8 @@ def recurring(docs: DataFrame, how: dict) -> DataFrame:
     """(doc_id, may): labels of the windows that may recur, for every document that has some."""
     n_buckets = max(16, how["total"] // (1 << 20))
     sent = docs.select("doc_id", "text").mapInArrow(tp.task(_send(how, n_buckets)), "gid bigint, docs binary, labels binary")
-    found = sent.groupBy("gid").applyInPandas(_several(n_buckets), "bucket bigint, docs binary, labels binary")
-    return found.groupBy("bucket").applyInPandas(_by_doc, "doc_id bigint, may binary")
+    found = sent.groupBy("gid").applyInPandas(tp.group(_several(n_buckets)), "bucket bigint, docs binary, labels binary")
+    return found.groupBy("bucket").applyInPandas(tp.group(_by_doc), "doc_id bigint, may binary")
 
 
 _RANGES = "bucket bigint, docs binary, rows binary, starts binary, counts binary"
@@ -353,8 +353,8 @@ def losses(docs: DataFrame, width: int = 13, group: int = GROUP, bits: int = LAB
     n_groups, n_buckets = max(16, n // group), max(16, n // (1 << 20))
     held = ex.parted(docs, may)(True).join(may, "doc_id")
     sent = held.select("doc_id", "text", "row", "may").mapInArrow(tp.task(_send_regions(how, n_groups, n_buckets)), _REGIONS)
-    found = sent.groupBy("gid").applyInPandas(_sorted(width, n_buckets), _RANGES)
-    return found.groupBy("bucket").applyInPandas(_by_row, "doc_id bigint, row bigint, lost binary")
+    found = sent.groupBy("gid").applyInPandas(tp.group(_sorted(width, n_buckets)), _RANGES)
+    return found.groupBy("bucket").applyInPandas(tp.group(_by_row), "doc_id bigint, row bigint, lost binary")
 
 
 def cut(part: pa.RecordBatch, lost: list[bytes | None], width: int) -> tuple[tp.Words, np.ndarray]:

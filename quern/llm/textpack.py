@@ -33,6 +33,27 @@ ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[48:58] = ALNUM_WORDS[97:123] = ALNUM_WORDS[128:] = True
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def group(f):
+    """A function of the rows of a group that gives back what it used."""
+
+    def run(rows):
+        try:
+            return f(rows)
+        finally:
+            give_back()
+
+    return run
+
+
 def task(*steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """Steps over the batches of a task, one after the other in the same Python worker.
 
@@ -46,11 +67,7 @@ def task(*steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             yield from batches
         finally:
             batches = iter(())
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return run
 
