@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quern.llm import blobs
 from quern.llm import exchange as ex
 from quern.llm import textpack as tp
-from quern.llm.store import materialise, measured
+from quern.llm.store import forget, materialise, measured
 
 #: Lengths of prefix, in words, that are counted; the last is the width itself.
 LENGTHS = (1, 2, 4, 8)
@@ -349,6 +349,7 @@ def losses(docs: DataFrame, width: int = 13, group: int = GROUP, bits: int = LAB
     """(doc_id, row, lost): places of the windows whose words go, for every row of ``docs`` (doc_id, text, row) that loses some."""
     how = plan(docs, width, group, bits)
     may, seen = measured(recurring(docs, how), n=F.sum(F.octet_length("may") / 5))
+    forget(docs.sparkSession)  # the labels of all suffixes
     n = int(seen["n"] or 0)
     n_groups, n_buckets = max(16, n // group), max(16, n // (1 << 20))
     held = ex.parted(docs, may)(True).join(may, "doc_id")
@@ -400,6 +401,7 @@ def remove(docs: DataFrame, width: int = 13, texts: bool = True, group: int = GR
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string, removed_spans array<int>" * texts
     lost = materialise(losses(docs, width, group, bits))
+    forget(docs.sparkSession)  # the regions
     rows = ex.parted(docs.withColumn("lost", F.lit(None).cast("binary")), lost)
     whole = rows(False, _results(width, texts), schema=schema)
     losing = rows(True).drop("lost").join(lost.drop("doc_id"), "row", "left").select("doc_id", "text", "lost")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import gc
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from quern.operators.lineage import cut as materialise
 from quern.operators.lineage import shared_folder
 
-__all__ = ["materialise", "measured", "shared_folder"]
+__all__ = ["forget", "materialise", "measured", "shared_folder"]
 
 
 def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -15,3 +17,9 @@ def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     rows = materialise(df.observe(seen, *(c.alias(name) for name, c in metrics.items())))
     return rows, seen.get
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been written down: its cleaner acts when the driver's garbage is collected, and that may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
