@@ -44,8 +44,8 @@ LENGTHS = (1, 2, 4, 8)
 COUNTERS = 4096
 #: Suffixes that a group holds, on the average of light prefixes.
 GROUP = 1 << 18
-#: Bits of a label; places are told by the bits of the group besides.
-LABEL_BITS = 40
+#: Bits of a label. A group holds about 2^18 labels at any size of the corpus, so one window in 2^14 is compared for nothing.
+LABEL_BITS = 32
 #: Words of the run that neighbouring windows have in common.
 ANCHOR = 4
 #: Bytes of text whose suffixes are sorted together before they are sent.
@@ -137,7 +137,7 @@ def _packed(part: pa.RecordBatch, how: dict, n_buckets: int) -> pa.RecordBatch:
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             rows[0].append(int(gid[a]))
             rows[1].append(ex.pack_docs(doc[a:b]))
-            rows[2].append(ex.planes(label[a:b], 5))
+            rows[2].append(ex.planes(label[a:b], 4))
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["gid", "docs", "labels"])
 
 
@@ -163,7 +163,7 @@ def _by_bucket(doc: np.ndarray, label: np.ndarray, n_buckets: int) -> Iterator[t
     bucket, doc, label = bucket[new], doc[new], label[new]
     cuts = ex.cuts(bucket)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(bucket[a]), ex.pack_docs(doc[a:b]), ex.planes(label[a:b], 5)
+        yield int(bucket[a]), ex.pack_docs(doc[a:b]), ex.planes(label[a:b], 4)
 
 
 def _several(n_buckets: int):
@@ -173,7 +173,7 @@ def _several(n_buckets: int):
         if rows["gid"].iloc[0] < 0:  # what slices knew already
             return pd.DataFrame({"bucket": -1 - rows["gid"], "docs": rows["docs"], "labels": rows["labels"]})
         doc = np.concatenate([ex.unpack_docs(b) for b in rows["docs"]])
-        label = np.concatenate([ex.unplanes(b, 5) for b in rows["labels"]])
+        label = np.concatenate([ex.unplanes(b, 4) for b in rows["labels"]])
         order = np.lexsort((doc, label))
         doc, label = doc[order], label[order]
         cuts = ex.cuts(label)
@@ -185,11 +185,11 @@ def _several(n_buckets: int):
 
 def _by_doc(rows: pd.DataFrame) -> pd.DataFrame:
     doc = np.concatenate([ex.unpack_docs(b) for b in rows["docs"]])
-    label = np.concatenate([ex.unplanes(b, 5) for b in rows["labels"]])
+    label = np.concatenate([ex.unplanes(b, 4) for b in rows["labels"]])
     order = np.lexsort((label, doc))
     doc, label = doc[order], label[order]
     cuts = ex.cuts(doc)
-    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "may": [ex.planes(np.unique(label[a:b]), 5) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    return pd.DataFrame({"doc_id": doc[cuts[:-1]], "may": [ex.planes(np.unique(label[a:b]), 4) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
 def recurring(docs: DataFrame, how: dict) -> DataFrame:
@@ -222,7 +222,7 @@ def regions(part: pa.RecordBatch, how: dict) -> tuple[tp.Words, np.ndarray, np.n
     hit = np.zeros(len(at), bool)
     for d, b in enumerate(part["may"].to_pylist()):
         if b:
-            hit[first[d] : first[d + 1]] = np.isin(label[first[d] : first[d + 1]], ex.unplanes(b, 5))
+            hit[first[d] : first[d + 1]] = np.isin(label[first[d] : first[d + 1]], ex.unplanes(b, 4))
     begin = at[hit]
     if not len(begin):
         return w, begin, begin, np.zeros(0, np.uint64)
@@ -348,7 +348,7 @@ def _by_row(rows: pd.DataFrame) -> pd.DataFrame:
 def losses(docs: DataFrame, width: int = 13, group: int = GROUP, bits: int = LABEL_BITS) -> DataFrame:
     """(doc_id, row, lost): places of the windows whose words go, for every row of ``docs`` (doc_id, text, row) that loses some."""
     how = plan(docs, width, group, bits)
-    may, seen = measured(recurring(docs, how), n=F.sum(F.octet_length("may") / 5))
+    may, seen = measured(recurring(docs, how), n=F.sum(F.octet_length("may") / 4))
     forget(docs.sparkSession)  # the labels of all suffixes
     n = int(seen["n"] or 0)
     n_groups, n_buckets = max(16, n // group), max(16, n // (1 << 20))
