@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, fertility, jaccard, languages, pieces, privacy, quality, repeats, toxicity, webtext
+from quern.llm import audit, decontaminate, fertility, jaccard, languages, negatives, packing, pieces, privacy, quality, repeats, toxicity, webtext
 from quern.llm import textpack as tp
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -73,6 +74,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTES)
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_webtext": op1_webtext,
     "op2_pieces": op2_pieces,
@@ -85,6 +98,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_languages": op9_languages,
     "op10_decontaminate": op10_decontaminate,
+    "op11_packing": op11_packing,
+    "op12_interactions": op12_interactions,
+    "op13_negatives": op13_negatives,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,4 +163,41 @@ FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
 }
 
+ORACLE_SQL["op12_interactions"] = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least_doc AS (SELECT t, min(doc_id) AS m FROM doc GROUP BY t),
+flag AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+         (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+           + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > m)::INT AS fails
+  FROM doc JOIN least_doc USING (t) LEFT JOIN labels USING (doc_id)
+),
+letter AS (SELECT unnest(range(0, 5)) AS f),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, s AS step, o[s] AS f, CAST(list_sum([0] || list_transform(o[1 : s - 1], lambda x: 1 << x)) AS BIGINT) AS before FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders)),
+mask AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM flag GROUP BY ALL),
+counted AS (
+  SELECT part, o, step, f, sum(n) FILTER (fails & (before | (1 << f)) = 0) AS kept, sum(n) FILTER (fails & before = 0 AND (fails >> f) & 1 = 1) AS removed,
+         sum(n) FILTER (fails & before <> 0 AND (fails >> f) & 1 = 1) AS redundant, sum(n) FILTER (fails = 1 << f) AS unique_fails,
+         sum(g) FILTER (fails & before = 0 AND (fails >> f) & 1 = 1) AS good_lost, sum(x) FILTER (fails & before = 0 AND (fails >> f) & 1 = 1) AS toxic_lost
+  FROM mask, steps GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', CAST(x + 1 AS BIGINT), 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE_SQL["op13_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT a.vec_id AS a, a.label AS own, b.vec_id AS b, b.label AS other, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, own, b, score FROM s WHERE own = other QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.other <> p.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLE_SQL["op4_links"] = ORACLE_SQL["op4_jaccard"]
