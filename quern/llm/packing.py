@@ -41,8 +41,8 @@ _FAR = re.compile("[^\x00-ɏ]")
 _FRONT = re.compile("(?= [!-~À-ɏ])")
 #: Of the solver: rounds of a solution, how fast prices fall, the most that a round covers of a length, and how near to the highest price a configuration must be.
 ROUNDS, FALL, STEP, NEAR = 60, 2.0, 0.04, 0.02
-#: What breaks ties between prices, and the share of a sequence that a configuration may waste by the dual prices at first.
-JITTER, WASTE, FEW = 1e-5, 1e-4, 1e-3
+#: What breaks ties between prices, the share of a sequence that a configuration may waste at first, and what a piece more counts against a configuration.
+JITTER, WASTE, FEW = 1e-5, 2e-3, 1e-2
 #: How often what rounding left is solved again.
 LEVELS = 8
 
@@ -197,10 +197,9 @@ def knapsack(price: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.nda
     return best, last
 
 
-def configurations(lengths: np.ndarray, price: np.ndarray, width: int, near: float) -> tuple[np.ndarray, float]:
-    """For each length the configuration of the highest price that holds it, if that is near the highest of all: numbers of each length by row; and that price."""
+def configurations(lengths: np.ndarray, price: np.ndarray, width: int, near: float) -> np.ndarray:
+    """For each length the configuration of the highest price that holds it, if that is near the highest of all: numbers of each length by row."""
     best, last = knapsack(price, lengths, width)
-    highest = float(best[width])
     chosen = np.flatnonzero(price + best[width - lengths] >= (1 - near) * best[width])
     rows = np.zeros((len(chosen), width + 1), np.int32)
     rows[np.arange(len(chosen)), lengths[chosen]] = 1
@@ -211,38 +210,36 @@ def configurations(lengths: np.ndarray, price: np.ndarray, width: int, near: flo
         np.add.at(rows, (who[some], took[some]), 1)
         left = np.where(some, left - took, left - 1)
         who, left = who[left > 0], left[left > 0]
-    return np.unique(rows[:, lengths], axis=0), highest
+    return np.unique(rows[:, lengths], axis=0)
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Configurations, how often to use each to cover about all counts, and what each wastes by the best dual prices; multiplicative weights.
+    """Configurations, how often to use each to cover about all counts, and what share of a sequence each wastes; multiplicative weights.
 
-    Prices begin as lengths, whose dual is the volume, and fall with the share of a length that is covered already. No round
-    covers more than a step of any length. Prices divided by the highest price of a configuration are a solution of the
-    dual program, so the best of them bounds the number of sequences from below, and a configuration that it values
-    below 1 wastes the difference.
+    Prices begin as lengths and fall with the share of a length that is covered already. No round covers more than
+    a step of any length, and none prices what is a step ahead. Among equal prices fewer pieces come first, so that
+    small ones stay for gaps. Waste is against the fullest configuration that there is.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
-    done, used, bound, dual = np.zeros(len(lengths)), {}, 0.0, lengths / width
+    done, used = np.zeros(len(lengths)), {}
+    dual = lengths / knapsack(lengths.astype(float), lengths, width)[0][width]
     for step in range(1, ROUNDS + 1):
-        open_ = np.flatnonzero(done < min(1.0, step * STEP))
-        if not len(open_):
+        behind = np.flatnonzero(done < min(1.0, step * STEP))
+        if not len(behind):
             if done.min() >= 1:
                 break
             continue
         price = lengths / width * np.exp(-FALL * (done - done.min()))
-        own, n = lengths[open_], counts[open_]
-        rows, highest = configurations(own, price[open_] * (1 + rng.uniform(0, JITTER, len(own))) - FEW, width, NEAR)
-        if step == 1:
-            bound, dual = counts @ price / highest, price / highest
+        own, n = lengths[behind], counts[behind]
+        rows = configurations(own, price[behind] * (1 + rng.uniform(0, JITTER, len(own))) - FEW, width, NEAR)
         rows = rows[(rows <= n).all(axis=1)]
         if not len(rows):
             continue
         uses = (rows > 0).sum(axis=0)
         share = np.where(rows > 0, n / np.maximum(rows * uses, 1), np.inf).min(axis=1) * STEP
-        done[open_] += share @ rows / n
+        done[behind] += share @ rows / n
         wide = np.zeros((len(rows), len(lengths)), np.int32)
-        wide[:, open_] = rows
+        wide[:, behind] = rows
         for row, x in zip(wide, share.tolist(), strict=True):
             key = row.tobytes()
             used[key] = used.get(key, 0.0) + x
