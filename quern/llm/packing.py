@@ -43,6 +43,8 @@ _FRONT = re.compile("(?= [!-~À-ɏ])")
 ROUNDS, FALL, STEP, NEAR = 60, 2.0, 0.04, 0.02
 #: What breaks ties between prices, the share of a sequence that a configuration may waste at first, and what a piece more counts against a configuration.
 JITTER, WASTE, FEW = 1e-5, 2e-3, 1e-2
+#: Sequences with room to spare are taken only where what would fit into the room is less than this share of them.
+SMALL = 1e-4
 #: How often what rounding left is solved again.
 LEVELS = 8
 
@@ -293,7 +295,9 @@ def solve(histogram: dict[int, int], width: int, seed: int = 1) -> list[tuple[di
         times = np.floor(x + rng.uniform(0, 1, len(x))).astype(np.int64)
         for i in [i for i in np.argsort(-x, kind="stable").tolist() if wasted[i] <= waste]:
             held = rows[i] > 0
-            if n := min(int(times[i]), int((left[some][held] // rows[i][held]).min())):
+            n = min(int(times[i]), int((left[some][held] // rows[i][held]).min()))
+            small = lengths <= width - lengths[some] @ rows[i]
+            if n and left[small] @ lengths[small] <= SMALL * n * width:
                 whole = np.zeros(len(lengths), np.int64)
                 whole[some] = rows[i]
                 use(whole, n)
