@@ -1,4 +1,4 @@
-"""Vector search for many queries at once: exact in blocks, and approximate by an inverted file of centres."""
+"""Exact vector search for many queries at once, in blocks."""
 
 from __future__ import annotations
 
@@ -62,64 +62,3 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     own = blocks(corpus, id_col, vec_col)
     asked = blocks(queries, id_col, vec_col).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "dims")
     return _merged(own.join(asked, "dims").repartition(F.xxhash64("ids", "q_ids")).select("q_ids", "q_vecs", "ids", "vecs", "dims").mapInPandas(_best(k), FOUND), k)
-
-
-def centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 8, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 5) -> np.ndarray:
-    """Centres of unit vectors by a few rounds of k-means on a sample: at most ``sample`` rows, those with the least hashes of their ids."""
-    rows = vectors.select(F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(id_col).alias("h")).where("size(v) > 0").orderBy("h").limit(sample).collect()
-    x = np.array([r["v"] for r in rows], np.float64)
-    x = x[np.linalg.norm(x, axis=1) > 0]
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    rng = np.random.Generator(np.random.PCG64(seed))
-    c = x[rng.choice(len(x), min(n, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
-        for i in range(len(c)):
-            if (near == i).any():
-                c[i] = x[near == i].mean(axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1)[:, None], 1e-12)
-    return c
-
-
-def _nearest(c: np.ndarray, n: int):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            x = np.array(p["vec"].tolist(), np.float64).reshape(len(p), -1)
-            order = np.argsort(-(x @ c.T), axis=1)[:, :n]
-            yield pd.DataFrame({"list": order.ravel(), "id": np.repeat(p["id"].to_numpy(), order.shape[1]), "vec": [v for v in p["vec"] for _ in range(order.shape[1])]})
-
-    return run
-
-
-def assign(vectors: DataFrame, c: np.ndarray, n: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(list, id, vec): each vector with its ``n`` nearest centres. Every row is indexed."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.size("vec") == c.shape[1])
-    return rows.mapInPandas(_nearest(c, n), "list int, id bigint, vec array<double>")
-
-
-def build(vectors: DataFrame, path: str, c: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
-    """Writes the inverted file: a folder for each centre, so that a search opens those that it probes."""
-    assign(vectors, c, 1, id_col, vec_col).write.mode("overwrite").partitionBy("list").parquet(path)
-
-
-def search(index: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probes: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, score, place) among the rows of the ``probes`` nearest centres of each query.
-
-    Both sides become blocks of one list, and blocks are joined by list; a list that has grown large is many blocks in as many tasks.
-    """
-
-    def packed(rows: DataFrame) -> DataFrame:
-        def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                for number, own in p.groupby("list"):
-                    for at in range(0, len(own), BLOCK):
-                        some = own.iloc[at : at + BLOCK]
-                        x = np.array(some["vec"].tolist(), np.float64)
-                        norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
-                        yield pd.DataFrame({"list": [int(number)], "ids": [some["id"].to_numpy(np.int64).tobytes()], "vecs": [(x / norm[:, None]).tobytes()], "dims": [x.shape[1]]})
-
-        return rows.mapInPandas(pack, "list int, ids binary, vecs binary, dims int")
-
-    asked = packed(assign(queries, c, probes, id_col, vec_col)).select("list", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    pairs = packed(index.select("list", "id", "vec")).join(asked, "list").select("q_ids", "q_vecs", "ids", "vecs", "dims")
-    return _merged(pairs.mapInPandas(_best(k), FOUND), k)

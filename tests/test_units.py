@@ -297,21 +297,61 @@ def test_strong_matches(spark):
         assert bool(got) is want, query
 
 
-def test_inverted_file_recall(spark):
+def recall(found, true):
+    found, true = ({(r.query, r.id) for r in x} for x in (found, true))
+    return len(found & true) / len(true)
+
+
+def test_index_reads_few_rows(spark, tmp_path):
+    import numpy as np
+
+    from quern.operators import ann, pq
+    from quern.sources.tables import table
+
+    e = table(spark, "/root/testdata/sf0.1", "embeddings")
+    q, n = e.where("vec_id % 50 = 0"), e.count()
+    model = pq.fit(e)
+    assert len(model.centres) <= 1.5 * n**0.5
+    pq.build(e, str(tmp_path / "index"), model)
+    codes = spark.read.parquet(str(tmp_path / "index" / "codes"))
+    assert codes.agg(F.sum("rows")).first()[0] == n
+    true = ann.exact(e, q, 10).collect()
+    found = pq.search(str(tmp_path / "index"), e, q, 10).collect()
+    assert recall(found, true) >= 0.9 and 10 * 10 <= n / 10  # a hundred vectors are read for each query
+    assert {(r.query, r.id): r.score for r in found}.items() <= {(r.query, r.id): r.score for r in ann.exact(e, q, n).collect()}.items()
+    assert all(r.place == 1 for r in found if r.query == r.id)
+
+
+def test_index_of_clusters_reads_few_codes(spark, tmp_path):
+    """Where rows lie in clusters, a tenth of the lists hold their neighbours; copies of one row are cut into blocks."""
+    import numpy as np
+
+    from quern.operators import ann, pq
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    centre = rng.normal(0, 1, (60, 24))
+    x = [*(centre[i % 60] + rng.normal(0, 0.15, 24) for i in range(4000)), *[centre[0]] * 9000]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    e = spark.createDataFrame([*rows, (-1, [1.0]), (-2, None), (None, rows[0][1]), (-3, [0.0] * 24), (-4, [float("nan")] * 24)], "vec_id long, embedding array<double>")
+    model = pq.fit(e)
+    assert model.dims == 24 and model.probes <= len(model.centres) / 10 + 1
+    pq.build(e, str(tmp_path / "index"), model)
+    codes = spark.read.parquet(str(tmp_path / "index" / "codes"))
+    assert codes.agg(F.sum("rows"), F.max("rows")).first()[0] == len(rows) and codes.agg(F.max("rows")).first()[0] <= pq.BLOCK
+    q = e.where("vec_id >= 0 and vec_id < 4000 and vec_id % 60 between 1 and 9 and vec_id % 7 = 0 or vec_id < 0")
+    found = pq.search(str(tmp_path / "index"), e, q, 10).collect()
+    assert recall(found, ann.exact(e.where("size(embedding) = 24"), q.where("size(embedding) = 24"), 10).where("score is not null and not isnan(score)").collect()) >= 0.9
+    assert pq.fit(e.limit(0)) is None
+
+
+def test_exact_search_by_brute_force(spark):
     import numpy as np
 
     from quern.operators import ann
-    from quern.plans.search import PROBES
     from quern.sources.tables import table
 
     e = table(spark, "/root/testdata/sf0.01", "embeddings")
-    q = e.where("vec_id % 50 = 0")
-    exact = {(r.query, r.id) for r in ann.exact(e, q, 10).collect()}
-    c = ann.centres(e, 32)
-    index = ann.assign(e, c)
-    assert index.count() == e.count()
-    found = {(r.query, r.id) for r in ann.search(index, q, c, 10, PROBES).collect()}
-    assert len(found & exact) / len(exact) >= 0.9
+    exact = {(r.query, r.id) for r in ann.exact(e, e.where("vec_id % 50 = 0"), 10).collect()}
     x = np.array([r.embedding for r in e.orderBy("vec_id").collect()], float)
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = {(i, int(j)) for i in range(0, len(x), 50) for j in np.lexsort((np.arange(len(x)), -np.round(x[i] @ x.T, 6)))[:10]}
