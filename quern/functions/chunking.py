@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+
+from quern.functions.declarations import Declaration
 
 # Fixed values.
 SIZE, SLACK, LEAST, SHORT = 5000, 1.15, 50, 500
@@ -44,92 +46,50 @@ def by_size(text: str, size: int = SIZE, slack: float = SLACK, least: int = LEAS
     return out
 
 
-def python_blocks(text: str) -> list[tuple[int, int]]:
-    """First and last line (from 1) of each top-level def or class, with its decorators."""
-    lines = text.split("\n")
-    starts, pending = [], None
-    for n, line in enumerate(lines, 1):
-        if line.startswith("@"):
-            pending = pending or n
-        elif re.match(r"(async )?def |class ", line):
-            starts.append(pending or n)
-            pending = None
-        elif line and not line[0].isspace() and not line.startswith(("#", ")", "]", "}")):
-            pending = None
-            starts.append(-n)  # other top-level code ends a block
-    blocks = []
-    for i, s in enumerate(starts):
-        if s > 0:
-            end = abs(starts[i + 1]) - 1 if i + 1 < len(starts) else len(lines)
-            while end > s and not lines[end - 1].strip():
-                end -= 1
-            blocks.append((s, end))
-    return blocks
-
-
-def brace_blocks(text: str) -> list[tuple[int, int]]:
-    """First and last line of each block in braces at the top level that is longer than a line, with the comment above it."""
-    lines = text.split("\n")
-    blocks, depth, start, quote = [], 0, 0, ""
-    for n, line in enumerate(lines, 1):
-        i = 0
-        while i < len(line):
-            c = line[i]
-            if quote:
-                if c == "\\" and quote != "`":
-                    i += 1
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'`":
-                quote = c
-            elif line.startswith("//", i):
-                break
-            elif c == "{":
-                if depth == 0:
-                    start = n
-                depth += 1
-            elif c == "}":
-                depth = max(0, depth - 1)
-                if depth == 0 and start and n > start:
-                    while start > 1 and lines[start - 2].strip().startswith(("//", "*", "/*", "@")):
-                        start -= 1
-                    blocks.append((start, n))
-                    start = 0
-            i += 1
-        if quote in ("'", '"'):
-            quote = ""
-    return blocks
-
-
-def structural(text: str, blocks: list[tuple[int, int]], cap: int = STRUCTURAL, residue: int = RESIDUE) -> list[tuple[int, int, str]]:
-    """Whole declarations where they fit ``cap``, else line by line; what is left between them is packed the same way.
-
-    A piece shorter than ``residue`` joins the one before. Blocks that overlap or run out of order mean that the
-    scanner lost its way: the text is cut by size then.
+def _spans(lines: list[str], found: list[Declaration], first: int, last: int, cap: int) -> Iterator[tuple[int, int]]:
+    """What is not to be cut, in order: declarations that fit, members of those that do not, and what lies between; single lines of what does not fit either."""
+
+    def size(a: int, b: int) -> int:
+        return sum(map(len, lines[a - 1 : b])) + b - a + 1
+
+    def between(a: int, b: int) -> Iterator[tuple[int, int]]:
+        if a <= b and size(a, b) <= cap:
+            yield a, b
+        else:
+            yield from ((n, n) for n in range(a, b + 1))
+
+    at = first
+    for d in found:
+        yield from between(at, d.start - 1)
+        if size(d.start, d.end) <= cap:
+            yield d.start, d.end
+        else:
+            yield from _spans(lines, d.members, d.start, d.end, cap)
+        at = d.end + 1
+    yield from between(at, last)
+
+
+def structural(text: str, found: list[Declaration] | None, cap: int = STRUCTURAL, residue: int = RESIDUE) -> list[tuple[int, int, str]]:
+    """(first line, last line, text): pieces filled with whole declarations up to ``cap`` characters.
+
+    A declaration that does not fit is entered, down to its members, and cut by lines only where none of them fits. A piece
+    shorter than ``residue`` joins the one before, and the first one the one after. Without declarations the text is cut by size.
     """
-    lines = text.split("\n")
-    if any(a > b or b > len(lines) for a, b in blocks) or any(x[1] >= y[0] for x, y in zip(blocks, blocks[1:], strict=False)):
+    if not found:
         return by_size(text)
-    cuts, at = [], 1
-    for a, b in blocks:
-        if at < a:
-            cuts.append((at, a - 1))
-        cuts.append((a, b))
-        at = b + 1
-    if at <= len(lines):
-        cuts.append((at, len(lines)))
-    out: list[tuple[int, int, str]] = []
-    for a, b in cuts:
-        first = a
-        while first <= b:
-            last, used = first, len(lines[first - 1]) + 1
-            while last < b and used + len(lines[last]) + 1 <= cap:
-                used += len(lines[last]) + 1
-                last += 1
-            piece = "\n".join(lines[first - 1 : last])
-            if len(piece) < residue and out:
-                out[-1] = (out[-1][0], last, "\n".join(lines[out[-1][0] - 1 : last]))
-            else:
-                out.append((first, last, piece))
-            first = last + 1
-    return out
+    lines = text.split("\n")
+    out: list[list[int]] = []  # first line, last line, size
+    for a, b in _spans(lines, found, 1, len(lines), cap):
+        n = sum(map(len, lines[a - 1 : b])) + b - a + 1
+        if out and (out[-1][2] + n <= cap or out[-1][2] < residue and len(out) == 1):
+            out[-1][1:] = [b, out[-1][2] + n]
+        elif len(out) > 1 and out[-1][2] < residue:
+            short = out.pop()
+            out[-1][1:] = [short[1], out[-1][2] + short[2]]
+            out.append([a, b, n])
+        else:
+            out.append([a, b, n])
+    if len(out) > 1 and out[-1][2] < residue:
+        short = out.pop()
+        out[-1][1] = short[1]
+    return [(a, b, "\n".join(lines[a - 1 : b])) for a, b, _ in out]

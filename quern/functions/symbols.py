@@ -26,8 +26,8 @@ MATCHERS = [
 
 
 def _java(pattern: str) -> str:
-    """The same pattern where ``$`` means only the very end, and brackets inside a class are characters."""
-    return pattern.replace("|$)", r"|\z)").replace(r"[\w<>\[\], ?]", r"[\w<>\[\], ?]")
+    """The same pattern where ``$`` means only the very end."""
+    return pattern.replace("|$)", r"|\z)")
 
 
 def declaration(line: Column, ext: Column) -> Column:

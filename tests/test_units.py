@@ -119,13 +119,80 @@ def test_chunks_keep_lines():
         last = b
 
 
-def test_structural_chunks_cover_the_text():
-    code = "import os\n\n@deco\ndef f():\n    return 1\n\n\nclass A:\n    def g(self):\n        pass\n" + "x = 1\n" * 600
-    blocks = chunking.python_blocks(code)
-    assert [b for b in blocks][:2] == [(3, 5), (8, 10)]
-    got = chunking.structural(code, blocks)
-    assert [a for a, _, _ in got][0] == 1 and all(x[1] + 1 == y[0] for x, y in zip(got, got[1:], strict=False)) and got[-1][1] == code.count("\n") + 1
-    assert chunking.brace_blocks("// c\nfunc f() {\n  a()\n}\nvar x = {}\n") == [(1, 4)]
+def tree(found):
+    return [(d.start, d.end, *([tree(d.members)] if d.members else [])) for d in found or []]
+
+
+SOURCES = {
+    ".py": (
+        'import os\n\n@deco(\n    1)\ndef f(a,\n      b):\n    """doc\nno dedent\n"""\n    return "("\n\n# comment\nclass A:\n    x = {\n1: 2}\n    @property\n    def g(self):\n        pass\n\n    async def h(self):\n        pass\n\n\nif x:\n    def c():\n        pass\ny = 1\n',
+        [(3, 10), (13, 21, [(16, 18), (20, 21)]), (25, 26)],
+    ),
+    ".js": (
+        'import a from "b"\n// helper\n/* { */\nexport function f(x) {\n  const re = /[{"\']/g, t = `a ${ {b: 1} } {`;\n  if (x) {\n    return 1 / 2;\n  } else {\n    y()\n  }\n}\nconst o = { a: 1 };\n\nclass K extends B {\n  // m1\n  m1(a = "}") {\n    z()\n  }\n\n  m2() {\n    return \'\\\'{\';\n  }\n}\n',
+        [(2, 11, [(6, 10)]), (14, 23, [(15, 18), (20, 22)])],
+    ),
+    ".go": ('package main\n\nimport (\n\t"fmt"\n)\n\n// S.\ntype S struct {\n\tn string\n}\n\nfunc (s *S) R() {\n\tq := `{`\n\tr := \'{\'\n}\n', [(3, 5), (7, 10), (12, 15)]),
+    ".java": ('import y;\n\n/** doc { */\n@Anno\npublic class C {\n    int a;\n\n    @Override\n    public String s() {\n        return "x{";\n    }\n}\n', [(3, 12, [(8, 11)])]),
+    ".rs": ("#[derive(Debug)]\nstruct S<'a> {\n    x: &'a str,\n}\n\nimpl<'a> S<'a> {\n    fn f() -> char {\n        '{'\n    }\n    fn g() {\n        r#\"{\"}\"#;\n    }\n}\n", [(1, 4), (6, 13, [(7, 9), (10, 12)])]),
+    ".php": ("<?php\n# c {\nfunction f() {\n  $x = <<<EOT\n  { { {\nEOT;\n  return $x;\n}\n", [(2, 8)]),
+    ".cpp": ('#define X {\nint f() {\n  auto s = R"x({)")x";\n  return 1\'000;\n}\n', [(1, 5)]),
+}
+
+
+@pytest.mark.parametrize("ext", SOURCES)
+def test_declarations(ext):
+    from quern.functions import declarations
+
+    source, want = SOURCES[ext]
+    assert tree(declarations.find(source, ext)) == want
+
+
+def test_declarations_that_cannot_be_told():
+    from quern.functions import declarations
+
+    for source, ext in (("f() {\n", ".js"), ("}\n", ".java"), ("plain words", ".go"), ("", ".py"), ("def f():\n    pass", ".txt"), ("'", ".js"), ('"""', ".py"), ("/*", ".c")):
+        assert declarations.find(source, ext) is None
+        assert "".join(c for _, _, c in chunking.structural(source, declarations.find(source, ext))) in ("", source)
+
+
+def whole_lines(text, got):
+    lines, at = text.split("\n"), 1
+    for a, b, piece in got:
+        assert a == at and piece == "\n".join(lines[a - 1 : b])
+        at = b + 1
+    assert at == len(lines) + 1
+
+
+def test_structural_chunks_keep_methods_whole():
+    from quern.functions import declarations
+
+    rng = random.Random(3)
+    for _ in range(60):
+        body = lambda: "".join("    " * 2 + "x" * rng.randint(1, 60) + " = 1\n" for _ in range(rng.choice([1, 5, 20, 60])))
+        parts = [rng.choice(["import a\n\n", f"def f{k}():\n{body()}\n", f"class C{k}:\n" + "".join(f"    def m{j}(self):\n{body()}\n" for j in range(rng.randint(1, 6)))]) for k in range(rng.randint(1, 8))]
+        text = "".join(parts)
+        found = declarations.find(text, ".py")
+        if not found:
+            continue
+        got = chunking.structural(text, found)
+        whole_lines(text, got)
+        lines = text.split("\n")
+        assert all(len(piece) <= 2000 + 60 for _, _, piece in got)  # a residue may join what is full
+        assert len(got) == 1 or all(len(piece) >= 49 for _, _, piece in got)
+        for d in [x for d in found for x in (d, *d.members)]:
+            if sum(map(len, lines[d.start - 1 : d.end])) + d.end - d.start + 1 <= 2000:
+                assert any(a <= d.start and d.end <= b for a, b, _ in got)
+    small = "".join(f"def f{k}():\n    return {k}\n\n" for k in range(40))
+    assert len(chunking.structural(small, declarations.find(small, ".py"))) == 1  # small ones share a piece
+
+
+def test_go_symbols():
+    from quern.functions import declarations
+
+    source = "package m\n\ntype S[T any] struct {\n\tn T\n}\ntype (\n\tID int\n\tOpt interface {\n\t\tDo()\n\t}\n)\nconst A, B = 1, 2\nvar (\n\tx = map[string]int{\n\t\t\"a\": 1,\n\t}\n\ty int\n)\nfunc (s *S[T]) Run(c C) error {\n\tvar z = 1\n}\nfunc Map[K any](k K) {}\nfunc (pkg.T) Odd() {}\n// func no() {}\n"
+    got = [(n, k, at, parent) for n, k, at, parent, _ in declarations.go_symbols(source)]
+    assert got == [("S", "struct", 3, ""), ("ID", "type", 7, ""), ("Opt", "interface", 8, ""), ("A", "const", 12, ""), ("B", "const", 12, ""), ("x", "var", 14, ""), ("y", "var", 17, ""), ("Run", "method", 19, "S"), ("Map", "func", 22, ""), ("Odd", "method", 23, "T")]
 
 
 def test_markup():
