@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import encodings, paths
-from quern.operators.lineage import shared_folder
+from quern.operators.lineage import cut, drop, shared_folder
 from quern.plans.registry import query
-from quern.sources import jsonl, vector_store
+from quern.sources import folders, jsonl, vector_store
 from quern.sources.tables import table
 
 # Documents as files: a path made of source, number and one of some endings.
@@ -36,6 +36,23 @@ def workspace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.where(paths.walked(F.col("path"), IGNORED) & paths.indexable(F.col("path"), F.octet_length("text"))).select("path")
 
 
+@query(
+    "s04_folder_scan",
+    "SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND lang <> 'de' AND NOT (lang = 'fr' AND source LIKE '%1') AND source NOT LIKE '%3'",
+)
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents, written into folders by language and source, and read from those folders that the rules leave."""
+    path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    docs.select(F.col("doc_id").cast("string").alias("value"), "lang", "source").write.partitionBy("lang", "source").text(path)
+    rules = "/lang=de/\n*.crc\nlang=fr/source=*1\nsource=*[3]/\n_SUCCESS\n"
+    found = folders.read(spark, path, content=True, rules=rules).where("size > 0").select("path", F.explode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("id"))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1).alias(name)
+    rows = cut(found.select(F.col("id").cast("bigint").alias("doc_id"), part("lang"), part("source")))
+    drop(spark, path)
+    return rows
+
+
 @query("s05_indexable", f"WITH {FILES_SQL} SELECT doc_id, {_INDEXABLE_SQL} AS by_name, strlen(text) // len(string_split(text, chr(10))) <= {paths.MEAN_LINE} AND list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) <= {paths.MAX_LINE} AS by_content FROM files")
 def indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a file is worth indexing: size, ending, generated names; mean and longest line in bytes."""
