@@ -467,6 +467,29 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_cycles(e)
 
 
+_BLOCKS = "e AS (SELECT c_custkey AS a, c_custkey // 20 * 20 + (c_custkey * 3 + 1) % 20 AS b FROM customer WHERE c_custkey % 5 < 3 UNION SELECT c_custkey, c_custkey // 20 * 20 + (c_custkey + 7) % 20 FROM customer WHERE c_custkey % 3 = 0)"
+
+
+@query("g02_strong_components", f"WITH RECURSIVE {_BLOCKS}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), n AS (SELECT a AS node FROM e UNION SELECT b FROM e) SELECT node, least(node, min(back.a)) AS component FROM n LEFT JOIN r ON r.a = node LEFT JOIN r back ON back.a = r.b AND back.b = node GROUP BY node")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that lead to each other, in a graph with several links each way."""
+    from quern.operators.graphs import strong_components
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("a"))
+    to = lambda x: F.floor(F.col("a") / 20) * 20 + x % 20
+    return strong_components(c.where("a % 5 < 3").withColumn("b", to(F.col("a") * 3 + 1)).union(c.where("a % 3 = 0").withColumn("b", to(F.col("a") + 7))))
+
+
+@query("g01_order", "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey // d AS a, p_partkey AS b FROM part, (SELECT unnest([2, 3]) AS d) WHERE p_partkey // d > 0), r AS (SELECT p_partkey AS node, 0 AS layer FROM part UNION SELECT e.b, layer + 1 FROM r JOIN e ON e.a = r.node), l AS (SELECT node, max(layer) AS layer FROM r GROUP BY node) SELECT node, layer, row_number() OVER (ORDER BY layer, node) AS place, row_number() OVER (ORDER BY layer DESC, node DESC) AS drain FROM l")
+def activation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: an order in which every part comes after those with half and with a third of its number, ties by number, and the reverse order."""
+    from quern.operators.graphs import order
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("node"))
+    e = p.select(F.explode(F.array(F.floor(F.col("node") / 2), F.floor(F.col("node") / 3))).alias("a"), F.col("node").alias("b"))
+    return order(e.where("a > 0"), p)
+
+
 @query("g01_layers", "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey // d AS a, p_partkey AS b FROM part, (SELECT unnest([2, 3]) AS d) WHERE p_partkey // d > 0), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), r AS (SELECT node, 0 AS layer FROM n UNION SELECT e.b, layer + 1 FROM r JOIN e ON e.a = r.node) SELECT node, max(layer) AS layer FROM r GROUP BY node")
 def topological_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: an order of a graph in which nodes have several links each way, layer by layer: every part comes after those with half and with a third of its number."""

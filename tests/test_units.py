@@ -101,6 +101,65 @@ def test_graphs(spark):
     assert sorted(r.node for r in graphs.on_cycles(edges).collect()) == [1, 2, 3]
 
 
+def reach(edges):
+    to = {}
+    for a, b in edges:
+        to.setdefault(a, set()).add(b)
+        to.setdefault(b, set())
+    out = {}
+    for n in to:
+        seen, left = set(), list(to[n])
+        while left:
+            x = left.pop()
+            if x not in seen:
+                seen.add(x)
+                left += to[x]
+        out[n] = seen
+    return out
+
+
+GRAPHS = {
+    "two cycles that share a node": [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 3), (5, 6), (7, 1), (6, 8), (8, 8)],
+    "a ring": [(i, (i + 1) % 50) for i in range(50)],
+    "cycles one behind the other": [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 7), (7, 5), (1, 9), (9, 5)],
+    "nothing but a tree": [(i // 2, i) for i in range(1, 60)],
+    "dense": [(i, (i * i + 3) % 40) for i in range(40)] + [(i, (7 * i + 5) % 40) for i in range(0, 40, 2)] + [(i, i - 1) for i in range(1, 40, 7)],
+    "double edges and loops": [(1, 1), (1, 2), (1, 2), (2, 3), (3, 3)],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_strong_components(spark, name):
+    edges = GRAPHS[name]
+    to = reach(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {n: min([n, *(m for m in to[n] if n in to[m])]) for n in to}
+    assert {r.node: r.component for r in graphs.strong_components(df).collect()} == want
+    assert {r.node for r in graphs.on_cycles(df).collect()} == {n for n in to if n in to[n]}
+
+
+def test_long_tails_take_few_rounds(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(3000)] + [(3000, 1500), (3000, 9000), (0, 5000)] + [(i, i + 1) for i in range(5000, 7000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda x: rounds.append(1) or cut(x))
+    got = {r.node: r.component for r in graphs.strong_components(df).collect()}
+    assert all(got[n] == (1500 if 1500 <= n <= 3000 else n) for n in got) and len(got) == 5003
+    assert len(rounds) < 120
+    rounds.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(0, 2999)], "a long, b long")
+    assert {r.node: r.layer for r in graphs.layers(chain).collect()} == {i: i for i in range(3001)}
+    assert len(rounds) < 60
+
+
+def test_order(spark):
+    edges = [(5, 1), (5, 2), (1, 3), (2, 3), (9, 3), (3, 4), (20, 21), (21, 20), (21, 22), (30, 30), (30, 31)]
+    nodes = [(n,) for n in (1, 2, 3, 4, 5, 9, 20, 21, 22, 30, 31, 7, 0)]
+    rows = sorted(graphs.order(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(nodes, "node long")).collect(), key=lambda r: r.place)
+    assert [r.node for r in rows] == [0, 5, 7, 9, 1, 2, 3, 4]
+    assert [r.drain for r in rows] == list(range(8, 0, -1)) and [r.place for r in rows] == list(range(1, 9))
+
+
 def test_globs():
     import re
 
