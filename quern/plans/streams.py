@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.registry import query
 from quern.sources.tables import table
-from quern.streaming import runs
+from quern.streaming import coalesce, runs
 
 
 @query("st01_hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -70,4 +70,51 @@ _LOG_SQL = "b AS (SELECT *, coalesce(max(CASE WHEN role = 'system' THEN turn END
 )
 def log_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs that are more than four times as large as what is live in them, and large at all, are written anew as a snapshot of that; others stay as they are."""
-    return runs.compacted(table(spark, sf_dir, "conversations"), 4, 1024).select("conv_id", "kind", "idx", "turn", F.octet_length("text").alias("n"))
\ No newline at end of file
+    return runs.compacted(table(spark, sf_dir, "conversations"), 4, 1024).select("conv_id", "kind", "idx", "turn", F.octet_length("text").alias("n"))
+
+# Deltas of text and of reasoning among other events; some carry more than text. Hours stand for milliseconds here.
+WINDOW, MOST = 6 * 3_600_000, 40
+_DELTA_SQL = f"""e AS (
+  SELECT user_id, ms, kind, text, kind IN ('text', 'reasoning') AND NOT other AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS rn
+  FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'view' THEN 'text' WHEN 'click' THEN 'reasoning' ELSE event_type END AS kind, props AS text, event_id % 17 = 0 AS other FROM events)
+),
+r AS (
+  SELECT user_id, 0::BIGINT AS rn, -(1::BIGINT << 61) AS last, NULL::VARCHAR AS held, 0::BIGINT AS since, 0::BIGINT AS size, 0::BIGINT AS grp, '' AS why FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, rn, CASE WHEN fills THEN ms ELSE l3 END, CASE WHEN joins AND NOT fills THEN kind END, s3, z3, grp + CASE WHEN joins AND h2 IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN NOT delta THEN 'other' WHEN now THEN 'first' WHEN fills THEN 'size' ELSE 'waits' END
+  FROM (
+    SELECT *, joins AND z3 >= {MOST} AS fills FROM (
+      SELECT *, delta AND NOT now AS joins, CASE WHEN now THEN ms ELSE l2 END AS l3, CASE WHEN delta AND NOT now AND h2 IS NULL THEN ms ELSE since END AS s3, CASE WHEN delta AND NOT now THEN CASE WHEN h2 IS NULL THEN 0 ELSE size END + strlen(text) ELSE 0 END AS z3 FROM (
+        SELECT *, delta AND h2 IS NULL AND ms - l2 >= {WINDOW} AS now FROM (
+          SELECT *, CASE WHEN h1 IS NOT NULL AND (NOT delta OR h1 <> kind) THEN ms ELSE l1 END AS l2, CASE WHEN h1 IS NOT NULL AND (NOT delta OR h1 <> kind) THEN NULL ELSE h1 END AS h2 FROM (
+            SELECT e.*, r.since, r.size, r.grp, CASE WHEN r.held IS NOT NULL AND e.ms >= r.since + {WINDOW} THEN r.since + {WINDOW} ELSE r.last END AS l1, CASE WHEN r.held IS NOT NULL AND e.ms >= r.since + {WINDOW} THEN NULL ELSE r.held END AS h1
+            FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))))
+),
+g AS (
+  SELECT e.user_id, r.grp, any_value(e.kind) AS kind, string_agg(e.text, '' ORDER BY e.rn) AS text, CAST(count(*) AS INTEGER) AS n, min(e.ms) AS first_ms, max(e.ms) AS last_ms, arg_max(r.why, e.rn) AS closed, max(e.rn) AS rn
+  FROM r JOIN e USING (user_id, rn) GROUP BY e.user_id, r.grp
+),
+d AS (
+  SELECT g.user_id, g.kind, g.text, n, first_ms, CASE WHEN closed = 'waits' THEN least(first_ms + {WINDOW}, coalesce(e.ms, first_ms + {WINDOW})) ELSE last_ms END AS at_ms,
+         CASE WHEN closed <> 'waits' THEN closed WHEN coalesce(e.ms, first_ms + {WINDOW}) >= first_ms + {WINDOW} THEN 'time' WHEN e.delta THEN 'kind' ELSE 'barrier' END AS why
+  FROM g LEFT JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1
+)"""
+
+
+def delta_rows(events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "text").when(F.col("event_type") == "click", "reasoning").otherwise(F.col("event_type"))
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), ms.alias("ms"), kind.alias("kind"), F.col("props").alias("text"), (F.col("event_id") % 17 == 0).alias("other"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("e01_deltas", f"WITH RECURSIVE {_DELTA_SQL} SELECT * FROM d")
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas that follow each other closely as one event, with bounds of time and size; any other event is a barrier, and the first delta goes at once."""
+    return coalesce.coalesce(delta_rows(table(spark, sf_dir, "events")), ["text", "reasoning"], WINDOW, MOST).withColumnRenamed("key", "user_id")
+
+
+@query("e01_delta_stream", f"WITH RECURSIVE {_DELTA_SQL} SELECT * FROM d WHERE at_ms <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 60000")
+def delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream, as state with a timer; what goes out up to the watermark."""
+    s = coalesce.coalesce_stream(delta_rows(runs.event_stream(spark, sf_dir)), ["text", "reasoning"], "1 minute", WINDOW, MOST)
+    return runs.updates(s, "append").drop("batch").withColumnRenamed("key", "user_id")
