@@ -1,55 +1,100 @@
 """Tables of Parquet files that are written as a whole new version, and seen only once that is complete.
 
-A version is a folder of its own; what makes it current is a row in the table's log, which is
-appended after its files. A job that dies half-way leaves files that no row names, and a reader
+A version is a folder of its own; what makes it current is a file in the table's log, which is
+created after its files, and of which there can be one only. A job that dies half-way leaves files that no log entry names, and a reader
 keeps the version that it began with.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import series
-from quern.operators.lineage import drop, shared_folder
+from quern.operators.lineage import cut, drop, shared_folder
+
+
+class Conflict(Exception):
+    """Another writer has made the version that this one was about to make; read again and repeat."""
 
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
-    def versions(self) -> list[tuple[int, str]]:
-        """Numbers and folders of the versions, oldest first; one row a write."""
+    def _log(self) -> tuple:
         jvm = self.spark.sparkContext._jvm
-        log = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        if not log.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(log):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+    def entries(self) -> list:
+        """(version, folders, batch) of the versions, oldest first; a small file for each."""
+        files, folder = self._log()
+        if not files.exists(folder):
             return []
-        return [(r.version, r.folder) for r in self.spark.read.schema("version bigint, folder string").json(f"{self.path}/log").orderBy("version").collect()]
+        return self.spark.read.schema("version bigint, folders array<string>, batch bigint").json(f"{self.path}/log").orderBy("version").collect()
+
+    def versions(self) -> list[tuple[int, str]]:
+        """Numbers and folders of the versions, oldest first."""
+        return [(r.version, r.folders[0] if r.folders else "") for r in self.entries()]
+
+    def batch(self) -> int:
+        """The last batch of a stream that the table has taken, or -1."""
+        return max((r.batch for r in self.entries() if r.batch is not None), default=-1)
 
     def read(self) -> DataFrame:
-        known = self.versions()
+        known = self.entries()
         if not known:
             raise ValueError(f"{self.path} has no version yet")
-        return self.spark.read.parquet(known[-1][1])
+        return self.spark.read.parquet(*known[-1].folders)
 
-    def replace(self, rows: DataFrame) -> VersionedTable:
-        """Makes ``rows`` the current version; they may be read from the one before."""
-        number = (self.versions() or [(0, "")])[-1][0] + 1
+    def _commit(self, number: int, folders: list[str], batch: int | None) -> None:
+        """Makes a version current, by creating the file of its number; of two writers that try, one gets an error and its rows are not seen."""
+        files, folder = self._log()
+        jvm = self.spark.sparkContext._jvm
+        try:
+            out = files.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}.json"), False)
+        except Py4JJavaError as e:
+            if "Exist" in str(e.java_exception):
+                raise Conflict(f"version {number} of {self.path} is there already") from None
+            raise
+        try:
+            out.write(json.dumps({"version": number, "folders": folders, "batch": batch}).encode())
+        finally:
+            out.close()
+
+    def replace(self, rows: DataFrame, batch: int | None = None, after: int | None = None) -> VersionedTable:
+        """Makes ``rows`` the current version; they may be read from the one before. ``after`` is the version that they were made from, if not the current one."""
+        number = (after if after is not None else (self.versions() or [(0, "")])[-1][0]) + 1
         folder = f"{self.path}/v{number}-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        self.spark.createDataFrame([(number, folder)], "version bigint, folder string").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        self._commit(number, [folder], batch)
         return self
 
     def expire(self, keep: int = 1) -> VersionedTable:
         """Deletes the files of all but the newest ``keep`` versions; nobody may be reading them."""
-        drop(self.spark, *(folder for _, folder in self.versions()[:-keep]))
+        known = self.entries()
+        used = {f for r in known[-keep:] for f in r.folders}
+        drop(self.spark, *{f for r in known[:-keep] for f in r.folders if f not in used})
         return self
 
-    def change(self, f: Callable[[DataFrame], DataFrame]) -> VersionedTable:
-        return self.replace(f(self.read()))
+    def change(self, f: Callable[[DataFrame], DataFrame], batch: int | None = None, tries: int = 5) -> VersionedTable:
+        """Makes what ``f`` makes of the current version the next one; once more if another writer was faster. A batch that the table has taken already changes nothing."""
+        for left in range(tries - 1, -1, -1):
+            known = self.entries()
+            if batch is not None and any(r.batch is not None and r.batch >= batch for r in known):
+                return self
+            try:
+                return self.replace(f(self.spark.read.parquet(*known[-1].folders)), batch, known[-1].version)
+            except Conflict:
+                if not left:
+                    raise
+        return self
 
     def upsert_add(self, batch: DataFrame, keys: list[str], n: str) -> VersionedTable:
         """Counters of the batch are added to those of the table."""
@@ -101,11 +146,68 @@ class RollUp:
         return self.spark.read.parquet(f"{self.path}/rows").where("bucket is not null").select("signal", "bucket", "total")
 
 
-def sync(table: VersionedTable, current: DataFrame, key: str, digest: str) -> DataFrame:
-    """Brings an index of digests up to date: (key, action) with insert, update, delete or unchanged; only keys and digests are shuffled."""
+class BucketTable(VersionedTable):
+    """A table in buckets by the hash of its keys; a change writes the buckets that it touches, and all others stay as they lie.
+
+    A version names a folder for each bucket that has rows.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], path: str | None = None, buckets: int = 64):
+        super().__init__(spark, path)
+        self.keys, self.buckets = keys, buckets
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _where(self, known) -> dict[int, str]:
+        return {int(f.rsplit("bucket=", 1)[1]): f for f in known.folders} if known else {}
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        known = self.entries()
+        if not known:
+            raise ValueError(f"{self.path} has no version yet")
+        where = self._where(known[-1])
+        folders = [f for b, f in where.items() if only is None or b in only]
+        if folders:
+            return self.spark.read.parquet(*folders)
+        return self.spark.createDataFrame([], self.spark.read.parquet(f"{self.path}/shape").schema)
+
+    def write(self, rows: DataFrame, touched: list[int] | None = None, batch: int | None = None) -> BucketTable:
+        """Makes ``rows`` all that the ``touched`` buckets hold (all buckets, if none are named)."""
+        known = self.entries()
+        number = (known[-1].version if known else 0) + 1
+        where = {} if touched is None or not known else {b: f for b, f in self._where(known[-1]).items() if b not in touched}
+        folder = f"{self.path}/v{number}-{uuid.uuid4().hex}"
+        if not known:
+            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/shape")
+        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        files, _ = self._log()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [str(x.getPath().getName()) for x in files.listStatus(path) if x.isDirectory()]
+        self._commit(number, [*where.values(), *(f"{folder}/{n}" for n in found if n.startswith("bucket="))], batch)
+        return self
+
+    def replace(self, rows: DataFrame, batch: int | None = None, after: int | None = None) -> BucketTable:
+        return self.write(rows, None, batch)
+
+
+def sync(table: BucketTable, current: DataFrame, key: str, digest: str, step: int = 16) -> DataFrame:
+    """Brings an index up to date with ``current``, whose rows hold a key and a digest of their content: (key, action) with insert, update, delete or unchanged.
+
+    Only keys and digests are compared. Buckets without a change are not written, and ``step`` buckets with changes are committed at a time: a run
+    that dies goes on where it stopped, since what is committed is unchanged for the next one. Nothing is written if nothing has changed.
+    """
     now = current.select(key, F.col(digest).alias("now"))
-    was = table.read().select(key, F.col(digest).alias("was")) if table.versions() else table.spark.createDataFrame([], now.schema).select(key, F.col("now").alias("was"))
+    if not table.entries():
+        table.write(current.limit(0))
+    was = table.read().select(key, F.col(digest).alias("was"))
     action = F.when(F.col("now").isNull(), "delete").when(F.col("was").isNull(), "insert").when(F.col("now") == F.col("was"), "unchanged").otherwise("update")
-    actions = was.join(now, key, "full_outer").select(key, action.alias("action"))
-    table.replace(now.withColumnRenamed("now", digest))
+    actions = cut(was.join(now, key, "full_outer").select(key, action.alias("action")))
+    touched = sorted(r[0] for r in actions.where("action != 'unchanged'").select(table.bucket()).distinct().collect())  # at most the number of buckets
+    for at in range(0, len(touched), step):
+        some = touched[at : at + step]
+        changed = actions.where(table.bucket().isin(some) & (F.col("action") != "unchanged")).select(key, "action")
+        new = current.join(changed.where("action != 'delete'").select(key), key, "left_semi")
+        kept = table.read(some).where(table.bucket().isin(some)).join(changed.select(key), key, "left_anti")
+        table.write(kept.select(*current.columns).unionByName(new), some)
     return actions

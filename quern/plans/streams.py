@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.versioned import VersionedTable
 from quern.plans.registry import query
 from quern.sources.tables import table
-from quern.streaming import coalesce, runs
+from quern.streaming import calls, coalesce, fanout, runs
 
 
 @query("st01_hourly_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -118,3 +119,41 @@ def delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream, as state with a timer; what goes out up to the watermark."""
     s = coalesce.coalesce_stream(delta_rows(runs.event_stream(spark, sf_dir)), ["text", "reasoning"], "1 minute", WINDOW, MOST)
     return runs.updates(s, "append").drop("batch").withColumnRenamed("key", "user_id")
+
+
+_CALLS_SQL = """c AS (SELECT user_id, user_id || '-' || (event_id % 5) AS call, ts AS called FROM events WHERE event_type = 'view' AND event_id % 13 <> 0),
+a AS (SELECT user_id, user_id || '-' || (event_id % 5) AS call, ts AS answered, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events WHERE event_type IN ('click', 'purchase')),
+j AS (SELECT coalesce(c.user_id, a.user_id) AS user_id, coalesce(c.call, a.call) AS call, called, answered, ms FROM c FULL JOIN a ON c.user_id = a.user_id AND c.call = a.call AND answered BETWEEN called AND called + INTERVAL 12 HOURS),
+k AS (SELECT * FROM j WHERE coalesce(called, answered) <= (SELECT max(ts) FROM events) - INTERVAL 3 DAYS),
+s AS (
+  SELECT user_id, called, answered, ms, CASE WHEN called IS NULL THEN 'orphan' ELSE 'answered' END AS state FROM (SELECT user_id, call, answered, ms, max(called) AS called FROM k WHERE answered IS NOT NULL GROUP BY ALL)
+  UNION ALL SELECT user_id, called, NULL, NULL, 'open' FROM (SELECT user_id, call, called, bool_or(answered IS NOT NULL) AS heard FROM k WHERE called IS NOT NULL GROUP BY user_id, call, called) w WHERE NOT heard AND called = (SELECT max(called) FROM k WHERE k.user_id = w.user_id AND k.call = w.call)
+)"""
+
+
+@query(
+    "e08_calls",
+    f"""WITH {_CALLS_SQL} SELECT user_id, count(*) FILTER (state = 'answered') AS answered, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'orphan') AS orphans,
+    CAST(coalesce(sum(epoch_us(answered) // 1000 - ms - epoch_us(called) // 1000) FILTER (state = 'answered' AND epoch_us(answered) // 1000 - ms >= epoch_us(called) // 1000), 0) AS BIGINT) AS start_delay_ms,
+    CAST(coalesce(sum(ms), 0) AS BIGINT) AS tool_ms, CAST(coalesce(sum(ms) FILTER (state = 'orphan'), 0) AS BIGINT) AS orphan_ms FROM s GROUP BY user_id""",
+)
+def settled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls announced more than once, their results, and results that nothing announced, by an outer join of two streams; what the watermark has passed."""
+    call = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_id") % 5)
+    rows = lambda: runs.event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), call.alias("call"), "ts", "event_type", (F.col("event_id") % 13 == 0).alias("refreshed"), F.floor(F.col("value") * 1000).alias("ms"))
+    told, came = rows().where("event_type = 'view'"), rows().where("event_type in ('click', 'purchase')")
+    upto = table(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 3 DAYS")).alias("upto"))
+    found = runs.updates(calls.joined(told, came, "1 hour", "12 HOURS"), "append").drop("batch")
+    held = found.join(F.broadcast(upto), F.coalesce("called", "answered") <= F.col("upto")).drop("upto")
+    return calls.totals(calls.settled(held)).withColumnRenamed("key", "user_id")
+
+
+@query("e09_fan_out", "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY ALL) SELECT user_id, event_type, n, last_event, n AS logged FROM n JOIN l USING (user_id, event_type)")
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream to a log of batches, a table of counters, and a table of latest rows, each of which takes a batch once."""
+    base, keys = runs.folder(spark), ["user_id", "event_type"]
+    counts, last = VersionedTable(spark, f"{base}/counts"), VersionedTable(spark, f"{base}/last")
+    stream = runs.event_stream(spark, sf_dir).select("user_id", "event_type", "ts", "event_id")
+    fanout.fan_out(stream, [fanout.Files(f"{base}/log"), None, fanout.Counters(counts, keys), fanout.Latest(last, keys, ["ts", "event_id"])], f"{base}/run")
+    logged = spark.read.parquet(f"{base}/log").groupBy(*keys).agg(F.count("*").alias("logged"))
+    return counts.read().join(last.read().select(*keys, F.col("event_id").alias("last_event")), keys).join(logged, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators.versioned import RollUp, VersionedTable, sync
+from quern.operators.versioned import BucketTable, RollUp, VersionedTable, sync
 from quern.plans.registry import query
 from quern.sources.tables import AS_OF_SQL, PINGS_SQL, USERS_SQL, events, metric_users, pings, table, with_as_of
 
@@ -160,7 +160,7 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first run sees the documents without one source and some of them in an older wording, the second one sees all but another source.
     """
     d = table(spark, sf_dir, "documents")
-    state = VersionedTable(spark)
+    state = BucketTable(spark, ["doc_id"])
     older = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))
     sync(state, d.where("source <> 'src1'").select("doc_id", F.sha2(older, 256).alias("h")), "doc_id", "h")
     actions = sync(state, d.where("source <> 'src2'").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h")

@@ -86,3 +86,99 @@ def test_coalesce_stream_is_the_batch_form(spark, tmp_path):
     upto = max(r[0] for r in timed) - 1000
     want = sorted((k, kind, t, n, first + base, at + base, why) for k, kind, t, n, first, at, why in plain(rows, 16, 64) if at + base <= upto)
     assert got == want and len(got) > 50
+
+
+CALLS = "ts timestamp, key string, call string, refreshed boolean"
+RESULTS = "ts timestamp, key string, call string, ms long"
+
+
+def call_rows(seed):
+    from datetime import datetime, timedelta, timezone
+
+    rng, at = random.Random(seed), lambda m: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=m)
+    told, came = [], []
+    for c in range(60):
+        m = c * 7
+        key, call = rng.choice("ab"), f"c{c % 40}"
+        if rng.random() < 0.85:
+            told.append((at(m), key, call, False))
+            told += [(at(m + 2), key, call, False)] * (rng.random() < 0.4)
+            told += [(at(m + 3), key, call, True)] * (rng.random() < 0.4)  # refreshed: no new announcement
+        if rng.random() < 0.85:
+            came.append((at(m + rng.choice([2, 4, 9, 31])), key, call, rng.randint(1, 900)))
+    told += [(at(3), "a", None, False)]
+    return told, came
+
+
+def plain_calls(told, came, minutes=30):
+    from datetime import timedelta
+
+    told = [t for t in told if not t[3] and t[2]]
+    out = []
+    for ts, key, call, ms in came:
+        mine = [t for t, k, c, _ in told if (k, c) == (key, call) and t <= ts <= t + timedelta(minutes=minutes)]
+        out.append((key, call, max(mine, default=None), ts, ms, "answered" if mine else "orphan"))
+    for key, call in {t[1:3] for t in told}:
+        last = max(t for t, k, c, _ in told if (k, c) == (key, call))
+        if not any((k, c) == (key, call) and last <= ts <= last + timedelta(minutes=minutes) for ts, k, c, _ in came):
+            out.append((key, call, last, None, None, "open"))
+    return sorted(out, key=str)
+
+
+def test_calls_late_and_refreshed(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from quern.streaming import calls
+
+    told, came = call_rows(5)
+    want = plain_calls(told, came)
+    utc = lambda rows: sorted([tuple(x.astimezone(timezone.utc) if isinstance(x, datetime) else x for x in r) for r in rows], key=str)
+    batch = calls.settled(calls.joined(spark.createDataFrame(told, CALLS), spark.createDataFrame(came, RESULTS), "10 minutes", "30 MINUTES"))
+    assert utc(batch.collect()) == want and {w[-1] for w in want} == {"answered", "orphan", "open"}
+    far = max(t[0] for t in told + came) + timedelta(days=1)  # moves the watermark over all that came before
+    path = lambda n: str(tmp_path / n)
+
+    def three(rows, schema, name):
+        rows = sorted(rows, key=str)
+        third = -(-len(rows) // 3)
+        late = rows[third - 2]  # comes a file later than its neighbours, within the watermark
+        parts = [rows[: third - 2] + rows[third - 1 : third], [late, *rows[third : 2 * third]], [*rows[2 * third :], (far, "end", "end", *([False] if "refreshed" in schema else [1]))]]
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path(name)}/{k}")
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path(name))
+
+    rows = runs.updates(calls.joined(three(told, CALLS, "told"), three(came, RESULTS, "came"), "90 minutes", "30 MINUTES"), "append").drop("batch")
+    assert utc(calls.settled(rows.where("key != 'end'")).collect()) == want
+    sums = {r.key: r for r in calls.totals(batch).collect()}
+    assert sums["a"].orphan_ms == sum(w[4] for w in want if w[0] == "a" and w[-1] == "orphan") and sums["b"].open == sum(w[0] == "b" and w[-1] == "open" for w in want)
+
+
+def test_fan_out_after_a_failure(spark, tmp_path):
+    from quern.operators.versioned import VersionedTable
+    from quern.streaming import fanout
+
+    rows = [(i, "xyz"[i % 3]) for i in range(90)]
+    stream = lambda: spark.readStream.schema("i long, k string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    files(spark, str(tmp_path / "in"), rows, "i long, k string", 3)
+    counts, last = VersionedTable(spark, str(tmp_path / "counts")), VersionedTable(spark, str(tmp_path / "last"))
+
+    class Failing(fanout.Latest):
+        left = 1
+
+        def take(self, rows, batch):
+            if batch == 1 and Failing.left:
+                Failing.left -= 1
+                raise RuntimeError("the second sink fails once")
+            super().take(rows, batch)
+
+    sinks = lambda: [fanout.Counters(counts, ["k"]), None, Failing(last, ["k"], ["i"]), fanout.Files(str(tmp_path / "log"))]
+    with pytest.raises(Exception, match="fails once"):
+        fanout.fan_out(stream(), sinks(), str(tmp_path / "run"))
+    assert counts.batch() == 1 and last.batch() == 0
+    fanout.fan_out(stream(), sinks(), str(tmp_path / "run"))
+    assert {r.k: r.n for r in counts.read().collect()} == {"x": 30, "y": 30, "z": 30}
+    assert {r.k: r.i for r in last.read().collect()} == {"x": 87, "y": 88, "z": 89}
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 90 and counts.batch() == last.batch() == 2
+    counted = len(counts.entries())
+    fanout.fan_out(stream(), sinks(), str(tmp_path / "run"))  # nothing new
+    assert len(counts.entries()) == counted

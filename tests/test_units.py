@@ -304,7 +304,7 @@ def test_counter_stops_at_zero_at_every_step(spark):
 
 
 def test_versioned_table(spark, tmp_path):
-    from quern.operators.versioned import RollUp, VersionedTable, sync
+    from quern.operators.versioned import Conflict, RollUp, VersionedTable
 
     t = VersionedTable(spark, str(tmp_path / "t"))
     with pytest.raises(ValueError):
@@ -329,12 +329,58 @@ def test_versioned_table(spark, tmp_path):
     roll.refresh(seen.where("signal <> 's1'"), ["s1", "s2", "s3"], 1)  # a signal that has become empty
     assert sorted(r.signal for r in roll.read().collect()) == ["s2", "s3"]
 
-    index = VersionedTable(spark, str(tmp_path / "i"))
+    # Two writers that begin with the same version: one of them is told, and nothing is lost.
+    known = t.versions()[-1][0]
+    t.replace(rows([("w", 1)]))
+    with pytest.raises(Conflict):
+        t.replace(rows([("x", 1)]), after=known)
+    assert got() == [("w", 1)]
+    late = iter([lambda: t.replace(rows([("y", 1)]))])
+    t.change(lambda old: (next(late, lambda: None)(), old.unionByName(rows([("z", 1)])))[1])
+    assert got() == [("y", 1), ("z", 1)]
+
+
+def test_index_writes_only_what_has_changed(spark, tmp_path, monkeypatch):
+    import os
+
+    from quern.operators.versioned import BucketTable, sync
+
+    index = BucketTable(spark, ["path"], str(tmp_path / "i"), buckets=8)
     files = lambda x: spark.createDataFrame(x, "path string, h string")
-    actions = lambda x: {r.path: r.action for r in sync(index, files(x), "path", "h").collect()}
+    actions = lambda x, **k: {r.path: r.action for r in sync(index, files(x), "path", "h", **k).collect()}
+    on_disk = lambda: {os.path.join(d, f) for d, _, names in os.walk(tmp_path / "i") for f in names if f.startswith("part-")}
     assert actions([("a", "1"), ("b", "1")]) == {"a": "insert", "b": "insert"}
     assert actions([("a", "1"), ("b", "2"), ("c", "1")]) == {"a": "unchanged", "b": "update", "c": "insert"}
     assert actions([("c", "1")]) == {"a": "delete", "b": "delete", "c": "unchanged"}
+    assert sorted(map(tuple, index.read().select("path", "h").collect())) == [("c", "1")]
+    many = [(f"f{i}", str(i)) for i in range(100)]
+    actions(many)
+    before, versions = on_disk(), len(index.entries())
+    assert set(actions(many).values()) == {"unchanged"}
+    assert on_disk() == before and len(index.entries()) == versions
+    actions([("f7", "new"), *(m for m in many if m[0] != "f7")])
+    new = on_disk() - before
+    assert len({os.path.dirname(f) for f in new}) == 1 and len(index.entries()) == versions + 1
+    assert index.read().where("h = 'new'").count() == 1 and index.read().count() == 100
+    # A run that dies half-way goes on with the buckets that it has not committed.
+    commit, left = index._commit, [2]
+
+    def dying(*args):
+        left[0] -= 1
+        if left[0] < 0:
+            raise RuntimeError("gone")
+        commit(*args)
+
+    monkeypatch.setattr(index, "_commit", dying)
+    later = [(p, h + "x") for p, h in many]
+    with pytest.raises(RuntimeError):
+        actions(later, step=2)
+    monkeypatch.undo()
+    again = list(actions(later, step=2).values())
+    assert 0 < again.count("unchanged") < 100 and again.count("update") == 100 - again.count("unchanged")
+    assert sorted(map(tuple, index.read().select("path", "h").collect())) == sorted(later)
+    assert index.expire().read().count() == 100
+    assert actions([]) == {p: "delete" for p, _ in many} and index.read().count() == 0
 
 
 def test_paths(spark):
