@@ -416,11 +416,42 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).cast("bigint").alias("n_chars"), F.max("turn").alias("last_turn"))
 
 
-@query("r11_tail_budget", "WITH t AS (SELECT conv_id, turn, role, sum(greatest(length(text), (strlen(text) + 3) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, count(*) AS kept, min(turn) AS from_turn FROM t WHERE spent <= 2000 OR back <= 2 GROUP BY conv_id")
+_RECORD_SQL = """r AS (
+  SELECT conv_id AS log, turn AS seq, CASE WHEN conv_id % 13 = 4 AND turn = 4 THEN 'fork' WHEN role = 'system' OR turn = 0 OR (conv_id % 5 = 2 AND turn = 4) THEN 'replace' ELSE 'append' END AS kind,
+         CASE WHEN conv_id % 7 = 3 AND turn = 3 THEN 99 WHEN conv_id % 5 = 2 AND turn > 4 THEN turn - 4 ELSE turn END AS idx, 1 AS n, strlen(text) AS bytes, CASE WHEN conv_id % 17 = 9 AND turn = 2 THEN 2 ELSE 1 END AS version, NOT (conv_id % 11 = 5 AND turn = 2) AS sound FROM conversations
+)"""
+
+
+@query(
+    "e05_bounded_replay",
+    f"""WITH {_RECORD_SQL},
+p AS (SELECT *, row_number() OVER w AS pos, sum(bytes) OVER (PARTITION BY log) AS log_bytes, max(CASE WHEN kind = 'replace' THEN seq END) OVER w AS base FROM r WINDOW w AS (PARTITION BY log ORDER BY seq)),
+h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY log, base ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM p),
+y AS (SELECT *, CASE WHEN log_bytes > 6000 THEN 'bytes' WHEN NOT sound THEN 'damaged' WHEN version <> 1 THEN 'unsupported' WHEN pos > 6 THEN 'records' WHEN kind = 'append' AND idx <> held THEN 'damaged' WHEN kind = 'fork' THEN 'unsupported' END AS why FROM h),
+s AS (SELECT *, coalesce(min(CASE WHEN why IS NOT NULL THEN pos END) OVER (PARTITION BY log), 1000000) AS stop FROM y),
+l AS (SELECT *, pos < stop AND seq >= coalesce(max(CASE WHEN pos < stop THEN base END) OVER (PARTITION BY log), -1) AS live FROM s)
+SELECT log, count(*) FILTER (pos < stop) AS records, CAST(coalesce(sum(n) FILTER (live), 0) AS BIGINT) AS messages, CAST(coalesce(sum(bytes) FILTER (live), 0) AS BIGINT) AS bytes, coalesce(max(why) FILTER (pos = stop), 'end') AS reason, max(seq) FILTER (pos = stop) AS stopped_at FROM l GROUP BY log""",
+)
+def bounded_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: logs read back until a record is damaged or unsupported, or a limit is reached, with the reason."""
+    from quern.operators.replay import replay
+
+    own = lambda of, is_, turn: (F.col("conv_id") % of == is_) & (F.col("turn") == turn)
+    kind = F.when(own(13, 4, 4), "fork").when((F.col("role") == "system") | (F.col("turn") == 0) | own(5, 2, 4), "replace").otherwise("append")
+    idx = F.when(own(7, 3, 3), 99).when((F.col("conv_id") % 5 == 2) & (F.col("turn") > 4), F.col("turn") - 4).otherwise(F.col("turn"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log"), F.col("turn").alias("seq"), kind.alias("kind"), idx.alias("idx"), F.lit(1).alias("n"), F.octet_length("text").alias("bytes"), F.when(own(17, 9, 2), 2).otherwise(1).alias("version"), (~own(11, 5, 2)).alias("sound"))
+    return replay(c, 6000, 6)
+
+
+@query("r11_tail_budget", "WITH t AS (SELECT conv_id, turn, role = 'assistant' AND turn % 4 = 3 AS tool, sum(greatest(length(text), (strlen(text) + 3) // 4)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), s AS (SELECT conv_id, min(turn) AS fits FROM t WHERE spent <= 2000 OR back <= 2 GROUP BY conv_id), b AS (SELECT s.conv_id, coalesce(max(turn) FILTER (NOT tool AND turn <= fits), min(turn)) AS from_turn FROM s JOIN t USING (conv_id) GROUP BY s.conv_id) SELECT conv_id, count(*) AS kept, from_turn FROM b JOIN t USING (conv_id) WHERE turn >= from_turn GROUP BY ALL")
 def tail_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest messages that fit a budget, and always the last two."""
+    """The newest messages that fit a budget, and always the last two; more where they would begin with the result of a tool, back to what called it. Every fourth message of a model stands for such a result."""
     from quern.functions.text import token_estimate
 
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     t = table(spark, sf_dir, "conversations").withColumn("spent", F.sum(token_estimate(F.col("text"))).over(w)).withColumn("back", F.row_number().over(w))
-    return t.where("spent <= 2000 or back <= 2").groupBy("conv_id").agg(F.count("*").alias("kept"), F.min("turn").alias("from_turn"))
+    whole = Window.partitionBy("conv_id")
+    tool = (F.col("role") == "assistant") & (F.col("turn") % 4 == 3)
+    t = t.withColumn("fits", F.min(F.when((F.col("spent") <= 2000) | (F.col("back") <= 2), F.col("turn"))).over(whole))
+    t = t.withColumn("from_turn", F.coalesce(F.max(F.when(~tool & (F.col("turn") <= F.col("fits")), F.col("turn"))).over(whole), F.min("turn").over(whole)))
+    return t.where("turn >= from_turn").groupBy("conv_id", "from_turn").agg(F.count("*").alias("kept"))

@@ -182,3 +182,36 @@ def test_fan_out_after_a_failure(spark, tmp_path):
     counted = len(counts.entries())
     fanout.fan_out(stream(), sinks(), str(tmp_path / "run"))  # nothing new
     assert len(counts.entries()) == counted
+
+
+def plain_replay(records, most_bytes, most_records):
+    if sum(r[4] for r in records) > most_bytes:
+        return 0, 0, 0, "bytes", records[0][0]
+    held, read = [], 0
+    for seq, kind, idx, n, size, version, sound in records:
+        why = "damaged" if not sound else "unsupported" if version != 1 else "records" if read >= most_records else "damaged" if kind == "append" and idx != sum(h[0] for h in held) else "unsupported" if kind not in ("append", "replace") else None
+        if why:
+            return read, sum(h[0] for h in held), sum(h[1] for h in held), why, seq
+        held = [(n, size)] if kind == "replace" else [*held, (n, size)]
+        read += 1
+    return read, sum(h[0] for h in held), sum(h[1] for h in held), "end", None
+
+
+def test_replay_stops(spark):
+    from quern.operators.replay import replay
+
+    rng, logs = random.Random(9), {}
+    for log in range(120):
+        held, records = 0, []
+        for seq in range(rng.randint(1, 12)):
+            n, kind = rng.randint(0, 3), rng.choice(["append"] * 5 + ["replace"])
+            idx = held
+            if rng.random() < 0.06:
+                idx = rng.choice([held + 1, None])
+            held = n if kind == "replace" else held + n
+            records.append((seq * 2, "other" if rng.random() < 0.03 else kind, idx, n, rng.choice([5, 5, 60]), 2 if rng.random() < 0.03 else 1, rng.random() > 0.04))
+        logs[log] = records
+    df = spark.createDataFrame([(log, *r) for log, rs in logs.items() for r in rs], "log long, seq long, kind string, idx long, n long, bytes long, version int, sound boolean")
+    want = {log: plain_replay(rs, 250, 9) for log, rs in logs.items()}
+    assert {r.log: tuple(r)[1:] for r in replay(df, 250, 9).collect()} == want
+    assert {w[3] for w in want.values()} == {"end", "damaged", "unsupported", "records", "bytes"}
