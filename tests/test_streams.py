@@ -212,6 +212,6 @@ def test_replay_stops(spark):
             records.append((seq * 2, "other" if rng.random() < 0.03 else kind, idx, n, rng.choice([5, 5, 60]), 2 if rng.random() < 0.03 else 1, rng.random() > 0.04))
         logs[log] = records
     df = spark.createDataFrame([(log, *r) for log, rs in logs.items() for r in rs], "log long, seq long, kind string, idx long, n long, bytes long, version int, sound boolean")
-    want = {log: plain_replay(rs, 250, 9) for log, rs in logs.items()}
-    assert {r.log: tuple(r)[1:] for r in replay(df, 250, 9).collect()} == want
+    want = {log: plain_replay(rs, 250, 6) for log, rs in logs.items()}
+    assert {r.log: tuple(r)[1:] for r in replay(df, 250, 6).collect()} == want
     assert {w[3] for w in want.values()} == {"end", "damaged", "unsupported", "records", "bytes"}
