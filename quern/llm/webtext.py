@@ -6,8 +6,9 @@ that recur in a large share of the host's pages are its template and are deleted
 What a page marks as something other than its article goes as well: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. An element is marked by its tag, by its
 role, or by a class or id that is made of such names and nothing else: ``ad-box`` and
-``comment-list``, but not ``legal-analysis``. Where a page has an article (or main) element, text
-outside it goes too. Inside it headers stay, and what holds a line of text (a paragraph, heading, cell, item of a list,
+``comment-list``, but not ``legal-analysis``. What is left is told apart by the amount of text: where a main element holds
+most of it, only that counts; where article elements hold at least half of what counts, text outside them goes, and so do articles with less than a fifth
+of the text of the longest (teasers, answers); else the articles go. Inside an article or main element headers stay, and what holds a line of text (a paragraph, heading, cell, item of a list,
 quotation) is never taken for template by itself, so a sentence or cell that many articles share stays;
 a box as a whole may be.
 
@@ -64,7 +65,11 @@ _BESIDE = frozenset("box block bar list item items area wrap wrapper container i
 _HEADERS = frozenset("header siteheader pageheader".split())
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar note status".split())
-_NEVER_BY_NAME = frozenset("html body article main".split())
+#: Roles of remarks, which are part of an article that they stand in.
+_REMARKS = frozenset("note status".split())
+_NEVER_BY_NAME = frozenset("html body main".split())
+#: An article with less than this part of the longest one's text is none of the page's own.
+_TEASER = 5
 
 
 def _names_other(value: str, inside: bool) -> bool:
@@ -77,10 +82,11 @@ def _names_other(value: str, inside: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("drop", "held", "inside", "parts", "start", "tag")
+    __slots__ = ("article", "drop", "held", "inside", "main", "parts", "start", "tag")
 
-    def __init__(self, tag, start, held, drop, inside):
-        self.tag, self.start, self.held, self.drop, self.inside = tag, start, held, drop, inside
+    def __init__(self, tag, start, held, drop, article, main):
+        self.tag, self.start, self.held, self.drop, self.article, self.main = tag, start, held, drop, article, main
+        self.inside = main or article > 0
         self.parts: list[str] = []
 
 
@@ -94,27 +100,42 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
         if name in ("class", "id"):
             if _names_other(value, inside) and not (inside and tag in _KEEP_IN_ARTICLE):
                 return True
-        elif (name == "role" and value.lower() in _ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+        elif (name == "role" and value.lower() in _ROLES and not (inside and value.lower() in _REMARKS)) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
     return False
 
 
+def _own(blocks: list[tuple[str, int, bool]]) -> list[str]:
+    """Of blocks with the number of their article (0: none) and whether main holds them, those that are the page's own text."""
+    size: Counter[int] = Counter()
+    everything, in_main = sum(len(t) for t, _, _ in blocks), sum(len(t) for t, _, m in blocks if m)
+    if 2 * in_main > everything:
+        blocks = [b for b in blocks if b[2]]
+    for t, article, _ in blocks:
+        size[article] += len(t)
+    outside = size.pop(0, 0)
+    if not size or sum(size.values()) < outside:
+        return [t for t, article, _ in blocks if not article]
+    longest = max(size.values())
+    return [t for t, article, _ in blocks if article and size[article] * _TEASER >= longest]
+
+
 def read(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], list[int]]:
     """Text blocks of a page without what is dropped or in ``template``, and the hashes of the subtrees that may be template."""
-    blocks: list[tuple[str, bool]] = []
+    blocks: list[tuple[str, int, bool]] = []
     line: list[str] = []
     found: list[int] = []
-    stack = [_Open("", 0, 0, False, False)]
+    stack = [_Open("", 0, 0, False, 0, False)]
     opened: Counter[str] = Counter()  # open elements by tag
     dead = 0  # open elements that are dropped
-    seen_article = seen_main = False
+    articles = 0
 
     def flush() -> None:
         if line:
             text = " ".join(html.unescape("".join(line)).split())
             line.clear()
             if text:
-                blocks.append((text, stack[-1].inside))
+                blocks.append((text, stack[-1].article, stack[-1].main))
 
     def close() -> None:
         nonlocal dead
@@ -188,20 +209,19 @@ def read(page: str, template: frozenset[int] | set[int] = frozenset()) -> tuple[
             continue
         inside = stack[-1].inside
         drop = _dropped(tag, attrs, inside)
-        main = tag == "main" or 'role="main"' in attrs
-        if (tag == "article" or main) and not dead and not drop:
-            inside = True
-            seen_article |= tag == "article"
-            seen_main |= main
-        stack.append(_Open(tag, len(blocks), len(line), drop, inside))
+        article, main = stack[-1].article, stack[-1].main
+        if not dead and not drop:
+            main |= tag == "main" or 'role="main"' in attrs
+            if tag == "article" and not article:
+                articles += 1
+                article = articles
+        stack.append(_Open(tag, len(blocks), len(line), drop, article, main))
         opened[tag] += 1
         dead += drop
     while len(stack) > 1:
         close()
     flush()
-    if (seen_article or seen_main) and any(x for _, x in blocks):
-        blocks = [b for b in blocks if b[1]]
-    return [b for b, _ in blocks], found
+    return _own(blocks), found
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -413,6 +413,32 @@ def test_article_content_stays():
     assert webtext.read('<div class="site-header">H</div><p>t</p>')[0] == ["t"]
 
 
+def test_main_text_by_share():
+    long = "Many words of the main text. " * 8
+    read = lambda page: " ".join(webtext.read(page)[0])
+    assert read('<div id="content"><p>Long main text one.</p><p>two</p></div><article class="card"><p>teaser</p></article>') == "Long main text one. two"
+    cards = "".join(f'<article class="card"><h2>Card {k}</h2><p>Some words.</p></article>' for k in range(5))
+    assert read(cards + "<p>more</p>") == " ".join(f"Card {k} Some words." for k in range(5))
+    answers = f'<article class="comment"><p>{long * 3}</p></article><article><p>Short answer.</p></article><article id="reply-form"><p>{long}</p></article>'
+    assert read(f"<article><h1>T</h1><p>{long}</p></article>{answers}<p>outside</p>") == "T " + long.strip()
+    assert read(f"<article><p>{long}</p></article><article><p>{long} second part</p></article>") == f"{long.strip()} {long.strip()} second part"
+    assert read(f"<main><p>{long}</p><article><p>teaser</p></article></main><p>out</p>") == long.strip()
+    assert read("<main></main><p>all there is</p>") == "all there is" and read("<article></article><p>all</p>") == "all"
+    assert read(f'<article><p>{long}</p><p role="note">A remark.</p><p role="status">Done.</p><p role="alert">No.</p></article><div role="note">n</div>') == long.strip() + " A remark. Done."
+    assert read(f"<article><p>{long}</p><article><p>inner</p></article></article>") == long.strip() + " inner"
+
+
+def test_long_pages_and_clashing_names(spark):
+    body = " ".join(f"word{k}" for k in range(200_000))
+    page = f"<html><body><nav>Menu</nav><article><p>{body}</p>" + "<p>x&amp;y</p>" * 20_000 + "</article></body></html>"
+    schema = "page_id int, url string, html string, host string, template string, salt int, text string, n_chars string, subtree long, content long"
+    pages = spark.createDataFrame([(1, "http://a.b/", page, *("x", "y", 1, "t", "n", 2, 3)), (None, None, "<p>t</p>", *[None] * 7)], schema)
+    for most in (400_000, 0):
+        got = {r.page_id: (r.text, r.n_chars) for r in webtext.extract(pages, max_broadcast=most).collect()}
+        want = f"{body} " + " ".join(["x&y"] * 20_000)
+        assert got == {1: (want, len(want)), None: ("t", 1)}
+
+
 def test_deep_markup_takes_linear_time():
     import time
 
