@@ -8,8 +8,9 @@ in all documents. The surrogate keeps the type and the format of each spelling (
 separators, letter case, country code, a valid check number of a card or an IBAN), the honorific
 and the gender and script of a name.
 
-Names are found after an honorific. Wherever else the same document writes such a name, whole or one
-of its parts, it is replaced as well. A given name without a gender (``Dr.``) has that of the
+Names are found after an honorific or several of them, with initials and particles, which stay; an office alone (``Mr. President``) is no name. Wherever
+else the same document writes such a name, whole or one of its parts, in capitals or (a family name) in small letters, it is replaced as well; a name that
+is a word as well (``Will``, ``Klein``) stays where it stands alone at the start of a sentence, and in small letters. A given name without a gender (``Dr.``) has that of the
 document's first mention of it that has one.
 
 Two units of a type may not get the same surrogate, nor one the surrogate that is another
@@ -34,30 +35,47 @@ from pyspark.sql import functions as F
 from quern.llm.store import materialise
 
 # Forms of entities, in the order in which they are tried. They hold no capturing groups.
+_GROUP = r"[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_HONORIFICS = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mademoiselle|Mme|Señor|Señora|Señorita|Sr|Sra|Господин|Госпожа|Κύριος|Κυρία)"
-_NAME = r"\p{Lu}\p{Ll}[\p{L}'’]*(?:-\p{Lu}\p{Ll}[\p{L}'’]*)?"
+_HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Monsieur|Madame|Mademoiselle|Mme|Señor|Señora|Señorita|Sr|Sra|Господин|Госпожа|Κύριος|Κυρία)"
+#: Offices that are spoken to as names are, and may stand before one.
+_OFFICE = (
+    r"(?:Vice|Prime|President|Speaker|Chair|Chairman|Chairwoman|Chancellor|Minister|Secretary|Ambassador|Mayor|Judge|Justice|Senator|Governor|Director|Doctor|Professor|"
+    r"Präsidentin|Präsident|Bundeskanzlerin|Bundeskanzler|Kanzlerin|Kanzler|Ministerin|Direktorin|Direktor|Doktor|Professorin|Président|Présidente|Ministre|Directeur|Directrice|Docteur|Professeur|Presidente|Presidenta|Ministro|Ministra|Doctora|Profesor|Profesora)"
+)
+_HONORIFICS = rf"{_HONORIFIC}\b\.?(?: (?:{_HONORIFIC}|{_OFFICE})\b\.?)*"
+_PARTICLE = r"(?:de|la|las|los|del|della|di|da|dos|du|des|le|von|van|der|den|vom|zu|zum|ter)"
+_WORD = rf"(?!{_OFFICE}\b)\p{{Lu}}(?:['’]?\p{{L}})+(?:-\p{{Lu}}(?:['’]?\p{{L}})+)*"
+_NAME = rf"(?:\p{{Lu}}\. ?){{0,3}}(?:{_PARTICLE} ){{0,3}}{_WORD}(?:(?: \p{{Lu}}\.)? (?:{_PARTICLE} ){{0,3}}{_WORD}){{0,2}}"
+#: Names that are words as well, in lower case. Alone at the start of a sentence they stay, and so do they in lower case.
+_COMMON = (
+    "will may mark bill art rich grant frank rose grace hope faith joy dawn june april august summer autumn young king white brown black green gray grey long short wood woods stone hill field fields lake rivers waters banks bush church hall house park parks "
+    "street west north east south day weeks knight bishop pope price cash gold silver rice bean berry cherry lamb wolf fox bird drake swan crane marsh moss reed snow frost winter storm bright best good strong sharp small little love moody noble power powers smith "
+    "baker carter cook fisher hunter mason miller parker porter potter turner walker ward weaver carpenter butler page cross wise savage case chance guy penny klein groß gross lang kurz schwarz weiß weiss braun jung neu alt könig kaiser vogel bach berg stein wald "
+    "baum busch sommer herbst ernst koch petit grand blanc noir roux fort bon roi pierre marchand boulanger fontaine blanco rubio moreno bueno delgado cruz flores rosa león reyes rey iglesias campos prado pastor guerra paz sol luz pilar dolores santos rojo calvo"
+).split()
 FORMS = {
     "key": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b) ?[=:] ?[\"']?[^\s\"',;]{6,}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{IsLatin}0-9._%+-])[\p{IsLatin}0-9._%+-]{1,256}+@(?:[\p{IsLatin}0-9-]{1,63}\.){1,20}[\p{IsLatin}]{2,24}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d[ .-])?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|(?<![\w:])(?:{_GROUP}:){{7}}{_GROUP}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]{{0,39}}\d)(?:(?:{_GROUP}:){{2,6}}|{_GROUP}:(?=(?::{_GROUP}){{2}}))(?::{_GROUP}){{1,5}}(?![\w:])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d[ .-])?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+    r"|(?<![\w.,+-])00[1-9]\d{0,2}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])|(?<![\w.,+-])0[1-9]\d{1,3}[ /-]\d{5,8}(?![\w-])|(?<![\w.,+-])0[1-9](?:[ .-]\d{2}){4}(?![\w-])",
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "person": rf"\b{_HONORIFICS}\b\.? {_NAME}(?: {_NAME})?",
+    "person": rf"\b{_HONORIFICS} {_NAME}",
 }
 #: Inside a word nothing begins but an address after a letter that addresses don't have, and groups of digits.
 ANY = rf"(?<!\p{{L}})(?:{'|'.join(f'(?:{p})' for p in FORMS.values())})|(?<=[^\x00-\x7F])(?:{FORMS['email']})|(?<=\p{{L}})(?:{FORMS['ssn']}|{FORMS['ip']})"
 #: What every entity has; a cheap test that most texts fail.
-HINT = rf"[0-9@]|(?<!\p{{L}})(?:(?i:password|passwd|pwd|secret|token|[a-z]+[_-]?key|key)\b ?[=:]|{_HONORIFICS}\.? \p{{Lu}}|sk-|eyJ|gh[pousr]_)"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?:(?i:password|passwd|pwd|secret|token|[a-z]+[_-]?key|key)\b ?[=:]|{_HONORIFIC}\.? (?:\p{{Lu}}|{_PARTICLE} )|sk-|eyJ|gh[pousr]_)"
 #: Characters beyond which a key is not changed character by character.
 LONG = 4096
 #: The country code at the head of a phone number.
 _COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Mme|Señora|Señorita|Sra|Госпожа|Κυρία)\b"
-_MALE = r"^(?:Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος)\b"
+_MALE = r"^(?:Mr|Herrn|Herr|Monsieur|Señor|Sr|Господин|Κύριος)\b"
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ha he ka ke la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te to va ve".split(),
     "cyrillic": "ба бе бо ва ве во га ге да де до за зе ка ко ла ле ли ло ма ме ми мо на не ни но ра ре ро са се со та те то".split(),
@@ -96,24 +114,25 @@ def _unit(kind: Column, canon: Column, part: Column) -> Column:
 
 
 def _phone(e: Column) -> Column:
-    """A number with its country code; one without is taken for one of the North American plan, whose form it has."""
-    return F.when(e.startswith("+"), F.concat(F.lit("+"), _digits(e))).otherwise(F.concat(F.lit("+1"), _digits(e)))
+    """A number with its country code (after + or 00); one that begins with a single 0 is of a country that it does not tell; any other is taken for one of the North American plan, whose form it has."""
+    digits = _digits(e)
+    return F.when(e.startswith("+"), F.concat(F.lit("+"), digits)).when(e.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits)))).when(e.startswith("0"), digits).otherwise(F.concat(F.lit("+1"), digits))
 
 
 def _units(e: Column, kind: Column, head: Column, gender: Column) -> Column:
     part = F.substring(e, F.length(head) + 1, F.length(e))
     words = F.split(part, " ")
-    family = F.element_at(words, -1)
-    last = F.array(_unit(F.concat(F.lit("last:"), _script(family)), F.lower(family), family))
-    given = F.element_at(words, 1)
-    both = F.concat(F.array(_unit(F.concat_ws(":", F.lit("given"), gender, _script(given)), F.lower(given), given)), last)
-    canon = F.when(kind == "email", F.lower(part)).when(kind.isin("ssn", "card"), _digits(part)).when(kind == "phone", _phone(part)).when(kind == "iban", F.regexp_replace(part, " ", "")).otherwise(part)
-    return F.when(kind == "none", F.array().cast(f"array<{_UNIT}>")).when(kind != "person", F.array(_unit(kind, canon, part))).when(F.size(words) > 1, both).otherwise(last)
+    family = lambda w: _unit(F.concat(F.lit("last:"), _script(w)), F.lower(w), w)
+    given = lambda w: _unit(F.concat_ws(":", F.lit("given"), gender, _script(w)), F.lower(w), w)
+    # Initials and particles are no units and stay; what is left before the last word are given names.
+    person = F.transform(words, lambda w, i: F.when(w.rlike(rf"^(?:(?:\p{{Lu}}\.)+|{_PARTICLE})$"), _unit(F.lit(""), w, w)).when(i == F.size(words) - 1, family(w)).otherwise(given(w)))
+    canon = F.when(kind == "email", F.lower(part)).when(kind.isin("ssn", "card"), _digits(part)).when(kind == "ip", F.lower(part)).when(kind == "phone", _phone(part)).when(kind == "iban", F.regexp_replace(part, " ", "")).otherwise(part)
+    return F.when(kind == "none", F.array().cast(f"array<{_UNIT}>")).when(kind != "person", F.array(_unit(kind, canon, part))).otherwise(person)
 
 
 def entities(spelled: Column) -> Column:
     """Entities of a text, given in its order: type, what stays before its units (an honorific, the name of a secret), and units."""
-    before = {"person": rf"^({_HONORIFICS}\.? )", "secret": r"^([^=:]*[=:] ?[\"']?)"}
+    before = {"person": rf"^({_HONORIFICS} )", "secret": r"^([^=:]*[=:] ?[\"']?)"}
     # A number of a card's form whose check digit does not fit is no card, and stays.
     kind = lambda e: let(_type(e), lambda k: F.when((k == "card") & (_luhn(_digits(e)) != 0), "none").otherwise(k))
     typed = F.transform(spelled, lambda e: F.struct(e.alias("e"), kind(e).alias("kind")))
@@ -174,7 +193,7 @@ def _like(s: Column, stream: Column, hexadecimal: Column | None = None) -> Colum
 
     def change(c: Column, i: Column) -> Column:
         def new(n: Column) -> Column:
-            out = F.when(c.rlike("[0-9]"), _pick(digit, n)).when(c.rlike("[a-z]"), _pick(lower, n)).when(c.rlike("[A-Z]"), _pick(lower.upper(), n)).otherwise(c)
+            out = F.when(c.rlike("[0-9]"), _pick(digit, n)).when(c.rlike(r"\p{Ll}"), _pick(lower, n)).when(c.rlike(r"\p{Lu}"), _pick(lower.upper(), n)).otherwise(c)
             return out if hexadecimal is None else F.when(hexadecimal & c.rlike("[0-9a-f]"), _pick(digit + "abcdef", n)).otherwise(out)
 
         return let(_draw(stream, i), new)
@@ -257,7 +276,8 @@ def unit_surrogate(kind: Column, spelling: Column, canon: Column, attempt: Colum
     """Surrogate of one unit in the format of a spelling of it."""
 
     def made(stream: Column) -> Column:
-        country = F.when(spelling.startswith("+"), F.length(F.regexp_extract(spelling, _COUNTRY, 1)) + 1).otherwise(0)
+        abroad = F.regexp_replace(spelling, "^00", "+")
+        country = F.when(abroad.startswith("+"), F.length(F.regexp_extract(abroad, _COUNTRY, 1)) + 1 + F.length(spelling) - F.length(abroad)).when(spelling.startswith("0"), 1).otherwise(0)
         lead = F.regexp_extract(spelling, r"^(AKIA|gh[pousr]_|sk-|eyJ)?", 1)
         name = _name(kind, stream, attempt)
         return (
@@ -265,6 +285,7 @@ def unit_surrogate(kind: Column, spelling: Column, canon: Column, attempt: Colum
             # Of very long keys only the length is kept.
             .when(kind.isin("key", "secret") & (F.length(spelling) > LONG), F.left(F.repeat(stream, (F.length(spelling) / 256).cast("int") + 1), F.length(spelling)))
             .when(kind == "email", _email(spelling, stream, key))
+            .when((kind == "ip") & F.contains(spelling, F.lit(":")), F.when(spelling.rlike("[A-F]"), F.upper(_like(canon, stream, F.lit(True)))).otherwise(_like(canon, stream, F.lit(True))))
             .when(kind == "ip", _ip(stream))
             .when(kind == "phone", _numbers(spelling, stream, country))
             .when(kind == "ssn", _numbers(spelling, stream, F.lit(0)))
@@ -281,7 +302,7 @@ def unit_surrogate(kind: Column, spelling: Column, canon: Column, attempt: Colum
 
 def surrogate(entity: Column, attempt_of, key: str) -> Column:
     """What stands for an entity; ``attempt_of(kind, canon)`` is the number of the attempt that a unit has."""
-    one = lambda u: let(attempt_of(u["kind"], u["canon"]), lambda n: unit_surrogate(u["kind"], u["part"], u["canon"], n, key))
+    one = lambda u: F.when(u["kind"] == "", u["part"]).otherwise(let(attempt_of(u["kind"], u["canon"]), lambda n: unit_surrogate(u["kind"], u["part"], u["canon"], n, key)))
     return F.concat(entity["head"], F.array_join(F.transform(entity["units"], one), " "))
 
 
@@ -308,7 +329,7 @@ def attempts(found: DataFrame, key: str, rounds: int = 50) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, max_inline: int = 1000, rounds: int = 50, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in ``text_col``, and pii_types: the type of each entity in the order of the text."""
     text = F.col(text_col)
-    found = docs.where(text.rlike(HINT)).select(entities(_every_other(taken_apart(text), 1)).alias("all")).select(F.explode("all").alias("e")).select(F.explode("e.units").alias("u"))
+    found = docs.where(text.rlike(HINT)).select(entities(_every_other(taken_apart(text), 1)).alias("all")).select(F.explode("all").alias("e")).select(F.explode("e.units").alias("u")).where("u.kind != ''")
     again = materialise(attempts(found.select("u.kind", "u.canon").distinct(), key, rounds))
     rows = again.limit(max_inline + 1).collect()
     join = lambda kind, canon: F.concat_ws("\x1f", kind, canon)
@@ -319,7 +340,7 @@ def pseudonymise(docs: DataFrame, key: str, max_inline: int = 1000, rounds: int
         return _rewrite(docs, text_col, lambda kind, canon: F.coalesce(F.element_at(known, join(kind, canon)), F.lit(0)), key)
     # Too many to write down: rows that hold one bring it along. Equal texts share their list.
     mark, own = _free(docs, "pii_text"), _free(docs, "pii_attempts")
-    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias(mark), F.explode(entities(_every_other(taken_apart(text), 1))).alias("e")).select(mark, F.explode("e.units").alias("u")).select(mark, "u.kind", "u.canon").distinct()
+    held = docs.where(text.rlike(HINT)).select(F.xxhash64(text).alias(mark), F.explode(entities(_every_other(taken_apart(text), 1))).alias("e")).select(mark, F.explode("e.units").alias("u")).where("u.kind != ''").select(mark, "u.kind", "u.canon").distinct()
     lists = held.join(again, ["kind", "canon"]).groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct(join(F.col("kind"), F.col("canon")), "attempt"))).alias(own))
     joined = docs.withColumn(mark, F.xxhash64(text)).join(lists, mark, "left")
     return _rewrite(joined, text_col, lambda kind, canon: F.coalesce(F.element_at(F.col(own), join(kind, canon)), F.lit(0)), key).drop(mark, own)
@@ -333,10 +354,32 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: Where a word of its own begins, ends (a genitive's s may follow), and where a sentence begins.
+_BEGIN, _END = r"(?<![\p{L}\p{N}'’-])", r"(?!['’]\p{L}{2})(?=s?(?![\p{L}\p{N}]))"
+_INSIDE = r"(?<![.!?:;…][\s\"“„»]{1,3})(?<![\n\"“„»])(?<!\A\s{0,3})"
+
+
+def _spellings(unit: Column, new: Column) -> Column:
+    """Ways to write a name and what stands for each: as it is, in capitals, with one capital, and in small letters; and where: anywhere (0), inside a sentence or before a family name (1), only before a family name (2)."""
+    part, plain = unit["part"], ~unit["canon"].isin(_COMMON)
+    given = unit["kind"].startswith("given:")
+    row = lambda change, where: F.struct(F.when(given, 0).otherwise(1).alias("order"), (-F.length(part)).alias("n"), where.alias("where"), change(part).alias("part"), change(new).alias("new"))
+    tall = F.when(plain, 0).otherwise(1)
+    some = F.array(row(lambda x: x, tall), row(F.upper, tall), row(F.initcap, tall))
+    return F.when(given, F.concat(some, F.array(row(F.lower, F.lit(2))))).when(plain, F.concat(some, F.array(row(F.lower, F.lit(0))))).otherwise(some)
+
+
 def _bare(gap: Column, names: Column) -> Column:
     """A gap with the names that the document has elsewhere replaced, where they stand as words of their own."""
-    edge = r"(?<![\p{L}\p{N}'’-])\Q", r"\E(?![\p{L}\p{N}'’])"
-    return F.aggregate(names, gap, lambda t, n: F.when(F.contains(t, n["part"]), F.regexp_replace(t, F.concat(F.lit(edge[0]), n["part"], F.lit(edge[1])), n["new"])).otherwise(t))
+    families = F.concat(F.lit("(?= (?:"), F.array_join(F.transform(F.filter(names, lambda n: n["order"] == 1), lambda n: F.concat(F.lit(r"\Q"), n["part"], F.lit(r"\E"))), "|"), F.lit(r")(?!\p{L}))"))
+
+    def replaced(t: Column, n: Column) -> Column:
+        word = F.concat(F.lit(r"\Q"), n["part"], F.lit(r"\E"))
+        before = F.concat(word, families)
+        form = F.when(n["where"] == 0, word).when(n["where"] == 2, before).when(n["order"] == 0, F.concat(F.lit("(?:"), before, F.lit(f"|{_INSIDE}"), word, F.lit(")"))).otherwise(F.concat(F.lit(_INSIDE), word))
+        return F.when(F.contains(t, n["part"]), F.regexp_replace(t, F.concat(F.lit(_BEGIN), form, F.lit(_END)), n["new"])).otherwise(t)
+
+    return F.aggregate(names, gap, replaced)
 
 
 def _rewrite(docs: DataFrame, text_col: str, attempt_of, key: str) -> DataFrame:
@@ -345,10 +388,10 @@ def _rewrite(docs: DataFrame, text_col: str, attempt_of, key: str) -> DataFrame:
     columns = docs.columns
     docs = docs.withColumn(parts, taken_apart(text))
     docs = docs.withColumn(found, F.when(F.size(parts) > 1, entities(_every_other(F.col(parts), 1))).otherwise(F.array().cast(f"array<struct<kind:string,head:string,units:array<{_UNIT}>>>")))
-    # Names and their surrogates, each spelling once; longer ones first.
-    persons = F.flatten(F.transform(F.filter(F.col(found), lambda e: e["kind"] == "person"), lambda e: e["units"]))
-    renamed = F.transform(persons, lambda u: F.struct((-F.length(u["part"])).alias("n"), u["part"].alias("part"), let(attempt_of(u["kind"], u["canon"]), lambda n: unit_surrogate(u["kind"], u["part"], u["canon"], n, key)).alias("new")))
-    names = F.array_sort(F.array_distinct(renamed))
+    # Names and their surrogates, each spelling once; given names first, and longer ones.
+    persons = F.filter(F.flatten(F.transform(F.filter(F.col(found), lambda e: e["kind"] == "person"), lambda e: e["units"])), lambda u: u["kind"] != "")
+    named = lambda u: let(let(attempt_of(u["kind"], u["canon"]), lambda n: unit_surrogate(u["kind"], u["part"], u["canon"], n, key)), lambda new: _spellings(u, new))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(persons), named))))
 
     def written(all_names: Column) -> Column:
         gaps = F.transform(_every_other(F.col(parts), 0), lambda g: F.when(F.size(all_names) > 0, _bare(g, all_names)).otherwise(g))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +34,15 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES, texts=False)
 
 
+KEY = "spark.quern.surrogateKey"
+
+
 def secret_key(spark: SparkSession) -> str:
-    """The key of surrogates is the user's to set; the value here is for tests."""
-    return spark.conf.get("spark.quern.surrogateKey", "not a secret")
+    """The key of surrogates, which is the user's to set; a session without one makes a random key and keeps it, so its surrogates can't be made again elsewhere."""
+    if not spark.conf.get(KEY, None):
+        warnings.warn(f"{KEY} is not set: surrogates follow from a random key of this session", stacklevel=2)
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
