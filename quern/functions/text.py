@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Terms that a task holds before it passes their counts on.
+MOST_TERMS = 500_000
+
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 
@@ -13,6 +20,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
 
 
+def term_counts(rows: DataFrame, lowered: str) -> DataFrame:
+    """(term, df, tf) of texts in lower case, with the terms of :func:`tokens`: each task counts the terms of its texts before they are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        cjk = CJK.replace("Is", "")
+        word = regex.compile(rf"[{cjk}]|[[\p{{L}}\p{{Nd}}_]--[{cjk}]]+", regex.V1)
+        df: Counter[str] = Counter()
+        tf: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            terms = list(tf)
+            rows = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([df[t] for t in terms], pa.int64()), pa.array([tf[t] for t in terms], pa.int64())], ["term", "df", "tf"])
+            df.clear()
+            tf.clear()
+            return rows
+
+        for batch in batches:
+            for text in batch[0].to_pylist():
+                own = Counter(word.findall(text or ""))
+                tf.update(own)
+                df.update(own.keys())
+                if len(tf) > MOST_TERMS:
+                    yield out()
+        yield out()
+
+    return rows.select(lowered).mapInArrow(count, "term string, df bigint, tf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def compact(text: Column) -> Column:
     """White space as single spaces, trimmed."""
     return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))

@@ -60,12 +60,8 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a35_term_statistics", f"WITH tok AS (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and term frequency of every term. A document is one row, so its own counts are made inside the row and one shuffle by term is left."""
-    own = table(spark, sf_dir, "documents").select(F.array_sort(X.tokens(F.col("text"))).alias("t"))
-    # In the sorted tokens a term's first place begins its run; the run ends where the next one begins.
-    starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda x: x.isNotNull())
-    runs = own.select("t", starts.alias("at")).select(F.explode(F.transform("at", lambda a, i: F.struct(F.get("t", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("t")) - a).alias("c")))).alias("x"))
-    return runs.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.c").alias("tf")).where("df >= 3")
+    """Document and term frequency of every term, counted in each task before the one shuffle by term."""
+    return X.term_counts(table(spark, sf_dir, "documents").select(F.lower("text").alias("low")), "low").where("df >= 3")
 
 
 @query("f01_tokens", f"SELECT conv_id, turn, len({TOKENS_SQL.format('text')}) AS n_tokens, len(list_distinct({TOKENS_SQL.format('text')})) AS n_terms FROM conversations")

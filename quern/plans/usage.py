@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import provider
 from quern.operators import series
+from quern.operators.lineage import cut
 from quern.plans.registry import query
 from quern.sources.tables import USAGE_SQL, table, usage
 
@@ -123,8 +124,13 @@ def apportionment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = f.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("rest"), "source"))).withColumn("spare", 60 - F.sum("base").over(Window.partitionBy()))  # one row a source
     s = ranked.select("source", "n", (F.col("base") + (F.col("rn") <= F.col("spare")).cast("int")).alias("slots")).where("slots > 0")
     picks = s.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda i: F.expr("0") + F.floor((2 * i + 1) * F.col("n") / (2 * F.col("slots"))))).alias("pos"))
-    placed = docs.select("doc_id", "source", "n_chars").withColumn("pos", (F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")) - 1).cast("bigint"))
-    return placed.join(F.broadcast(picks), ["source", "pos"]).select("doc_id", "source")
+    # What is sorted are counts by size; of the documents only those of the few sizes at which a place lies are looked at.
+    upto = F.sum("m").over(Window.partitionBy("source").orderBy("n_chars"))
+    sizes = docs.groupBy("source", "n_chars").agg(F.count("*").alias("m")).withColumn("first", upto - F.col("m")).withColumn("upto", upto)
+    at = cut(sizes.join(F.broadcast(picks), "source").where("pos >= first and pos < upto").select("source", "n_chars", (F.col("pos") - F.col("first")).alias("nth")))  # sixty rows at most
+    near = docs.select("doc_id", "source", "n_chars").join(F.broadcast(at.select("source", "n_chars").distinct()), ["source", "n_chars"])
+    placed = near.withColumn("nth", (F.row_number().over(Window.partitionBy("source", "n_chars").orderBy("doc_id")) - 1).cast("bigint"))
+    return placed.join(F.broadcast(at), ["source", "n_chars", "nth"]).select("doc_id", "source")
 
 
 @query("a41_agreement", "WITH v AS (SELECT quality, CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END AS pred FROM documents JOIN labels USING (doc_id)) SELECT pred, count(*) AS n, count(*) FILTER (WHERE pred = quality) AS agree, round(100.0 * count(*) FILTER (WHERE pred = quality) / count(*), 6) AS pct FROM v GROUP BY pred")

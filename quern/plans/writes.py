@@ -81,6 +81,23 @@ def immutable_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", "package", "patch", outcome.alias("outcome"))
 
 
+@query(
+    "d04_inserted_versions",
+    """WITH have AS (SELECT p_brand AS package, p_size AS patch, min(p_partkey) AS made_by FROM part GROUP BY ALL), last AS (SELECT package, max(patch) AS top FROM have GROUP BY package),
+asked AS (SELECT s_suppkey AS id, 'Brand#' || (s_suppkey % 25 + 1) AS package, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey + 40 END AS patch FROM supplier),
+best AS (SELECT id, a.package, coalesce(a.patch, top + 1, 1) AS patch FROM asked a LEFT JOIN last USING (package))
+SELECT package, patch, made_by FROM have UNION ALL SELECT package, patch, min(id) FROM best WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.package = best.package AND h.patch = best.patch) GROUP BY package, patch""",
+)
+def inserted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of versions after the inserts: those that were there are as they were, and of several that ask for one, the first has it; a second run of the same inserts changes nothing."""
+    have = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("package"), F.col("p_size").cast("bigint").alias("patch")).agg(F.min("p_partkey").alias("made_by"))
+    store = VersionedTable(spark).replace(have)
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("package"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey") + 40).alias("want"))
+    top = store.read().groupBy("package").agg(F.max("patch").alias("top"))
+    new = asked.join(top, "package", "left").groupBy("package", F.coalesce("want", F.col("top") + 1, F.lit(1)).alias("patch")).agg(F.min("id").alias("made_by"))
+    return store.insert_new(new, ["package", "patch"]).insert_new(new, ["package", "patch"]).read()
+
+
 @query("u06_kept_versions", "SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_acctbal > 0) UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
 def kept_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table to which only rows with new keys are added; those that are there stay as they are."""

@@ -20,6 +20,14 @@ def test_tokens(spark):
     assert one(spark, X.tokens(F.lit(""))) == []
 
 
+def test_term_counts_are_those_of_the_tokens(spark):
+    texts = ["BM25 检索 cache-first cache", "Ünï_code ١٢ x²½ ﬁ 한글 かな", "", None, "a\u0301b Ⅷ a_b--c 検索", "İstanbul ẞ ΑΣ"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(2)
+    want = df.select("id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("df"), F.count("*").alias("tf"))
+    got = X.term_counts(df.select(F.lower("text").alias("low")), "low")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_relative_floor(spark):
     rows = spark.createDataFrame([(1, 10.0), (2, 2.0), (3, 1.4), (4, 0.0)], "id int, score double")
     assert sorted(r.id for r in ranking.floor(rows, 0.15).collect()) == [1, 2]
