@@ -94,7 +94,6 @@ def stale_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where("best.a < 1 or (best.a = 1 and best.b < 17)").select("event_id", F.concat_ws(".", "best.a", "best.b", "best.c").alias("newest"))
 
 
-_COMPOSED = "composed AS (SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents)"
 
 
 _COMPOSED = _RECORD_SQL + ", composed AS (SELECT f[1] AS id, array_to_string([trim(f[4]), trim(f[5]), f[3] || ' ' || f[2], array_to_string(list_distinct(regexp_extract_all(text, '[a-z]+\\.[a-z]+')), ' '), left(text, 1000)], chr(10)) AS text FROM history)"
