@@ -41,11 +41,12 @@ _HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Monsieur|Madame|Mademoi
 #: Offices that are spoken to as names are, and may stand before one.
 _OFFICE = (
     r"(?:Vice|Prime|President|Speaker|Chair|Chairman|Chairwoman|Chancellor|Minister|Secretary|Ambassador|Mayor|Judge|Justice|Senator|Governor|Director|Doctor|Professor|"
-    r"Präsidentin|Präsident|Bundeskanzlerin|Bundeskanzler|Kanzlerin|Kanzler|Ministerin|Direktorin|Direktor|Doktor|Professorin|Président|Présidente|Ministre|Directeur|Directrice|Docteur|Professeur|Presidente|Presidenta|Ministro|Ministra|Doctora|Profesor|Profesora)"
+    r"Präsidentin|Präsident|Bundeskanzlerin|Bundeskanzler|Kanzlerin|Kanzler|Ministerin|Direktorin|Direktor|Doktor|Professorin|Président|Présidente|Maire|Ministre|Directeur|Directrice|Docteur|Professeur|Presidente|Presidenta|Ministro|Ministra|Doctora|Profesor|Profesora)"
 )
-_HONORIFICS = rf"{_HONORIFIC}\b\.?(?: (?:{_HONORIFIC}|{_OFFICE})\b\.?)*"
-_PARTICLE = r"(?:de|la|las|los|del|della|di|da|dos|du|des|le|von|van|der|den|vom|zu|zum|ter)"
-_WORD = rf"(?!{_OFFICE}\b)\p{{Lu}}(?:['’]?\p{{L}})+(?:-\p{{Lu}}(?:['’]?\p{{L}})+)*"
+_HONORIFICS = rf"{_HONORIFIC}\b(?:(?<=Mr|Mrs|Ms|Dr|Prof|Mme|Sr|Sra)\.)?(?: (?:{_HONORIFIC}|{_OFFICE})\b(?:(?<=Mr|Mrs|Ms|Dr|Prof|Mme|Sr|Sra)\.)?)*"
+_PARTICLE = r"(?:v[ao]n(?: (?:de[mnr]?|het))?|ter|de(?: (?:las?|los))?|del|della|di|da|dos|du|des)"
+_KEPT = r"(?:(?:\p{Lu}\.)+|v[ao]n|de[mnr]?|het|ter|las?|los|del|della|di|da|dos|du|des)"
+_WORD = rf"(?!(?:{_OFFICE}|{_HONORIFIC})\b)\p{{Lu}}(?:['’]?\p{{L}})+(?:-\p{{Lu}}(?:['’]?\p{{L}})+)*"
 _NAME = rf"(?:\p{{Lu}}\. ?){{0,3}}(?:{_PARTICLE} ){{0,3}}{_WORD}(?:(?: \p{{Lu}}\.)? (?:{_PARTICLE} ){{0,3}}{_WORD}){{0,2}}"
 #: Names that are words as well, in lower case. Alone at the start of a sentence they stay, and so do they in lower case.
 _COMMON = (
@@ -125,7 +126,7 @@ def _units(e: Column, kind: Column, head: Column, gender: Column) -> Column:
     family = lambda w: _unit(F.concat(F.lit("last:"), _script(w)), F.lower(w), w)
     given = lambda w: _unit(F.concat_ws(":", F.lit("given"), gender, _script(w)), F.lower(w), w)
     # Initials and particles are no units and stay; what is left before the last word are given names.
-    person = F.transform(words, lambda w, i: F.when(w.rlike(rf"^(?:(?:\p{{Lu}}\.)+|{_PARTICLE})$"), _unit(F.lit(""), w, w)).when(i == F.size(words) - 1, family(w)).otherwise(given(w)))
+    person = F.transform(words, lambda w, i: F.when(w.rlike(rf"^{_KEPT}$"), _unit(F.lit(""), w, w)).when(i == F.size(words) - 1, family(w)).otherwise(given(w)))
     canon = F.when(kind == "email", F.lower(part)).when(kind.isin("ssn", "card"), _digits(part)).when(kind == "ip", F.lower(part)).when(kind == "phone", _phone(part)).when(kind == "iban", F.regexp_replace(part, " ", "")).otherwise(part)
     return F.when(kind == "none", F.array().cast(f"array<{_UNIT}>")).when(kind != "person", F.array(_unit(kind, canon, part))).otherwise(person)
 
