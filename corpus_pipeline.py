@@ -77,8 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all documents; what the next one has read is deleted, and the last result stays.
+
+    Of repeated rows one stays after the second stage; the other stages handle rows that are alike alike, so ties need no order.
+    """
     docs = queries.table(spark, sf_dir, "documents")
-    """The stages one after the other over all documents; what the next one has read is deleted, and the last result stays."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     done = None
     for name, stage in STAGES:
