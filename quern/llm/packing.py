@@ -215,8 +215,8 @@ def configurations(lengths: np.ndarray, price: np.ndarray, width: int, near: flo
     return np.unique(rows[:, lengths], axis=0)
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Configurations, how often to use each to cover about all counts, and what share of a sequence each wastes; multiplicative weights.
+def fractional(lengths: np.ndarray, counts: np.ndarray, width: int, seed: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Configurations (which lengths, how many of each), how often to use each to cover about all counts, and what share of a sequence each wastes; multiplicative weights.
 
     Prices begin as lengths and fall with the share of a length that is covered already. No round covers more than
     a step of any length, and none prices what is a step ahead. Among equal prices fewer pieces come first, so that
@@ -240,13 +240,13 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, width: int, seed: int) -
         uses = (rows > 0).sum(axis=0)
         share = np.where(rows > 0, n / np.maximum(rows * uses, 1), np.inf).min(axis=1) * STEP
         done[behind] += share @ rows / n
-        wide = np.zeros((len(rows), len(lengths)), np.int32)
-        wide[:, behind] = rows
-        for row, x in zip(wide, share.tolist(), strict=True):
-            key = row.tobytes()
+        for row, x in zip(rows, share.tolist(), strict=True):
+            held = np.flatnonzero(row)
+            key = behind[held].astype(np.uint32).tobytes(), row[held].astype(np.uint32).tobytes()
             used[key] = used.get(key, 0.0) + x
-    rows = np.array([np.frombuffer(k, np.int32) for k in used], np.int64).reshape(len(used), len(lengths))
-    return rows, np.array(list(used.values())) / max(1e-9, float(np.average(done, weights=counts * lengths))), 1 - rows @ dual
+    rows = [(np.frombuffer(which, np.uint32).astype(np.int64), np.frombuffer(many, np.uint32).astype(np.int64)) for which, many in used]
+    wasted = np.array([1 - float(many @ dual[which]) for which, many in rows])
+    return rows, np.array(list(used.values())) / max(1e-9, float(np.average(done, weights=counts * lengths))), wasted
 
 
 def _fill(lengths: list[int], left: list[int], width: int) -> list[int]:
@@ -280,11 +280,6 @@ def solve(histogram: dict[int, int], width: int, seed: int = 1) -> list[tuple[di
     left = np.array([histogram[int(k)] for k in lengths], np.int64)
     plan: list[tuple[dict[int, int], int]] = []
 
-    def use(row: np.ndarray, times: int) -> None:
-        nonlocal left
-        left = left - row.astype(np.int64) * times
-        plan.append(({int(lengths[i]): int(row[i]) for i in np.flatnonzero(row)}, times))
-
     rng, waste = np.random.Generator(np.random.PCG64(seed)), WASTE
     for level in range(LEVELS):
         some = np.flatnonzero(left)
@@ -294,13 +289,12 @@ def solve(histogram: dict[int, int], width: int, seed: int = 1) -> list[tuple[di
         rows, x, wasted = fractional(lengths[some], left[some], width, seed + level)
         times = np.floor(x + rng.uniform(0, 1, len(x))).astype(np.int64)
         for i in [i for i in np.argsort(-x, kind="stable").tolist() if wasted[i] <= waste]:
-            held = rows[i] > 0
-            n = min(int(times[i]), int((left[some][held] // rows[i][held]).min()))
-            small = lengths <= width - lengths[some] @ rows[i]
+            which, many = some[rows[i][0]], rows[i][1]
+            n = min(int(times[i]), int((left[which] // many).min()))
+            small = lengths <= width - lengths[which] @ many
             if n and left[small] @ lengths[small] <= SMALL * n * width:
-                whole = np.zeros(len(lengths), np.int64)
-                whole[some] = rows[i]
-                use(whole, n)
+                left[which] -= many * n
+                plan.append((dict(zip(lengths[which].tolist(), many.tolist(), strict=True)), n))
         if left.sum() > 0.7 * before:
             waste *= 4
     own, rest = lengths.tolist(), left.tolist()
