@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import chunking, declarations, markup
+from quern.operators import batches
 from quern.plans.registry import query
 from quern.sources.tables import table
 
@@ -17,6 +18,7 @@ CHUNKS = "doc_id bigint, first_line int, last_line int, content string"
 
 def chunks(docs: DataFrame, cut) -> DataFrame:
     """Rows of (doc_id, first_line, last_line, content) for each text, as ``cut`` says."""
+    batches.bounded(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
