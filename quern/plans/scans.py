@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import encodings, paths
+from quern.operators import batches
 from quern.operators.lineage import cut, drop, shared_folder
 from quern.plans.registry import query
 from quern.sources import folders, jsonl, vector_store
@@ -128,6 +129,7 @@ _CODECS = ["utf-8", "utf-16-le", "utf-16-be", "gb18030", "utf-8-sig"]
 )
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in several encodings, told apart and read as the text that they came from; bytes with a zero are binary."""
+    batches.bounded(spark)
     d = table(spark, sf_dir, "documents")
     codec = F.element_at(F.array(*map(F.lit, [*_CODECS, "utf-8"])), (F.col("doc_id") % 6 + 1).cast("int"))
     mark = F.when(F.col("doc_id") % 6 == 1, F.unhex(F.lit("FFFE"))).when(F.col("doc_id") % 6 == 2, F.unhex(F.lit("FEFF"))).otherwise(F.lit(b""))

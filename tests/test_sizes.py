@@ -22,7 +22,7 @@ def widest(rows) -> int:
     return rows.coalesce(1).mapInArrow(size, "n long").agg(F.max("n")).first()[0]
 
 
-@pytest.mark.parametrize("name", ["r01_chunks", "r02_structural_chunks"])
+@pytest.mark.parametrize("name", ["r01_chunks", "r02_structural_chunks", "s15_decode"])
 def test_batches_of_texts_are_bounded(name, spark, small):
     texts = spark.range(3000).select("id", F.repeat(F.lit("x"), 5000).alias("text"))
     spark.conf.unset(BOUND)
