@@ -16,8 +16,12 @@ CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and ``_``; each CJK character is a token of its own."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
+    """Lower-case runs of letters, digits and ``_``; each CJK character is a token of its own.
+
+    ASCII is told first, since the script of a character takes long to look up.
+    """
+    wide = r"\x{80}-\x{10FFFF}"
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[A-Za-z0-9_[{wide}&&[\p{{L}}\p{{Nd}}]&&[^{CJK}]]]+|[{wide}&&[{CJK}]]"), F.lit(0))
 
 
 def term_counts(rows: DataFrame, lowered: str) -> DataFrame:

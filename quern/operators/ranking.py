@@ -54,15 +54,17 @@ def _bucket(term: Column) -> Column:
 def build_postings(docs: DataFrame, id_col: str, text: Column, path: str) -> None:
     """Writes an index of ``docs``: a row for each document and term, in folders by a hash of the term, and the corpus statistics.
 
-    Terms are counted inside each document, so one shuffle brings the rows to their folders.
+    Texts are cut into tokens once, and terms are counted inside each document, so one shuffle brings the rows to their folders. The
+    statistics are added up from what is written.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.array_sort(tokens(text)).alias("t"))
-    lengths = own.agg(F.count("*").alias("n_docs"), F.greatest(F.avg(F.size("t")), F.lit(1e-9)).alias("avg_len"))
-    lengths.write.mode("overwrite").parquet(f"{path}/stats")
+    own = docs.select(F.col(id_col).alias("id"), F.sort_array(tokens(text)).alias("t"))
     starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda x: x.isNotNull())
     runs = own.select("id", "t", starts.alias("at")).select("id", F.size("t").alias("len"), F.explode(F.transform("at", lambda a, i: F.struct(F.get("t", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("t")) - a).alias("tf")))).alias("x"))
     rows = runs.select(_bucket(F.col("x.term")).alias("bucket"), "x.term", "id", "len", "x.tf")
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    total = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings").agg(F.sum("tf").alias("total"))
+    lengths = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("texts")).join(F.broadcast(total))
+    lengths.select("n_docs", F.greatest(F.try_divide("total", "texts"), F.lit(1e-9)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def search_postings(spark, path: str, terms: list[str]) -> DataFrame:

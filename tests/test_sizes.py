@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from quern.operators import batches, pq
+from quern.operators import batches, pq, ranking
 from quern.sources.tables import table
 
 BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -65,3 +65,31 @@ def test_units_of_odd_rows(spark):
     rows = [(1, [3.0, 4.0]), (2, [5.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf")]), (None, [1.0]), (9, [0.0, -2.0, 0.0])]
     got = pq._units(spark.createDataFrame(rows, "id long, v array<float>").coalesce(1), "id", "v").collect()
     assert {r.id: r.vec for r in got} == {1: pytest.approx([0.6, 0.8]), 2: [1.0], 9: [0.0, -1.0, 0.0]}
+
+
+def test_an_index_of_postings_reads_texts_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        seen.add(1)
+        return None if text is None else text.split()
+
+    monkeypatch.setattr(ranking, "tokens", lambda text: F.udf(words, "array<string>")(text))
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b c")], "id long, text string")
+    ranking.build_postings(docs, "id", F.col("text"), str(tmp_path / "index"))
+    assert seen.value == 4
+    rows = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert sorted((r.term, r.id, r.len, r.tf) for r in rows.collect()) == [("a", 1, 3, 2), ("b", 1, 3, 1), ("b", 4, 2, 1), ("c", 4, 2, 1)]
+    assert tuple(spark.read.parquet(str(tmp_path / "index" / "stats")).first()) == (4, 5 / 3)
+    ranking.build_postings(docs.where("id = 3"), "id", F.col("text"), str(tmp_path / "none"))
+    assert tuple(spark.read.parquet(str(tmp_path / "none" / "stats")).first()) == (1, 1e-9)
+
+
+def test_tokens_of_every_character(spark):
+    """The same as by scripts and classes alone."""
+    from quern.functions.text import CJK, tokens
+
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), F.lit(8), F.lit("0"))), "UTF-32")
+    texts = spark.range(0x110000).where("id not between 55296 and 57343").select(F.concat(F.lit("a"), c, F.lit("é"), c, c, F.lit("検")).alias("t"))
+    plain = F.regexp_extract_all(F.lower("t"), F.lit(rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
+    assert texts.where(tokens(F.col("t")) != plain).count() == 0
